@@ -41,7 +41,7 @@ def parse_date(col) -> Column:
     ANSI mode.
     """
     c = F.trim(_c(col))
-    return F.coalesce(F.try_to_date(c, F.lit(DISPLAY_DATE)), F.try_to_date(c, F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(c, DISPLAY_DATE), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def label_vacina_stock(nome, lote, doses) -> Column:

@@ -267,3 +267,373 @@ def vacinas_validas(t):
 def page_vacinacoes(t):
     """O3: the fourth page of ten doses in the list's total order."""
     return flt.page(lists.vacinacoes(t, ordered=False), lists.VACINACOES_ORDER, n=3, size=10)
+
+
+# ---------------------------------------------------------------- P3–P7 labels and text
+
+@query("labels_vacina", f"""
+    SELECT format('{{}} (Lote: {{}}, Doses: {{}})', nome, codigo_lote, qtd_doses) AS label, id_vacina
+    FROM vacina WHERE data_validade >= {AS_OF_SQL}""")
+def labels_vacina(t):
+    """P5: dose-form lot labels over unexpired lots."""
+    return lists.labels_vacina(t, AS_OF)
+
+
+@query("labels_local", "SELECT nome || ' (' || cidade || ')' AS label, id_local FROM local")
+def labels_local(t):
+    return lists.labels_local(t)
+
+
+@query("labels_campanha", f"""
+    SELECT nome || ' (ID: ' || cast(id_campanha AS varchar) || ')' AS label, id_campanha
+    FROM campanha WHERE (data_fim IS NULL OR data_fim >= {AS_OF_SQL}) AND data_inicio <= {AS_OF_SQL}""")
+def labels_campanha(t):
+    return lists.labels_campanha(t, AS_OF)
+
+
+@query("labels_cidadao", """
+    SELECT u.nome || ' (' || c.cpf || ')' AS label, c.cpf FROM cidadao c JOIN usuario u ON c.cpf = u.cpf""")
+def labels_cidadao(t):
+    return lists.labels_cidadao(t)
+
+
+@query("labels_agendamento_vacina", f"""
+    SELECT label, id_vacina FROM (
+        SELECT nome || ' (Lote: ' || codigo_lote || ')' AS label, id_vacina,
+               row_number() OVER (PARTITION BY nome || ' (Lote: ' || codigo_lote || ')'
+                                  ORDER BY nome DESC, id_vacina DESC) AS rn
+        FROM vacina WHERE data_validade >= {AS_OF_SQL}) x
+    WHERE rn = 1""")
+def labels_agendamento_vacina(t):
+    """Of equal labels the later one in list order wins."""
+    return lists.labels_agendamento_vacina(t, AS_OF)
+
+
+@query("labels_agendamento_campanha", f"""
+    SELECT label, id_campanha FROM (
+        SELECT nome AS label, id_campanha,
+               row_number() OVER (PARTITION BY nome ORDER BY data_inicio ASC, id_campanha DESC) AS rn
+        FROM campanha
+        WHERE (data_fim IS NULL OR data_fim >= {AS_OF_SQL}) AND data_inicio <= {AS_OF_SQL}) x
+    WHERE rn = 1""")
+def labels_agendamento_campanha(t):
+    return lists.labels_agendamento_campanha(t, AS_OF)
+
+
+@query("format_dates", """
+    SELECT id_vacina, nome, doenca_alvo, codigo_lote,
+           strftime(data_chegada, '%d/%m/%Y') AS data_chegada, strftime(data_validade, '%d/%m/%Y') AS data_validade,
+           qtd_doses
+    FROM vacina""")
+def format_dates(t):
+    """P3 on the lot list."""
+    return lists.format_dates(t["vacina"], ["data_chegada", "data_validade"])
+
+
+def _date_text_inputs(t):
+    """Text dates derived from each lot: dd/MM/yyyy, ISO, or an impossible
+    day (31/02) depending on the id."""
+    v = t["vacina"]
+    k = F.col("id_vacina") % 3
+    text = (F.when(k == 0, F.date_format("data_validade", "dd/MM/yyyy"))
+            .when(k == 1, F.date_format("data_validade", "yyyy-MM-dd"))
+            .otherwise(F.concat(F.lit("31/02/"), F.date_format("data_validade", "yyyy"))))
+    return v.select("id_vacina", text.alias("data_texto"))
+
+
+@query("parse_dates", """
+    SELECT id_vacina, data_texto,
+           coalesce(cast(try_strptime(data_texto, '%d/%m/%Y') AS date),
+                    cast(try_strptime(data_texto, '%Y-%m-%d') AS date)) AS data_validade
+    FROM (SELECT id_vacina,
+                 CASE id_vacina % 3 WHEN 0 THEN strftime(data_validade, '%d/%m/%Y')
+                                    WHEN 1 THEN strftime(data_validade, '%Y-%m-%d')
+                                    ELSE '31/02/' || strftime(data_validade, '%Y') END AS data_texto
+          FROM vacina) x""")
+def parse_dates(t):
+    """dd/MM/yyyy, else ISO, else NULL."""
+    from ..functions import columns as C
+    return _date_text_inputs(t).withColumn("data_validade", C.parse_date("data_texto"))
+
+
+@query("normalize_cpf", r"""
+    SELECT cpf, regexp_replace(cpf_digitado, '^\s+|\s+$', '', 'g') AS cpf_normalizado
+    FROM (SELECT cpf,
+                 CASE cast(substr(cpf, 11, 1) AS integer) % 4
+                      WHEN 0 THEN '  ' || cpf || ' '
+                      WHEN 1 THEN chr(9) || cpf || chr(10)
+                      WHEN 2 THEN cpf
+                      ELSE ' ' || chr(9) || ' ' || cpf END AS cpf_digitado
+          FROM usuario) x""")
+def normalize_cpf(t):
+    """Typed cpfs with blanks, tabs and newlines at the ends, stripped."""
+    from ..functions import columns as C
+    u = t["usuario"]
+    d = F.substring("cpf", 11, 1).cast("int") % 4
+    typed = (F.when(d == 0, F.concat(F.lit("  "), "cpf", F.lit(" ")))
+             .when(d == 1, F.concat(F.lit("\t"), "cpf", F.lit("\n")))
+             .when(d == 2, F.col("cpf"))
+             .otherwise(F.concat(F.lit(" \t "), "cpf")))
+    return u.select("cpf", C.strip_ws(typed).alias("cpf_normalizado"))
+
+
+# ---------------------------------------------------------------- S2
+
+@query("param_lookup", """
+    SELECT id_vacina, nome, qtd_doses FROM vacina WHERE doenca_alvo = 'SMALL' AND qtd_doses > 40""")
+def param_lookup(t):
+    """Named-parameter SQL over DataFrames (no text pasting, no global views)."""
+    return t.spark.sql(
+        "SELECT id_vacina, nome, qtd_doses FROM {vacina} WHERE doenca_alvo = :doenca AND qtd_doses > :min_doses",
+        args={"doenca": "SMALL", "min_doses": 40}, vacina=t["vacina"])
+
+
+# ---------------------------------------------------------------- V1–V7, A1, A2, J6
+
+@query("eligibility", """
+    SELECT r.req_seq, r.cpf, r.id_campanha,
+           CASE WHEN c.id_campanha IS NULL THEN false WHEN z.cpf IS NULL THEN false
+                WHEN z.cidade IS NULL THEN false
+                WHEN contains(lower(c.publico_alvo), lower(z.cidade)) OR contains(lower(c.publico_alvo), 'geral')
+                THEN true ELSE false END AS ok,
+           CASE WHEN c.id_campanha IS NULL THEN 'invalid_campaign' WHEN z.cpf IS NULL THEN 'not_citizen'
+                WHEN z.cidade IS NULL THEN 'error_null_city'
+                WHEN contains(lower(c.publico_alvo), lower(z.cidade)) OR contains(lower(c.publico_alvo), 'geral')
+                THEN NULL ELSE 'not_target' END AS reason,
+           CASE WHEN c.id_campanha IS NULL THEN 'Campanha inválida.'
+                WHEN z.cpf IS NULL THEN 'CPF não cadastrado como cidadão.'
+                WHEN z.cidade IS NULL THEN 'Erro na validação do cidadão: cidade não informada.'
+                WHEN contains(lower(c.publico_alvo), lower(z.cidade)) OR contains(lower(c.publico_alvo), 'geral')
+                THEN ''
+                ELSE 'Cidadão de ' || upper(substr(lower(z.cidade), 1, 1)) || lower(substr(lower(z.cidade), 2))
+                     || ' não se encaixa no público alvo da campanha (' || lower(c.publico_alvo) || ').' END AS message
+    FROM (SELECT req_seq, cpf, id_campanha FROM vacinacao_request) r
+    LEFT JOIN campanha c ON r.id_campanha = c.id_campanha
+    LEFT JOIN (SELECT ci.cpf, ci.cidade FROM cidadao ci JOIN usuario u ON ci.cpf = u.cpf) z ON r.cpf = z.cpf""")
+def eligibility(t):
+    """V1 for every (cpf, campaign) of the dose requests."""
+    from ..operators import rules
+    req = t["vacinacao_request"].select("req_seq", "cpf", "id_campanha")
+    return rules.eligibility(req, t["campanha"], t["cidadao"], t["usuario"])
+
+
+@query("stock_check", """
+    SELECT r.req_seq, r.id_vacina,
+           v.id_vacina IS NOT NULL AND v.qtd_doses > 0 AS ok,
+           CASE WHEN v.id_vacina IS NULL THEN 'invalid_vaccine' WHEN v.qtd_doses <= 0 THEN 'no_stock' END AS reason
+    FROM vacinacao_request r LEFT JOIN vacina v ON r.id_vacina = v.id_vacina""")
+def stock_check(t):
+    """V2 for every dose request (opening stock, one request at a time)."""
+    from ..operators import rules
+    return rules.stock_check(t["vacinacao_request"].select("req_seq", "id_vacina"), t["vacina"])
+
+
+@query("agendamentos_por_local_dia", """
+    SELECT id_local, data_agendamento, cast(count(*) AS bigint) AS n_agendamentos
+    FROM agendamento GROUP BY id_local, data_agendamento""")
+def agendamentos_por_local_dia(t):
+    """A1/V4 for all (site, day) pairs."""
+    from ..operators import rules
+    return rules.bookings_per_site_day(t["agendamento"])
+
+
+@query("slot_availability", """
+    SELECT b.id_local, b.data_agendamento, b.booked, coalesce(l.capacidade, 0) AS capacity,
+           cast(greatest(coalesce(l.capacidade, 0) - b.booked, 0) AS bigint) AS free,
+           b.booked >= coalesce(l.capacidade, 0) AS full
+    FROM (SELECT id_local, data_agendamento, cast(count(*) AS bigint) AS booked
+          FROM agendamento GROUP BY id_local, data_agendamento) b
+    LEFT JOIN local l ON b.id_local = l.id_local""")
+def slot_availability(t):
+    """V3 + V4: seats per (site, day)."""
+    from ..operators import rules
+    return rules.slot_availability(t["agendamento"], t["local"])
+
+
+@query("campaign_period_check", """
+    SELECT d.id_vacinacao, d.id_campanha, d.data_aplicacao,
+           c.id_campanha IS NOT NULL AND d.data_aplicacao BETWEEN c.data_inicio
+               AND coalesce(c.data_fim, DATE '9999-12-31') AS ok,
+           CASE WHEN c.id_campanha IS NULL THEN 'invalid_campaign'
+                WHEN NOT (d.data_aplicacao BETWEEN c.data_inicio AND coalesce(c.data_fim, DATE '9999-12-31'))
+                THEN 'out_of_period' END AS reason
+    FROM vacinacao d LEFT JOIN campanha c ON d.id_campanha = c.id_campanha""")
+def campaign_period_check(t):
+    """V5 on every dose."""
+    from ..operators import rules
+    req = t["vacinacao"].select("id_vacinacao", "id_campanha", "data_aplicacao")
+    return rules.campaign_period_check(req, t["campanha"], day_col="data_aplicacao")
+
+
+@query("duplicate_check", """
+    SELECT r.req_seq, r.cpf, r.id_vacina, r.data_agendamento,
+           NOT EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = r.cpf AND a.id_vacina = r.id_vacina
+                       AND a.data_agendamento = r.data_agendamento) AS ok,
+           CASE WHEN EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = r.cpf AND a.id_vacina = r.id_vacina
+                       AND a.data_agendamento = r.data_agendamento) THEN 'duplicate' END AS reason
+    FROM (SELECT id_agendamento AS req_seq, cpf, id_vacina, data_agendamento FROM agendamento_all) r""")
+def duplicate_check(t):
+    """V6: every appointment request (citizens or not) against the table."""
+    from ..operators import rules
+    req = t["agendamento_all"].select(F.col("id_agendamento").alias("req_seq"), "cpf", "id_vacina", "data_agendamento")
+    return rules.duplicate_check(req, t["agendamento"])
+
+
+@query("agendamentos_duplicados", """
+    SELECT cpf, id_vacina, data_agendamento, cast(count(*) AS bigint) AS n_agendamentos
+    FROM (SELECT cpf, id_vacina, data_agendamento FROM agendamento
+          UNION ALL
+          SELECT lpad(cast(o_custkey AS varchar), 11, '0'), cast(l_partkey + 1 AS integer), cast(o_orderdate AS date)
+          FROM dose_line WHERE l_linenumber = 2 AND o_custkey % 10 <= 6) x
+    GROUP BY cpf, id_vacina, data_agendamento HAVING count(*) >= 2""")
+def agendamentos_duplicados(t):
+    """A2: (cpf, lot, day) groups booked more than once, over the appointments
+    plus the second line of each order booked on the same day."""
+    from ..operators import rules
+    d = t["dose_line"].where((F.col("l_linenumber") == 2) & (F.col("o_custkey") % 10 <= 6)).select(
+        fx.cpf("o_custkey").alias("cpf"), (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+        F.col("o_orderdate").cast("date").alias("data_agendamento"))
+    a = t["agendamento"].select("cpf", "id_vacina", "data_agendamento").unionByName(d)
+    return rules.duplicate_groups(a)
+
+
+@query("cidadao_exists", """
+    SELECT r.req_seq, r.cpf, EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf) AS "exists"
+    FROM vacinacao_request r""")
+def cidadao_exists(t):
+    """V7 for every dose request."""
+    from ..operators import rules
+    return rules.cidadao_exists(t["vacinacao_request"].select("req_seq", "cpf"), t["cidadao"])
+
+
+@query("unreferenced_vacinas", """
+    SELECT * FROM vacina v
+    WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.contagem = 1 AND d.id_vacina = v.id_vacina)""")
+def unreferenced_vacinas(t):
+    """Lots no first dose uses (FIXTURES: the contagem = 1 slice)."""
+    from ..operators import rules
+    doses = t["vacinacao"].where(F.col("contagem") == 1)
+    return rules.unreferenced(t["vacina"], "id_vacina", (doses, "id_vacina"))
+
+
+@query("unreferenced_campanhas", """
+    SELECT * FROM campanha c WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.id_campanha = c.id_campanha)""")
+def unreferenced_campanhas(t):
+    from ..operators import rules
+    return rules.unreferenced(t["campanha"], "id_campanha", (t["vacinacao"], "id_campanha"))
+
+
+@query("unreferenced_locais", """
+    SELECT * FROM local l
+    WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.id_local = l.id_local)
+      AND NOT EXISTS (SELECT 1 FROM agendamento a WHERE a.id_local = l.id_local)""")
+def unreferenced_locais(t):
+    from ..operators import rules
+    return rules.unreferenced(t["local"], "id_local", (t["vacinacao"], "id_local"), (t["agendamento"], "id_local"))
+
+
+@query("deletable_usuarios", """
+    SELECT * FROM usuario u
+    WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.cpf = u.cpf)
+      AND NOT EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = u.cpf)
+      AND NOT EXISTS (SELECT 1 FROM parente p WHERE p.cpf_responsavel = u.cpf OR p.cpf_parente = u.cpf)""")
+def deletable_usuarios(t):
+    """Users with no dose, appointment or family link."""
+    from ..operators import rules
+    return rules.deletable_usuarios(t["usuario"], t["vacinacao"], t["agendamento"], t["parente"])
+
+
+# ---------------------------------------------------------------- K1, K2, K4, K6
+
+def _audit_tables(t, **swap):
+    from ..sources.schemas import TABLES
+    out = {n: t[n] for n in TABLES}
+    out.update({k: t[v] for k, v in swap.items()})
+    return out
+
+
+def _sql_union(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+def _audit_pk_sql(swap):
+    from ..sources.schemas import TABLES
+    parts = []
+    for name, spec in TABLES.items():
+        k = spec.key[0]
+        src = swap.get(name, name)
+        parts.append(f"SELECT '{name}' AS table_name, cast({k} AS varchar) AS key_value, "
+                     f"cast(count(*) AS bigint) AS n_rows FROM {src} GROUP BY {k} "
+                     f"HAVING count(*) > 1 OR {k} IS NULL")
+    return _sql_union(parts)
+
+
+def _audit_fk_sql(swap):
+    from ..sources.schemas import TABLES
+    parts = []
+    for name, spec in TABLES.items():
+        src = swap.get(name, name)
+        for fk in spec.foreign_keys:
+            c, rc = fk.columns[0], fk.ref_columns[0]
+            parts.append(
+                f"SELECT '{name}' AS table_name, '{c}' AS fk_columns, '{fk.ref_table}' AS ref_table, "
+                f"cast(x.{c} AS varchar) AS fk_value, cast(count(*) AS bigint) AS n_rows FROM {src} x "
+                f"WHERE NOT EXISTS (SELECT 1 FROM {fk.ref_table} p WHERE p.{rc} = x.{c}) GROUP BY x.{c}")
+    return _sql_union(parts)
+
+
+def _audit_columns_sql():
+    from ..sources.schemas import TABLES
+    parts = []
+    for name, spec in TABLES.items():
+        for c in spec.not_null:
+            parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, 'not_null' AS rule, "
+                         f"cast(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS bigint) AS n_violations FROM {name}")
+        for c, n in spec.lengths.items():
+            parts.append(f"SELECT '{name}', '{c}', 'max_length_{n}', "
+                         f"cast(sum(CASE WHEN length({c}) > {n} THEN 1 ELSE 0 END) AS bigint) FROM {name}")
+    return _sql_union(parts)
+
+
+AUDIT_RANGES_SQL = """
+    SELECT 'vacina' AS table_name, 'codigo_lote' AS column_name, 'non_negative_integer' AS rule,
+           cast(sum(CASE WHEN coalesce(regexp_full_match(codigo_lote, '[0-9]+'), false) THEN 0 ELSE 1 END) AS bigint)
+           AS n_violations FROM vacina
+    UNION ALL SELECT 'vacina', 'qtd_doses', 'min_0', cast(sum(CASE WHEN qtd_doses < 0 THEN 1 ELSE 0 END) AS bigint) FROM vacina
+    UNION ALL SELECT 'local', 'numero', 'min_1', cast(sum(CASE WHEN numero < 1 THEN 1 ELSE 0 END) AS bigint) FROM local
+    UNION ALL SELECT 'local', 'capacidade', 'min_0', cast(sum(CASE WHEN capacidade < 0 THEN 1 ELSE 0 END) AS bigint) FROM local
+    UNION ALL SELECT 'local', 'estado', 'max_length_2', cast(sum(CASE WHEN length(estado) > 2 THEN 1 ELSE 0 END) AS bigint) FROM local
+    UNION ALL SELECT 'vacinacao', 'contagem', 'min_1', cast(sum(CASE WHEN contagem < 1 THEN 1 ELSE 0 END) AS bigint) FROM vacinacao
+    UNION ALL SELECT 'campanha', 'tipo_vacina', 'in_options',
+           cast(sum(CASE WHEN tipo_vacina IN ('Dose Única', 'Múltiplas Doses') THEN 0 ELSE 1 END) AS bigint) FROM campanha"""
+
+_PK_SWAP = {"vacinacao": "vacinacao_raw"}
+_FK_SWAP = {"vacinacao": "vacinacao_all", "agendamento": "agendamento_all", "parente": "parente_all"}
+
+
+@query("audit_pk", _audit_pk_sql(_PK_SWAP))
+def audit_pk(t):
+    """K1 over all ten tables; doses loaded without the keep-first rule."""
+    from ..operators import integrity
+    return integrity.audit_pk(_audit_tables(t, **_PK_SWAP))
+
+
+@query("audit_fk", _audit_fk_sql(_FK_SWAP))
+def audit_fk(t):
+    """K2 over all twelve foreign keys; facts without the citizen filter."""
+    from ..operators import integrity
+    return integrity.audit_fk(_audit_tables(t, **_FK_SWAP))
+
+
+@query("audit_columns", _audit_columns_sql())
+def audit_columns(t):
+    """K4: NOT NULL and VARCHAR length counts for every column."""
+    from ..operators import integrity
+    return integrity.audit_columns(_audit_tables(t))
+
+
+@query("audit_ranges", AUDIT_RANGES_SQL)
+def audit_ranges(t):
+    """K6: widget ranges."""
+    from ..operators import integrity
+    return integrity.audit_ranges(_audit_tables(t))

@@ -78,6 +78,13 @@ BINDINGS: dict[str, str] = {
     "vacinacao": """
         SELECT id_vacinacao, contagem, data_aplicacao, id_vacina, cpf, id_local, id_campanha
         FROM vacinacao_all WHERE o_custkey % 10 <= 6""",
+    "vacinacao_raw": f"""
+        SELECT cast(l_orderkey * 8 + l_linenumber AS bigint) AS id_vacinacao,
+               cast(l_linenumber AS integer) AS contagem, cast(l_shipdate AS date) AS data_aplicacao,
+               cast(l_partkey + 1 AS integer) AS id_vacina, {CPF.format(k='o_custkey')} AS cpf,
+               cast(l_suppkey + 1 AS integer) AS id_local, cast(l_orderkey % 25 + 1 AS integer) AS id_campanha
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE l_linenumber <= 4 AND o_custkey % 10 <= 6""",
     "vacinacao_request": f"""
         SELECT cast(l_orderkey * 8 + l_linenumber AS bigint) AS req_seq,
                cast(l_linenumber AS integer) AS contagem, cast(l_shipdate AS date) AS data_aplicacao,

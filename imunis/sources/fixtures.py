@@ -183,6 +183,22 @@ class Fixtures:
             (F.col("l_orderkey") % 25 + 1).cast("int").alias("id_campanha"),
         )
 
+    def _build_vacinacao_raw(self) -> DataFrame:
+        """Doses loaded without the keep-first rule: repeated ids (K1 audit)."""
+        li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+        o = self.raw("orders").select("o_orderkey", "o_custkey")
+        d = li.join(o, li.l_orderkey == o.o_orderkey).where(
+            (F.col("l_linenumber") <= 4) & (F.col("o_custkey") % 10 <= 6))
+        return d.select(
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id_vacinacao"),
+            F.col("l_linenumber").cast("int").alias("contagem"),
+            F.col("l_shipdate").cast("date").alias("data_aplicacao"),
+            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+            cpf("o_custkey").alias("cpf"),
+            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
+            (F.col("l_orderkey") % 25 + 1).cast("int").alias("id_campanha"),
+        )
+
     def _build_vacinacao_request(self) -> DataFrame:
         d = self["dose_line"].where(F.col("l_linenumber") >= 5)
         return d.select(
