@@ -25,7 +25,7 @@ AS_OF = fx.AS_OF
 AS_OF_SQL = "DATE '1998-06-01'"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | tuple[dict[str, str], str] | None = None):
     def deco(fn: Callable[[fx.Fixtures], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(fx.load(spark, sf_dir))
@@ -637,3 +637,7 @@ def audit_ranges(t):
     """K6: widget ranges."""
     from ..operators import integrity
     return integrity.audit_ranges(_audit_tables(t))
+
+
+# Change operators register themselves on import.
+from . import change_queries  # noqa: E402,F401

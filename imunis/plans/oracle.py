@@ -114,3 +114,147 @@ def with_bindings(body: str, extra: dict[str, str] | None = None) -> str:
         ctes.update(extra)
     parts = [f"{name} AS ({sql.strip()})" for name, sql in ctes.items()]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+# Change-request batches (same derivations as imunis.sources.requests).
+_K = "c_custkey"
+_USER_PAYLOAD = """
+        lpad(cast(c_custkey AS varchar), 15, '8') AS cartao_sus,
+        'Rua Nova ' || cast(c_custkey % 30 AS varchar) AS rua,
+        c_mktsegment AS bairro,
+        cast(c_custkey % 500 AS integer) AS numero,
+        'Cidade ' || cast(c_nationkey AS varchar) AS cidade,
+        'SP' AS estado,
+        CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'Posto ' || cast(c_custkey % 100 AS varchar) END AS local_trabalho,
+        'novo' || cast(c_custkey AS varchar) || '@x.br' AS email,
+        'Posto ' || cast(c_custkey % 100 AS varchar) AS posto_trabalho"""
+_ROLE3 = "CASE {e} WHEN 0 THEN 'Cidadão' WHEN 1 THEN 'Administrador' ELSE 'Agente de Saúde' END"
+_VAC_FIELDS = """
+        CASE WHEN p_partkey % 17 = 0 THEN '' ELSE {name} END AS nome, p_type AS doenca_alvo, p_brand AS codigo_lote,
+        cast(date '1996-01-01' + cast(p_partkey % 300 AS integer) AS date) AS data_chegada,
+        cast(date '1996-01-01' + cast(p_partkey % 300 + p_size - 10 AS integer) AS date) AS data_validade,
+        cast(p_size - 5 AS integer) AS qtd_doses"""
+_CAMP_FIELDS = """
+        '{prefix}' || c_name AS nome, c_mktsegment AS doenca_alvo,
+        CASE WHEN c_custkey % 2 = 0 THEN 'Dose Única' ELSE 'Múltiplas Doses' END AS tipo_vacina,
+        cast(date '1996-01-01' + cast(c_custkey % 365 AS integer) AS date) AS data_inicio,
+        CASE WHEN c_custkey % 3 = 0 THEN NULL
+             ELSE cast(date '1996-01-01' + cast(c_custkey % 365 + (c_custkey % 7 - 2) * 30 AS integer) AS date) END
+             AS data_fim,
+        CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'Moradores de NATION_' || cast(c_nationkey AS varchar) END
+             AS publico_alvo"""
+_LOCAL_FIELDS = """
+        'Posto ' || s_name AS nome, 'Rua ' || cast(s_suppkey % 50 AS varchar) AS rua,
+        'Bairro ' || cast(s_suppkey % 20 AS varchar) AS bairro,
+        cast(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey + 1 END AS integer) AS numero,
+        'Cidade ' || cast(s_nationkey AS varchar) AS cidade,
+        CASE WHEN s_suppkey % 11 = 0 THEN 'RJX' ELSE 'R' || cast(s_suppkey % 5 AS varchar) END AS estado,
+        '(21) 9' || lpad(cast(s_suppkey AS varchar), 8, '0') AS contato,
+        cast(s_suppkey % 5 - 2 AS integer) AS capacidade"""
+
+BINDINGS.update({
+    "usuario_insert_req": f"""
+        SELECT cast(c_custkey AS bigint) AS req_seq,
+               CASE WHEN c_custkey % 5 = 0 THEN '  ' || {CPF.format(k='c_custkey')}
+                    ELSE '9' || lpad(cast(c_custkey // 2 AS varchar), 10, '0') END AS cpf,
+               CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END AS nome,
+               '(' || lpad(cast(c_nationkey AS varchar), 2, '0') || ') 8' || lpad(cast(c_custkey AS varchar), 8, '0')
+                   AS telefone,
+               {_ROLE3.format(e='c_custkey % 3')} AS tipo_usuario, {_USER_PAYLOAD}
+        FROM customer WHERE c_custkey % 5 IN (0, 1, 2)""",
+    "usuario_update_req": f"""
+        SELECT cast(c_custkey AS bigint) AS req_seq, {CPF.format(k='c_custkey')} AS cpf,
+               CASE WHEN c_custkey % 16 = 5 THEN {CPF.format(k='c_custkey + 1')}
+                    ELSE ' ' || {CPF.format(k='c_custkey')} END AS cpf_digitado,
+               upper(c_name) AS nome,
+               '(' || lpad(cast(c_nationkey AS varchar), 2, '0') || ') 7' || lpad(cast(c_custkey AS varchar), 8, '0')
+                   AS telefone,
+               {_ROLE3.format(e='(c_custkey // 4) % 3')} AS tipo_usuario, {_USER_PAYLOAD}
+        FROM customer WHERE c_custkey % 4 = 1""",
+    "usuario_delete_req": f"""
+        SELECT cast(c_custkey * 3 AS bigint) AS req_seq, {CPF.format(k='c_custkey')} AS cpf
+        FROM customer WHERE c_custkey % 6 = 0
+        UNION ALL
+        SELECT cast(c_custkey * 3 + 1 AS bigint), {CPF.format(k='c_custkey')} FROM customer WHERE c_custkey % 12 = 0
+        UNION ALL
+        SELECT cast(c_custkey * 3 + 2 AS bigint), '9' || lpad(cast(c_custkey AS varchar), 10, '0')
+        FROM customer WHERE c_custkey % 18 = 0""",
+    "vacina_insert_req": f"""
+        SELECT cast(p_partkey AS bigint) AS req_seq, {_VAC_FIELDS.format(name='p_name')}
+        FROM part WHERE p_partkey % 4 = 0""",
+    "vacina_update_req": f"""
+        SELECT cast(p_partkey AS bigint) AS req_seq, cast((p_partkey * 7) % 1009 + 1 AS integer) AS id_vacina,
+               {_VAC_FIELDS.format(name='upper(p_name)')}
+        FROM part WHERE p_partkey % 4 = 1""",
+    "vacina_delete_req": """
+        SELECT cast(p_partkey AS bigint) AS req_seq, cast(p_partkey + 1 AS integer) AS id_vacina
+        FROM part WHERE p_partkey % 3 = 0""",
+    "campanha_insert_req": f"""
+        SELECT cast(c_custkey AS bigint) AS req_seq, {_CAMP_FIELDS.format(prefix='Campanha ')}
+        FROM customer WHERE c_custkey % 10 = 0""",
+    "campanha_update_req": f"""
+        SELECT cast(c_custkey AS bigint) AS req_seq, cast(c_custkey % 30 + 1 AS integer) AS id_campanha,
+               {_CAMP_FIELDS.format(prefix='Campanha Nova ')}
+        FROM customer WHERE c_custkey % 10 = 1""",
+    "campanha_delete_req": """
+        SELECT cast(c_custkey AS bigint) AS req_seq, cast(c_custkey % 30 + 1 AS integer) AS id_campanha
+        FROM customer WHERE c_custkey % 20 = 0""",
+    "local_insert_req": f"""
+        SELECT cast(s_suppkey AS bigint) AS req_seq, {_LOCAL_FIELDS} FROM supplier WHERE s_suppkey % 3 = 0""",
+    "local_update_req": f"""
+        SELECT cast(s_suppkey AS bigint) AS req_seq,
+               cast(CASE WHEN s_suppkey % 9 = 4 THEN s_suppkey + 2 ELSE s_suppkey + 1 END AS integer) AS id_local,
+               {_LOCAL_FIELDS}
+        FROM supplier WHERE s_suppkey % 3 = 1""",
+    "local_delete_req": """
+        SELECT cast(s_suppkey AS bigint) AS req_seq, cast(s_suppkey + 1 AS integer) AS id_local
+        FROM supplier WHERE s_suppkey % 2 = 0""",
+    "parente_insert_req": f"""
+        SELECT cast(c_custkey * 2 + x AS bigint) AS req_seq, {CPF.format(k='c_custkey')} AS cpf_responsavel,
+               CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN {CPF.format(k='c_custkey + 2')}
+                    WHEN c_custkey % 3 = 1 THEN {CPF.format(k='c_custkey')}
+                    ELSE {CPF.format(k='c_custkey + 1')} END AS cpf_parente
+        FROM customer, (SELECT 0 AS x UNION ALL SELECT 1) copies
+        WHERE c_custkey % 10 <= 7 AND (x = 0 OR c_custkey % 9 = 0)""",
+    "parente_update_req": f"""
+        SELECT cast(c_custkey AS bigint) AS req_seq, cast(c_custkey AS bigint) AS id_parentesco,
+               {CPF.format(k='c_custkey')} AS cpf_responsavel,
+               CASE WHEN c_custkey % 7 = 0 THEN {CPF.format(k='c_custkey')}
+                    ELSE {CPF.format(k='c_custkey + 3')} END AS cpf_parente
+        FROM customer WHERE c_custkey % 2 = 0""",
+    "parente_delete_req": """
+        SELECT cast(c_custkey * 2 AS bigint) AS req_seq, cast(c_custkey AS bigint) AS id_parentesco
+        FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL
+        SELECT cast(c_custkey * 2 + 1 AS bigint), cast(c_custkey AS bigint) FROM customer WHERE c_custkey % 8 = 0""",
+    "agendamento_insert_req": f"""
+        SELECT cast(l_orderkey AS bigint) AS req_seq, {CPF.format(k='o_custkey')} AS cpf,
+               cast(l_orderkey % 27 + 1 AS integer) AS id_campanha, cast(l_partkey + 1 AS integer) AS id_vacina,
+               cast(l_suppkey + 1 AS integer) AS id_local, cast(o_orderdate AS date) AS data_agendamento
+        FROM dose_line WHERE l_linenumber = 2""",
+    "agendamento_update_req": f"""
+        SELECT cast(l_orderkey AS bigint) AS req_seq, cast(l_orderkey AS bigint) AS id_agendamento,
+               {CPF.format(k='o_custkey')} AS cpf, 1 AS id_campanha, cast(l_partkey + 1 AS integer) AS id_vacina,
+               cast(l_suppkey + 1 AS integer) AS id_local,
+               cast(cast(o_orderdate AS date) + 7 AS date) AS data_agendamento
+        FROM dose_line WHERE l_linenumber = 3""",
+    "agendamento_delete_req": """
+        SELECT cast(l_orderkey AS bigint) AS req_seq, cast(l_orderkey AS bigint) AS id_agendamento
+        FROM dose_line WHERE l_linenumber = 1 AND l_orderkey % 3 = 0""",
+    "vacinacao_update_req": f"""
+        SELECT cast(l_orderkey * 8 + l_linenumber AS bigint) AS req_seq,
+               cast(l_orderkey * 8 + l_linenumber AS bigint) AS id_vacinacao,
+               cast(l_linenumber AS integer) AS contagem, cast(l_shipdate AS date) AS data_aplicacao,
+               CASE WHEN l_orderkey % 2 = 0 THEN cast(l_partkey + 1 AS integer)
+                    ELSE cast((cast(l_partkey + 1 AS integer) * 7) % 50 + 1 AS integer) END AS id_vacina,
+               {CPF.format(k='o_custkey')} AS cpf, cast(l_suppkey + 1 AS integer) AS id_local,
+               cast(l_orderkey % 27 + 1 AS integer) AS id_campanha
+        FROM dose_line WHERE l_linenumber <= 4 AND l_orderkey % 5 = 0""",
+    "vacinacao_delete_req": """
+        SELECT cast((l_orderkey * 8 + l_linenumber) * 2 AS bigint) AS req_seq,
+               cast(l_orderkey * 8 + l_linenumber AS bigint) AS id_vacinacao
+        FROM dose_line WHERE l_linenumber <= 4 AND l_orderkey % 3 = 0
+        UNION ALL
+        SELECT cast((l_orderkey * 8 + l_linenumber) * 2 + 1 AS bigint), cast(l_orderkey * 8 + l_linenumber AS bigint)
+        FROM dose_line WHERE l_linenumber <= 4 AND l_orderkey % 6 = 0""",
+})

@@ -46,7 +46,11 @@ class Fixtures:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = getattr(self, f"_build_{name}")()
+            if name.endswith("_req"):
+                from . import requests
+                self._cache[name] = getattr(requests, name)(self)
+            else:
+                self._cache[name] = getattr(self, f"_build_{name}")()
         return self._cache[name]
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
