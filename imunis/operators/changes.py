@@ -89,13 +89,28 @@ def not_null(table: str, cols: Sequence[str]) -> Column:
 
 
 def exists_in(df: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]], flag: str) -> DataFrame:
-    """``flag`` = the row's ``on`` columns match a parent row (distinct keys,
-    one output row per input row)."""
+    """``flag`` = the row's ``on`` columns match a row of a parent table
+    (distinct parent keys, left join: one output row per input row even if
+    the parent repeats a key)."""
     keys = parent.select(*[F.col(p).alias(c) for c, p in on])
     return key_flag(df, keys, [c for c, _ in on], flag)
 
 
+def referenced(df: DataFrame, child: DataFrame, on: Sequence[tuple[str, str]], flag: str) -> DataFrame:
+    """``flag`` = some ``child`` row references the row's key. Child values are
+    made distinct first, so a key that a third of the child rows share is
+    collapsed map-side before the shuffle."""
+    keys = child.select(*[F.col(p).alias(c) for c, p in on])
+    return key_flag(df, keys, [c for c, _ in on], flag)
+
+
 def _maybe_cut(df: DataFrame, materialize: bool) -> DataFrame:
+    """Materialize the judged requests once before they fan out into several
+    branches (running counts, ids, decisions, new tables). Column pruning
+    makes those branches differ, so without this Spark would recompute the
+    whole upstream (scans, joins) per branch. A reliable checkpoint into the
+    cluster's checkpoint folder also cuts the lineage a lost executor would
+    replay."""
     return cut_lineage(df) if materialize else df
 
 
@@ -187,18 +202,17 @@ def _stored(e: Entity, df: DataFrame) -> DataFrame:
     return df
 
 
-def apply_entity_insert(e: Entity, state: State, requests: DataFrame, materialize: bool = False):
+def apply_entity_insert(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
     table = state[e.table]
     checks = _field_checks(e) + [(f(), code) for f, code in e.own_checks]
-    j = requests.withColumn("reason", first_reason(checks))
+    j = _maybe_cut(requests.withColumn("reason", first_reason(checks)), materialize)
     j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, e.key, "new_id")
-    j = _maybe_cut(j, materialize)
     rows = _stored(e, j.where(F.col("reason").isNull()).withColumn(e.key, F.col("new_id")))
     new_table = table.unionByName(_with_ids(table, rows, e.key))
     return {e.table: new_table}, decisions(j, "new_id")
 
 
-def apply_entity_update(e: Entity, state: State, requests: DataFrame, materialize: bool = False):
+def apply_entity_update(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
     table = state[e.table]
     j = exists_in(requests, table, [(e.key, e.key)], "_found")
     checks = _field_checks(e)[:1] + [(~F.col("_found"), "no_match")] + _field_checks(e)[1:] + \
@@ -210,23 +224,24 @@ def apply_entity_update(e: Entity, state: State, requests: DataFrame, materializ
     return {e.table: new_table}, decisions(j)
 
 
-def _delete_judge(requests: DataFrame, table: DataFrame, key: str, blockers: Sequence[tuple[DataFrame, str, str]]):
+def _delete_judge(requests: DataFrame, table: DataFrame, key: str, blockers: Sequence[tuple[DataFrame, str, str]],
+                  materialize: bool = True):
     """Shared delete logic: no_match, blocking references, first delete wins."""
     j = exists_in(requests, table, [(key, key)], "_found")
     checks = [(~F.col("_found"), "no_match")]
     for i, (child, col, code) in enumerate(blockers):
-        j = exists_in(j, child, [(key, col)], f"_ref{i}")
+        j = referenced(j, child, [(key, col)], f"_ref{i}")
         checks.append((F.col(f"_ref{i}"), code))
-    j = j.withColumn("_pre", first_reason(checks))
+    j = _maybe_cut(j.withColumn("_pre", first_reason(checks)), materialize)
     j = serial.first_in_group(j, [key], "req_seq", F.col("_pre").isNull(), "_first")
     return j.withColumn("reason", F.when(F.col("_pre").isNull() & ~F.col("_first"), F.lit("no_match"))
                         .otherwise(F.col("_pre"))).drop("_pre", "_first")
 
 
-def apply_entity_delete(e: Entity, state: State, requests: DataFrame, materialize: bool = False):
+def apply_entity_delete(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
     table = state[e.table]
     blockers = [(state[t], c, "in_use") for t, c in e.in_use] + [(state[t], c, "fk_violation") for t, c in e.fk_refs]
-    j = _maybe_cut(_delete_judge(requests, table, e.key, blockers), materialize)
+    j = _delete_judge(requests, table, e.key, blockers, materialize)
     gone = j.where(F.col("reason").isNull()).select(e.key)
     return {e.table: table.join(gone, e.key, "left_anti")}, decisions(j)
 
@@ -285,7 +300,7 @@ def _citizen_options(state: State, j: DataFrame, cols: Sequence[str], flag: str)
         .drop(*[f"{flag}{i}" for i in range(len(cols))])
 
 
-def apply_parente_insert(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = False):
+def apply_parente_insert(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = True):
     """Missing -> self link -> ordered pair exists (table or earlier in the
     batch) -> both ends must be citizens (fk)."""
     table = state["parente"]
@@ -297,17 +312,16 @@ def apply_parente_insert(state: State, requests: DataFrame, check_options: bool
         base.append((F.col("_nc"), "not_offered"))
     base += [(too_long("parente"), "too_long"), (F.col("cpf_responsavel") == F.col("cpf_parente"), "self_link")]
     fk = [(F.col("_nc"), "fk_violation")]
-    j = j.withColumn("_other", first_reason(base + fk))
+    j = _maybe_cut(j.withColumn("_other", first_reason(base + fk)), materialize)
     j = serial.first_in_group(j, pair, "req_seq", F.col("_other").isNull() & ~F.col("_dup_t"), "_first")
     dup = F.col("_dup_t") | ~F.col("_first")
     j = j.withColumn("reason", first_reason(base + [(dup, "duplicate")] + fk))
     j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_parentesco", "new_id")
-    j = _maybe_cut(j, materialize)
     rows = j.where(F.col("reason").isNull()).withColumn("id_parentesco", F.col("new_id"))
     return {"parente": table.unionByName(_with_ids(table, rows, "id_parentesco"))}, decisions(j, "new_id")
 
 
-def apply_parente_update(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = False):
+def apply_parente_update(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = True):
     """C14: missing -> self link -> fk; no duplicate check."""
     table = state["parente"]
     pair = ["cpf_responsavel", "cpf_parente"]
@@ -324,10 +338,10 @@ def apply_parente_update(state: State, requests: DataFrame, check_options: bool
     return {"parente": apply_updates(table, ["id_parentesco"], last, pair)}, decisions(j)
 
 
-def apply_parente_delete(state: State, requests: DataFrame, materialize: bool = False):
+def apply_parente_delete(state: State, requests: DataFrame, materialize: bool = True):
     """C15."""
     table = state["parente"]
-    j = _maybe_cut(_delete_judge(requests, table, "id_parentesco", []), materialize)
+    j = _delete_judge(requests, table, "id_parentesco", [], materialize)
     gone = j.where(F.col("reason").isNull()).select("id_parentesco")
     return {"parente": table.join(gone, "id_parentesco", "left_anti")}, decisions(j)
 
@@ -351,12 +365,15 @@ def _agendamento_flags(state: State, j: DataFrame, check_options: bool, as_of) -
 
 
 def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = False, check_options: bool = False,
-                             as_of=None, materialize: bool = False):
+                             as_of=None, materialize: bool = True):
     """C16. The campaign is asked for but not stored. ``strict`` adds the
     duplicate rule (V6) and the seat rule (V3/V4): duplicates are judged among
     requests valid in every other way except seats, seats among the rest."""
     table = state["agendamento"]
     j = _agendamento_flags(state, requests, check_options, as_of)
+    if strict:
+        j = exists_in(j, table, [(c, c) for c in ("cpf", "id_vacina", "data_agendamento")], "_dup_t")
+    j = _maybe_cut(j, materialize)
     base = [(any_of([missing(c, k) for c, k in AGENDAMENTO_REQUIRED.items()]), "missing_field")]
     if check_options:
         base.append((F.col("_not_offered"), "not_offered"))
@@ -365,7 +382,6 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
     own: list[tuple[Column, str]] = []
     if strict:
         dk = ["cpf", "id_vacina", "data_agendamento"]
-        j = exists_in(j, table, [(c, c) for c in dk], "_dup_t")
         j = j.withColumn("_v0", first_reason(base + fk).isNull())
         j = serial.first_in_group(j, dk, "req_seq", F.col("_v0") & ~F.col("_dup_t"), "_first")
         dup = F.col("_dup_t") | ~F.col("_first")
@@ -377,13 +393,12 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
         own = [(dup, "duplicate"), (full, "full")]
     j = j.withColumn("reason", first_reason(base + own + fk))
     j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_agendamento", "new_id")
-    j = _maybe_cut(j, materialize)
     rows = j.where(F.col("reason").isNull()).withColumn("id_agendamento", F.col("new_id"))
     return {"agendamento": table.unionByName(_with_ids(table, rows, "id_agendamento"))}, decisions(j, "new_id")
 
 
 def apply_agendamento_update(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
-                             materialize: bool = False):
+                             materialize: bool = True):
     """C17: as C16 without the strict rules; last accepted update wins."""
     table = state["agendamento"]
     j = exists_in(requests, table, [("id_agendamento", "id_agendamento")], "_found")
@@ -400,10 +415,10 @@ def apply_agendamento_update(state: State, requests: DataFrame, check_options: b
     return {"agendamento": apply_updates(table, ["id_agendamento"], last, cols)}, decisions(j)
 
 
-def apply_agendamento_delete(state: State, requests: DataFrame, materialize: bool = False):
+def apply_agendamento_delete(state: State, requests: DataFrame, materialize: bool = True):
     """Cancel; no checks."""
     table = state["agendamento"]
-    j = _maybe_cut(_delete_judge(requests, table, "id_agendamento", []), materialize)
+    j = _delete_judge(requests, table, "id_agendamento", [], materialize)
     gone = j.where(F.col("reason").isNull()).select("id_agendamento")
     return {"agendamento": table.join(gone, "id_agendamento", "left_anti")}, decisions(j)
 
@@ -419,7 +434,7 @@ def stock_after(vacina: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
-                           materialize: bool = False, block: int = serial.DEFAULT_BLOCK):
+                           materialize: bool = True, block: int = serial.DEFAULT_BLOCK):
     """C19 with W1: missing -> not a citizen -> lot unknown or out of stock ->
     fk -> insert, one dose taken from the lot.
 
@@ -442,12 +457,11 @@ def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: boo
     req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (too_long("vacinacao"), "too_long"),
             (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null"), (~F.col("_cit"), "not_citizen")]
     fk = [(~(F.col("_fk_loc") & F.col("_fk_camp")), "fk_violation")]
-    j = j.withColumn("_valid", first_reason(req + fk).isNull())
+    j = _maybe_cut(j.withColumn("_valid", first_reason(req + fk).isNull()), materialize)
     j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
     no_stock = F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock"))
     j = j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk))
     j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_vacinacao", "new_id", block)
-    j = _maybe_cut(j, materialize)
     ok = j.where(F.col("reason").isNull())
     rows = ok.withColumn("id_vacinacao", F.col("new_id"))
     new_vacina = stock_after(state["vacina"], ok.select("id_vacina", F.lit(-1).alias("_d")))
@@ -459,7 +473,7 @@ VACINACAO_COLS = ["contagem", "data_aplicacao", "id_vacina", "cpf", "id_local",
 
 
 def apply_vacinacao_update(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
-                           materialize: bool = False, block: int = serial.DEFAULT_BLOCK):
+                           materialize: bool = True, block: int = serial.DEFAULT_BLOCK):
     """C20 with W2: cpf empty -> no row -> not a citizen -> a lot change needs a
     dose of the new lot -> fk -> six columns replaced.
 
@@ -488,10 +502,10 @@ def apply_vacinacao_update(state: State, requests: DataFrame, check_options: boo
     req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (too_long("vacinacao"), "too_long"),
             (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null"), (~F.col("_cit"), "not_citizen")]
     fk = [(~(F.col("_fk_loc") & F.col("_fk_camp") & F.col("_stock").isNotNull()), "fk_violation")]
-    j = j.withColumn("_valid", first_reason(req + fk).isNull() & move)
+    j = _maybe_cut(j.withColumn("_valid", first_reason(req + fk).isNull() & move), materialize)
     j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
     no_stock = move & (F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock")))
-    j = _maybe_cut(j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk)), materialize)
+    j = j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk))
     ok = j.where(F.col("reason").isNull())
     last = serial.last_per_key(ok.select("req_seq", "id_vacinacao", "_old_vac", *VACINACAO_COLS),
                                ["id_vacinacao"], "req_seq")
@@ -502,10 +516,10 @@ def apply_vacinacao_update(state: State, requests: DataFrame, check_options: boo
     return {"vacinacao": new_table, "vacina": stock_after(state["vacina"], delta)}, decisions(j)
 
 
-def apply_vacinacao_delete(state: State, requests: DataFrame, materialize: bool = False):
+def apply_vacinacao_delete(state: State, requests: DataFrame, materialize: bool = True):
     """Delete, one dose back to the lot of each row really deleted."""
     table = state["vacinacao"]
-    j = _maybe_cut(_delete_judge(requests, table, "id_vacinacao", []), materialize)
+    j = _delete_judge(requests, table, "id_vacinacao", [], materialize)
     gone = j.where(F.col("reason").isNull()).select("id_vacinacao")
     credited = table.join(gone, "id_vacinacao", "left_semi").select("id_vacina", F.lit(1).alias("_d"))
     return ({"vacinacao": table.join(gone, "id_vacinacao", "left_anti"),
@@ -546,7 +560,7 @@ def _has_role(col: str) -> Column:
             .when(F.col(col) == ROLE_AGENTE, F.col("_has_agente_saude")).otherwise(F.lit(False)))
 
 
-def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool = False):
+def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool = True):
     """Missing -> too long -> cpf taken (table, role table or earlier in the
     batch) -> user row plus exactly one role row."""
     j = requests.withColumn("cpf", C.strip_ws("cpf"))
@@ -555,11 +569,10 @@ def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool =
     tl, nn = _role_payload_checks()
     base = [(any_of([missing(c, "text") for c in ("cpf", "nome", "telefone")]), "missing_field"),
             (too_long("usuario") | tl, "too_long"), (nn, "not_null")]
-    j = j.withColumn("_v0", first_reason(base).isNull())
+    j = _maybe_cut(j.withColumn("_v0", first_reason(base).isNull()), materialize)
     taken = F.col("_taken") | _has_role("tipo_usuario")
     j = serial.first_in_group(j, ["cpf"], "req_seq", F.col("_v0") & ~taken, "_first")
-    j = _maybe_cut(j.withColumn("reason", first_reason(base + [(taken | ~F.col("_first"), "duplicate")])),
-                   materialize)
+    j = j.withColumn("reason", first_reason(base + [(taken | ~F.col("_first"), "duplicate")]))
     ok = j.where(F.col("reason").isNull())
     new = {"usuario": state["usuario"].unionByName(ok.select("cpf", "nome", "telefone"))}
     for role, table in ROLE_TABLES.items():
@@ -567,7 +580,7 @@ def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool =
     return new, decisions(j)
 
 
-def apply_usuario_update(state: State, requests: DataFrame, materialize: bool = False):
+def apply_usuario_update(state: State, requests: DataFrame, materialize: bool = True):
     """The typed cpf must equal the row's; name and phone replaced; same
     role -> its row updated; new role -> the shown role's row deleted (P2
     precedence) and the new one inserted. Refused when the new role row
@@ -602,12 +615,12 @@ def apply_usuario_update(state: State, requests: DataFrame, materialize: bool =
     return new, decisions(j)
 
 
-def apply_usuario_delete(state: State, requests: DataFrame, materialize: bool = False):
+def apply_usuario_delete(state: State, requests: DataFrame, materialize: bool = True):
     """Refused while doses exist (in_use) or a link/appointment references
     the citizen (fk); otherwise the three role rows and the user go."""
     blockers = [(state["vacinacao"], "cpf", "in_use"), (state["agendamento"], "cpf", "fk_violation"),
                 (state["parente"], "cpf_responsavel", "fk_violation"), (state["parente"], "cpf_parente", "fk_violation")]
-    j = _maybe_cut(_delete_judge(requests, state["usuario"], "cpf", blockers), materialize)
+    j = _delete_judge(requests, state["usuario"], "cpf", blockers, materialize)
     gone = j.where(F.col("reason").isNull()).select("cpf")
     new = {t: state[t].join(gone, "cpf", "left_anti") for t in ("usuario", "cidadao", "administrador", "agente_saude")}
     return new, decisions(j)

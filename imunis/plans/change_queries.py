@@ -9,6 +9,8 @@ row-at-a-time rules written as set SQL, independently of the DataFrame code.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import functions as F
 
 from ..operators import changes as ch
@@ -39,11 +41,26 @@ def _decisions_sql(src: str, id_sql: str | None = None) -> str:
             f"{nid} AS new_id FROM {src}")
 
 
+class _State(Mapping):
+    """The ten tables of a fixture set, built only when an operator asks."""
+
+    def __init__(self, t, swap):
+        self.t, self.swap = t, swap
+
+    def __getitem__(self, name):
+        v = self.swap.get(name, name)
+        return self.t[v] if isinstance(v, str) else v
+
+    def __iter__(self):
+        from ..sources.schemas import TABLES
+        return iter(TABLES)
+
+    def __len__(self):
+        return 10
+
+
 def _state(t, **swap):
-    from ..sources.schemas import TABLES
-    out = {n: t[n] for n in TABLES}
-    out.update({k: t[v] if isinstance(v, str) else v for k, v in swap.items()})
-    return out
+    return _State(t, swap)
 
 
 def _last_sql(src: str, key: str) -> str:
