@@ -45,23 +45,34 @@ def audit_pk(t: Tables) -> DataFrame:
 def audit_fk(t: Tables) -> DataFrame:
     """K2: child values with no parent row, per foreign key, with their row count.
 
-    Child values are counted first (partial aggregation), then anti-joined
-    with the distinct parent keys.
+    Each child table is read once: its foreign-key columns are unpivoted to
+    (fk_columns, fk_value) rows and counted (map-side partial aggregation, so
+    a value held by a third of the rows costs one row per task). The counts
+    of all tables are anti-joined in one join with the union of the
+    distinct key sets of the referenced tables (each built once), keyed by
+    (referenced table, referenced key, value). Fact tables are scanned once
+    however many foreign keys they carry.
     """
-    out = []
+    counts, parents = [], {}
     for name, spec in TABLES.items():
-        if name not in t:
+        fks = [fk for fk in spec.foreign_keys if name in t and fk.ref_table in t]
+        if not fks:
             continue
-        for fk in spec.foreign_keys:
-            if fk.ref_table not in t:
-                continue
-            child = t[name].groupBy(*fk.columns).agg(F.count(F.lit(1)).alias("n_rows"))
-            parent = t[fk.ref_table].select(*[F.col(rc).alias(c) for c, rc in zip(fk.columns, fk.ref_columns)]).distinct()
-            orphans = child.join(parent, list(fk.columns), "left_anti")
-            out.append(orphans.select(
-                F.lit(name).alias("table_name"), F.lit(",".join(fk.columns)).alias("fk_columns"),
-                F.lit(fk.ref_table).alias("ref_table"), _key_text(fk.columns).alias("fk_value"), "n_rows"))
-    return _union(out)
+        quads = ", ".join(f"'{','.join(fk.columns)}', '{fk.ref_table}', '{','.join(fk.ref_columns)}', _fk{i}"
+                          for i, fk in enumerate(fks))
+        wide = t[name].select(*[_key_text(fk.columns).alias(f"_fk{i}") for i, fk in enumerate(fks)])
+        long = wide.selectExpr(f"stack({len(fks)}, {quads}) AS (fk_columns, ref_table, ref_columns, fk_value)")
+        counts.append(long.groupBy("fk_columns", "ref_table", "ref_columns", "fk_value")
+                      .agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name)))
+        for fk in fks:
+            ref = (fk.ref_table, ",".join(fk.ref_columns))
+            if ref not in parents:  # one key set per referenced table and key
+                parents[ref] = t[fk.ref_table].select(
+                    F.lit(ref[0]).alias("ref_table"), F.lit(ref[1]).alias("ref_columns"),
+                    _key_text(fk.ref_columns).alias("fk_value"))
+    parent_keys = _union(list(parents.values())).distinct()
+    orphans = _union(counts).join(parent_keys, ["ref_table", "ref_columns", "fk_value"], "left_anti")
+    return orphans.select("table_name", "fk_columns", "ref_table", "fk_value", "n_rows")
 
 
 def _per_column_counts(df: DataFrame, table: str, checks: list[tuple[str, str, F.Column]]) -> DataFrame:
