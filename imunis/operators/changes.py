@@ -434,12 +434,14 @@ def stock_after(vacina: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
-                           materialize: bool = True, block: int = serial.DEFAULT_BLOCK):
+                           materialize: bool = True, block: int = serial.DEFAULT_BLOCK, id_base: int | None = None):
     """C19 with W1: missing -> not a citizen -> lot unknown or out of stock ->
     fk -> insert, one dose taken from the lot.
 
     A request runs out of stock when the requests valid in every other way
     that come before it for the same lot already use the lot's opening stock.
+    ``id_base``: the last id handed out, when the caller tracks it (the
+    stream does), instead of a max over the dose table.
     """
     table = state["vacinacao"]
     j = requests.withColumn("cpf", C.strip_ws("cpf"))
@@ -461,7 +463,8 @@ def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: boo
     j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
     no_stock = F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock"))
     j = j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk))
-    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_vacinacao", "new_id", block)
+    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_vacinacao", "new_id", block,
+                            base=id_base)
     ok = j.where(F.col("reason").isNull())
     rows = ok.withColumn("id_vacinacao", F.col("new_id"))
     new_vacina = stock_after(state["vacina"], ok.select("id_vacina", F.lit(-1).alias("_d")))

@@ -40,7 +40,7 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colum
     non-negative (``req_seq``)."""
     keys = list(keys)
     f = F.col(flag) if isinstance(flag, str) else flag
-    d = df.withColumn("_pc_blk", F.floor(F.col(order_col) / F.lit(block)).cast("bigint")) \
+    d = df.withColumn("_pc_blk", F.expr(f"`{order_col}` div {int(block)}").cast("bigint")) \
           .withColumn("_pc_f", F.when(f, F.lit(1)).otherwise(F.lit(0)))
     per_block = d.groupBy(*keys, "_pc_blk").agg(F.sum("_pc_f").alias("_pc_n"))
     w_off = Window.partitionBy(*keys).orderBy("_pc_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,13 +67,16 @@ def max_id(table: DataFrame, id_col: str) -> Column:
     return table.select(F.coalesce(F.max(id_col).cast("bigint"), F.lit(0).cast("bigint"))).scalar()
 
 
-def allocate_ids(df: DataFrame, accepted: Column | str, order_col: str, table: DataFrame,
-                 id_col: str, out_col: str = "new_id", block: int = DEFAULT_BLOCK) -> DataFrame:
+def allocate_ids(df: DataFrame, accepted: Column | str, order_col: str, table: DataFrame | None,
+                 id_col: str, out_col: str = "new_id", block: int = DEFAULT_BLOCK,
+                 base: int | None = None) -> DataFrame:
     """K5: dense serial ids for accepted rows, in ``order_col`` order, after the
-    table's largest id; NULL for rejected rows."""
+    table's largest id (or after ``base`` when the caller tracks the last id,
+    which saves a scan of the table); NULL for rejected rows."""
     a = F.col(accepted) if isinstance(accepted, str) else accepted
     ranked = prefix_count(df, [], order_col, a, "_ai_rank", block)
-    return ranked.withColumn(out_col, F.when(a, max_id(table, id_col) + F.col("_ai_rank") + 1)).drop("_ai_rank")
+    start = F.lit(base).cast("bigint") if base is not None else max_id(table, id_col)
+    return ranked.withColumn(out_col, F.when(a, start + F.col("_ai_rank") + 1)).drop("_ai_rank")
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:

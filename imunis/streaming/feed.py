@@ -9,8 +9,8 @@ state. State lives in a snapshot folder on shared storage:
 * ``<root>/vacina/v=<n>/``         the lot table after batch ``n`` (lots are
   a dimension, rewritten whole);
 * ``<root>/decisions/batch=<n>/``  decisions of batch ``n``;
-* ``<root>/_commits/<n>``          written last; a batch without it never
-  happened.
+* ``<root>/_commits/<n>``          written last, with the last dose id
+  handed out; a batch without it never happened.
 
 A batch whose commit marker exists is skipped, so a replay after a lost
 executor or a restarted query changes nothing twice. Files read in
@@ -20,6 +20,7 @@ because ids and stock carry over from batch to batch.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,18 @@ def last_commit(root: str) -> int | None:
     return c[-1] if c else None
 
 
-def _mark(root: str, batch: int) -> None:
+def _mark(root: str, batch: int, last_id: int) -> None:
     d = os.path.join(root, "_commits")
     os.makedirs(d, exist_ok=True)
     with open(os.path.join(d, str(batch)), "w") as fh:
-        fh.write("ok\n")
+        json.dump({"batch": batch, "last_id": last_id}, fh)
+
+
+def last_id(root: str) -> int:
+    """Largest dose id handed out up to the last commit (kept in the marker,
+    so a micro-batch never scans the dose table for it)."""
+    with open(os.path.join(root, "_commits", str(last_commit(root)))) as fh:
+        return int(json.load(fh)["last_id"])
 
 
 def init_state(root: str, tables: dict[str, DataFrame]) -> None:
@@ -60,7 +68,14 @@ def init_state(root: str, tables: dict[str, DataFrame]) -> None:
     tables["vacina"].write.mode("overwrite").parquet(os.path.join(root, "vacina", f"v={INITIAL}"))
     for name in STATIC:
         tables[name].write.mode("overwrite").parquet(os.path.join(root, name))
-    _mark(root, INITIAL)
+    top = spark_max(tables["vacinacao"], "id_vacinacao")
+    _mark(root, INITIAL, top)
+
+
+def spark_max(df: DataFrame, col: str) -> int:
+    """One scalar to the driver (the initial largest id)."""
+    v = df.agg(F.max(col)).first()[0]
+    return int(v) if v is not None else 0
 
 
 def read_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -85,7 +100,8 @@ def process_batch(spark: SparkSession, root: str, requests: DataFrame, batch_id:
     if batch_id in _commits(root):
         return False
     state = read_state(spark, root)
-    new, dec = apply_vacinacao_insert(state, requests, materialize=True)
+    base = last_id(root)
+    new, dec = apply_vacinacao_insert(state, requests, materialize=True, id_base=base)
     accepted = dec.where(F.col("accepted") & F.col("reason").isNull()).select("req_seq", "new_id")
     added = requests.join(accepted, "req_seq").withColumn("cpf", F.regexp_replace("cpf", r"^\s+|\s+$", "")) \
         .withColumn("id_vacinacao", F.col("new_id"))
@@ -93,7 +109,8 @@ def process_batch(spark: SparkSession, root: str, requests: DataFrame, batch_id:
     added.write.mode("overwrite").parquet(os.path.join(root, "vacinacao", f"batch={batch_id}"))
     new["vacina"].write.mode("overwrite").parquet(os.path.join(root, "vacina", f"v={batch_id}"))
     dec.write.mode("overwrite").parquet(os.path.join(root, "decisions", f"batch={batch_id}"))
-    _mark(root, batch_id)
+    top = spark.read.parquet(os.path.join(root, "decisions", f"batch={batch_id}")).agg(F.max("new_id")).first()[0]
+    _mark(root, batch_id, int(top) if top is not None else base)
     return True
 
 
