@@ -39,19 +39,20 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colum
     ``order_col`` whose ``flag`` is true. ``order_col`` must be unique and
     non-negative (``req_seq``)."""
     keys = list(keys)
+    cols = df.columns
     f = F.col(flag) if isinstance(flag, str) else flag
-    d = df.withColumn("_pc_blk", F.expr(f"`{order_col}` div {int(block)}").cast("bigint")) \
-          .withColumn("_pc_f", F.when(f, F.lit(1)).otherwise(F.lit(0)))
+    d = df.select("*", F.expr(f"`{order_col}` div {int(block)}").cast("bigint").alias("_pc_blk"),
+                  F.when(f, F.lit(1)).otherwise(F.lit(0)).alias("_pc_f"))
     per_block = d.groupBy(*keys, "_pc_blk").agg(F.sum("_pc_f").alias("_pc_n"))
     w_off = Window.partitionBy(*keys).orderBy("_pc_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.withColumn("_pc_off", F.coalesce(F.sum("_pc_n").over(w_off), F.lit(0))) \
-        .select(*[F.col(k).alias(f"_pc_k{i}") for i, k in enumerate(keys)], F.col("_pc_blk").alias("_pc_b"), "_pc_off")
+    offsets = per_block.select(*[F.col(k).alias(f"_pc_k{i}") for i, k in enumerate(keys)],
+                               F.col("_pc_blk").alias("_pc_b"),
+                               F.coalesce(F.sum("_pc_n").over(w_off), F.lit(0)).alias("_pc_off"))
     w_in = Window.partitionBy(*keys, "_pc_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_pc_in", F.coalesce(F.sum("_pc_f").over(w_in), F.lit(0)))
+    d = d.select("*", F.coalesce(F.sum("_pc_f").over(w_in), F.lit(0)).alias("_pc_in"))
     cond = [d[k].eqNullSafe(offsets[f"_pc_k{i}"]) for i, k in enumerate(keys)] + [d["_pc_blk"] == offsets["_pc_b"]]
-    out = d.join(offsets, cond, "left")
-    return out.withColumn(out_col, (F.coalesce(F.col("_pc_off"), F.lit(0)) + F.col("_pc_in")).cast("bigint")) \
-        .drop("_pc_blk", "_pc_f", "_pc_in", "_pc_b", "_pc_off", *[f"_pc_k{i}" for i in range(len(keys))])
+    return d.join(offsets, cond, "left").select(
+        *cols, (F.coalesce(F.col("_pc_off"), F.lit(0)) + F.col("_pc_in")).cast("bigint").alias(out_col))
 
 
 def first_in_group(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column | str,

@@ -60,17 +60,29 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: int | str,
     return path
 
 
+def committed_batches(root: str) -> set[int] | None:
+    """Versions committed by ``commit_batch`` (None when the root has no
+    batch markers, i.e. single-table snapshots only)."""
+    d = os.path.join(root, "_commits")
+    if not os.path.isdir(d):
+        return None
+    return {int(n) for n in os.listdir(d) if n.lstrip("-").isdigit()}
+
+
 def snapshot_versions(root: str, table: str) -> list[int]:
     base = os.path.join(root, table)
     if not os.path.isdir(base):
         return []
+    committed = committed_batches(root)
     out = []
     for name in os.listdir(base):
         if name.startswith("v=") and os.path.exists(os.path.join(base, name, "_SUCCESS")):
             try:
-                out.append(int(name[2:]))
+                v = int(name[2:])
             except ValueError:
-                pass
+                continue
+            if committed is None or v in committed or v == 0:
+                out.append(v)
     return sorted(out)
 
 
@@ -88,3 +100,24 @@ def empty_like(spark: SparkSession, table: str) -> DataFrame:
 def with_schema(df: DataFrame, table: str) -> DataFrame:
     """Project and cast ``df`` to the declared schema of ``table``."""
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].schema.fields])
+
+
+def commit_batch(root: str, version: int, new_state: Mapping[str, DataFrame], decisions: DataFrame) -> dict[str, str]:
+    """S7 for a change batch: write every table the batch changed and its
+    decisions as version ``version`` under ``root``, then the marker
+    ``_commits/<version>`` last. Readers only see versions with a marker
+    (version 0 is the initial load), so a batch that dies half-way is
+    invisible in every table at once; rerunning it overwrites only its own
+    uncommitted folders."""
+    if version == 0:
+        raise ValueError("version 0 is the initial snapshot")
+    out = {}
+    for name, df in new_state.items():
+        out[name] = write_snapshot(df, root, name, version, mode="overwrite")
+    out["decisions"] = os.path.join(root, "decisions", f"v={version}")
+    decisions.write.mode("overwrite").parquet(out["decisions"])
+    marks = os.path.join(root, "_commits")
+    os.makedirs(marks, exist_ok=True)
+    with open(os.path.join(marks, str(version)), "w") as fh:
+        fh.write("committed\n")
+    return out

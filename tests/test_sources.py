@@ -33,3 +33,20 @@ def test_snapshot_versions(spark, scratch):
     os.makedirs(os.path.join(scratch, "vacina", "v=2"))  # incomplete write: no _SUCCESS
     assert tb.snapshot_versions(scratch, "vacina") == [0, 1]
     assert tb.latest_snapshot(spark, scratch, "vacina").count() == 2
+
+
+def test_commit_batch_versions(spark, scratch):
+    from imunis.operators import changes as ch
+    t = tables(spark)
+    for name in ("vacina", "vacinacao"):
+        tb.write_snapshot(t[name], scratch, name, 0)
+    req = spark.createDataFrame([(1, 1)], "req_seq long, id_vacinacao long")
+    state = {**t, "vacina": tb.latest_snapshot(spark, scratch, "vacina"),
+             "vacinacao": tb.latest_snapshot(spark, scratch, "vacinacao")}
+    new, dec = ch.apply_vacinacao_delete(state, req)
+    tb.write_snapshot(t["vacinacao"].limit(1), scratch, "vacinacao", 2)  # a batch that died before its marker
+    tb.commit_batch(scratch, 1, new, dec)
+    assert tb.snapshot_versions(scratch, "vacinacao") == [0, 1]
+    assert tb.latest_snapshot(spark, scratch, "vacinacao").count() == 2
+    stock = {r["id_vacina"]: r["qtd_doses"] for r in tb.latest_snapshot(spark, scratch, "vacina").collect()}
+    assert stock[1] == 6
