@@ -650,3 +650,59 @@ def usuario_delete(t):
     """C3 with the cascade to the three role tables (K3)."""
     _, dec = ch.apply_usuario_delete(_state(t), t["usuario_delete_req"])
     return dec
+
+
+# ---------------------------------------------------------------------- C1/C2 effects on the role tables
+
+def _role_counts_sql(cid: str, adm: str, age: str, users: str = "usuario") -> str:
+    return f"""
+    SELECT r.tipo_usuario, cast(count(s.tipo_usuario) AS bigint) AS n_usuarios
+    FROM (VALUES ('Cidadão'), ('Administrador'), ('Agente de Saúde'), ('Usuário Genérico')) r(tipo_usuario)
+    LEFT JOIN (
+        SELECT CASE WHEN EXISTS (SELECT 1 FROM {cid} x WHERE x.cpf = u.cpf) THEN 'Cidadão'
+                    WHEN EXISTS (SELECT 1 FROM {adm} x WHERE x.cpf = u.cpf) THEN 'Administrador'
+                    WHEN EXISTS (SELECT 1 FROM {age} x WHERE x.cpf = u.cpf) THEN 'Agente de Saúde'
+                    ELSE 'Usuário Genérico' END AS tipo_usuario
+        FROM {users} u) s ON r.tipo_usuario = s.tipo_usuario
+    GROUP BY r.tipo_usuario"""
+
+
+_US_I_ROLES = dict(_US_I)
+_US_I_ROLES.update({
+    "usi_ok": "SELECT * FROM usi_d WHERE reason IS NULL",
+    "usi_users": "SELECT cpf FROM usuario UNION ALL SELECT cpf FROM usi_ok",
+    "usi_cid": "SELECT cpf FROM cidadao UNION ALL SELECT cpf FROM usi_ok WHERE tipo_usuario = 'Cidadão'",
+    "usi_adm": "SELECT cpf FROM administrador UNION ALL SELECT cpf FROM usi_ok WHERE tipo_usuario = 'Administrador'",
+    "usi_age": "SELECT cpf FROM agente_saude UNION ALL SELECT cpf FROM usi_ok WHERE tipo_usuario = 'Agente de Saúde'",
+})
+
+
+@query("usuario_insert_roles", (_US_I_ROLES, _role_counts_sql("usi_cid", "usi_adm", "usi_age", "usi_users")))
+def usuario_insert_roles(t):
+    """Users per shown role after the insert batch (user + one role row each)."""
+    from ..operators import lists
+    new, _ = ch.apply_usuario_insert(_state(t), t["usuario_insert_req"])
+    return lists.role_counts({**{n: t[n] for n in ("cidadao", "administrador", "agente_saude", "usuario")}, **new})
+
+
+def _moved(role: str, table: str) -> str:
+    return f"""SELECT cpf FROM {table} x WHERE NOT EXISTS (SELECT 1 FROM usu_last l WHERE l.cpf = x.cpf
+                   AND l.shown = '{role}' AND l.tipo_usuario <> '{role}')
+               UNION ALL SELECT cpf FROM usu_last WHERE tipo_usuario = '{role}' AND shown <> '{role}'"""
+
+
+_US_U_ROLES = dict(_US_U)
+_US_U_ROLES.update({
+    "usu_last": f"SELECT * FROM {_last_sql('usu_d', 'cpf')} l",
+    "usu_cid": _moved("Cidadão", "cidadao"),
+    "usu_adm": _moved("Administrador", "administrador"),
+    "usu_age": _moved("Agente de Saúde", "agente_saude"),
+})
+
+
+@query("usuario_update_roles", (_US_U_ROLES, _role_counts_sql("usu_cid", "usu_adm", "usu_age")))
+def usuario_update_roles(t):
+    """Users per shown role after the role moves of the update batch."""
+    from ..operators import lists
+    new, _ = ch.apply_usuario_update(_state(t), t["usuario_update_req"])
+    return lists.role_counts(new)
