@@ -706,3 +706,92 @@ def usuario_update_roles(t):
     from ..operators import lists
     new, _ = ch.apply_usuario_update(_state(t), t["usuario_update_req"])
     return lists.role_counts(new)
+
+
+_ROLE_COLS = {"cidadao": ("Cidadão", ["cartao_sus", "rua", "bairro", "numero", "cidade", "estado"]),
+              "administrador": ("Administrador", ["local_trabalho"]),
+              "agente_saude": ("Agente de Saúde", ["email", "posto_trabalho"])}
+
+
+def _role_table_after(table: str) -> str:
+    role, cols = _ROLE_COLS[table]
+    same = f"l.cpf IS NOT NULL AND l.shown = '{role}' AND l.tipo_usuario = '{role}'"
+    kept = ", ".join(f"CASE WHEN {same} THEN l.{c} ELSE x.{c} END AS {c}" for c in cols)
+    return f"""SELECT x.cpf, {kept} FROM {table} x LEFT JOIN usu_last l ON x.cpf = l.cpf
+               WHERE NOT (l.cpf IS NOT NULL AND l.shown = '{role}' AND l.tipo_usuario <> '{role}')
+               UNION ALL
+               SELECT cpf, {', '.join(cols)} FROM usu_last WHERE tipo_usuario = '{role}' AND shown <> '{role}'"""
+
+
+_US_U_STATE = dict(_US_U)
+_US_U_STATE.update({
+    "usu_last": f"SELECT * FROM {_last_sql('usu_d', 'cpf')} l",
+    "usu_users": """SELECT u.cpf, CASE WHEN l.cpf IS NOT NULL THEN l.nome ELSE u.nome END AS nome,
+                           CASE WHEN l.cpf IS NOT NULL THEN l.telefone ELSE u.telefone END AS telefone
+                    FROM usuario u LEFT JOIN usu_last l ON u.cpf = l.cpf""",
+    "usu_cid2": _role_table_after("cidadao"),
+    "usu_adm2": _role_table_after("administrador"),
+    "usu_age2": _role_table_after("agente_saude"),
+})
+
+
+@query("usuario_update_state", (_US_U_STATE, """
+    SELECT u.cpf, u.nome, u.telefone,
+           CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
+                WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario,
+           c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado,
+           a.local_trabalho AS admin_local_trabalho, s.email AS agente_email,
+           s.posto_trabalho AS agente_posto_trabalho
+    FROM usu_users u
+    LEFT JOIN usu_cid2 c ON u.cpf = c.cpf
+    LEFT JOIN usu_adm2 a ON u.cpf = a.cpf
+    LEFT JOIN usu_age2 s ON u.cpf = s.cpf"""))
+def usuario_update_state(t):
+    """The full user list (J2) after the update batch."""
+    from ..operators import lists
+    new, _ = ch.apply_usuario_update(_state(t), t["usuario_update_req"])
+    return lists.usuarios_completo(new, ordered=False)
+
+
+_US_D_STATE = dict(_US_D)
+_US_D_STATE.update({
+    "usd_gone": "SELECT cpf FROM usd_d WHERE reason IS NULL",
+    "usd_users": "SELECT * FROM usuario x WHERE NOT EXISTS (SELECT 1 FROM usd_gone g WHERE g.cpf = x.cpf)",
+    "usd_cid": "SELECT * FROM cidadao x WHERE NOT EXISTS (SELECT 1 FROM usd_gone g WHERE g.cpf = x.cpf)",
+    "usd_adm": "SELECT * FROM administrador x WHERE NOT EXISTS (SELECT 1 FROM usd_gone g WHERE g.cpf = x.cpf)",
+    "usd_age": "SELECT * FROM agente_saude x WHERE NOT EXISTS (SELECT 1 FROM usd_gone g WHERE g.cpf = x.cpf)",
+})
+
+
+@query("usuario_delete_state", (_US_D_STATE, """
+    SELECT u.cpf, u.nome, u.telefone,
+           CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
+                WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario,
+           c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado,
+           a.local_trabalho AS admin_local_trabalho, s.email AS agente_email,
+           s.posto_trabalho AS agente_posto_trabalho
+    FROM usd_users u
+    LEFT JOIN usd_cid c ON u.cpf = c.cpf
+    LEFT JOIN usd_adm a ON u.cpf = a.cpf
+    LEFT JOIN usd_age s ON u.cpf = s.cpf"""))
+def usuario_delete_state(t):
+    """C3 + K3: the user list after the delete batch (role rows cascade)."""
+    from ..operators import lists
+    new, _ = ch.apply_usuario_delete(_state(t), t["usuario_delete_req"])
+    return lists.usuarios_completo(new, ordered=False)
+
+
+_AG_I_STATE = dict(_AG_I)
+_AG_I_STATE["ag_ids"] = f"""
+    SELECT *, cast(({_AG_MAX}) + sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END)
+                   OVER (ORDER BY req_seq {RUNNING}) AS bigint) AS new_id FROM ag_d"""
+
+
+@query("agendamento_insert_state", (_AG_I_STATE, """
+    SELECT id_agendamento, data_agendamento, id_vacina, id_local, cpf FROM agendamento
+    UNION ALL
+    SELECT new_id, data_agendamento, id_vacina, id_local, cpf FROM ag_ids WHERE reason IS NULL"""))
+def agendamento_insert_state(t):
+    """The appointment table after the batch, new rows with their ids."""
+    new, _ = ch.apply_agendamento_insert(_state(t), t["agendamento_insert_req"])
+    return new["agendamento"]
