@@ -795,3 +795,38 @@ def agendamento_insert_state(t):
     """The appointment table after the batch, new rows with their ids."""
     new, _ = ch.apply_agendamento_insert(_state(t), t["agendamento_insert_req"])
     return new["agendamento"]
+
+
+_PAR_I_STATE = dict(_PAR_I)
+_PAR_I_STATE["par_ids"] = f"""
+    SELECT *, cast((SELECT coalesce(max(id_parentesco), 0) FROM parente)
+                   + sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY req_seq {RUNNING}) AS bigint)
+              AS new_id FROM par_d"""
+
+
+@query("parente_insert_state", (_PAR_I_STATE, """
+    SELECT id_parentesco, cpf_responsavel, cpf_parente FROM parente
+    UNION ALL
+    SELECT new_id, cpf_responsavel, cpf_parente FROM par_ids WHERE reason IS NULL"""))
+def parente_insert_state(t):
+    """The link table after the batch."""
+    new, _ = ch.apply_parente_insert(_state(t), t["parente_insert_req"])
+    return new["parente"]
+
+
+_VI_STATE = dict(_VI)
+_VI_STATE["vi_ids"] = f"""
+    SELECT *, cast((SELECT coalesce(max(id_vacinacao), 0) FROM vacinacao)
+                   + sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY req_seq {RUNNING}) AS bigint)
+              AS new_id FROM vi_d"""
+
+
+@query("vacinacao_insert_state", (_VI_STATE, """
+    SELECT id_vacinacao, contagem, data_aplicacao, id_vacina, cpf, id_local, id_campanha FROM vacinacao
+    UNION ALL
+    SELECT new_id, contagem, data_aplicacao, id_vacina, cpf, id_local, id_campanha FROM vi_ids
+    WHERE reason IS NULL"""))
+def vacinacao_insert_state(t):
+    """The dose table after the batch (accepted doses appended with ids)."""
+    new, _ = ch.apply_vacinacao_insert(_state(t), t["vacinacao_request"])
+    return new["vacinacao"]
