@@ -41,20 +41,37 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colum
     keys = list(keys)
     cols = df.columns
     f = F.col(flag) if isinstance(flag, str) else flag
-    d = df.select("*", F.expr(f"`{order_col}` div {int(block)}").cast("bigint").alias("_pc_blk"),
+    # Keys as plain non-null columns (typed default + is-null flag): NULL keys
+    # still form their own group, and the window and the join below share
+    # one hash partitioning, so the joined side is not shuffled again.
+    norm = []
+    for i, k in enumerate(keys):
+        norm += [F.coalesce(F.col(k), _zero(df.schema[k].dataType)).alias(f"_pc_v{i}"),
+                 F.col(k).isNull().alias(f"_pc_z{i}")]
+    nk = [c for i in range(len(keys)) for c in (f"_pc_v{i}", f"_pc_z{i}")]
+    d = df.select("*", *norm, F.expr(f"`{order_col}` div {int(block)}").cast("bigint").alias("_pc_blk"),
                   F.when(f, F.lit(1)).otherwise(F.lit(0)).alias("_pc_f"))
-    per_block = d.groupBy(*keys, "_pc_blk").agg(F.sum("_pc_f").alias("_pc_n"))
-    w_off = Window.partitionBy(*keys).orderBy("_pc_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*[F.col(k).alias(f"_pc_k{i}") for i, k in enumerate(keys)],
-                               F.col("_pc_blk").alias("_pc_b"),
-                               F.coalesce(F.sum("_pc_n").over(w_off), F.lit(0)).alias("_pc_off"))
-    w_in = Window.partitionBy(*keys, "_pc_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = d.groupBy(*nk, "_pc_blk").agg(F.sum("_pc_f").alias("_pc_n"))
+    w_off = Window.partitionBy(*nk).orderBy("_pc_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*nk, "_pc_blk", F.coalesce(F.sum("_pc_n").over(w_off), F.lit(0)).alias("_pc_off"))
+    w_in = Window.partitionBy(*nk, "_pc_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", F.coalesce(F.sum("_pc_f").over(w_in), F.lit(0)).alias("_pc_in"))
-    cond = [d[k].eqNullSafe(offsets[f"_pc_k{i}"]) for i, k in enumerate(keys)] + [d["_pc_blk"] == offsets["_pc_b"]]
-    return d.join(offsets, cond, "left").select(
+    return d.join(offsets, [*nk, "_pc_blk"], "left").select(
         *cols, (F.coalesce(F.col("_pc_off"), F.lit(0)) + F.col("_pc_in")).cast("bigint").alias(out_col))
 
 
+def _zero(dtype) -> Column:
+    """A non-null stand-in of the key's type (paired with an is-null flag)."""
+    name = dtype.typeName()
+    if name == "string":
+        return F.lit("")
+    if name == "boolean":
+        return F.lit(False)
+    if name in ("date", "timestamp", "timestamp_ntz"):
+        return F.lit("1970-01-01").cast(dtype)
+    return F.lit(0).cast(dtype)
+
+
 def first_in_group(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column | str,
                    out_col: str, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``out_col`` is true when no earlier flagged row shares the keys."""
