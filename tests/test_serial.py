@@ -130,3 +130,20 @@ def test_parente_insert_reverse_allowed(spark):
     assert got == {1: ("duplicate", None), 2: (None, 4), 3: ("duplicate", None), 4: ("self_link", None),
                    5: ("fk_violation", None)}
     assert new["parente"].count() == 4
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holding every row must not end up in one task: with small
+    blocks its rows leave the running count in several partitions."""
+    df = spark.range(0, 4000).select(F.col("id").alias("seq"), F.lit(7).alias("k"), F.lit(True).alias("f"))
+    out = serial.prefix_count(df, ["k"], "seq", "f", "n", block=256)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")  # keep tiny test partitions apart
+    try:
+        parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(key, old)
+    assert parts > 1
+    got = {r["seq"]: r["n"] for r in out.where("seq IN (0, 255, 256, 3999)").collect()}
+    assert got == {0: 0, 255: 255, 256: 256, 3999: 3999}
