@@ -111,3 +111,7 @@ def last_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame
 def first_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
     """(key, smallest ``order_col``) per key."""
     return df.groupBy(*key).agg(F.min(order_col).alias(order_col))
+
+
+# The generic name used in the survey's build plan.
+allocate_serial = allocate_ids
