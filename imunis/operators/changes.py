@@ -35,7 +35,6 @@ from ..sources.schemas import (ROLE_ADMIN, ROLE_AGENTE, ROLE_CIDADAO, TABLES)
 from ..session import cut_lineage
 from . import filters as flt
 from . import serial
-from .lists import usuarios_completo
 from .rules import key_flag
 
 State = Mapping[str, DataFrame]
@@ -590,9 +589,12 @@ def apply_usuario_update(state: State, requests: DataFrame, materialize: bool =
     already exists (duplicate) or a deleted citizen row is referenced (fk).
     Requests are judged against the opening state; per user the last accepted
     one is applied."""
-    shown = usuarios_completo(state, ordered=False).select("cpf", F.col("tipo_usuario").alias("_shown"))
-    j = requests.join(shown, "cpf", "left").withColumn("_found", F.col("_shown").isNotNull())
+    j = exists_in(requests, state["usuario"], [("cpf", "cpf")], "_found")
     j = _role_key_flags(state, j)
+    # The role the list shows (P2 precedence), from the three presence flags.
+    shown = C.role(F.when(F.col("_has_cidadao"), F.lit(1)), F.when(F.col("_has_administrador"), F.lit(1)),
+                   F.when(F.col("_has_agente_saude"), F.lit(1)))
+    j = j.withColumn("_shown", F.when(F.col("_found"), shown))
     refs = state["vacinacao"].select("cpf").unionByName(state["agendamento"].select("cpf")) \
         .unionByName(state["parente"].select(F.col("cpf_responsavel").alias("cpf"))) \
         .unionByName(state["parente"].select(F.col("cpf_parente").alias("cpf")))
