@@ -14,6 +14,10 @@ from conftest import SF_SMALL  # noqa: E402
 
 SQL = E.oracle_sql()
 
+# Spark simple type -> DuckDB type name, for the schema part of the check.
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+         "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -29,6 +33,9 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in con.sql(SQL[name]).types]))
+    for f in df.schema.fields:
+        assert TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], f.name
     assert len(srows) == len(drows)
     assert canon(srows, df.columns) == canon(drows, dcols)
 
