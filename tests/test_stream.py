@@ -46,3 +46,21 @@ def test_feed_equals_one_batch_and_replays_idempotently(spark, scratch):
     st = feed.read_state(spark, root)
     n_accepted = sum(1 for d in want if d[1] and d[2] is None)
     assert st["vacinacao"].count() == state["vacinacao"].count() + n_accepted
+
+
+def test_batch_that_died_before_commit_is_invisible_and_replays(spark, scratch):
+    t = fx.load(spark, SF_SMALL)
+    state = {n: t[n] for n in ("vacinacao", "vacina", "cidadao", "local", "campanha")}
+    req = t["vacinacao_request"]
+    root = os.path.join(scratch, "state")
+    feed.init_state(root, state)
+    # a first attempt of batch 0 wrote rows but never committed
+    req.limit(7).withColumn("id_vacinacao", F.col("req_seq")).select(
+        *[c for c in state["vacinacao"].columns]).write.parquet(os.path.join(root, "vacinacao", "batch=0"))
+    assert feed.read_state(spark, root)["vacinacao"].count() == state["vacinacao"].count()
+    # the replay of batch 0 overwrites the partial folders and commits
+    assert feed.process_batch(spark, root, req, 0) is True
+    _, one = apply_vacinacao_insert(state, req)
+    assert _dec(feed.read_decisions(spark, root)) == _dec(one)
+    n_ok = one.where("accepted AND reason IS NULL").count()
+    assert feed.read_state(spark, root)["vacinacao"].count() == state["vacinacao"].count() + n_ok
