@@ -170,13 +170,14 @@ class Fixtures:
     def _build_dose_line(self) -> DataFrame:
         """lineitem with one row per (l_orderkey, l_linenumber), joined to orders.
 
-        The keep-first rule is a ``row_number() = 1`` window. lineitem is
-        hash-partitioned by order key first: that one shuffle serves the
-        window (clustered by a superset of the key) and the join with orders,
-        and the sort runs in every partition instead of inside the scan task.
+        The keep-first rule is a ``row_number() = 1`` window, which Spark
+        plans with a partial group limit before the shuffle: every map task
+        keeps one row per (order, line) it holds, so a repeated pair is
+        collapsed before it moves, and the shuffle key is the pair, not the
+        order alone, so one large order does not become one task.
         """
         li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                         "l_shipdate", "l_extendedprice").repartition("l_orderkey")
+                                         "l_shipdate", "l_extendedprice")
         w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
             "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
         first = li.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "l_extendedprice")
