@@ -830,3 +830,65 @@ def vacinacao_insert_state(t):
     """The dose table after the batch (accepted doses appended with ids)."""
     new, _ = ch.apply_vacinacao_insert(_state(t), t["vacinacao_request"])
     return new["vacinacao"]
+
+
+# ---------------------------------------------------------------------- tables after insert / delete batches
+
+def _insert_state_sql(table: str, key: str, cols: list[str], judged: str, ctes: dict, cast: str = "bigint",
+                      write: dict | None = None) -> tuple[dict, str]:
+    out = dict(ctes)
+    out[f"{judged}_ids"] = f"""
+        SELECT *, cast((SELECT coalesce(max({key}), 0) FROM {table})
+                       + sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY req_seq {RUNNING})
+                       AS {cast}) AS new_id FROM {judged}"""
+    sel = ", ".join("new_id" if c == key else (write or {}).get(c, c) for c in cols)
+    return out, f"SELECT {', '.join(cols)} FROM {table} UNION ALL SELECT {sel} FROM {judged}_ids WHERE reason IS NULL"
+
+
+def _delete_state_sql(table: str, key: str, judged: str, ctes: dict) -> tuple[dict, str]:
+    return dict(ctes), (f"SELECT * FROM {table} t WHERE NOT EXISTS "
+                        f"(SELECT 1 FROM {judged} d WHERE d.reason IS NULL AND d.{key} = t.{key})")
+
+
+@query("vacina_insert_state", _insert_state_sql("vacina", "id_vacina", VACINA_COLS, "vac_i", _VAC_I, "integer"))
+def vacina_insert_state(t):
+    """C4: the lot table after the batch."""
+    new, _ = ch.apply_vacina_insert(_state(t), t["vacina_insert_req"])
+    return new["vacina"]
+
+
+@query("campanha_insert_state", _insert_state_sql("campanha", "id_campanha", CAMPANHA_COLS, "camp_i", _CAMP_I,
+                                                  "integer"))
+def campanha_insert_state(t):
+    """The campaign table after the batch."""
+    new, _ = ch.apply_campanha_insert(_state(t), t["campanha_insert_req"])
+    return new["campanha"]
+
+
+@query("vacina_delete_state", _delete_state_sql("vacina", "id_vacina", "vac_d", _VAC_D))
+def vacina_delete_state(t):
+    """The lot table after the batch."""
+    st = _state(t, vacinacao=t["vacinacao"].where(F.col("contagem") == 1))
+    new, _ = ch.apply_vacina_delete(st, t["vacina_delete_req"])
+    return new["vacina"]
+
+
+@query("local_delete_state", _delete_state_sql("local", "id_local", "loc_d", _LOC_D))
+def local_delete_state(t):
+    """The site table after the batch."""
+    new, _ = ch.apply_local_delete(_state(t), t["local_delete_req"])
+    return new["local"]
+
+
+@query("parente_delete_state", _delete_state_sql("parente", "id_parentesco", "pard_d", _PAR_D))
+def parente_delete_state(t):
+    """The link table after the batch."""
+    new, _ = ch.apply_parente_delete(_state(t), t["parente_delete_req"])
+    return new["parente"]
+
+
+@query("agendamento_delete_state", _delete_state_sql("agendamento", "id_agendamento", "agd_d", _AG_D))
+def agendamento_delete_state(t):
+    """The appointment table after the cancellations."""
+    new, _ = ch.apply_agendamento_delete(_state(t), t["agendamento_delete_req"])
+    return new["agendamento"]
