@@ -892,3 +892,21 @@ def agendamento_delete_state(t):
     """The appointment table after the cancellations."""
     new, _ = ch.apply_agendamento_delete(_state(t), t["agendamento_delete_req"])
     return new["agendamento"]
+
+
+VACINACAO_ALL = ["id_vacinacao", "contagem", "data_aplicacao", "id_vacina", "cpf", "id_local", "id_campanha"]
+
+
+@query("vacinacao_update_state", (_VU, _apply_sql("vacinacao", "id_vacinacao", VACINACAO_ALL[1:], VACINACAO_ALL,
+                                                   _last_sql("vu_d", "id_vacinacao"))))
+def vacinacao_update_state(t):
+    """C20: the dose table after the batch (last accepted update per dose)."""
+    new, _ = ch.apply_vacinacao_update(_state(t), t["vacinacao_update_req"])
+    return new["vacinacao"]
+
+
+@query("vacinacao_delete_state", _delete_state_sql("vacinacao", "id_vacinacao", "vd_d", _VD))
+def vacinacao_delete_state(t):
+    """The dose table after the batch."""
+    new, _ = ch.apply_vacinacao_delete(_state(t), t["vacinacao_delete_req"])
+    return new["vacinacao"]
