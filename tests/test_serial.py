@@ -147,3 +147,23 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert parts > 1
     got = {r["seq"]: r["n"] for r in out.where("seq IN (0, 255, 256, 3999)").collect()}
     assert got == {0: 0, 255: 255, 256: 256, 3999: 3999}
+
+
+def test_agendamento_strict_duplicates_then_seats(spark):
+    import datetime as dt
+    t = tables(spark)
+    d5, d1 = dt.date(2025, 3, 5), dt.date(2025, 3, 1)
+    req = spark.createDataFrame(
+        [(1, "11111111111", 1, 1, 1, d5),   # seat 1 of 2
+         (2, "11111111111", 1, 1, 1, d5),   # same cpf, lot, day -> duplicate
+         (3, "22222222222", 1, 1, 1, d5),   # seat 2 of 2
+         (4, "33333333333", 1, 1, 1, d5),   # site full that day
+         (5, "33333333333", 1, 2, 1, d1),   # new (cpf, lot, day), but site 1 is already full on 03-01
+         (6, "11111111111", 1, 1, 1, d1),   # same as appointment 1 in the table -> duplicate
+         (7, "55555555555", 1, 1, 1, d5)],  # not a citizen, but the seat rule is checked before fk
+        "req_seq long, cpf string, id_campanha int, id_vacina int, id_local int, data_agendamento date")
+    new, dec = ch.apply_agendamento_insert(t, req, strict=True)
+    got = {r["req_seq"]: (r["reason"], r["new_id"]) for r in dec.collect()}
+    assert got == {1: (None, 5), 2: ("duplicate", None), 3: (None, 6), 4: ("full", None), 5: ("full", None),
+                   6: ("duplicate", None), 7: ("full", None)}
+    assert new["agendamento"].count() == 6
