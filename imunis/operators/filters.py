@@ -37,9 +37,32 @@ def apply_all(df: DataFrame, preds: Sequence[Column]) -> DataFrame:
     return df if p is None else df.where(p)
 
 
+def like_text(text: str) -> str:
+    """Typed filter text as a LIKE body with PostgreSQL's backslash rule:
+    ``\\%``, ``\\_`` and ``\\\\`` stay escapes, a backslash before any other
+    character stands for that character, and a trailing backslash is literal
+    (Spark would reject the last two)."""
+    out, i = [], 0
+    while i < len(text):
+        ch = text[i]
+        if ch == "\\":
+            nxt = text[i + 1] if i + 1 < len(text) else None
+            if nxt in ("%", "_", "\\"):
+                out.append(ch + nxt)
+            elif nxt is None:
+                out.append("\\\\")
+            else:
+                out.append(nxt)
+            i += 2
+            continue
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def like_predicates(filters: Mapping[str, str | None]) -> list[Column]:
     """``col ILIKE '%text%'`` per non-blank entry; ``%`` and ``_`` stay wildcards."""
-    return [F.col(c).ilike(f"%{t}%") for c, t in filters.items() if not _blank(t)]
+    return [F.col(c).ilike(f"%{like_text(t)}%") for c, t in filters.items() if not _blank(t)]
 
 
 def filter_like(df: DataFrame, filters: Mapping[str, str | None]) -> DataFrame:

@@ -152,3 +152,15 @@ def test_labels_last_wins(t, spark):
         [(9, "Vacina Gripe", "Gripe", "1011", dt.date(2025, 1, 1), dt.date(2026, 1, 1), 1)], t["vacina"].schema))
     got = dict(rows(lists.labels_agendamento_vacina({**t, "vacina": v}, AS_OF), "label", "id_vacina"))
     assert got["Vacina Gripe (Lote: 1011)"] == 9
+
+
+def test_filter_like_backslash_rule(spark):
+    df = spark.createDataFrame([("a\\b",), ("ab",), ("a%b",)], "s string")
+
+    def hits(text):
+        return sorted(r[0] for r in flt.filter_like(df, {"s": text}).collect())
+
+    assert hits("a\\b") == ["ab"]          # backslash before a letter stands for the letter
+    assert hits("a\\%b") == ["a%b"]        # escaped % is a literal %
+    assert hits("a\\") == ["a\\b"]         # trailing backslash is literal
+    assert hits("a%b") == ["a%b", "a\\b", "ab"]  # typed % stays a wildcard
