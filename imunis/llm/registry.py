@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from imunis.llm import bpe, chat_format, exact_dedup, token_counts, url_filter
+from imunis.llm import (bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, pii, substring_dedup,
+                        token_counts, url_filter)
+from imunis.llm.common import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_url_filter": url_filter.query,
-    "op7_bpe": bpe.query,
-    "op8_token_counts": token_counts.query,
-    "op9_exact_dedup": exact_dedup.query,
-    "op10_chat_format": chat_format.query,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def shipped(query: Query) -> Query:
+    """The query, with this package sent to the executors first."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op1_url_filter": shipped(url_filter.query),
+    "op2_decontaminate": shipped(decontaminate.query),
+    "op3_substring_dedup": shipped(substring_dedup.query),
+    "op4_jaccard_join": shipped(jaccard_join.query),
+    "op5_pii": shipped(pii.query),
+    "op6_language_id": shipped(language_id.query),
+    "op7_bpe": shipped(bpe.query),
+    "op8_token_counts": shipped(token_counts.query),
+    "op9_exact_dedup": shipped(exact_dedup.query),
+    "op10_chat_format": shipped(chat_format.query),
 }
 
 ORACLE: dict[str, str] = {
