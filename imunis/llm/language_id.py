@@ -181,7 +181,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
     each = max(1, rows // len(sizes))
     # A language's rows whose hash falls below its share of the range: about ``each`` of them.
     below = docs.sparkSession.createDataFrame(
-        [(r["lang"], int(min(1.0, 1.1 * each / r["count"]) * (2**63 - 1))) for r in sizes], "lang string, below long")
+        [(r["lang"], (2**63 - 1) * min(r["count"], 11 * each // 10 + 1) // r["count"]) for r in sizes], "lang string, below long")
     sample = (labelled.join(below, "lang").filter(F.col("order") <= F.col("below")).select("lang", "order", "text")
               .mapInArrow(_examples, "lang string, order long, part long, at binary, counts binary")
               .orderBy("order", "part", "lang", "at", "counts").limit(3 * rows).collect())
