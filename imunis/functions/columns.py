@@ -69,9 +69,14 @@ def label_cidadao(nome, cpf) -> Column:
     return F.format_string("%s (%s)", _c(nome), _c(cpf))
 
 
+# White space that the form strips: Unicode's, plus the four separator controls.
+_WS = r"[\s\x1c-\x1f]"
+
+
 def strip_ws(col) -> Column:
-    """Remove all leading and trailing white space (tabs, newlines too)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove all leading and trailing white space (tabs, newlines and
+    Unicode spaces too)."""
+    return F.regexp_replace(_c(col), rf"(?U)^{_WS}+|{_WS}+$", "")
 
 
 def positive_or_null(col) -> Column:
@@ -84,11 +89,6 @@ def null_as_zero(col) -> Column:
     return F.coalesce(_c(col), F.lit(0))
 
 
-def contains_ci(haystack, needle) -> Column:
-    """P10: case-insensitive substring test (NULL-propagating)."""
-    return F.contains(F.lower(_c(haystack)), F.lower(_c(needle)))
-
-
 def capitalize(col) -> Column:
     """First character upper, the rest lower (one word rule, not initcap)."""
     c = _c(col)

@@ -10,16 +10,22 @@ decision per request out.
   failing check, NULL when the change was applied, ``no_match`` (accepted,
   no effect) when an update or delete finds no row.
 
-Checks run in this order: ``missing_field``, ``not_offered`` (option
-membership, only with ``check_options=True``), ``out_of_range`` /
-``too_long`` / ``not_null``, the operator's own checks, ``fk_violation``.
+Checks run in the order of the forms: what the form itself refuses comes
+first (``missing_field``; ``not_offered``, only with ``check_options=True``;
+``out_of_range``, ``bad_dates``, ``self_link``, ``not_citizen``), then
+``no_match``, then what the database refuses (``too_long``, ``not_null``,
+``duplicate``, ``no_stock``, ``fk_violation``; the operator says in which order).
 A rejected request changes nothing. Several updates of one key: the last
 accepted one wins. Several deletes of one key: the first is applied, the
 others are ``no_match``. Uniqueness, stock and seats count only requests
 that are valid in every other way (``serial.prefix_count``).
 
+``req_seq`` must be unique within a batch (``require_unique_seq`` checks it).
+
 All of it is joins, grouped aggregates and bounded windows; no request is
-handled on the driver and nothing is collected.
+handled on the driver and nothing is collected. Each running count reads a
+checkpoint of the requests, and the final judgement (reason, id) is
+checkpointed once; decisions and new tables are derived from that.
 """
 
 from __future__ import annotations
@@ -67,6 +73,8 @@ def missing(col: str, kind: str) -> Column:
         return C.missing_text(col)
     if kind == "int":
         return C.missing_int(col)
+    if kind == "lot":  # the form's integer: 0 is falsy
+        return C.missing_text(col) | F.col(col).rlike("^0+$")
     return C.missing_date(col)
 
 
@@ -88,11 +96,10 @@ def not_null(table: str, cols: Sequence[str]) -> Column:
 
 
 def exists_in(df: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]], flag: str) -> DataFrame:
-    """``flag`` = the row's ``on`` columns match a row of a parent table
-    (distinct parent keys, left join: one output row per input row even if
-    the parent repeats a key)."""
+    """``flag`` = the row's ``on`` columns match a row of a parent table, whose
+    key is unique (K1)."""
     keys = parent.select(*[F.col(p).alias(c) for c, p in on])
-    return key_flag(df, keys, [c for c, _ in on], flag)
+    return key_flag(df, keys, [c for c, _ in on], flag, unique=True)
 
 
 def referenced(df: DataFrame, child: DataFrame, on: Sequence[tuple[str, str]], flag: str) -> DataFrame:
@@ -127,6 +134,13 @@ def _with_ids(table: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields])
 
 
+def require_unique_seq(requests: DataFrame) -> None:
+    """Raise ValueError if a ``req_seq`` occurs twice (or is NULL) in the batch."""
+    bad = requests.groupBy("req_seq").count().where("count > 1 OR req_seq IS NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"req_seq {bad[0]['req_seq']} occurs {bad[0]['count']} times in one batch")
+
+
 # ----------------------------------------------------------------- options (K7)
 
 def offered_vacinas(state: State, as_of) -> DataFrame:
@@ -161,9 +175,9 @@ class Entity:
 
 VACINA_RULES = Entity(
     "vacina",
-    required={"nome": "text", "doenca_alvo": "text", "codigo_lote": "text",
+    required={"nome": "text", "doenca_alvo": "text", "codigo_lote": "lot",
               "data_chegada": "date", "data_validade": "date"},
-    range_checks=(lambda: F.col("qtd_doses") < 0,),
+    range_checks=(lambda: F.col("qtd_doses") < 0, lambda: ~F.col("codigo_lote").rlike("^[0-9]+$")),
     own_checks=((lambda: F.col("data_validade") <= F.col("data_chegada"), "bad_dates"),),
     in_use=(("vacinacao", "id_vacina"),),
     fk_refs=(("agendamento", "id_vacina"),),
@@ -186,13 +200,15 @@ LOCAL_RULES = Entity(
 )
 
 
-def _field_checks(e: Entity) -> list[tuple[Column, str]]:
+def _form_checks(e: Entity) -> list[tuple[Column, str]]:
     checks = [(any_of([missing(c, k) for c, k in e.required.items()]), "missing_field")]
     checks.append((any_of([f() for f in e.range_checks]), "out_of_range"))
-    checks.append((too_long(e.table), "too_long"))
+    return checks + [(f(), code) for f, code in e.own_checks]
+
+
+def _table_checks(e: Entity) -> list[tuple[Column, str]]:
     nn = [c for c in TABLES[e.table].not_null if c != e.key]
-    checks.append((not_null(e.table, nn), "not_null"))
-    return checks
+    return [(too_long(e.table), "too_long"), (not_null(e.table, nn), "not_null")]
 
 
 def _stored(e: Entity, df: DataFrame) -> DataFrame:
@@ -201,21 +217,29 @@ def _stored(e: Entity, df: DataFrame) -> DataFrame:
     return df
 
 
-def apply_entity_insert(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
+def apply_entity_insert(e: Entity, state: State, requests: DataFrame, materialize: bool = True,
+                        id_base: int | None = None):
+    """``id_base``: the last id handed out, when the caller tracks it, instead
+    of a max over the table (so on all inserts)."""
     table = state[e.table]
-    checks = _field_checks(e) + [(f(), code) for f, code in e.own_checks]
-    j = _maybe_cut(requests.withColumn("reason", first_reason(checks)), materialize)
-    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, e.key, "new_id")
+    j = _maybe_cut(requests.withColumn("reason", first_reason(_form_checks(e) + _table_checks(e))), materialize)
+    j = _with_new_id(j, table, e.key, materialize, id_base)
     rows = _stored(e, j.where(F.col("reason").isNull()).withColumn(e.key, F.col("new_id")))
     new_table = table.unionByName(_with_ids(table, rows, e.key))
     return {e.table: new_table}, decisions(j, "new_id")
 
 
+def _with_new_id(j: DataFrame, table: DataFrame, key: str, materialize: bool, id_base: int | None,
+                 block: int = serial.DEFAULT_BLOCK) -> DataFrame:
+    """K5 for the accepted requests; the judgement ends here and is kept."""
+    return _maybe_cut(serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, key, "new_id", block,
+                                          base=id_base), materialize)
+
+
 def apply_entity_update(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
     table = state[e.table]
     j = exists_in(requests, table, [(e.key, e.key)], "_found")
-    checks = _field_checks(e)[:1] + [(~F.col("_found"), "no_match")] + _field_checks(e)[1:] + \
-        [(f(), code) for f, code in e.own_checks]
+    checks = _form_checks(e) + [(~F.col("_found"), "no_match")] + _table_checks(e)
     j = _maybe_cut(j.withColumn("reason", first_reason(checks)), materialize)
     ok = _stored(e, j.where(F.col("reason").isNull()))
     last = serial.last_per_key(ok.select("req_seq", e.key, *e.payload), [e.key], "req_seq")
@@ -233,8 +257,8 @@ def _delete_judge(requests: DataFrame, table: DataFrame, key: str, blockers: Seq
         checks.append((F.col(f"_ref{i}"), code))
     j = _maybe_cut(j.withColumn("_pre", first_reason(checks)), materialize)
     j = serial.first_in_group(j, [key], "req_seq", F.col("_pre").isNull(), "_first")
-    return j.withColumn("reason", F.when(F.col("_pre").isNull() & ~F.col("_first"), F.lit("no_match"))
-                        .otherwise(F.col("_pre"))).drop("_pre", "_first")
+    return _maybe_cut(j.withColumn("reason", F.when(F.col("_pre").isNull() & ~F.col("_first"), F.lit("no_match"))
+                                   .otherwise(F.col("_pre"))).drop("_pre", "_first"), materialize)
 
 
 def apply_entity_delete(e: Entity, state: State, requests: DataFrame, materialize: bool = True):
@@ -299,38 +323,39 @@ def _citizen_options(state: State, j: DataFrame, cols: Sequence[str], flag: str)
         .drop(*[f"{flag}{i}" for i in range(len(cols))])
 
 
-def apply_parente_insert(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = True):
+def apply_parente_insert(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = True,
+                         id_base: int | None = None):
     """Missing -> self link -> ordered pair exists (table or earlier in the
-    batch) -> both ends must be citizens (fk)."""
+    batch) -> too long -> both ends must be citizens (fk)."""
     table = state["parente"]
     pair = ["cpf_responsavel", "cpf_parente"]
     j = _citizen_options(state, requests, pair, "_nc")
-    j = exists_in(j, table, [(c, c) for c in pair], "_dup_t")
+    j = referenced(j, table, [(c, c) for c in pair], "_dup_t")
     base = [(any_of([missing(c, "text") for c in pair]), "missing_field")]
     if check_options:
         base.append((F.col("_nc"), "not_offered"))
-    base += [(too_long("parente"), "too_long"), (F.col("cpf_responsavel") == F.col("cpf_parente"), "self_link")]
-    fk = [(F.col("_nc"), "fk_violation")]
+    base.append((F.col("cpf_responsavel") == F.col("cpf_parente"), "self_link"))
+    fk = [(too_long("parente"), "too_long"), (F.col("_nc"), "fk_violation")]
     j = _maybe_cut(j.withColumn("_other", first_reason(base + fk)), materialize)
     j = serial.first_in_group(j, pair, "req_seq", F.col("_other").isNull() & ~F.col("_dup_t"), "_first")
     dup = F.col("_dup_t") | ~F.col("_first")
-    j = j.withColumn("reason", first_reason(base + [(dup, "duplicate")] + fk))
-    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_parentesco", "new_id")
+    j = _maybe_cut(j.withColumn("reason", first_reason(base + [(dup, "duplicate")] + fk)), materialize)
+    j = _with_new_id(j, table, "id_parentesco", materialize, id_base)
     rows = j.where(F.col("reason").isNull()).withColumn("id_parentesco", F.col("new_id"))
     return {"parente": table.unionByName(_with_ids(table, rows, "id_parentesco"))}, decisions(j, "new_id")
 
 
 def apply_parente_update(state: State, requests: DataFrame, check_options: bool = False, materialize: bool = True):
-    """C14: missing -> self link -> fk; no duplicate check."""
+    """C14: missing -> self link -> no such link -> fk; no duplicate check."""
     table = state["parente"]
     pair = ["cpf_responsavel", "cpf_parente"]
     j = exists_in(requests, table, [("id_parentesco", "id_parentesco")], "_found")
     j = _citizen_options(state, j, pair, "_nc")
-    checks = [(any_of([missing(c, "text") for c in pair]), "missing_field"), (~F.col("_found"), "no_match")]
+    checks = [(any_of([missing(c, "text") for c in pair]), "missing_field")]
     if check_options:
         checks.append((F.col("_nc"), "not_offered"))
-    checks += [(too_long("parente"), "too_long"), (F.col("cpf_responsavel") == F.col("cpf_parente"), "self_link"),
-               (F.col("_nc"), "fk_violation")]
+    checks += [(F.col("cpf_responsavel") == F.col("cpf_parente"), "self_link"), (~F.col("_found"), "no_match"),
+               (too_long("parente"), "too_long"), (F.col("_nc"), "fk_violation")]
     j = _maybe_cut(j.withColumn("reason", first_reason(checks)), materialize)
     last = serial.last_per_key(j.where(F.col("reason").isNull()).select("req_seq", "id_parentesco", *pair),
                                ["id_parentesco"], "req_seq")
@@ -352,7 +377,9 @@ AGENDAMENTO_REQUIRED = {"cpf": "text", "id_campanha": "int", "id_vacina": "int",
 
 
 def _agendamento_flags(state: State, j: DataFrame, check_options: bool, as_of) -> DataFrame:
-    j = j.withColumn("cpf", C.strip_ws("cpf"))
+    # Missing is judged on the text as typed; it is stripped when it is written.
+    j = j.withColumn("_miss", any_of([missing(c, k) for c, k in AGENDAMENTO_REQUIRED.items()])) \
+        .withColumn("cpf", C.strip_ws("cpf"))
     j = exists_in(j, state["cidadao"], [("cpf", "cpf")], "_fk_cpf")
     j = exists_in(j, state["vacina"], [("id_vacina", "id_vacina")], "_fk_vac")
     j = exists_in(j, state["local"], [("id_local", "id_local")], "_fk_loc")
@@ -364,16 +391,20 @@ def _agendamento_flags(state: State, j: DataFrame, check_options: bool, as_of) -
 
 
 def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = False, check_options: bool = False,
-                             as_of=None, materialize: bool = True):
+                             as_of=None, materialize: bool = True, id_base: int | None = None):
     """C16. The campaign is asked for but not stored. ``strict`` adds the
     duplicate rule (V6) and the seat rule (V3/V4): duplicates are judged among
     requests valid in every other way except seats, seats among the rest."""
     table = state["agendamento"]
     j = _agendamento_flags(state, requests, check_options, as_of)
     if strict:
-        j = exists_in(j, table, [(c, c) for c in ("cpf", "id_vacina", "data_agendamento")], "_dup_t")
+        j = referenced(j, table, [(c, c) for c in ("cpf", "id_vacina", "data_agendamento")], "_dup_t")
+        # Seats taken and capacity: one row for each site and day, and for each site.
+        booked = table.groupBy("id_local", "data_agendamento").agg(F.count(F.lit(1)).alias("_booked"))
+        cap = state["local"].select("id_local", C.null_as_zero("capacidade").alias("_cap"))
+        j = j.join(booked, ["id_local", "data_agendamento"], "left").join(cap, "id_local", "left")
     j = _maybe_cut(j, materialize)
-    base = [(any_of([missing(c, k) for c, k in AGENDAMENTO_REQUIRED.items()]), "missing_field")]
+    base = [(F.col("_miss"), "missing_field")]
     if check_options:
         base.append((F.col("_not_offered"), "not_offered"))
     base.append((too_long("agendamento"), "too_long"))
@@ -382,16 +413,13 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
     if strict:
         dk = ["cpf", "id_vacina", "data_agendamento"]
         j = j.withColumn("_v0", first_reason(base + fk).isNull())
-        j = serial.first_in_group(j, dk, "req_seq", F.col("_v0") & ~F.col("_dup_t"), "_first")
+        j = _maybe_cut(serial.first_in_group(j, dk, "req_seq", F.col("_v0") & ~F.col("_dup_t"), "_first"), materialize)
         dup = F.col("_dup_t") | ~F.col("_first")
-        booked = table.groupBy("id_local", "data_agendamento").agg(F.count(F.lit(1)).alias("_booked"))
-        cap = state["local"].select("id_local", C.null_as_zero("capacidade").alias("_cap"))
-        j = j.join(booked, ["id_local", "data_agendamento"], "left").join(cap, "id_local", "left")
         j = serial.prefix_count(j, ["id_local", "data_agendamento"], "req_seq", F.col("_v0") & ~dup, "_seats_before")
         full = (F.coalesce(F.col("_booked"), F.lit(0)) + F.col("_seats_before")) >= F.coalesce(F.col("_cap"), F.lit(0))
         own = [(dup, "duplicate"), (full, "full")]
     j = j.withColumn("reason", first_reason(base + own + fk))
-    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_agendamento", "new_id")
+    j = _with_new_id(_maybe_cut(j, materialize) if strict else j, table, "id_agendamento", materialize, id_base)
     rows = j.where(F.col("reason").isNull()).withColumn("id_agendamento", F.col("new_id"))
     return {"agendamento": table.unionByName(_with_ids(table, rows, "id_agendamento"))}, decisions(j, "new_id")
 
@@ -402,11 +430,10 @@ def apply_agendamento_update(state: State, requests: DataFrame, check_options: b
     table = state["agendamento"]
     j = exists_in(requests, table, [("id_agendamento", "id_agendamento")], "_found")
     j = _agendamento_flags(state, j, check_options, as_of)
-    checks = [(any_of([missing(c, k) for c, k in AGENDAMENTO_REQUIRED.items()]), "missing_field"),
-              (~F.col("_found"), "no_match")]
+    checks = [(F.col("_miss"), "missing_field")]
     if check_options:
         checks.append((F.col("_not_offered"), "not_offered"))
-    checks += [(too_long("agendamento"), "too_long"), (F.col("_fk"), "fk_violation")]
+    checks += [(~F.col("_found"), "no_match"), (too_long("agendamento"), "too_long"), (F.col("_fk"), "fk_violation")]
     j = _maybe_cut(j.withColumn("reason", first_reason(checks)), materialize)
     cols = ["data_agendamento", "id_vacina", "id_local", "cpf"]
     last = serial.last_per_key(j.where(F.col("reason").isNull()).select("req_seq", "id_agendamento", *cols),
@@ -434,8 +461,9 @@ def stock_after(vacina: DataFrame, delta: DataFrame) -> DataFrame:
 
 def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
                            materialize: bool = True, block: int = serial.DEFAULT_BLOCK, id_base: int | None = None):
-    """C19 with W1: missing -> not a citizen -> lot unknown or out of stock ->
-    fk -> insert, one dose taken from the lot.
+    """C19 with W1: missing -> out of range -> not a citizen -> too long / not
+    null -> lot unknown or out of stock -> fk -> insert, one dose taken from
+    the lot.
 
     A request runs out of stock when the requests valid in every other way
     that come before it for the same lot already use the lot's opening stock.
@@ -455,15 +483,15 @@ def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: boo
                     missing("id_campanha", "int")]), "missing_field")]
     if check_options:
         req.append((~(F.col("_op_vac") & F.col("_op_camp") & F.col("_fk_loc")), "not_offered"))
-    req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (too_long("vacinacao"), "too_long"),
-            (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null"), (~F.col("_cit"), "not_citizen")]
+    req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (~F.col("_cit"), "not_citizen"),
+            (too_long("vacinacao"), "too_long"),
+            (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null")]
     fk = [(~(F.col("_fk_loc") & F.col("_fk_camp")), "fk_violation")]
     j = _maybe_cut(j.withColumn("_valid", first_reason(req + fk).isNull()), materialize)
     j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
     no_stock = F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock"))
-    j = j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk))
-    j = serial.allocate_ids(j, F.col("reason").isNull(), "req_seq", table, "id_vacinacao", "new_id", block,
-                            base=id_base)
+    j = _maybe_cut(j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk)), materialize)
+    j = _with_new_id(j, table, "id_vacinacao", materialize, id_base, block)
     ok = j.where(F.col("reason").isNull())
     rows = ok.withColumn("id_vacinacao", F.col("new_id"))
     new_vacina = stock_after(state["vacina"], ok.select("id_vacina", F.lit(-1).alias("_d")))
@@ -476,8 +504,9 @@ VACINACAO_COLS = ["contagem", "data_aplicacao", "id_vacina", "cpf", "id_local",
 
 def apply_vacinacao_update(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
                            materialize: bool = True, block: int = serial.DEFAULT_BLOCK):
-    """C20 with W2: cpf empty -> no row -> not a citizen -> a lot change needs a
-    dose of the new lot -> fk -> six columns replaced.
+    """C20 with W2: cpf empty -> out of range -> not a citizen -> no row -> too
+    long / not null -> a lot change needs a dose of the new lot -> fk -> six
+    columns replaced.
 
     Each lot change takes from the new lot, counted as in W1 against the
     opening stock; doses returned to old lots are credited when the batch
@@ -498,16 +527,17 @@ def apply_vacinacao_update(state: State, requests: DataFrame, check_options: boo
         j = exists_in(j, offered_vacinas(state, as_of), [("id_vacina", "id_vacina")], "_op_vac")
         j = exists_in(j, offered_campanhas(state, as_of), [("id_campanha", "id_campanha")], "_op_camp")
     move = F.coalesce(F.col("id_vacina") != F.col("_old_vac"), F.lit(True))
-    req = [(missing("cpf", "text"), "missing_field"), (~F.col("_found"), "no_match")]
+    req = [(missing("cpf", "text"), "missing_field")]
     if check_options:
         req.append((~(F.col("_op_vac") & F.col("_op_camp") & F.col("_fk_loc")), "not_offered"))
-    req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (too_long("vacinacao"), "too_long"),
-            (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null"), (~F.col("_cit"), "not_citizen")]
+    req += [(F.coalesce(F.col("contagem") < 1, F.lit(False)), "out_of_range"), (~F.col("_cit"), "not_citizen"),
+            (~F.col("_found"), "no_match"), (too_long("vacinacao"), "too_long"),
+            (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null")]
     fk = [(~(F.col("_fk_loc") & F.col("_fk_camp") & F.col("_stock").isNotNull()), "fk_violation")]
     j = _maybe_cut(j.withColumn("_valid", first_reason(req + fk).isNull() & move), materialize)
     j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
     no_stock = move & (F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock")))
-    j = j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk))
+    j = _maybe_cut(j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk)), materialize)
     ok = j.where(F.col("reason").isNull())
     last = serial.last_per_key(ok.select("req_seq", "id_vacinacao", "_old_vac", *VACINACAO_COLS),
                                ["id_vacinacao"], "req_seq")
@@ -574,7 +604,7 @@ def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool =
     j = _maybe_cut(j.withColumn("_v0", first_reason(base).isNull()), materialize)
     taken = F.col("_taken") | _has_role("tipo_usuario")
     j = serial.first_in_group(j, ["cpf"], "req_seq", F.col("_v0") & ~taken, "_first")
-    j = j.withColumn("reason", first_reason(base + [(taken | ~F.col("_first"), "duplicate")]))
+    j = _maybe_cut(j.withColumn("reason", first_reason(base + [(taken | ~F.col("_first"), "duplicate")])), materialize)
     ok = j.where(F.col("reason").isNull())
     new = {"usuario": state["usuario"].unionByName(ok.select("cpf", "nome", "telefone"))}
     for role, table in ROLE_TABLES.items():
@@ -585,8 +615,9 @@ def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool =
 def apply_usuario_update(state: State, requests: DataFrame, materialize: bool = True):
     """The typed cpf must equal the row's; name and phone replaced; same
     role -> its row updated; new role -> the shown role's row deleted (P2
-    precedence) and the new one inserted. Refused when the new role row
-    already exists (duplicate) or a deleted citizen row is referenced (fk).
+    precedence) and the new one inserted. The old role row goes first, so a
+    referenced citizen row (fk) is refused before a role row that already
+    exists (duplicate). A typed cpf of NULL differs from the row's.
     Requests are judged against the opening state; per user the last accepted
     one is applied."""
     j = exists_in(requests, state["usuario"], [("cpf", "cpf")], "_found")
@@ -601,10 +632,10 @@ def apply_usuario_update(state: State, requests: DataFrame, materialize: bool =
     j = key_flag(j, refs, ["cpf"], "_cit_ref")
     change = F.col("tipo_usuario") != F.col("_shown")
     tl, nn = _role_payload_checks()
-    checks = [(C.strip_ws("cpf_digitado") != F.col("cpf"), "key_change"), (~F.col("_found"), "no_match"),
+    checks = [(~C.strip_ws("cpf_digitado").eqNullSafe(F.col("cpf")), "key_change"), (~F.col("_found"), "no_match"),
               (too_long("usuario") | tl, "too_long"), (not_null("usuario", ["nome", "telefone"]) | nn, "not_null"),
-              (change & _has_role("tipo_usuario"), "duplicate"),
-              (change & (F.col("_shown") == ROLE_CIDADAO) & F.col("_cit_ref"), "fk_violation")]
+              (change & (F.col("_shown") == ROLE_CIDADAO) & F.col("_cit_ref"), "fk_violation"),
+              (change & _has_role("tipo_usuario"), "duplicate")]
     j = _maybe_cut(j.withColumn("reason", first_reason(checks)), materialize)
     ok = j.where(F.col("reason").isNull())
     payload = [c for c in requests.columns if c not in ("req_seq", "cpf", "cpf_digitado")]
@@ -629,20 +660,3 @@ def apply_usuario_delete(state: State, requests: DataFrame, materialize: bool =
     gone = j.where(F.col("reason").isNull()).select("cpf")
     new = {t: state[t].join(gone, "cpf", "left_anti") for t in ("usuario", "cidadao", "administrador", "agente_saude")}
     return new, decisions(j)
-
-
-APPLY = {
-    "usuario_insert": apply_usuario_insert, "usuario_update": apply_usuario_update,
-    "usuario_delete": apply_usuario_delete,
-    "vacina_insert": apply_vacina_insert, "vacina_update": apply_vacina_update, "vacina_delete": apply_vacina_delete,
-    "campanha_insert": apply_campanha_insert, "campanha_update": apply_campanha_update,
-    "campanha_delete": apply_campanha_delete,
-    "local_insert": apply_local_insert, "local_update": apply_local_update, "local_delete": apply_local_delete,
-    "parente_insert": apply_parente_insert, "parente_update": apply_parente_update,
-    "parente_delete": apply_parente_delete,
-    "agendamento_insert": apply_agendamento_insert, "agendamento_update": apply_agendamento_update,
-    "agendamento_delete": apply_agendamento_delete,
-    "vacinacao_insert": apply_vacinacao_insert, "vacinacao_update": apply_vacinacao_update,
-    "vacinacao_delete": apply_vacinacao_delete,
-}
-

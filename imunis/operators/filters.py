@@ -9,6 +9,7 @@ them (and below joins when the column comes from one join side).
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -37,32 +38,23 @@ def apply_all(df: DataFrame, preds: Sequence[Column]) -> DataFrame:
     return df if p is None else df.where(p)
 
 
-def like_text(text: str) -> str:
-    """Typed filter text as a LIKE body with PostgreSQL's backslash rule:
-    ``\\%``, ``\\_`` and ``\\\\`` stay escapes, a backslash before any other
-    character stands for that character, and a trailing backslash is literal
-    (Spark would reject the last two)."""
-    out, i = [], 0
-    while i < len(text):
-        ch = text[i]
-        if ch == "\\":
-            nxt = text[i + 1] if i + 1 < len(text) else None
-            if nxt in ("%", "_", "\\"):
-                out.append(ch + nxt)
-            elif nxt is None:
-                out.append("\\\\")
-            else:
-                out.append(nxt)
-            i += 2
-            continue
-        out.append(ch)
-        i += 1
-    return "".join(out)
+def like_pattern(text: str) -> str:
+    """``%text%`` as a LIKE pattern with PostgreSQL's backslash rule: a
+    backslash makes the next character literal. The rule holds for the whole
+    pattern, so a backslash that ends the text makes the closing ``%`` literal.
+    Spark accepts only ``\\%``, ``\\_`` and ``\\\\``, so other escapes are
+    written as the bare character."""
+    pattern = f"%{text}%"
+
+    def literal(m: re.Match) -> str:
+        return m[0] if m[1] in "%_\\" else m[1]
+
+    return re.sub(r"\\(.)", literal, pattern, flags=re.S)
 
 
 def like_predicates(filters: Mapping[str, str | None]) -> list[Column]:
     """``col ILIKE '%text%'`` per non-blank entry; ``%`` and ``_`` stay wildcards."""
-    return [F.col(c).ilike(f"%{like_text(t)}%") for c, t in filters.items() if not _blank(t)]
+    return [F.col(c).ilike(like_pattern(t)) for c, t in filters.items() if not _blank(t)]
 
 
 def filter_like(df: DataFrame, filters: Mapping[str, str | None]) -> DataFrame:
@@ -73,12 +65,12 @@ def filter_like(df: DataFrame, filters: Mapping[str, str | None]) -> DataFrame:
 def regex_contains(col, pattern: str, case_sensitive: bool = False, literal: bool = False) -> Column:
     """regular-expression search anywhere in the text; NULL counts as no match.
 
-    ``literal=True`` quotes the text so it is matched as typed.
+    ``literal=True`` quotes the text so it is matched as typed. ``\\w``,
+    ``\\d``, ``\\s`` and ``\\b`` know all of Unicode (``(?U)``).
     """
     c = F.col(col) if isinstance(col, str) else col
     pat = _quote(pattern) if literal else pattern
-    if not case_sensitive:
-        pat = "(?iu)" + pat
+    pat = ("(?U)" if case_sensitive else "(?iuU)") + pat
     return F.coalesce(c.rlike(pat), F.lit(False))
 
 
@@ -171,6 +163,27 @@ def page(df: DataFrame, keys: Sequence[tuple[str, str]], n: int, size: int = 10)
     return order(df, keys).offset(n * size).limit(size)
 
 
+def page_after(df: DataFrame, keys: Sequence[tuple[str, str]], last: Mapping[str, object], size: int = 10) -> DataFrame:
+    """O3 for deep pages: the ``size`` rows that follow the row with the key
+    values ``last`` in the total order ``keys``.
+
+    A filter on the keys and a top-``size``: each task keeps ``size`` rows
+    however deep the page is, where ``page`` keeps offset + size.
+    """
+    if size <= 0:
+        raise ValueError("size must be > 0")
+    after = F.lit(False)
+    for col, direction in reversed(list(keys)):
+        c, v = F.col(col), last[col]
+        value = F.lit(v).cast(df.schema[col].dataType)
+        if direction == "desc":  # NULL first, then falling values
+            beyond = c.isNotNull() if v is None else c < value
+        else:  # rising values, then NULL
+            beyond = F.lit(False) if v is None else (c.isNull() | (c > value))
+        after = F.coalesce(beyond, F.lit(False)) | (c.eqNullSafe(value) & after)
+    return order(df.where(after), keys).limit(size)
+
+
 def result_count(df: DataFrame) -> DataFrame:
     """A3: number of rows of a (filtered) list, as a one-row DataFrame."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"))

@@ -46,33 +46,50 @@ def audit_fk(t: Tables) -> DataFrame:
     """K2: child values with no parent row, per foreign key, with their row count.
 
     Each child table is read once: its foreign-key columns are unpivoted to
-    (fk_columns, fk_value) rows and counted (map-side partial aggregation, so
-    a value held by a third of the rows costs one row per task). The counts
-    of all tables are anti-joined in one join with the union of the
-    distinct key sets of the referenced tables (each built once), keyed by
-    (referenced table, referenced key, value). Fact tables are scanned once
-    however many foreign keys they carry.
+    (key number, number, text) rows, each value in its own type and nothing
+    else, and counted (map-side partial aggregation, so a value held by a third
+    of the rows costs one row per task). The counts of all tables are
+    anti-joined in one join with the key sets of the referenced tables (each
+    built once). Names and the text form of a value are put on what is left,
+    the orphans.
     """
-    counts, parents = [], {}
+    refs: dict[tuple[str, str], int] = {}
+    named, counts, parents = [], [], []
     for name, spec in TABLES.items():
         fks = [fk for fk in spec.foreign_keys if name in t and fk.ref_table in t]
-        if not fks:
-            continue
-        quads = ", ".join(f"'{','.join(fk.columns)}', '{fk.ref_table}', '{','.join(fk.ref_columns)}', _fk{i}"
-                          for i, fk in enumerate(fks))
-        wide = t[name].select(*[_key_text(fk.columns).alias(f"_fk{i}") for i, fk in enumerate(fks)])
-        long = wide.selectExpr(f"stack({len(fks)}, {quads}) AS (fk_columns, ref_table, ref_columns, fk_value)")
-        counts.append(long.groupBy("fk_columns", "ref_table", "ref_columns", "fk_value")
-                      .agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name)))
+        stacked = []
         for fk in fks:
-            ref = (fk.ref_table, ",".join(fk.ref_columns))
-            if ref not in parents:  # one key set per referenced table and key
-                parents[ref] = t[fk.ref_table].select(
-                    F.lit(ref[0]).alias("ref_table"), F.lit(ref[1]).alias("ref_columns"),
-                    _key_text(fk.ref_columns).alias("fk_value"))
-    parent_keys = _union(list(parents.values())).distinct()
-    orphans = _union(counts).join(parent_keys, ["ref_table", "ref_columns", "fk_value"], "left_anti")
-    return orphans.select("table_name", "fk_columns", "ref_table", "fk_value", "n_rows")
+            col, ref = fk.columns[0], (fk.ref_table, fk.ref_columns[0])
+            if ref not in refs:
+                refs[ref] = len(refs)
+                parents.append(t[ref[0]].select(F.lit(refs[ref]).alias("ref"), *_typed(t[ref[0]], ref[1])))
+            text = dict(t[name].dtypes)[col] == "string"
+            stacked.append(f"{len(named)}, {refs[ref]}, " + (f"CAST(NULL AS BIGINT), `{col}`" if text
+                                                           else f"CAST(`{col}` AS BIGINT), CAST(NULL AS STRING)"))
+            named.append((len(named), name, col, fk.ref_table))
+        if stacked:
+            long = t[name].selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) AS (fk, ref, number, text)")
+            counts.append(long.groupBy("fk", "ref", "number", "text").agg(F.count(F.lit(1)).alias("n_rows")))
+    keys = _union(parents).where("number IS NOT NULL OR text IS NOT NULL").distinct()
+    c, k = _union(counts).alias("c"), keys.alias("k")
+    # A value sits in one of the two columns; the other is a constant, so plain equality decides.
+    same = ((F.col("c.ref") == F.col("k.ref")) &
+            (F.coalesce("c.number", F.lit(-1)) == F.coalesce("k.number", F.lit(-1))) &
+            (F.coalesce("c.text", F.lit("")) == F.coalesce("k.text", F.lit(""))) &
+            (F.col("c.number").isNotNull() | F.col("c.text").isNotNull()))
+    orphans = c.join(k, same, "left_anti")
+    what = F.create_map(*[x for n, table, col, ref in named
+                          for x in (F.lit(n), F.struct(F.lit(table).alias("t"), F.lit(col).alias("c"), F.lit(ref).alias("r")))])
+    name_of = F.element_at(what, F.col("fk"))
+    return orphans.select(name_of["t"].alias("table_name"), name_of["c"].alias("fk_columns"), name_of["r"].alias("ref_table"),
+                          F.coalesce(F.col("number").cast("string"), F.col("text")).alias("fk_value"), "n_rows")
+
+
+def _typed(df: DataFrame, col: str) -> list[F.Column]:
+    """(number, text) of a key column: one of them holds it, in its own type."""
+    if dict(df.dtypes)[col] == "string":
+        return [F.lit(None).cast("bigint").alias("number"), F.col(col).alias("text")]
+    return [F.col(col).cast("bigint").alias("number"), F.lit(None).cast("string").alias("text")]
 
 
 def _per_column_counts(df: DataFrame, table: str, checks: list[tuple[str, str, F.Column]]) -> DataFrame:

@@ -33,8 +33,10 @@ def _order(df: DataFrame, keys, ordered: bool) -> DataFrame:
 
 # -- J1 -----------------------------------------------------------------
 
-def campaign_bridge(vacina: DataFrame, campanha: DataFrame, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Lot -> every campaign of its disease: (id_vacina, id_campanha, nome_campanha).
+def booked_lots(vacina: DataFrame, agendamento: DataFrame, campanha: DataFrame,
+                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Lots that some appointment books, with every campaign of their disease:
+    (id_vacina, nome_vacina, id_campanha, nome_campanha).
 
     ``doenca_alvo`` has a handful of values, so a shuffle join on it alone
     would put a whole disease in one task. Each lot gets a salt from its id
@@ -42,26 +44,27 @@ def campaign_bridge(vacina: DataFrame, campanha: DataFrame, salt_buckets: int =
     (disease, salt) has ``salt_buckets`` times more values. When the campaign
     side is small Spark broadcasts it and the salt costs nothing.
     """
-    v = vacina.select("id_vacina", "doenca_alvo",
-                      F.pmod(F.xxhash64("id_vacina"), F.lit(salt_buckets)).cast("int").alias("_salt"))
+    booked = agendamento.select("id_vacina").distinct()
+    v = vacina.join(booked, "id_vacina", "left_semi").select(
+        "id_vacina", F.col("nome").alias("nome_vacina"), "doenca_alvo",
+        F.pmod(F.xxhash64("id_vacina"), F.lit(salt_buckets)).cast("int").alias("_salt"))
     c = campanha.select("doenca_alvo", "id_campanha", F.col("nome").alias("nome_campanha")) \
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return v.join(c, ["doenca_alvo", "_salt"]).select("id_vacina", "id_campanha", "nome_campanha")
+    return v.join(c, ["doenca_alvo", "_salt"], "left").select("id_vacina", "nome_vacina", "id_campanha", "nome_campanha")
 
 
 def agendamentos(t: Tables, ordered: bool = True, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Appointments with citizen, lot, site and every campaign of the lot's
-    disease (left joins; several campaigns -> several rows)."""
+    disease (left joins; several campaigns -> several rows). Everything about
+    a lot is put together first, so the appointments join by lot once."""
     a = t["agendamento"]
     u = t["usuario"].select("cpf", F.col("nome").alias("nome_cidadao"))
-    v = t["vacina"].select("id_vacina", F.col("nome").alias("nome_vacina"))
+    lots = booked_lots(t["vacina"], a, t["campanha"], salt_buckets)
     lo = t["local"].select("id_local", F.col("nome").alias("nome_local"))
-    bridge = campaign_bridge(t["vacina"], t["campanha"], salt_buckets)
     out = (
         a.join(u, "cpf", "left")
-        .join(v, "id_vacina", "left")
         .join(lo, "id_local", "left")
-        .join(bridge, "id_vacina", "left")
+        .join(lots, "id_vacina", "left")
         .select("id_agendamento", "cpf", "nome_cidadao", "id_vacina", "nome_vacina",
                 "id_campanha", "nome_campanha", "id_local", "nome_local", "data_agendamento")
     )
@@ -176,13 +179,25 @@ def locais(t: Tables, ordered: bool = True) -> DataFrame:
 # -- P5 / P6 labels -------------------------------------------------------
 
 def labels_vacina(t: Tables, as_of=None) -> DataFrame:
-    """P5 (dose form): 'nome (Lote: x, Doses: n)' -> id over unexpired lots."""
+    """P5 + P6 (dose form): 'nome (Lote: x, Doses: n)' -> id over unexpired lots;
+    of equal labels the later one in list order (by name, then id) wins."""
     v = flt.vacinas_validas(t["vacina"], as_of, ordered=False)
-    return v.select(C.label_vacina_stock("nome", "codigo_lote", "qtd_doses").alias("label"), "id_vacina")
+    return _last_label(v, C.label_vacina_stock("nome", "codigo_lote", "qtd_doses"), "id_vacina")
 
 
 def labels_local(t: Tables) -> DataFrame:
-    return t["local"].select(C.label_local("nome", "cidade").alias("label"), "id_local")
+    """P5 + P6: 'nome (cidade)' -> id, the later site of the list wins."""
+    return _last_label(t["local"], C.label_local("nome", "cidade"), "id_local")
+
+
+def _last_label(df: DataFrame, label, key: str) -> DataFrame:
+    """(label, key): of equal labels the last row in the list's order (nome, key).
+
+    An arg-max per label, not a window: partial aggregation keeps a popular
+    label from gathering all of its rows in one task.
+    """
+    last = F.max(F.struct("nome", key)).getField(key)
+    return df.groupBy(label.alias("label")).agg(last.alias(key))
 
 
 def labels_campanha(t: Tables, as_of=None) -> DataFrame:
@@ -201,11 +216,7 @@ def labels_agendamento_vacina(t: Tables, as_of=None) -> DataFrame:
     from the list ordered by name, so of equal labels the later one wins; rows
     tied in list order keep the highest id."""
     v = flt.vacinas_validas(t["vacina"], as_of, ordered=False)
-    lab = v.select(C.label_vacina("nome", "codigo_lote").alias("label"), "id_vacina", "nome")
-    # An arg-max per label, not a window: partial aggregation keeps a popular
-    # label from gathering all of its rows in one task.
-    win = F.max(F.struct("nome", "id_vacina")).getField("id_vacina")
-    return lab.groupBy("label").agg(win.alias("id_vacina"))
+    return _last_label(v, C.label_vacina("nome", "codigo_lote"), "id_vacina")
 
 
 def labels_agendamento_campanha(t: Tables, as_of=None) -> DataFrame:

@@ -1,10 +1,11 @@
 """Validation rules re-aimed at whole request tables.
 
 The reference answers one question per call with a keyed lookup; here each
-rule takes a DataFrame of requests and answers all of them with joins. Key
-sets are reduced with ``distinct``/``groupBy`` before they are joined, so a
-key that holds a large share of the rows is collapsed by map-side partial
-aggregation instead of landing in one task.
+rule takes a DataFrame of requests and answers all of them with joins. Keys
+of parent tables are unique (K1) and are joined as they are; keys out of child
+tables are made distinct first (map-side partial aggregation). Both kinds of
+join shuffle both sides afresh, so AQE can split a key that a large share of
+the requests hold.
 """
 
 from __future__ import annotations
@@ -25,16 +26,35 @@ MSG_INVALID_VACCINE = "Vacina inválida."
 MSG_NO_STOCK = "Vacina sem estoque disponível."
 MSG_OUT_OF_PERIOD = "Data agendada fora do período da campanha."
 MSG_NULL_CITY = "Erro na validação do cidadão: cidade não informada."
+MSG_NOT_TARGET = "Cidadão de %s não se encaixa no público alvo da campanha (%s)."
 
 
-def key_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+def key_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, unique: bool = False) -> DataFrame:
     """Add boolean ``flag``: does the row's ``on`` tuple occur in ``keys``?
 
-    ``keys`` is reduced to distinct tuples first (partial aggregation), then
-    left-joined, so every input row comes out exactly once.
+    Every input row comes out exactly once. ``unique=True`` says that ``keys``
+    repeats no tuple (a parent table's key). Otherwise it is made distinct,
+    and the join gets a hash of the key as one more join column: the output
+    of the aggregate is then not partitioned the way the join asks for, so
+    the join shuffles it, and AQE's skew split, which needs a shuffle right
+    below the join on both sides, stays possible.
     """
-    k = keys.select(*on).distinct().withColumn(flag, F.lit(True))
-    return df.join(k, list(on), "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    on = list(on)
+    if unique:
+        k = keys.select(*on).withColumn(flag, F.lit(True))
+        j = df.join(k, on, "left")
+    else:
+        k = keys.select(*on).distinct()
+        k = k.withColumn("_kf_h", _key_hash(k, on)).withColumn(flag, F.lit(True))
+        j = df.withColumn("_kf_h", _key_hash(df, on)).join(k, [*on, "_kf_h"], "left").drop("_kf_h")
+    return j.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def _key_hash(df: DataFrame, on: Sequence[str]) -> F.Column:
+    """Hash of a key; integers hash alike whatever their width."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    types = dict(df.dtypes)
+    return F.xxhash64(*[F.col(c).cast("bigint") if types[c] in whole else F.col(c) for c in on])
 
 
 def citizens(cidadao: DataFrame, usuario: DataFrame) -> DataFrame:
@@ -63,8 +83,7 @@ def eligibility(requests: DataFrame, campanha: DataFrame, cidadao: DataFrame, us
         F.when(F.col("_camp").isNull(), F.lit(MSG_INVALID_CAMPAIGN))
         .when(F.col("_cit").isNull(), F.lit(MSG_NOT_CITIZEN))
         .when(F.col("_cidade").isNull(), F.lit(MSG_NULL_CITY))
-        .when(~fits, F.format_string("Cidadão de %s não se encaixa no público alvo da campanha (%s).",
-                                     C.capitalize("_cidade"), F.col("_publico")))
+        .when(~fits, F.format_string(MSG_NOT_TARGET, C.capitalize("_cidade"), F.col("_publico")))
         .otherwise(F.lit(""))
     )
     return j.select(*requests.columns, reason.isNull().alias("ok"), reason.alias("reason"), message.alias("message"))
@@ -79,13 +98,6 @@ def stock_check(requests: DataFrame, vacina: DataFrame) -> DataFrame:
     return j.select(*requests.columns, reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def site_capacity(requests: DataFrame, local: DataFrame) -> DataFrame:
-    """V3: capacity per request, unknown site or NULL capacity -> 0."""
-    lo = local.select("id_local", "capacidade")
-    return requests.join(lo, "id_local", "left").select(
-        *requests.columns, C.null_as_zero("capacidade").cast("int").alias("capacidade"))
-
-
 def bookings_per_site_day(agendamento: DataFrame) -> DataFrame:
     """A1/V4: appointments per (id_local, data_agendamento) for all pairs."""
     return agendamento.groupBy("id_local", "data_agendamento").agg(F.count(F.lit(1)).alias("n_agendamentos"))
@@ -131,7 +143,7 @@ def duplicate_groups(agendamento: DataFrame, min_count: int = 2) -> DataFrame:
 def cidadao_exists(requests: DataFrame, cidadao: DataFrame, cpf_col: str = "cpf") -> DataFrame:
     """Flag ``exists`` per request cpf."""
     keys = cidadao.select(F.col("cpf").alias(cpf_col))
-    return key_flag(requests, keys, [cpf_col], "exists")
+    return key_flag(requests, keys, [cpf_col], "exists", unique=True)
 
 
 # -- J6: unreferenced rows (what a delete would accept) -------------------

@@ -13,14 +13,14 @@ one task. ``prefix_count`` splits every group into blocks of at most
 
 1. count flagged rows per (key, block) — a grouped aggregate with map-side
    partial aggregation;
-2. running sum of those counts per key, ordered by block — a window over
-   the small per-block table (one row per block, not per request);
+2. running sums of those counts, in two levels: blocks inside a superblock of
+   ``block`` blocks, and superblocks inside the key;
 3. running count inside each (key, block) — a window whose partitions hold
    at most ``block`` rows;
 4. add 2. and 3. with a join on (key, block).
 
-Every task is bounded by ``block`` rows or by the number of blocks of a key,
-whatever the key distribution.
+No window partition holds more than ``block`` rows (the last level: 2**63 /
+``block``**2), however the keys and however far apart the sequence numbers.
 """
 
 from __future__ import annotations
@@ -52,8 +52,14 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colum
     d = df.select("*", *norm, F.expr(f"`{order_col}` div {int(block)}").cast("bigint").alias("_pc_blk"),
                   F.when(f, F.lit(1)).otherwise(F.lit(0)).alias("_pc_f"))
     per_block = d.groupBy(*nk, "_pc_blk").agg(F.sum("_pc_f").alias("_pc_n"))
-    w_off = Window.partitionBy(*nk).orderBy("_pc_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*nk, "_pc_blk", F.coalesce(F.sum("_pc_n").over(w_off), F.lit(0)).alias("_pc_off"))
+    per_block = per_block.withColumn("_pc_sup", F.expr(f"_pc_blk div {int(block)}").cast("bigint"))
+    before = (Window.unboundedPreceding, -1)
+    w_blk = Window.partitionBy(*nk, "_pc_sup").orderBy("_pc_blk").rowsBetween(*before)
+    w_sup = Window.partitionBy(*nk).orderBy("_pc_sup").rowsBetween(*before)
+    supers = per_block.groupBy(*nk, "_pc_sup").agg(F.sum("_pc_n").alias("_pc_m")).select(
+        *nk, "_pc_sup", F.coalesce(F.sum("_pc_m").over(w_sup), F.lit(0)).alias("_pc_far"))
+    offsets = per_block.withColumn("_pc_near", F.coalesce(F.sum("_pc_n").over(w_blk), F.lit(0))) \
+        .join(supers, [*nk, "_pc_sup"]).select(*nk, "_pc_blk", (F.col("_pc_near") + F.col("_pc_far")).alias("_pc_off"))
     w_in = Window.partitionBy(*nk, "_pc_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", F.coalesce(F.sum("_pc_f").over(w_in), F.lit(0)).alias("_pc_in"))
     return d.join(offsets, [*nk, "_pc_blk"], "left").select(
@@ -107,11 +113,3 @@ def last_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame
     return g.select(*key, F.col("_last._o").alias(order_col),
                     *[F.col(f"_last.{c}").alias(c) for c in payload if c != order_col])
 
-
-def first_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
-    """(key, smallest ``order_col``) per key."""
-    return df.groupBy(*key).agg(F.min(order_col).alias(order_col))
-
-
-# The generic name used in the survey's build plan.
-allocate_serial = allocate_ids

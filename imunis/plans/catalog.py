@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as flt
 from ..operators import lists
 from ..sources import fixtures as fx
+from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -65,68 +66,78 @@ def locais(t):
 
 # ---------------------------------------------------------------- J1–J5
 
-@query("agendamentos", """
-    SELECT a.id_agendamento, a.cpf, u.nome AS nome_cidadao, a.id_vacina, v.nome AS nome_vacina,
-           c.id_campanha, c.nome AS nome_campanha, a.id_local, l.nome AS nome_local, a.data_agendamento
-    FROM agendamento a
-    LEFT JOIN usuario u ON a.cpf = u.cpf
-    LEFT JOIN vacina v ON a.id_vacina = v.id_vacina
-    LEFT JOIN local l ON a.id_local = l.id_local
-    LEFT JOIN campanha c ON v.doenca_alvo = c.doenca_alvo""")
+# Every lot with each campaign of its disease (or none); appointments look their lot up in it.
+_BOOKINGS = """
+    (SELECT booking.*, person.nome AS nome_cidadao, offer.lot AS nome_vacina, offer.id_campanha, offer.programme
+            AS nome_campanha, (SELECT any_value(nome) FROM local WHERE local.id_local = booking.id_local) AS nome_local
+     FROM (SELECT vacina.id_vacina, vacina.nome AS lot, campanha.id_campanha, campanha.nome AS programme
+           FROM campanha RIGHT JOIN vacina USING (doenca_alvo)) offer
+     RIGHT JOIN agendamento booking USING (id_vacina)
+     LEFT JOIN usuario person USING (cpf))"""
+
+
+@query("agendamentos", f"""
+    SELECT id_agendamento, cpf, nome_cidadao, id_vacina, nome_vacina, id_campanha, nome_campanha, id_local, nome_local,
+           data_agendamento
+    FROM {_BOOKINGS} z""")
 def agendamentos(t):
     """Appointments with the campaigns of the lot's disease (fan-out kept)."""
     return lists.agendamentos(t)
 
 
-@query("agendamentos_display", """
-    SELECT a.id_agendamento, a.cpf, u.nome AS nome_cidadao, a.id_vacina, v.nome AS nome_vacina,
-           c.id_campanha, c.nome AS nome_campanha, a.id_local, l.nome AS nome_local,
-           strftime(a.data_agendamento, '%d/%m/%Y') AS data_agendamento,
-           a.data_agendamento AS data_agendamento_original
-    FROM agendamento a
-    LEFT JOIN usuario u ON a.cpf = u.cpf
-    LEFT JOIN vacina v ON a.id_vacina = v.id_vacina
-    LEFT JOIN local l ON a.id_local = l.id_local
-    LEFT JOIN campanha c ON v.doenca_alvo = c.doenca_alvo""")
+@query("agendamentos_display", f"""
+    SELECT id_agendamento, cpf, nome_cidadao, id_vacina, nome_vacina, id_campanha, nome_campanha, id_local, nome_local,
+           strftime(data_agendamento, '%d/%m/%Y') AS data_agendamento, data_agendamento AS data_agendamento_original
+    FROM {_BOOKINGS} z""")
 def agendamentos_display(t):
     """P13 + P3 on J1."""
     return lists.agendamentos_display(t)
 
 
-@query("usuarios_completo", """
-    SELECT u.cpf, u.nome, u.telefone,
-           CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
-                WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario,
-           c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado,
-           a.local_trabalho AS admin_local_trabalho, s.email AS agente_email,
-           s.posto_trabalho AS agente_posto_trabalho
-    FROM usuario u
-    LEFT JOIN cidadao c ON u.cpf = c.cpf
-    LEFT JOIN administrador a ON u.cpf = a.cpf
-    LEFT JOIN agente_saude s ON u.cpf = s.cpf""")
+def role_sql(who: str, citizens: str = "cidadao", admins: str = "administrador", agents: str = "agente_saude") -> str:
+    """The role shown (P2), by membership in the three key sets."""
+    return (f"CASE WHEN {who} IN (SELECT cpf FROM {citizens}) THEN 'Cidadão' "
+            f"WHEN {who} IN (SELECT cpf FROM {admins}) THEN 'Administrador' "
+            f"WHEN {who} IN (SELECT cpf FROM {agents}) THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END")
+
+
+def user_list_sql(users: str = "usuario", citizens: str = "cidadao", admins: str = "administrador",
+                  agents: str = "agente_saude") -> str:
+    """J2 over the named tables: payloads side by side, the role from the key sets."""
+    return f"""
+    SELECT cpf, people.nome, people.telefone, {role_sql('cpf', citizens, admins, agents)} AS tipo_usuario,
+           home.cartao_sus, home.rua, home.bairro, home.numero, home.cidade, home.estado,
+           office.admin_local_trabalho, post.agente_email, post.agente_posto_trabalho
+    FROM {users} people
+    LEFT JOIN (SELECT cpf, email AS agente_email, posto_trabalho AS agente_posto_trabalho FROM {agents}) post USING (cpf)
+    LEFT JOIN (SELECT cpf, local_trabalho AS admin_local_trabalho FROM {admins}) office USING (cpf)
+    LEFT JOIN {citizens} home USING (cpf)"""
+
+
+def role_counts_sql(users: str = "usuario", citizens: str = "cidadao", admins: str = "administrador",
+                    agents: str = "agente_saude") -> str:
+    return f"""
+    SELECT tipo_usuario, cast(sum(n) AS bigint) AS n_usuarios
+    FROM (SELECT {role_sql('cpf', citizens, admins, agents)} AS tipo_usuario, 1 AS n FROM {users}
+          UNION ALL VALUES ('Cidadão', 0), ('Administrador', 0), ('Agente de Saúde', 0), ('Usuário Genérico', 0)) z
+    GROUP BY tipo_usuario"""
+
+
+@query("usuarios_completo", user_list_sql())
 def usuarios_completo(t):
+    """J2 + P2."""
     return lists.usuarios_completo(t)
 
 
-@query("role_counts", """
-    SELECT r.tipo_usuario, cast(count(shown.tipo_usuario) AS bigint) AS n_usuarios
-    FROM (VALUES ('Cidadão'), ('Administrador'), ('Agente de Saúde'), ('Usuário Genérico')) r(tipo_usuario)
-    LEFT JOIN (
-        SELECT CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
-                    WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario
-        FROM usuario u
-        LEFT JOIN cidadao c ON u.cpf = c.cpf
-        LEFT JOIN administrador a ON u.cpf = a.cpf
-        LEFT JOIN agente_saude s ON u.cpf = s.cpf) shown ON r.tipo_usuario = shown.tipo_usuario
-    GROUP BY r.tipo_usuario""")
+@query("role_counts", role_counts_sql())
 def role_counts(t):
     return lists.role_counts(t)
 
 
 @query("cidadaos", """
-    SELECT c.cpf, u.nome, c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado
-    FROM cidadao c JOIN usuario u ON c.cpf = u.cpf""")
+    SELECT cpf, nome, cartao_sus, rua, bairro, numero, cidade, estado FROM usuario NATURAL JOIN cidadao""")
 def cidadaos(t):
+    """J3."""
     return lists.cidadaos(t)
 
 
@@ -146,12 +157,16 @@ def vacinacoes(t):
     return lists.vacinacoes(t)
 
 
-@query("parentescos", """
-    SELECT p.id_parentesco, p.cpf_responsavel, ur.nome AS nome_responsavel, p.cpf_parente, up.nome AS nome_parente
-    FROM parente p
-    JOIN cidadao cr ON p.cpf_responsavel = cr.cpf JOIN usuario ur ON cr.cpf = ur.cpf
-    JOIN cidadao cp ON p.cpf_parente = cp.cpf JOIN usuario up ON cp.cpf = up.cpf""")
+# Names of citizens; each end of a link looks itself up.
+_CITIZEN_NAMES = "(SELECT cpf, nome FROM usuario WHERE cpf IN (SELECT cpf FROM cidadao))"
+
+
+@query("parentescos", f"""
+    SELECT id_parentesco, cpf_responsavel, guardian.nome AS nome_responsavel, cpf_parente, kin.nome AS nome_parente
+    FROM {_CITIZEN_NAMES} kin, {_CITIZEN_NAMES} guardian, parente
+    WHERE kin.cpf = cpf_parente AND guardian.cpf = cpf_responsavel""")
 def parentescos(t):
+    """J5."""
     return lists.parentescos(t)
 
 
@@ -269,18 +284,38 @@ def page_vacinacoes(t):
     return flt.page(lists.vacinacoes(t, ordered=False), lists.VACINACOES_ORDER, n=3, size=10)
 
 
+# The row that ends a page somewhere in the middle of the list.
+_PAGE_LAST = {"data_aplicacao": "1997-03-15", "nome_cidadao": "Customer#000000070", "nome_vacina": "n", "id_vacinacao": 4000}
+
+
+@query("page_after_vacinacoes", """
+    SELECT * FROM (""" + VACINACOES_SQL + """) x
+    WHERE data_aplicacao < DATE '1997-03-15' OR (data_aplicacao = DATE '1997-03-15'
+          AND (nome_cidadao, nome_vacina, id_vacinacao) > ('Customer#000000070', 'n', 4000))
+    ORDER BY data_aplicacao DESC, nome_cidadao ASC, nome_vacina ASC, id_vacinacao ASC
+    LIMIT 10""")
+def page_after_vacinacoes(t):
+    """O3: the ten doses that follow a given row, found by its key values."""
+    return flt.page_after(lists.vacinacoes(t, ordered=False), lists.VACINACOES_ORDER, _PAGE_LAST, size=10)
+
+
 # ---------------------------------------------------------------- P3–P7 labels and text
 
 @query("labels_vacina", f"""
-    SELECT format('{{}} (Lote: {{}}, Doses: {{}})', nome, codigo_lote, qtd_doses) AS label, id_vacina
-    FROM vacina WHERE data_validade >= {AS_OF_SQL}""")
+    SELECT label, max(id_vacina) AS id_vacina
+    FROM (SELECT format('{{}} (Lote: {{}}, Doses: {{}})', nome, codigo_lote, qtd_doses) AS label, id_vacina
+          FROM vacina WHERE data_validade >= {AS_OF_SQL}) x
+    GROUP BY label""")
 def labels_vacina(t):
-    """P5: dose-form lot labels over unexpired lots."""
+    """P5 + P6: dose-form lot labels over unexpired lots; equal labels have one
+    name, so the later row in list order is the one with the larger id."""
     return lists.labels_vacina(t, AS_OF)
 
 
-@query("labels_local", "SELECT nome || ' (' || cidade || ')' AS label, id_local FROM local")
+@query("labels_local", """
+    SELECT nome || ' (' || cidade || ')' AS label, max(id_local) AS id_local FROM local GROUP BY nome, cidade""")
 def labels_local(t):
+    """P5 + P6: site labels, the later site wins."""
     return lists.labels_local(t)
 
 
@@ -383,9 +418,9 @@ def normalize_cpf(t):
     SELECT id_vacina, nome, qtd_doses FROM vacina WHERE doenca_alvo = 'SMALL' AND qtd_doses > 40""")
 def param_lookup(t):
     """Named-parameter SQL over DataFrames (no text pasting, no global views)."""
-    return t.spark.sql(
-        "SELECT id_vacina, nome, qtd_doses FROM {vacina} WHERE doenca_alvo = :doenca AND qtd_doses > :min_doses",
-        args={"doenca": "SMALL", "min_doses": 40}, vacina=t["vacina"])
+    return tables.param_lookup(
+        t.spark, "SELECT id_vacina, nome, qtd_doses FROM {vacina} WHERE doenca_alvo = :doenca AND qtd_doses > :min_doses",
+        {"doenca": "SMALL", "min_doses": 40}, vacina=t["vacina"])
 
 
 # ---------------------------------------------------------------- V1–V7, A1, A2, J6
@@ -483,17 +518,22 @@ def duplicate_check(t):
     SELECT cpf, id_vacina, data_agendamento, cast(count(*) AS bigint) AS n_agendamentos
     FROM (SELECT cpf, id_vacina, data_agendamento FROM agendamento
           UNION ALL
-          SELECT lpad(cast(o_custkey AS varchar), 11, '0'), cast(l_partkey + 1 AS integer), cast(o_orderdate AS date)
-          FROM dose_line WHERE l_linenumber = 2 AND o_custkey % 10 <= 6) x
+          SELECT lpad(cast(o_custkey AS varchar), 11, '0'), cast(l_partkey + 1 AS bigint), cast(o_orderdate AS date)
+          FROM dose_line WHERE l_linenumber = 2 AND o_custkey % 10 <= 6
+          UNION ALL
+          SELECT cpf, id_vacina, data_agendamento FROM agendamento WHERE id_agendamento % 9 = 0) x
     GROUP BY cpf, id_vacina, data_agendamento HAVING count(*) >= 2""")
 def agendamentos_duplicados(t):
-    """A2: (cpf, lot, day) groups booked more than once, over the appointments
-    plus the second line of each order booked on the same day."""
+    """A2: (cpf, lot, day) groups booked more than once, over the appointments,
+    the second line of each order booked on the same day, and every ninth
+    appointment booked again."""
     from ..operators import rules
     d = t["dose_line"].where((F.col("l_linenumber") == 2) & (F.col("o_custkey") % 10 <= 6)).select(
-        fx.cpf("o_custkey").alias("cpf"), (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+        fx.cpf("o_custkey").alias("cpf"), (F.col("l_partkey") + 1).cast("bigint").alias("id_vacina"),
         F.col("o_orderdate").cast("date").alias("data_agendamento"))
-    a = t["agendamento"].select("cpf", "id_vacina", "data_agendamento").unionByName(d)
+    booked = t["agendamento"].select("id_agendamento", "cpf", "id_vacina", "data_agendamento")
+    a = booked.drop("id_agendamento").unionByName(d).unionByName(
+        booked.where(F.col("id_agendamento") % 9 == 0).drop("id_agendamento"))
     return rules.duplicate_groups(a)
 
 
@@ -508,12 +548,11 @@ def cidadao_exists(t):
 
 @query("unreferenced_vacinas", """
     SELECT * FROM vacina v
-    WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.contagem = 1 AND d.id_vacina = v.id_vacina)""")
+    WHERE NOT EXISTS (SELECT 1 FROM vacinacao d WHERE d.id_vacina = v.id_vacina)""")
 def unreferenced_vacinas(t):
-    """Lots no first dose uses (FIXTURES: the contagem = 1 slice)."""
+    """Lots no dose uses."""
     from ..operators import rules
-    doses = t["vacinacao"].where(F.col("contagem") == 1)
-    return rules.unreferenced(t["vacina"], "id_vacina", (doses, "id_vacina"))
+    return rules.unreferenced(t["vacina"], "id_vacina", (t["vacinacao"], "id_vacina"))
 
 
 @query("unreferenced_campanhas", """
@@ -578,37 +617,44 @@ def _audit_fk_sql(swap):
             parts.append(
                 f"SELECT '{name}' AS table_name, '{c}' AS fk_columns, '{fk.ref_table}' AS ref_table, "
                 f"cast(x.{c} AS varchar) AS fk_value, cast(count(*) AS bigint) AS n_rows FROM {src} x "
-                f"WHERE NOT EXISTS (SELECT 1 FROM {fk.ref_table} p WHERE p.{rc} = x.{c}) GROUP BY x.{c}")
+                f"WHERE NOT EXISTS (SELECT 1 FROM {swap.get(fk.ref_table, fk.ref_table)} p WHERE p.{rc} = x.{c}) GROUP BY x.{c}")
     return _sql_union(parts)
 
 
-def _audit_columns_sql():
+def _audit_columns_sql(swap):
     from ..sources.schemas import TABLES
     parts = []
     for name, spec in TABLES.items():
+        src = swap.get(name, name)
         for c in spec.not_null:
             parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, 'not_null' AS rule, "
-                         f"cast(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS bigint) AS n_violations FROM {name}")
+                         f"cast(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS bigint) AS n_violations FROM {src}")
         for c, n in spec.lengths.items():
             parts.append(f"SELECT '{name}', '{c}', 'max_length_{n}', "
-                         f"cast(sum(CASE WHEN length({c}) > {n} THEN 1 ELSE 0 END) AS bigint) FROM {name}")
+                         f"cast(sum(CASE WHEN length({c}) > {n} THEN 1 ELSE 0 END) AS bigint) FROM {src}")
     return _sql_union(parts)
 
 
 AUDIT_RANGES_SQL = """
     SELECT 'vacina' AS table_name, 'codigo_lote' AS column_name, 'non_negative_integer' AS rule,
            cast(sum(CASE WHEN coalesce(regexp_full_match(codigo_lote, '[0-9]+'), false) THEN 0 ELSE 1 END) AS bigint)
-           AS n_violations FROM vacina
-    UNION ALL SELECT 'vacina', 'qtd_doses', 'min_0', cast(sum(CASE WHEN qtd_doses < 0 THEN 1 ELSE 0 END) AS bigint) FROM vacina
-    UNION ALL SELECT 'local', 'numero', 'min_1', cast(sum(CASE WHEN numero < 1 THEN 1 ELSE 0 END) AS bigint) FROM local
-    UNION ALL SELECT 'local', 'capacidade', 'min_0', cast(sum(CASE WHEN capacidade < 0 THEN 1 ELSE 0 END) AS bigint) FROM local
-    UNION ALL SELECT 'local', 'estado', 'max_length_2', cast(sum(CASE WHEN length(estado) > 2 THEN 1 ELSE 0 END) AS bigint) FROM local
-    UNION ALL SELECT 'vacinacao', 'contagem', 'min_1', cast(sum(CASE WHEN contagem < 1 THEN 1 ELSE 0 END) AS bigint) FROM vacinacao
+           AS n_violations FROM vacina_bad
+    UNION ALL SELECT 'vacina', 'qtd_doses', 'min_0', cast(sum(CASE WHEN qtd_doses < 0 THEN 1 ELSE 0 END) AS bigint)
+    FROM vacina_bad
+    UNION ALL SELECT 'local', 'numero', 'min_1', cast(sum(CASE WHEN numero < 1 THEN 1 ELSE 0 END) AS bigint) FROM local_bad
+    UNION ALL SELECT 'local', 'capacidade', 'min_0', cast(sum(CASE WHEN capacidade < 0 THEN 1 ELSE 0 END) AS bigint) FROM local_bad
+    UNION ALL SELECT 'local', 'estado', 'max_length_2', cast(sum(CASE WHEN length(estado) > 2 THEN 1 ELSE 0 END) AS bigint)
+    FROM local_bad
+    UNION ALL SELECT 'vacinacao', 'contagem', 'min_1', cast(sum(CASE WHEN contagem < 1 THEN 1 ELSE 0 END) AS bigint)
+    FROM vacinacao_bad
     UNION ALL SELECT 'campanha', 'tipo_vacina', 'in_options',
-           cast(sum(CASE WHEN tipo_vacina IN ('Dose Única', 'Múltiplas Doses') THEN 0 ELSE 1 END) AS bigint) FROM campanha"""
+           cast(sum(CASE WHEN tipo_vacina IN ('Dose Única', 'Múltiplas Doses') THEN 0 ELSE 1 END) AS bigint)
+    FROM campanha_bad"""
 
 _PK_SWAP = {"vacinacao": "vacinacao_raw"}
-_FK_SWAP = {"vacinacao": "vacinacao_all", "agendamento": "agendamento_all", "parente": "parente_all"}
+_FK_SWAP = {"vacinacao": "vacinacao_bad", "agendamento": "agendamento_bad", "parente": "parente_all",
+            "cidadao": "cidadao_bad"}
+_BAD = {n: f"{n}_bad" for n in ("usuario", "vacina", "local", "campanha", "vacinacao")}
 
 
 @query("audit_pk", _audit_pk_sql(_PK_SWAP))
@@ -620,23 +666,24 @@ def audit_pk(t):
 
 @query("audit_fk", _audit_fk_sql(_FK_SWAP))
 def audit_fk(t):
-    """K2 over all twelve foreign keys; facts without the citizen filter."""
+    """K2 over all foreign keys; facts without the citizen filter and with some
+    keys of no parent."""
     from ..operators import integrity
     return integrity.audit_fk(_audit_tables(t, **_FK_SWAP))
 
 
-@query("audit_columns", _audit_columns_sql())
+@query("audit_columns", _audit_columns_sql(_BAD))
 def audit_columns(t):
-    """K4: NOT NULL and VARCHAR length counts for every column."""
+    """K4: NOT NULL and VARCHAR length counts for every column, on tables with faults."""
     from ..operators import integrity
-    return integrity.audit_columns(_audit_tables(t))
+    return integrity.audit_columns(_audit_tables(t, **_BAD))
 
 
 @query("audit_ranges", AUDIT_RANGES_SQL)
 def audit_ranges(t):
-    """K6: widget ranges."""
+    """K6: widget ranges, on tables with faults."""
     from ..operators import integrity
-    return integrity.audit_ranges(_audit_tables(t))
+    return integrity.audit_ranges(_audit_tables(t, **_BAD))
 
 
 # Change operators register themselves on import.

@@ -11,10 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import functions as F
-
 from ..operators import changes as ch
-from .catalog import AS_OF, AS_OF_SQL, query
+from .catalog import AS_OF, AS_OF_SQL, query, role_counts_sql, role_sql, user_list_sql
 
 STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 PRECEDING = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -106,8 +104,8 @@ _VI = {
                   OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
         FROM vi_j""",
     "vi_d": """
-        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_long THEN 'too_long'
-                       WHEN c_null THEN 'not_null' WHEN c_cit THEN 'not_citizen'
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_cit THEN 'not_citizen'
+                       WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null'
                        WHEN stock IS NULL OR used_before >= stock THEN 'no_stock'
                        WHEN c_fk THEN 'fk_violation' END AS reason
         FROM vi_u""",
@@ -155,9 +153,8 @@ _VU = {
                   OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
         FROM vu_j""",
     "vu_d": """
-        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN NOT found THEN 'no_match'
-                       WHEN c_oor THEN 'out_of_range' WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null'
-                       WHEN c_cit THEN 'not_citizen'
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_cit THEN 'not_citizen'
+                       WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null'
                        WHEN move AND (stock IS NULL OR used_before >= stock) THEN 'no_stock'
                        WHEN c_fk THEN 'fk_violation' END AS reason
         FROM vu_u""",
@@ -211,12 +208,12 @@ def vacinacao_delete_stock(t):
 def _vacina_reason(no_match: bool) -> str:
     nm = "WHEN NOT EXISTS (SELECT 1 FROM vacina t WHERE t.id_vacina = r.id_vacina) THEN 'no_match'" if no_match else ""
     return f"""CASE WHEN {_miss_text('nome', 'doenca_alvo', 'codigo_lote')} OR data_chegada IS NULL
-                         OR data_validade IS NULL THEN 'missing_field' {nm}
-                    WHEN coalesce(qtd_doses < 0, false) THEN 'out_of_range'
+                         OR data_validade IS NULL OR try_cast(codigo_lote AS bigint) = 0 THEN 'missing_field'
+                    WHEN coalesce(qtd_doses < 0, false) OR NOT regexp_full_match(codigo_lote, '[0-9]+') THEN 'out_of_range'
+                    WHEN data_validade <= data_chegada THEN 'bad_dates' {nm}
                     WHEN {_long(nome=100, doenca_alvo=100, codigo_lote=100)} THEN 'too_long'
                     WHEN nome IS NULL OR doenca_alvo IS NULL OR codigo_lote IS NULL OR data_chegada IS NULL
-                         OR data_validade IS NULL OR qtd_doses IS NULL THEN 'not_null'
-                    WHEN data_validade <= data_chegada THEN 'bad_dates' END"""
+                         OR data_validade IS NULL OR qtd_doses IS NULL THEN 'not_null' END"""
 
 
 _VAC_I = {"vac_i": f"SELECT *, {_vacina_reason(False)} AS reason FROM vacina_insert_req r"}
@@ -250,7 +247,7 @@ def vacina_update_state(t):
 _VAC_D = {
     "vac_dj": """SELECT r.req_seq, r.id_vacina,
         CASE WHEN NOT EXISTS (SELECT 1 FROM vacina t WHERE t.id_vacina = r.id_vacina) THEN 'no_match'
-             WHEN EXISTS (SELECT 1 FROM vacinacao d WHERE d.contagem = 1 AND d.id_vacina = r.id_vacina) THEN 'in_use'
+             WHEN EXISTS (SELECT 1 FROM vacinacao d WHERE d.id_vacina = r.id_vacina) THEN 'in_use'
              WHEN EXISTS (SELECT 1 FROM agendamento a WHERE a.id_vacina = r.id_vacina) THEN 'fk_violation' END AS pre
         FROM vacina_delete_req r""",
     "vac_d": f"SELECT *, {_first_sql('id_vacina')} AS reason FROM vac_dj",
@@ -259,9 +256,8 @@ _VAC_D = {
 
 @query("vacina_delete", (_VAC_D, _decisions_sql("vac_d")))
 def vacina_delete(t):
-    """C6 against the first-dose slice of the dose table (FIXTURES notes)."""
-    st = _state(t, vacinacao=t["vacinacao"].where(F.col("contagem") == 1))
-    _, dec = ch.apply_vacina_delete(st, t["vacina_delete_req"])
+    """Lots in use, lots only booked, spare lots, and lots deleted before."""
+    _, dec = ch.apply_vacina_delete(_state(t), t["vacina_delete_req"])
     return dec
 
 
@@ -271,11 +267,11 @@ def _campanha_reason(no_match: bool) -> str:
     nm = ("WHEN NOT EXISTS (SELECT 1 FROM campanha t WHERE t.id_campanha = r.id_campanha) THEN 'no_match'"
           if no_match else "")
     return f"""CASE WHEN {_miss_text('nome', 'doenca_alvo', 'publico_alvo')} OR data_inicio IS NULL
-                         THEN 'missing_field' {nm}
+                         THEN 'missing_field'
+                    WHEN data_fim IS NOT NULL AND data_fim < data_inicio THEN 'bad_dates' {nm}
                     WHEN {_long(nome=100, doenca_alvo=100, tipo_vacina=30, publico_alvo=100)} THEN 'too_long'
                     WHEN nome IS NULL OR doenca_alvo IS NULL OR tipo_vacina IS NULL OR data_inicio IS NULL
-                         OR publico_alvo IS NULL THEN 'not_null'
-                    WHEN data_fim IS NOT NULL AND data_fim < data_inicio THEN 'bad_dates' END"""
+                         OR publico_alvo IS NULL THEN 'not_null' END"""
 
 
 _CAMP_I = {"camp_i": f"SELECT *, {_campanha_reason(False)} AS reason FROM campanha_insert_req r"}
@@ -322,8 +318,8 @@ def _local_reason(no_match: bool, table: str = "local") -> str:
     nm = (f"WHEN NOT EXISTS (SELECT 1 FROM {table} t WHERE t.id_local = r.id_local) THEN 'no_match'"
           if no_match else "")
     return f"""CASE WHEN {_miss_text('nome', 'rua', 'bairro', 'cidade', 'estado', 'contato')} OR {_miss_int('numero')}
-                         THEN 'missing_field' {nm}
-                    WHEN coalesce(numero < 1, false) OR coalesce(length(estado) > 2, false) THEN 'out_of_range'
+                         THEN 'missing_field'
+                    WHEN coalesce(numero < 1, false) OR coalesce(length(estado) > 2, false) THEN 'out_of_range' {nm}
                     WHEN {_long(nome=100, rua=100, bairro=100, cidade=100, estado=50, contato=100)} THEN 'too_long'
                     WHEN nome IS NULL OR rua IS NULL OR bairro IS NULL OR numero IS NULL OR cidade IS NULL
                          OR estado IS NULL OR contato IS NULL THEN 'not_null' END"""
@@ -334,7 +330,7 @@ _LOC = {
     "loc_i": f"SELECT *, {_local_reason(False)} AS reason FROM local_insert_req r",
     "loc_i2": f"""SELECT cast((SELECT coalesce(max(id_local), 0) FROM local)
                               + sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY req_seq {RUNNING})
-                              AS integer) AS id_local, nome, rua, bairro, numero, cidade, estado, contato,
+                              AS bigint) AS id_local, nome, rua, bairro, numero, cidade, estado, contato,
                          cast({_LOC_CAP} AS integer) AS capacidade, reason
                   FROM loc_i""",
     "local1": f"SELECT {', '.join(LOCAL_COLS)} FROM local UNION ALL "
@@ -389,8 +385,9 @@ _PAR_I = {
                   OVER (PARTITION BY cpf_responsavel, cpf_parente ORDER BY req_seq {PRECEDING}), 0) AS earlier
         FROM par_j""",
     "par_d": """
-        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_long THEN 'too_long' WHEN c_self THEN 'self_link'
-                       WHEN c_dup_t OR earlier > 0 THEN 'duplicate' WHEN c_nc THEN 'fk_violation' END AS reason
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_self THEN 'self_link'
+                       WHEN c_dup_t OR earlier > 0 THEN 'duplicate' WHEN c_long THEN 'too_long'
+                       WHEN c_nc THEN 'fk_violation' END AS reason
         FROM par_u""",
 }
 
@@ -405,9 +402,9 @@ def parente_insert(t):
 _PAR_U = {
     "paru_d": f"""
         SELECT r.*, CASE WHEN {_miss_text('cpf_responsavel', 'cpf_parente')} THEN 'missing_field'
+            WHEN cpf_responsavel = cpf_parente THEN 'self_link'
             WHEN NOT EXISTS (SELECT 1 FROM parente p WHERE p.id_parentesco = r.id_parentesco) THEN 'no_match'
             WHEN {_long(cpf_responsavel=20, cpf_parente=20)} THEN 'too_long'
-            WHEN cpf_responsavel = cpf_parente THEN 'self_link'
             WHEN NOT (EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf_responsavel)
                       AND EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf_parente)) THEN 'fk_violation' END
             AS reason
@@ -441,7 +438,7 @@ def parente_delete(t):
 # ====================================================================== agendamento
 
 _AG_J = f"""
-    SELECT r.*, ({_miss_text('cpf')} OR {_miss_int('id_campanha', 'id_vacina', 'id_local')}
+    SELECT r.*, ({_miss_text('typed')} OR {_miss_int('id_campanha', 'id_vacina', 'id_local')}
                  OR data_agendamento IS NULL) AS c_miss,
            {_long(cpf=20)} AS c_long,
            NOT (EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf)
@@ -453,7 +450,7 @@ _AG_J = f"""
                 AND EXISTS (SELECT 1 FROM local l WHERE l.id_local = r.id_local)) AS c_noff,
            EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = r.cpf AND a.id_vacina = r.id_vacina
                    AND a.data_agendamento = r.data_agendamento) AS c_dup_t
-    FROM (SELECT req_seq, {STRIP.format(c='cpf')} AS cpf, id_campanha, id_vacina, id_local, data_agendamento
+    FROM (SELECT req_seq, cpf AS typed, {STRIP.format(c='cpf')} AS cpf, id_campanha, id_vacina, id_local, data_agendamento
           FROM agendamento_insert_req) r"""
 _AG_MAX = "SELECT coalesce(max(id_agendamento), 0) FROM agendamento"
 
@@ -518,7 +515,7 @@ def agendamento_insert_strict(t):
 
 _AG_U = {
     "agu_d": f"""
-        SELECT r.*, CASE WHEN {_miss_text('cpf')} OR {_miss_int('id_campanha', 'id_vacina', 'id_local')}
+        SELECT r.*, CASE WHEN {_miss_text('typed')} OR {_miss_int('id_campanha', 'id_vacina', 'id_local')}
                               OR data_agendamento IS NULL THEN 'missing_field'
             WHEN NOT EXISTS (SELECT 1 FROM agendamento a WHERE a.id_agendamento = r.id_agendamento) THEN 'no_match'
             WHEN {_long(cpf=20)} THEN 'too_long'
@@ -526,7 +523,7 @@ _AG_U = {
                       AND EXISTS (SELECT 1 FROM vacina v WHERE v.id_vacina = r.id_vacina)
                       AND EXISTS (SELECT 1 FROM local l WHERE l.id_local = r.id_local)) THEN 'fk_violation' END
             AS reason
-        FROM (SELECT req_seq, id_agendamento, {STRIP.format(c='cpf')} AS cpf, id_campanha, id_vacina, id_local,
+        FROM (SELECT req_seq, id_agendamento, cpf AS typed, {STRIP.format(c='cpf')} AS cpf, id_campanha, id_vacina, id_local,
                      data_agendamento FROM agendamento_update_req) r""",
 }
 
@@ -601,11 +598,6 @@ def usuario_insert(t):
     return dec
 
 
-_SHOWN = """CASE WHEN EXISTS (SELECT 1 FROM cidadao x WHERE x.cpf = u.cpf) THEN 'Cidadão'
-                 WHEN EXISTS (SELECT 1 FROM administrador x WHERE x.cpf = u.cpf) THEN 'Administrador'
-                 WHEN EXISTS (SELECT 1 FROM agente_saude x WHERE x.cpf = u.cpf) THEN 'Agente de Saúde'
-                 ELSE 'Usuário Genérico' END"""
-
 _US_U = {
     "usu_j": f"""
         SELECT r.*, s.shown,
@@ -613,14 +605,14 @@ _US_U = {
                 OR EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = r.cpf)
                 OR EXISTS (SELECT 1 FROM parente p WHERE p.cpf_responsavel = r.cpf OR p.cpf_parente = r.cpf))
                AS cit_ref
-        FROM usuario_update_req r LEFT JOIN (SELECT u.cpf, {_SHOWN} AS shown FROM usuario u) s ON r.cpf = s.cpf""",
+        FROM usuario_update_req r LEFT JOIN (SELECT cpf, {role_sql('cpf')} AS shown FROM usuario) s ON r.cpf = s.cpf""",
     "usu_d": f"""
-        SELECT *, CASE WHEN {STRIP.format(c='cpf_digitado')} <> cpf THEN 'key_change'
+        SELECT *, CASE WHEN {STRIP.format(c='cpf_digitado')} IS DISTINCT FROM cpf THEN 'key_change'
                        WHEN shown IS NULL THEN 'no_match'
                        WHEN {_long(cpf=20, nome=100, telefone=100)} OR {_role_long('tipo_usuario')} THEN 'too_long'
                        WHEN nome IS NULL OR telefone IS NULL OR {_role_null('tipo_usuario')} THEN 'not_null'
-                       WHEN tipo_usuario <> shown AND {_has_role('tipo_usuario')} THEN 'duplicate'
-                       WHEN tipo_usuario <> shown AND shown = 'Cidadão' AND cit_ref THEN 'fk_violation' END AS reason
+                       WHEN tipo_usuario <> shown AND shown = 'Cidadão' AND cit_ref THEN 'fk_violation'
+                       WHEN tipo_usuario <> shown AND {_has_role('tipo_usuario')} THEN 'duplicate' END AS reason
         FROM usu_j r""",
 }
 
@@ -654,19 +646,6 @@ def usuario_delete(t):
 
 # ---------------------------------------------------------------------- C1/C2 effects on the role tables
 
-def _role_counts_sql(cid: str, adm: str, age: str, users: str = "usuario") -> str:
-    return f"""
-    SELECT r.tipo_usuario, cast(count(s.tipo_usuario) AS bigint) AS n_usuarios
-    FROM (VALUES ('Cidadão'), ('Administrador'), ('Agente de Saúde'), ('Usuário Genérico')) r(tipo_usuario)
-    LEFT JOIN (
-        SELECT CASE WHEN EXISTS (SELECT 1 FROM {cid} x WHERE x.cpf = u.cpf) THEN 'Cidadão'
-                    WHEN EXISTS (SELECT 1 FROM {adm} x WHERE x.cpf = u.cpf) THEN 'Administrador'
-                    WHEN EXISTS (SELECT 1 FROM {age} x WHERE x.cpf = u.cpf) THEN 'Agente de Saúde'
-                    ELSE 'Usuário Genérico' END AS tipo_usuario
-        FROM {users} u) s ON r.tipo_usuario = s.tipo_usuario
-    GROUP BY r.tipo_usuario"""
-
-
 _US_I_ROLES = dict(_US_I)
 _US_I_ROLES.update({
     "usi_ok": "SELECT * FROM usi_d WHERE reason IS NULL",
@@ -677,7 +656,7 @@ _US_I_ROLES.update({
 })
 
 
-@query("usuario_insert_roles", (_US_I_ROLES, _role_counts_sql("usi_cid", "usi_adm", "usi_age", "usi_users")))
+@query("usuario_insert_roles", (_US_I_ROLES, role_counts_sql("usi_users", "usi_cid", "usi_adm", "usi_age")))
 def usuario_insert_roles(t):
     """Users per shown role after the insert batch (user + one role row each)."""
     from ..operators import lists
@@ -700,7 +679,7 @@ _US_U_ROLES.update({
 })
 
 
-@query("usuario_update_roles", (_US_U_ROLES, _role_counts_sql("usu_cid", "usu_adm", "usu_age")))
+@query("usuario_update_roles", (_US_U_ROLES, role_counts_sql("usuario", "usu_cid", "usu_adm", "usu_age")))
 def usuario_update_roles(t):
     """Users per shown role after the role moves of the update batch."""
     from ..operators import lists
@@ -735,17 +714,7 @@ _US_U_STATE.update({
 })
 
 
-@query("usuario_update_state", (_US_U_STATE, """
-    SELECT u.cpf, u.nome, u.telefone,
-           CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
-                WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario,
-           c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado,
-           a.local_trabalho AS admin_local_trabalho, s.email AS agente_email,
-           s.posto_trabalho AS agente_posto_trabalho
-    FROM usu_users u
-    LEFT JOIN usu_cid2 c ON u.cpf = c.cpf
-    LEFT JOIN usu_adm2 a ON u.cpf = a.cpf
-    LEFT JOIN usu_age2 s ON u.cpf = s.cpf"""))
+@query("usuario_update_state", (_US_U_STATE, user_list_sql("usu_users", "usu_cid2", "usu_adm2", "usu_age2")))
 def usuario_update_state(t):
     """The full user list (J2) after the update batch."""
     from ..operators import lists
@@ -763,17 +732,7 @@ _US_D_STATE.update({
 })
 
 
-@query("usuario_delete_state", (_US_D_STATE, """
-    SELECT u.cpf, u.nome, u.telefone,
-           CASE WHEN c.cpf IS NOT NULL THEN 'Cidadão' WHEN a.cpf IS NOT NULL THEN 'Administrador'
-                WHEN s.cpf IS NOT NULL THEN 'Agente de Saúde' ELSE 'Usuário Genérico' END AS tipo_usuario,
-           c.cartao_sus, c.rua, c.bairro, c.numero, c.cidade, c.estado,
-           a.local_trabalho AS admin_local_trabalho, s.email AS agente_email,
-           s.posto_trabalho AS agente_posto_trabalho
-    FROM usd_users u
-    LEFT JOIN usd_cid c ON u.cpf = c.cpf
-    LEFT JOIN usd_adm a ON u.cpf = a.cpf
-    LEFT JOIN usd_age s ON u.cpf = s.cpf"""))
+@query("usuario_delete_state", (_US_D_STATE, user_list_sql("usd_users", "usd_cid", "usd_adm", "usd_age")))
 def usuario_delete_state(t):
     """C3 + K3: the user list after the delete batch (role rows cascade)."""
     from ..operators import lists
@@ -850,7 +809,7 @@ def _delete_state_sql(table: str, key: str, judged: str, ctes: dict) -> tuple[di
                         f"(SELECT 1 FROM {judged} d WHERE d.reason IS NULL AND d.{key} = t.{key})")
 
 
-@query("vacina_insert_state", _insert_state_sql("vacina", "id_vacina", VACINA_COLS, "vac_i", _VAC_I, "integer"))
+@query("vacina_insert_state", _insert_state_sql("vacina", "id_vacina", VACINA_COLS, "vac_i", _VAC_I))
 def vacina_insert_state(t):
     """C4: the lot table after the batch."""
     new, _ = ch.apply_vacina_insert(_state(t), t["vacina_insert_req"])
@@ -868,8 +827,7 @@ def campanha_insert_state(t):
 @query("vacina_delete_state", _delete_state_sql("vacina", "id_vacina", "vac_d", _VAC_D))
 def vacina_delete_state(t):
     """The lot table after the batch."""
-    st = _state(t, vacinacao=t["vacinacao"].where(F.col("contagem") == 1))
-    new, _ = ch.apply_vacina_delete(st, t["vacina_delete_req"])
+    new, _ = ch.apply_vacina_delete(_state(t), t["vacina_delete_req"])
     return new["vacina"]
 
 
@@ -910,3 +868,142 @@ def vacinacao_delete_state(t):
     """The dose table after the batch."""
     new, _ = ch.apply_vacinacao_delete(_state(t), t["vacinacao_delete_req"])
     return new["vacinacao"]
+
+
+@query("campanha_delete_state", _delete_state_sql("campanha", "id_campanha", "camp_d", _CAMP_D))
+def campanha_delete_state(t):
+    """The campaign table after the batch."""
+    new, _ = ch.apply_campanha_delete(_state(t), t["campanha_delete_req"])
+    return new["campanha"]
+
+
+# ---------------------------------------------------------------------- decisions of C8, C10, C11, C14, C17
+
+@query("campanha_update_decisions", (_CAMP_U, _decisions_sql("camp_u")))
+def campanha_update_decisions(t):
+    """C8 decisions."""
+    return ch.apply_campanha_update(_state(t), t["campanha_update_req"])[1]
+
+
+@query("local_insert", (_LOC, _decisions_sql("loc_i", "SELECT coalesce(max(id_local), 0) FROM local")))
+def local_insert(t):
+    """C10 decisions."""
+    return ch.apply_local_insert(_state(t), t["local_insert_req"])[1]
+
+
+_LOC_U0 = {"loc_u0": f"SELECT *, {_local_reason(True)} AS reason FROM local_update_req r"}
+
+
+@query("local_update", (_LOC_U0, _decisions_sql("loc_u0")))
+def local_update(t):
+    """C11 decisions."""
+    return ch.apply_local_update(_state(t), t["local_update_req"])[1]
+
+
+@query("parente_update_decisions", (_PAR_U, _decisions_sql("paru_d")))
+def parente_update_decisions(t):
+    """C14 decisions."""
+    return ch.apply_parente_update(_state(t), t["parente_update_req"])[1]
+
+
+@query("agendamento_update_decisions", (_AG_U, _decisions_sql("agu_d")))
+def agendamento_update_decisions(t):
+    """C17 decisions."""
+    return ch.apply_agendamento_update(_state(t), t["agendamento_update_req"])[1]
+
+
+# ---------------------------------------------------------------------- K7: option membership on the other forms
+
+_OFFERED = f"""(EXISTS (SELECT 1 FROM vacina w WHERE w.id_vacina = r.id_vacina AND w.data_validade >= {AS_OF_SQL})
+                AND EXISTS (SELECT 1 FROM campanha k WHERE k.id_campanha = r.id_campanha AND k.data_inicio <= {AS_OF_SQL}
+                            AND coalesce(k.data_fim, DATE '9999-12-31') >= {AS_OF_SQL})
+                AND EXISTS (SELECT 1 FROM local s WHERE s.id_local = r.id_local))"""
+
+
+def _not_offered(judged: str, cond: str) -> str:
+    """The judged requests with ``not_offered`` right after ``missing_field``."""
+    return (f"SELECT * REPLACE (CASE WHEN reason IS DISTINCT FROM 'missing_field' AND ({cond}) THEN 'not_offered' "
+            f"ELSE reason END AS reason) FROM {judged} r")
+
+
+_PAR_N = dict(_PAR_I)
+_PAR_N.update({
+    "par_nu": f"""
+        SELECT *, coalesce(sum(CASE WHEN NOT (c_miss OR c_long OR c_self OR c_nc OR c_dup_t) THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY cpf_responsavel, cpf_parente ORDER BY req_seq {PRECEDING}), 0) AS before
+        FROM par_j""",
+    "par_n": """SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_nc THEN 'not_offered' WHEN c_self THEN 'self_link'
+                               WHEN c_dup_t OR before > 0 THEN 'duplicate' WHEN c_long THEN 'too_long' END AS reason
+                FROM par_nu""",
+})
+
+
+@query("parente_insert_not_offered", (_PAR_N, _decisions_sql("par_n", "SELECT coalesce(max(id_parentesco), 0) FROM parente")))
+def parente_insert_not_offered(t):
+    """K7 on C13: both ends must be in the citizen list."""
+    return ch.apply_parente_insert(_state(t), t["parente_insert_req"], check_options=True)[1]
+
+
+_PAR_UN = dict(_PAR_U)
+_PAR_UN["paru_n"] = _not_offered("paru_d", """NOT EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf_responsavel)
+    OR NOT EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf_parente)""")
+
+
+@query("parente_update_not_offered", (_PAR_UN, _decisions_sql("paru_n")))
+def parente_update_not_offered(t):
+    """K7 on C14."""
+    return ch.apply_parente_update(_state(t), t["parente_update_req"], check_options=True)[1]
+
+
+_AG_UN = dict(_AG_U)
+_AG_UN["agu_n"] = _not_offered("agu_d", f"NOT {_OFFERED}")
+
+
+@query("agendamento_update_not_offered", (_AG_UN, _decisions_sql("agu_n")))
+def agendamento_update_not_offered(t):
+    """K7 on C17."""
+    return ch.apply_agendamento_update(_state(t), t["agendamento_update_req"], check_options=True, as_of=AS_OF)[1]
+
+
+_VI_N = {
+    "vi_r": _VI["vi_r"], "vi_j": _VI["vi_j"],
+    "vi_nu": f"""
+        SELECT r.*, NOT {_OFFERED} AS c_noff,
+               coalesce(sum(CASE WHEN NOT (c_miss OR c_oor OR c_long OR c_null OR c_cit OR c_fk) AND {_OFFERED}
+                                 THEN 1 ELSE 0 END) OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
+        FROM vi_j r""",
+    "vi_n": """
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_noff THEN 'not_offered' WHEN c_oor THEN 'out_of_range'
+                       WHEN c_cit THEN 'not_citizen' WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null'
+                       WHEN stock IS NULL OR used_before >= stock THEN 'no_stock'
+                       WHEN c_fk THEN 'fk_violation' END AS reason
+        FROM vi_nu""",
+}
+
+
+@query("vacinacao_insert_not_offered", (_VI_N, _decisions_sql("vi_n", "SELECT coalesce(max(id_vacinacao), 0) FROM vacinacao")))
+def vacinacao_insert_not_offered(t):
+    """K7 on C19."""
+    return ch.apply_vacinacao_insert(_state(t), t["vacinacao_request"], check_options=True, as_of=AS_OF)[1]
+
+
+_VU_N = {
+    "vu_r": _VU["vu_r"], "vu_j": _VU["vu_j"],
+    "vu_nu": f"""
+        SELECT r.*, NOT {_OFFERED} AS c_noff,
+               coalesce(sum(CASE WHEN move AND found AND {_OFFERED} AND NOT (c_miss OR c_oor OR c_long OR c_null OR c_cit OR c_fk)
+                                 THEN 1 ELSE 0 END) OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
+        FROM vu_j r""",
+    "vu_n": """
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_noff THEN 'not_offered' WHEN c_oor THEN 'out_of_range'
+                       WHEN c_cit THEN 'not_citizen' WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long'
+                       WHEN c_null THEN 'not_null' WHEN move AND (stock IS NULL OR used_before >= stock) THEN 'no_stock'
+                       WHEN c_fk THEN 'fk_violation' END AS reason
+        FROM vu_nu""",
+}
+
+
+@query("vacinacao_update_not_offered", (_VU_N, _decisions_sql("vu_n")))
+def vacinacao_update_not_offered(t):
+    """K7 on C20."""
+    return ch.apply_vacinacao_update(_state(t), t["vacinacao_update_req"], check_options=True, as_of=AS_OF)[1]

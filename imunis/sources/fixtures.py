@@ -20,6 +20,12 @@ AS_OF = dt.date(1998, 6, 1)
 CAMPAIGN_DISEASES = ["ECONOMY", "SMALL", "MEDIUM", "STANDARD", "LARGE"]
 BASE_DATE = "1995-01-01"
 CAMPAIGN_START = "1995-06-01"
+# Doses use the first 22 of the 25 campaigns; the others are unreferenced.
+DOSE_CAMPAIGNS = 22
+# Ids from here on are spare lots and sites, which no dose refers to.
+SPARE = 10**15
+# Ids from here on belong to no row.
+UNKNOWN = 2 * 10**15
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -49,6 +55,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _booked_lot():
+    """The line's lot; for every 23rd order a spare lot of the same twenty."""
+    spare = F.floor(F.col("l_partkey") / 20) * 20 + 7 + SPARE
+    return F.when(F.col("l_orderkey") % 23 == 0, spare).otherwise(F.col("l_partkey") + 1).cast("bigint")
+
+
 class Fixtures:
     """Lazy accessor for the bound tables of one scale-factor folder."""
 
@@ -122,24 +134,33 @@ class Fixtures:
         )
 
     def _build_vacina(self) -> DataFrame:
-        p = self.raw("part")
+        """A lot for each part, and a spare lot for every twentieth."""
+        p, k = self.raw("part"), F.col("p_partkey")
+        return self._lots(p, k + 1).unionByName(self._lots(p.where(k % 20 == 7), k + SPARE))
+
+    @staticmethod
+    def _lots(p: DataFrame, key) -> DataFrame:
         day = (F.col("p_partkey") % 1500).cast("int")
         return p.select(
-            (F.col("p_partkey") + 1).cast("int").alias("id_vacina"),
+            key.cast("bigint").alias("id_vacina"),
             F.col("p_name").alias("nome"),
             F.col("p_type").alias("doenca_alvo"),
-            F.col("p_brand").alias("codigo_lote"),
+            F.regexp_replace("p_brand", "[^0-9]", "").alias("codigo_lote"),
             F.date_add(F.lit(BASE_DATE).cast("date"), day).alias("data_chegada"),
             F.date_add(F.lit(BASE_DATE).cast("date"), day + (F.col("p_size") * 30).cast("int")).alias("data_validade"),
             (F.col("p_size") - 1).cast("int").alias("qtd_doses"),
         )
 
     def _build_local(self) -> DataFrame:
-        s = self.raw("supplier")
+        """A site for each supplier, and a spare site for every tenth."""
+        s, k = self.raw("supplier"), F.col("s_suppkey")
+        return self._sites(s, k + 1).unionByName(self._sites(s.where(k % 10 == 3), k + SPARE))
+
+    def _sites(self, s: DataFrame, key) -> DataFrame:
         n = self.raw("nation").select("n_nationkey", "n_name", "n_regionkey")
         k = F.col("s_suppkey")
         return s.join(n, s.s_nationkey == n.n_nationkey).select(
-            (k + 1).cast("int").alias("id_local"),
+            key.cast("bigint").alias("id_local"),
             F.col("s_name").alias("nome"),
             F.concat(F.lit("Rua "), (k % 50).cast("string")).alias("rua"),
             F.concat(F.lit("Bairro "), (k % 20).cast("string")).alias("bairro"),
@@ -170,19 +191,18 @@ class Fixtures:
     def _build_dose_line(self) -> DataFrame:
         """lineitem with one row per (l_orderkey, l_linenumber), joined to orders.
 
-        The keep-first rule is a ``row_number() = 1`` window, which Spark
-        plans with a partial group limit before the shuffle: every map task
-        keeps one row per (order, line) it holds, so a repeated pair is
-        collapsed before it moves, and the shuffle key is the pair, not the
-        order alone, so one large order does not become one task.
+        The join comes first: it shuffles the lines by order, and the
+        keep-first window (``row_number() = 1`` by order and line) uses that
+        partitioning as it is, so the lines move once. The join itself needs
+        all lines of an order together; an order has few.
         """
         li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                          "l_shipdate", "l_extendedprice")
         w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
             "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-        first = li.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "l_extendedprice")
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        return first.join(o, first.l_orderkey == o.o_orderkey).drop("o_orderkey")
+        return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey") \
+            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "l_extendedprice")
 
     def _build_vacinacao(self) -> DataFrame:
         d = self["dose_line"].where((F.col("l_linenumber") <= 4) & (F.col("o_custkey") % 10 <= 6))
@@ -190,10 +210,10 @@ class Fixtures:
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id_vacinacao"),
             F.col("l_linenumber").cast("int").alias("contagem"),
             F.col("l_shipdate").cast("date").alias("data_aplicacao"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+            (F.col("l_partkey") + 1).cast("bigint").alias("id_vacina"),
             cpf("o_custkey").alias("cpf"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
-            (F.col("l_orderkey") % 25 + 1).cast("int").alias("id_campanha"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
+            (F.col("l_orderkey") % DOSE_CAMPAIGNS + 1).cast("int").alias("id_campanha"),
         )
 
     def _build_vacinacao_all(self) -> DataFrame:
@@ -203,10 +223,10 @@ class Fixtures:
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id_vacinacao"),
             F.col("l_linenumber").cast("int").alias("contagem"),
             F.col("l_shipdate").cast("date").alias("data_aplicacao"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+            (F.col("l_partkey") + 1).cast("bigint").alias("id_vacina"),
             cpf("o_custkey").alias("cpf"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
-            (F.col("l_orderkey") % 25 + 1).cast("int").alias("id_campanha"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
+            (F.col("l_orderkey") % DOSE_CAMPAIGNS + 1).cast("int").alias("id_campanha"),
         )
 
     def _build_vacinacao_raw(self) -> DataFrame:
@@ -219,21 +239,22 @@ class Fixtures:
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id_vacinacao"),
             F.col("l_linenumber").cast("int").alias("contagem"),
             F.col("l_shipdate").cast("date").alias("data_aplicacao"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
+            (F.col("l_partkey") + 1).cast("bigint").alias("id_vacina"),
             cpf("o_custkey").alias("cpf"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
-            (F.col("l_orderkey") % 25 + 1).cast("int").alias("id_campanha"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
+            (F.col("l_orderkey") % DOSE_CAMPAIGNS + 1).cast("int").alias("id_campanha"),
         )
 
     def _build_vacinacao_request(self) -> DataFrame:
         d = self["dose_line"].where(F.col("l_linenumber") >= 5)
+        k = F.col("l_orderkey")
         return d.select(
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("req_seq"),
-            F.col("l_linenumber").cast("int").alias("contagem"),
-            F.col("l_shipdate").cast("date").alias("data_aplicacao"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
-            cpf("o_custkey").alias("cpf"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
+            (k * 8 + F.col("l_linenumber")).cast("bigint").alias("req_seq"),
+            F.when(k % 53 == 0, 0).otherwise(F.col("l_linenumber")).cast("int").alias("contagem"),
+            F.when(k % 61 != 0, F.col("l_shipdate").cast("date")).alias("data_aplicacao"),
+            (F.col("l_partkey") + F.when(k % 43 == 0, UNKNOWN).otherwise(1)).cast("bigint").alias("id_vacina"),
+            F.when(k % 67 == 0, "").otherwise(cpf("o_custkey")).alias("cpf"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
             (F.col("l_orderkey") % 27 + 1).cast("int").alias("id_campanha"),
         )
 
@@ -242,8 +263,8 @@ class Fixtures:
         return d.select(
             F.col("l_orderkey").cast("bigint").alias("id_agendamento"),
             F.col("o_orderdate").cast("date").alias("data_agendamento"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
+            _booked_lot().alias("id_vacina"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
             cpf("o_custkey").alias("cpf"),
         )
 
@@ -252,8 +273,8 @@ class Fixtures:
         return d.select(
             F.col("l_orderkey").cast("bigint").alias("id_agendamento"),
             F.col("o_orderdate").cast("date").alias("data_agendamento"),
-            (F.col("l_partkey") + 1).cast("int").alias("id_vacina"),
-            (F.col("l_suppkey") + 1).cast("int").alias("id_local"),
+            _booked_lot().alias("id_vacina"),
+            (F.col("l_suppkey") + 1).cast("bigint").alias("id_local"),
             cpf("o_custkey").alias("cpf"),
         )
 
@@ -274,5 +295,45 @@ class Fixtures:
         )
 
 
+    # -- tables with faults, for the audits (every rule of K2, K4 and K6 finds some) --
+    def _build_usuario_bad(self) -> DataFrame:
+        u, last = self["usuario"], F.substring("cpf", 11, 1)
+        return u.withColumn("telefone", F.when(last != "7", F.col("telefone"))) \
+            .withColumn("nome", F.when(last == "3", F.repeat("nome", 8)).otherwise(F.col("nome")))
+
+    def _build_cidadao_bad(self) -> DataFrame:
+        c = self["cidadao"]
+        return c.withColumn("cpf", F.when(F.col("numero") % 41 == 0, F.concat(F.lit("X"), "cpf")).otherwise(F.col("cpf")))
+
+    def _build_vacina_bad(self) -> DataFrame:
+        v, k = self["vacina"], F.col("id_vacina")
+        return v.withColumn("qtd_doses", F.when(k % 13 == 0, -1).otherwise(F.col("qtd_doses"))) \
+            .withColumn("codigo_lote", F.when(k % 17 == 0, F.concat(F.lit("L-"), "codigo_lote")).otherwise(F.col("codigo_lote"))) \
+            .withColumn("doenca_alvo", F.when(k % 19 != 0, F.col("doenca_alvo")))
+
+    def _build_local_bad(self) -> DataFrame:
+        lo, k = self["local"], F.col("id_local")
+        return lo.withColumn("numero", F.when(k % 5 == 0, 0).otherwise(F.col("numero"))) \
+            .withColumn("capacidade", F.when(k % 7 == 0, -1).otherwise(F.col("capacidade"))) \
+            .withColumn("estado", F.when(k % 3 == 0, F.lit("RJX")).otherwise(F.col("estado"))) \
+            .withColumn("contato", F.when(k % 4 != 0, F.col("contato")))
+
+    def _build_campanha_bad(self) -> DataFrame:
+        c = self["campanha"]
+        return c.withColumn("tipo_vacina", F.when(F.col("id_campanha") % 6 == 0, F.lit("Toxoide")).otherwise(F.col("tipo_vacina")))
+
+    def _build_vacinacao_bad(self) -> DataFrame:
+        d, k = self["vacinacao_all"], F.col("id_vacinacao")
+        return d.withColumn("contagem", F.when(k % 97 == 0, 0).otherwise(F.col("contagem"))) \
+            .withColumn("id_vacina", F.when(k % 101 == 0, F.col("id_vacina") + UNKNOWN).otherwise(F.col("id_vacina"))) \
+            .withColumn("id_local", F.when(k % 103 == 0, F.col("id_local") + UNKNOWN).otherwise(F.col("id_local"))) \
+            .withColumn("id_campanha", F.when(k % 107 == 0, F.col("id_campanha") + 100).otherwise(F.col("id_campanha")))
+
+    def _build_agendamento_bad(self) -> DataFrame:
+        a, k = self["agendamento_all"], F.col("id_agendamento")
+        return a.withColumn("id_vacina", F.when(k % 101 == 0, F.col("id_vacina") + UNKNOWN).otherwise(F.col("id_vacina"))) \
+            .withColumn("id_local", F.when(k % 103 == 0, F.col("id_local") + UNKNOWN).otherwise(F.col("id_local")))
+
+
 def load(spark: SparkSession, sf_dir: str) -> Fixtures:
     return Fixtures(spark, sf_dir)

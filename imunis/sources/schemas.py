@@ -57,7 +57,7 @@ CAMPANHA = TableSpec(
 VACINA = TableSpec(
     "vacina",
     T.StructType([
-        _f("id_vacina", I), _f("nome", S), _f("doenca_alvo", S), _f("codigo_lote", S),
+        _f("id_vacina", L), _f("nome", S), _f("doenca_alvo", S), _f("codigo_lote", S),
         _f("data_chegada", D), _f("data_validade", D), _f("qtd_doses", I),
     ]),
     key=("id_vacina",),
@@ -68,7 +68,7 @@ VACINA = TableSpec(
 LOCAL = TableSpec(
     "local",
     T.StructType([
-        _f("id_local", I), _f("nome", S), _f("rua", S), _f("bairro", S), _f("numero", I),
+        _f("id_local", L), _f("nome", S), _f("rua", S), _f("bairro", S), _f("numero", I),
         _f("cidade", S), _f("estado", S), _f("contato", S), _f("capacidade", I, True),
     ]),
     key=("id_local",),
@@ -113,8 +113,8 @@ AGENTE_SAUDE = TableSpec(
 VACINACAO = TableSpec(
     "vacinacao",
     T.StructType([
-        _f("id_vacinacao", L), _f("contagem", I), _f("data_aplicacao", D), _f("id_vacina", I),
-        _f("cpf", S), _f("id_local", I), _f("id_campanha", I),
+        _f("id_vacinacao", L), _f("contagem", I), _f("data_aplicacao", D), _f("id_vacina", L),
+        _f("cpf", S), _f("id_local", L), _f("id_campanha", I),
     ]),
     key=("id_vacinacao",),
     foreign_keys=(
@@ -142,8 +142,8 @@ PARENTE = TableSpec(
 AGENDAMENTO = TableSpec(
     "agendamento",
     T.StructType([
-        _f("id_agendamento", L), _f("data_agendamento", D), _f("id_vacina", I),
-        _f("id_local", I), _f("cpf", S),
+        _f("id_agendamento", L), _f("data_agendamento", D), _f("id_vacina", L),
+        _f("id_local", L), _f("cpf", S),
     ]),
     key=("id_agendamento",),
     foreign_keys=(
@@ -160,11 +160,6 @@ TABLES: dict[str, TableSpec] = {
                         AGENTE_SAUDE, VACINACAO, PARENTE, AGENDAMENTO)
 }
 
-# Decision rows returned by every change operator (§2.8).
-DECISION_SCHEMA = T.StructType([
-    _f("req_seq", L), _f("accepted", T.BooleanType()), _f("reason", S, True), _f("new_id", L, True),
-])
-
 # Option lists of the reference's forms.
 TIPOS_VACINA = ("Dose Única", "Múltiplas Doses")
 ROLE_CIDADAO = "Cidadão"

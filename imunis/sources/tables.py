@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +28,16 @@ def register_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None
         df.createOrReplaceTempView(name)
 
 
-def param_lookup(spark: SparkSession, query: str, params: Mapping[str, object] | None = None) -> DataFrame:
+def param_lookup(spark: SparkSession, query: str, params: Mapping[str, object] | None = None,
+                 **frames: DataFrame) -> DataFrame:
     """Parametrised SQL to a DataFrame.
 
-    Parameters are bound by name (``:name``), never pasted into the text.
+    Parameters are bound by name (``:name``), never pasted into the text;
+    ``{name}`` stands for a DataFrame given by keyword, so no view is needed.
     Errors are raised to the caller instead of being turned into an empty
     result.
     """
-    return spark.sql(query, args=dict(params or {}))
+    return spark.sql(query, args=dict(params or {}), **frames)
 
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -48,76 +50,70 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name.lower())
 
 
-def write_snapshot(df: DataFrame, root: str, table: str, version: int | str,
-                   mode: str = "errorifexists") -> str:
-    """Write a new version of ``table`` under ``root/table/v=<version>``.
+# One row for each committed version of a table: who committed it, and the last id handed out, if that is tracked.
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = "name string, version long, run string, last_id long"
+
+
+def _at(root: str, *parts: object) -> str:
+    return "/".join([root.rstrip("/"), *map(str, parts)])
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The committed versions under ``root`` (no rows if nothing was committed).
+
+    Written and read by Spark, so ``root`` may be any path that Spark knows.
+    """
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(_at(root, MANIFEST))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+def commit(spark: SparkSession, root: str, rows: list[tuple[str, int, str | None, int | None]]) -> None:
+    """Append manifest rows as one file, which appears whole or not at all."""
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(_at(root, MANIFEST))
+
+
+def write_snapshot(df: DataFrame, root: str, table: str, version: int, mode: str = "errorifexists") -> str:
+    """Write a new version of ``table`` under ``root/table/v=<version>``
+    and commit it.
 
     A change batch never overwrites the version it read; readers pick the
-    newest complete version with ``latest_snapshot``.
+    newest committed version with ``latest_snapshot``.
     """
-    path = os.path.join(root, table, f"v={version}")
+    path = _at(root, table, f"v={version}")
     df.write.mode(mode).parquet(path)
+    commit(df.sparkSession, root, [(table, version, None, None)])
     return path
 
 
-def committed_batches(root: str) -> set[int] | None:
-    """Versions committed by ``commit_batch`` (None when the root has no
-    batch markers, i.e. single-table snapshots only)."""
-    d = os.path.join(root, "_commits")
-    if not os.path.isdir(d):
-        return None
-    return {int(n) for n in os.listdir(d) if n.lstrip("-").isdigit()}
-
-
-def snapshot_versions(root: str, table: str) -> list[int]:
-    base = os.path.join(root, table)
-    if not os.path.isdir(base):
-        return []
-    committed = committed_batches(root)
-    out = []
-    for name in os.listdir(base):
-        if name.startswith("v=") and os.path.exists(os.path.join(base, name, "_SUCCESS")):
-            try:
-                v = int(name[2:])
-            except ValueError:
-                continue
-            if committed is None or v in committed or v == 0:
-                out.append(v)
-    return sorted(out)
+def snapshot_versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    rows = manifest(spark, root).where(F.col("name") == table).select("version").distinct().collect()
+    return sorted(r["version"] for r in rows)
 
 
 def latest_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    versions = snapshot_versions(root, table)
+    versions = snapshot_versions(spark, root, table)
     if not versions:
         return None
-    return read_table(spark, os.path.join(root, table, f"v={versions[-1]}"), table)
-
-
-def empty_like(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[table].schema)
-
-
-def with_schema(df: DataFrame, table: str) -> DataFrame:
-    """Project and cast ``df`` to the declared schema of ``table``."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].schema.fields])
+    return read_table(spark, _at(root, table, f"v={versions[-1]}"), table)
 
 
 def commit_batch(root: str, version: int, new_state: Mapping[str, DataFrame], decisions: DataFrame) -> dict[str, str]:
     """S7 for a change batch: write every table the batch changed and its
-    decisions as version ``version`` under ``root``, then the marker
-    ``_commits/<version>`` last. Readers only see versions with a marker
-    (version 0 is the initial load), so a batch that dies half-way is
-    invisible in every table at once; rerunning it overwrites only its own
-    uncommitted folders."""
+    decisions as version ``version`` under ``root``, then one manifest file
+    that names them all. Readers only see versions in the manifest, so a
+    batch that dies half-way is invisible in every table at once; rerunning
+    it overwrites only its own uncommitted folders. The operator keeps its
+    judgement in a checkpoint, so writing several tables judges once."""
     if version == 0:
         raise ValueError("version 0 is the initial snapshot")
     out = {}
-    for name, df in new_state.items():
-        out[name] = write_snapshot(df, root, name, version, mode="overwrite")
-    out["decisions"] = os.path.join(root, "decisions", f"v={version}")
-    decisions.write.mode("overwrite").parquet(out["decisions"])
-    marks = os.path.join(root, "_commits")
-    os.makedirs(marks, exist_ok=True)
-    with open(os.path.join(marks, str(version)), "w") as fh:
-        fh.write("committed\n")
+    for name, df in {**new_state, "decisions": decisions}.items():
+        out[name] = _at(root, name, f"v={version}")
+        df.write.mode("overwrite").parquet(out[name])
+    commit(decisions.sparkSession, root, [(name, version, None, None) for name in out])
     return out

@@ -2,115 +2,126 @@
 
 Request files land in a folder; Structured Streaming picks them up and each
 micro-batch runs ``apply_vacinacao_insert`` against the latest committed
-state. State lives in a snapshot folder on shared storage:
+state. State lives in a snapshot folder, ``root``, which may be any path that
+Spark reads and writes:
 
 * ``<root>/vacinacao/batch=<n>/``  rows appended by batch ``n`` (batch -1 is
   the initial load); the table is every committed batch folder;
 * ``<root>/vacina/v=<n>/``         the lot table after batch ``n`` (lots are
   a dimension, rewritten whole);
-* ``<root>/decisions/batch=<n>/``  decisions of batch ``n``;
-* ``<root>/_commits/<n>``          written last, with the last dose id
-  handed out; a batch without it never happened.
-
-A batch whose commit marker exists is skipped, so a replay after a lost
-executor or a restarted query changes nothing twice. Files read in
-``req_seq`` order give the same result as one batch over their union,
-because ids and stock carry over from batch to batch.
+* ``<root>/decisions/batch=<n>/``  decisions of batch ``n``, written first:
+  rows and stock are derived from them;
+* the manifest (``sources.tables``) has a row for each committed batch, with
+  the streaming query's id and the last dose id handed out. It is written
+  last; a batch without it never happened.
+
+A batch in the manifest is skipped, so a replay after a lost executor or a
+restarted query changes nothing twice. A batch number that another query
+committed means that the streaming checkpoint was lost or exchanged: its
+numbers start again, and skipping would drop new requests, so it raises.
+A request (``req_seq``) that an earlier batch decided is not decided again;
+one that occurs twice in a batch raises. Files read in ``req_seq`` order give
+the same result as one batch over their union, because ids and stock carry
+over from batch to batch.
 """
 
 from __future__ import annotations
 
-import json
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import apply_vacinacao_insert
+from ..functions import columns as C
+from ..operators.changes import apply_vacinacao_insert, require_unique_seq, stock_after
+from ..sources import tables as tb
 from ..sources.schemas import TABLES, request_schema
 
 INITIAL = -1
 STATIC = ("cidadao", "local", "campanha")
+FEED = "dose_feed"
 
 
-def _commits(root: str) -> list[int]:
-    d = os.path.join(root, "_commits")
-    if not os.path.isdir(d):
-        return []
-    return sorted(int(n) for n in os.listdir(d) if n.lstrip("-").isdigit())
-
-
-def last_commit(root: str) -> int | None:
-    c = _commits(root)
-    return c[-1] if c else None
+class CheckpointMismatch(RuntimeError):
+    """The state was written by another streaming query than the one that asks."""
 
 
-def _mark(root: str, batch: int, last_id: int) -> None:
-    d = os.path.join(root, "_commits")
-    os.makedirs(d, exist_ok=True)
-    with open(os.path.join(d, str(batch)), "w") as fh:
-        json.dump({"batch": batch, "last_id": last_id}, fh)
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    return tb.manifest(spark, root).where(F.col("name") == FEED)
 
 
-def last_id(root: str) -> int:
-    """Largest dose id handed out up to the last commit (kept in the marker,
-    so a micro-batch never scans the dose table for it)."""
-    with open(os.path.join(root, "_commits", str(last_commit(root)))) as fh:
-        return int(json.load(fh)["last_id"])
+def last_commit(spark: SparkSession, root: str) -> int | None:
+    return _commits(spark, root).agg(F.max("version")).first()[0]
 
 
 def init_state(root: str, tables: dict[str, DataFrame]) -> None:
     """Write the initial snapshot (batch -1) of the tables the feed reads."""
-    if last_commit(root) is not None:
+    spark = tables["vacinacao"].sparkSession
+    if last_commit(spark, root) is not None:
         return
-    tables["vacinacao"].write.mode("overwrite").parquet(os.path.join(root, "vacinacao", f"batch={INITIAL}"))
-    tables["vacina"].write.mode("overwrite").parquet(os.path.join(root, "vacina", f"v={INITIAL}"))
+    tables["vacinacao"].write.mode("overwrite").parquet(f"{root}/vacinacao/batch={INITIAL}")
+    tables["vacina"].write.mode("overwrite").parquet(f"{root}/vacina/v={INITIAL}")
     for name in STATIC:
-        tables[name].write.mode("overwrite").parquet(os.path.join(root, name))
-    top = spark_max(tables["vacinacao"], "id_vacinacao")
-    _mark(root, INITIAL, top)
-
-
-def spark_max(df: DataFrame, col: str) -> int:
-    """One scalar to the driver (the initial largest id)."""
-    v = df.agg(F.max(col)).first()[0]
-    return int(v) if v is not None else 0
+        tables[name].write.mode("overwrite").parquet(f"{root}/{name}")
+    top = tables["vacinacao"].agg(F.max("id_vacinacao")).first()[0]
+    tb.commit(spark, root, [(FEED, INITIAL, None, int(top or 0))])
 
 
 def read_state(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Committed state: appended dose batches up to the last commit, the lot
     table of the last commit, and the static tables."""
-    last = last_commit(root)
+    last = last_commit(spark, root)
     if last is None:
         raise FileNotFoundError(f"no committed state under {root}")
     schema = T.StructType(list(TABLES["vacinacao"].schema.fields) + [T.StructField("batch", T.IntegerType())])
-    vac = spark.read.schema(schema) \
-        .option("basePath", os.path.join(root, "vacinacao")).parquet(os.path.join(root, "vacinacao")) \
+    doses = spark.read.schema(schema).option("basePath", f"{root}/vacinacao").parquet(f"{root}/vacinacao") \
         .where(F.col("batch") <= last).drop("batch")
-    out = {"vacinacao": vac,
-           "vacina": spark.read.schema(TABLES["vacina"].schema).parquet(os.path.join(root, "vacina", f"v={last}"))}
+    out = {"vacinacao": doses, "vacina": tb.read_table(spark, f"{root}/vacina/v={last}", "vacina")}
     for name in STATIC:
-        out[name] = spark.read.schema(TABLES[name].schema).parquet(os.path.join(root, name))
+        out[name] = tb.read_table(spark, f"{root}/{name}", name)
     return out
 
 
-def process_batch(spark: SparkSession, root: str, requests: DataFrame, batch_id: int) -> bool:
-    """Apply one micro-batch; returns False when it was already committed."""
-    if batch_id in _commits(root):
+def read_decisions(spark: SparkSession, root: str) -> DataFrame:
+    """Decisions of all committed batches."""
+    last = last_commit(spark, root)
+    return spark.read.parquet(f"{root}/decisions").where(F.col("batch") <= last).drop("batch")
+
+
+def _undecided(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
+    """The requests that no committed batch has decided (a file may be sent again)."""
+    try:
+        decided = read_decisions(spark, root).select("req_seq")
+    except AnalysisException:  # the first batch
+        return requests
+    return requests.join(decided, "req_seq", "left_anti")
+
+
+def process_batch(spark: SparkSession, root: str, requests: DataFrame, batch_id: int, run: str = "direct") -> bool:
+    """Apply one micro-batch of the query ``run``; False when it was committed
+    before by that query, ``CheckpointMismatch`` when by another."""
+    done = _commits(spark, root).where(F.col("version") == batch_id).first()
+    if done is not None:
+        if done["run"] != run:
+            raise CheckpointMismatch(f"batch {batch_id} under {root} was committed by query {done['run']}, not {run}: "
+                                     "the streaming checkpoint was lost or exchanged")
         return False
+    require_unique_seq(requests)
     state = read_state(spark, root)
-    base = last_id(root)
-    new, dec = apply_vacinacao_insert(state, requests, materialize=True, id_base=base)
-    accepted = dec.where(F.col("accepted") & F.col("reason").isNull()).select("req_seq", "new_id")
-    added = requests.join(accepted, "req_seq").withColumn("cpf", F.regexp_replace("cpf", r"^\s+|\s+$", "")) \
-        .withColumn("id_vacinacao", F.col("new_id"))
-    added = added.select(*[F.col(f.name).cast(f.dataType) for f in TABLES["vacinacao"].schema.fields])
-    added.write.mode("overwrite").parquet(os.path.join(root, "vacinacao", f"batch={batch_id}"))
-    new["vacina"].write.mode("overwrite").parquet(os.path.join(root, "vacina", f"v={batch_id}"))
-    dec.write.mode("overwrite").parquet(os.path.join(root, "decisions", f"batch={batch_id}"))
-    top = spark.read.parquet(os.path.join(root, "decisions", f"batch={batch_id}")).agg(F.max("new_id")).first()[0]
-    _mark(root, batch_id, int(top) if top is not None else base)
+    base = _commits(spark, root).orderBy(F.desc("version")).first()["last_id"]
+    _, dec = apply_vacinacao_insert(state, _undecided(spark, root, requests), id_base=base)
+    path = f"{root}/decisions/batch={batch_id}"
+    dec.write.mode("overwrite").parquet(path)
+    dec = spark.read.schema(dec.schema).parquet(path)
+    accepted = dec.where("accepted AND reason IS NULL").select("req_seq", F.col("new_id").alias("id_vacinacao"))
+    added = requests.join(accepted, "req_seq").withColumn("cpf", C.strip_ws("cpf")).select(
+        *[F.col(f.name).cast(f.dataType) for f in TABLES["vacinacao"].schema.fields])
+    path = f"{root}/vacinacao/batch={batch_id}"
+    added.write.mode("overwrite").parquet(path)
+    taken = spark.read.schema(added.schema).parquet(path).select("id_vacina", F.lit(-1).alias("_d"))
+    stock_after(state["vacina"], taken).write.mode("overwrite").parquet(f"{root}/vacina/v={batch_id}")
+    top = dec.agg(F.max("new_id")).first()[0]
+    tb.commit(spark, root, [(FEED, batch_id, run, int(top) if top is not None else base)])
     return True
 
 
@@ -124,12 +135,11 @@ def start_dose_feed(spark: SparkSession, request_dir: str, root: str, checkpoint
         "req_seq", "contagem", "data_aplicacao", "id_vacina", "cpf", "id_local", "id_campanha")
 
     def handle(batch_df: DataFrame, batch_id: int) -> None:
-        process_batch(batch_df.sparkSession, root, batch_df, int(batch_id))
+        session = batch_df.sparkSession
+        # Spark keeps the query's id in its checkpoint: the same after a restart, another after a loss.
+        run = session.read.json(f"{checkpoint}/metadata").first()["id"]
+        process_batch(session, root, batch_df, int(batch_id), run)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
-
-
-def read_decisions(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, "decisions")).drop("batch")

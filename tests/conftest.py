@@ -15,7 +15,7 @@ SF_MED = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
     from imunis.session import DEFAULT_CONF, ensure_checkpoint_dir
-    b = SparkSession.builder.master("local[*]").appName("imunis-tests")
+    b = SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]")).appName("imunis-tests")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", "8")

@@ -11,7 +11,7 @@ from imunis.operators import integrity, lists, rules
 
 from seed import tables
 
-AS_OF = dt.date(2025, 4, 15)
+AS_OF = dt.date(2031, 4, 15)
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +31,10 @@ def test_role_counts(t):
 def test_usuarios_completo_payloads(t):
     df = lists.usuarios_completo(t)
     r = {x["cpf"]: x for x in df.collect()}
-    assert r["33333333333"]["tipo_usuario"] == "Cidadão"
-    assert r["33333333333"]["admin_local_trabalho"] == "UBS Central"
-    assert r["44444444444"]["agente_email"] == "davi@x.br"
-    assert [x["nome"] for x in df.collect()][0] == "Ana Silva"
+    assert r["70000000003"]["tipo_usuario"] == "Cidadão"
+    assert r["70000000003"]["admin_local_trabalho"] == "Clínica Ipê"
+    assert r["70000000004"]["agente_email"] == "dora@exemplo.test"
+    assert [x["nome"] for x in df.collect()][0] == "Aldo Nevoeiro"
 
 
 def test_campanhas_ativas_order(t):
@@ -51,7 +51,7 @@ def test_agendamentos_fan_out(t):
     assert df.count() == 7
     assert df.where("id_agendamento = 4").select("id_campanha").collect()[0][0] is None
     first = df.collect()[0]
-    assert first["data_agendamento"] == dt.date(2025, 3, 2)
+    assert first["data_agendamento"] == dt.date(2031, 3, 12)
 
 
 def test_vacinacoes_and_parentescos(t):
@@ -69,16 +69,16 @@ def test_filter_like_wildcards_and_blank(t):
 
 def test_filter_regex_null_and_case(t):
     df = lists.usuarios_completo(t, ordered=False)
-    assert rows(flt.filter_regex(df, {"nome": "érica"}), "cpf") == [("66666666666",)]
+    assert rows(flt.filter_regex(df, {"nome": "íris"}), "cpf") == [("70000000006",)]
     assert flt.filter_regex(df, {"cidade": "."}).count() == 3  # NULL city never matches
-    assert flt.filter_regex(df, {"nome": "ana"}, case_sensitive=["nome"]).count() == 0
+    assert flt.filter_regex(df, {"nome": "aldo"}, case_sensitive=["nome"]).count() == 0
 
 
 def test_filter_any_and_range(t):
     par = lists.parentescos(t, ordered=False)
-    assert flt.filter_any(par, [(["cpf_responsavel", "cpf_parente"], " 333 ", True)]).count() == 1
+    assert flt.filter_any(par, [(["cpf_responsavel", "cpf_parente"], " 0003 ", True)]).count() == 1
     ag = lists.agendamentos(t, ordered=False)
-    assert flt.filter_range(ag, "data_agendamento", "2025-03-02", "2025-03-02").count() == 1
+    assert flt.filter_range(ag, "data_agendamento", "2031-03-12", "2031-03-12").count() == 1
 
 
 def test_page_total_order(t):
@@ -104,16 +104,16 @@ def test_strip_and_capitalize(spark):
 
 def test_eligibility(t, spark):
     req = spark.createDataFrame(
-        [(1, "11111111111", 3), (2, "11111111111", 1), (3, "22222222222", 1), (4, "66666666666", 2),
-         (5, "55555555555", 2), (6, "11111111111", 99), (7, "22222222222", 2)],
+        [(1, "70000000001", 3), (2, "70000000001", 1), (3, "70000000002", 1), (4, "70000000006", 2),
+         (5, "70000000005", 2), (6, "70000000001", 99), (7, "70000000002", 2)],
         "req_seq long, cpf string, id_campanha int")
     got = {r["req_seq"]: (r["ok"], r["reason"]) for r in
            rules.eligibility(req, t["campanha"], t["cidadao"], t["usuario"]).collect()}
     assert got == {1: (True, None), 2: (False, "not_target"), 3: (True, None), 4: (False, "error_null_city"),
                    5: (False, "not_citizen"), 6: (False, "invalid_campaign"), 7: (True, None)}
     msg = rules.eligibility(req.where("req_seq = 2"), t["campanha"], t["cidadao"], t["usuario"]).collect()[0]
-    assert msg["message"] == ("Cidadão de São paulo não se encaixa no público alvo da campanha "
-                              "(idosos de fortaleza).")
+    assert msg["message"] == ("Cidadão de Pedra clara não se encaixa no público alvo da campanha "
+                              "(idosos de aurora do vale).")
 
 
 def test_stock_slots_period(t, spark):
@@ -129,9 +129,9 @@ def test_stock_slots_period(t, spark):
 
 
 def test_duplicates_and_existence(t):
-    assert rows(rules.duplicate_groups(t["agendamento"]), "cpf", "n_agendamentos") == [("11111111111", 2)]
+    assert rows(rules.duplicate_groups(t["agendamento"]), "cpf", "n_agendamentos") == [("70000000001", 2)]
     assert rows(rules.deletable_usuarios(t["usuario"], t["vacinacao"], t["agendamento"], t["parente"]), "cpf") == \
-        [("44444444444",), ("55555555555",), ("66666666666",)]
+        [("70000000004",), ("70000000005",), ("70000000006",)]
     assert rules.unreferenced(t["vacina"], "id_vacina", (t["vacinacao"], "id_vacina")).count() == 2
 
 
@@ -149,9 +149,11 @@ def test_audits(t):
 
 def test_labels_last_wins(t, spark):
     v = t["vacina"].unionByName(spark.createDataFrame(
-        [(9, "Vacina Gripe", "Gripe", "1011", dt.date(2025, 1, 1), dt.date(2026, 1, 1), 1)], t["vacina"].schema))
+        [(9, "Influvac Teste", "Influenza B", "70415", dt.date(2031, 1, 1), dt.date(2032, 1, 1), 5)], t["vacina"].schema))
     got = dict(rows(lists.labels_agendamento_vacina({**t, "vacina": v}, AS_OF), "label", "id_vacina"))
-    assert got["Vacina Gripe (Lote: 1011)"] == 9
+    assert got["Influvac Teste (Lote: 70415)"] == 9
+    got = dict(rows(lists.labels_vacina({**t, "vacina": v}, AS_OF), "label", "id_vacina"))
+    assert got["Influvac Teste (Lote: 70415, Doses: 5)"] == 9 and len(got) == 3
 
 
 def test_filter_like_backslash_rule(spark):
@@ -162,5 +164,27 @@ def test_filter_like_backslash_rule(spark):
 
     assert hits("a\\b") == ["ab"]          # backslash before a letter stands for the letter
     assert hits("a\\%b") == ["a%b"]        # escaped % is a literal %
-    assert hits("a\\") == ["a\\b"]         # trailing backslash is literal
+    assert hits("a\\") == []              # trailing backslash: a literal % that must end the text
+    ends = spark.createDataFrame([("xa%",), ("a%x",), ("a",)], "s string")
+    assert [r[0] for r in flt.filter_like(ends, {"s": "a\\"}).collect()] == ["xa%"]
     assert hits("a%b") == ["a%b", "a\\b", "ab"]  # typed % stays a wildcard
+
+
+def test_regex_and_strip_know_unicode(spark):
+    df = spark.createDataFrame([("José",), ("Jose",), ("J se",)], "s string")
+    for cs in ([], ["s"]):
+        got = sorted(r[0] for r in flt.filter_regex(df, {"s": r"^\w+$"}, case_sensitive=cs).collect())
+        assert got == ["Jose", "José"]
+    typed = spark.createDataFrame([("\u00a0\x1c111 2\u2003\n",), ("\u3000",)], "s string")
+    assert [r[0] for r in typed.select(C.strip_ws("s")).collect()] == ["111 2", ""]
+
+
+def test_page_after_equals_offset_paging(spark):
+    rows_ = [(i, None if i % 4 == 0 else i % 3, None if i % 5 == 0 else "abc"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows_, "id long, n int, s string")
+    for keys in ([("n", "desc"), ("s", "asc"), ("id", "asc")], [("s", "desc"), ("n", "asc"), ("id", "desc")]):
+        whole = [tuple(r) for r in flt.order(df, keys).collect()]
+        for at in (0, 9, 10, 27, 38, 39):
+            last = dict(zip(df.columns, whole[at]))
+            got = [tuple(r) for r in flt.page_after(df, keys, last, 7).collect()]
+            assert got == whole[at + 1:at + 8]

@@ -72,9 +72,9 @@ def test_vacinacao_insert_matches_loop(spark):
     t = tables(spark)
     rnd = random.Random(11)
     import datetime as dt
-    cpfs = ["11111111111", " 22222222222 ", "55555555555", "", "33333333333"]
+    cpfs = ["70000000001", " 70000000002 ", "70000000005", "", "70000000003"]
     for trial in range(3):
-        reqs = [(seq, 1, dt.date(2025, 3, 1), rnd.choice([1, 1, 1, 2, 4, 7, 0]), rnd.choice(cpfs),
+        reqs = [(seq, 1, dt.date(2031, 3, 11), rnd.choice([1, 1, 1, 2, 4, 7, 0]), rnd.choice(cpfs),
                  rnd.choice([1, 2, 3]), rnd.choice([1, 2, 5]))
                 for seq in rnd.sample(range(1, 500), 40)]
         df = spark.createDataFrame(reqs, request_schema("vacinacao", with_key=False))
@@ -90,11 +90,11 @@ def test_vacinacao_insert_matches_loop(spark):
 def test_vacinacao_update_never_oversells(spark):
     t = tables(spark)
     import datetime as dt
-    reqs = [(10, 1, 1, dt.date(2025, 3, 1), 4, "11111111111", 1, 1),
-            (11, 2, 1, dt.date(2025, 3, 1), 4, "22222222222", 1, 1),
-            (12, 3, 1, dt.date(2025, 3, 1), 4, "33333333333", 1, 1),
-            (13, 3, 1, dt.date(2025, 3, 1), 1, "33333333333", 1, 1),
-            (14, 99, 1, dt.date(2025, 3, 1), 1, "11111111111", 1, 1)]
+    reqs = [(10, 1, 1, dt.date(2031, 3, 11), 4, "70000000001", 1, 1),
+            (11, 2, 1, dt.date(2031, 3, 11), 4, "70000000002", 1, 1),
+            (12, 3, 1, dt.date(2031, 3, 11), 4, "70000000003", 1, 1),
+            (13, 3, 1, dt.date(2031, 3, 11), 1, "70000000003", 1, 1),
+            (14, 99, 1, dt.date(2031, 3, 11), 1, "70000000001", 1, 1)]
     df = spark.createDataFrame(reqs, "req_seq long, id_vacinacao long, contagem int, data_aplicacao date, "
                                      "id_vacina int, cpf string, id_local int, id_campanha int")
     new, dec = ch.apply_vacinacao_update(t, df)
@@ -109,21 +109,21 @@ def test_vacinacao_update_never_oversells(spark):
 
 def test_deletes_first_wins_and_cascade(spark):
     t = tables(spark)
-    req = spark.createDataFrame([(1, "55555555555"), (2, "55555555555"), (3, "11111111111"), (4, "44444444444"),
+    req = spark.createDataFrame([(1, "70000000005"), (2, "70000000005"), (3, "70000000001"), (4, "70000000004"),
                                  (5, "00000000000")], "req_seq long, cpf string")
     new, dec = ch.apply_usuario_delete(t, req)
     got = {r["req_seq"]: r["reason"] for r in dec.collect()}
     assert got == {1: None, 2: "no_match", 3: "in_use", 4: None, 5: "no_match"}
-    assert new["administrador"].where(F.col("cpf") == "44444444444").count() == 0
+    assert new["administrador"].where(F.col("cpf") == "70000000004").count() == 0
     assert new["agente_saude"].count() == 0
     assert new["usuario"].count() == 4
 
 
 def test_parente_insert_reverse_allowed(spark):
     t = tables(spark)
-    req = spark.createDataFrame([(1, "22222222222", "11111111111"), (2, "33333333333", "11111111111"),
-                                 (3, "33333333333", "11111111111"), (4, "11111111111", "11111111111"),
-                                 (5, "33333333333", "55555555555")],
+    req = spark.createDataFrame([(1, "70000000002", "70000000001"), (2, "70000000003", "70000000001"),
+                                 (3, "70000000003", "70000000001"), (4, "70000000001", "70000000001"),
+                                 (5, "70000000003", "70000000005")],
                                 "req_seq long, cpf_responsavel string, cpf_parente string")
     new, dec = ch.apply_parente_insert(t, req)
     got = {r["req_seq"]: (r["reason"], r["new_id"]) for r in dec.collect()}
@@ -152,15 +152,15 @@ def test_hot_key_is_spread_over_tasks(spark):
 def test_agendamento_strict_duplicates_then_seats(spark):
     import datetime as dt
     t = tables(spark)
-    d5, d1 = dt.date(2025, 3, 5), dt.date(2025, 3, 1)
+    d5, d1 = dt.date(2031, 3, 5), dt.date(2031, 3, 11)
     req = spark.createDataFrame(
-        [(1, "11111111111", 1, 1, 1, d5),   # seat 1 of 2
-         (2, "11111111111", 1, 1, 1, d5),   # same cpf, lot, day -> duplicate
-         (3, "22222222222", 1, 1, 1, d5),   # seat 2 of 2
-         (4, "33333333333", 1, 1, 1, d5),   # site full that day
-         (5, "33333333333", 1, 2, 1, d1),   # new (cpf, lot, day), but site 1 is already full on 03-01
-         (6, "11111111111", 1, 1, 1, d1),   # same as appointment 1 in the table -> duplicate
-         (7, "55555555555", 1, 1, 1, d5)],  # not a citizen, but the seat rule is checked before fk
+        [(1, "70000000001", 1, 1, 1, d5),   # seat 1 of 2
+         (2, "70000000001", 1, 1, 1, d5),   # same cpf, lot, day -> duplicate
+         (3, "70000000002", 1, 1, 1, d5),   # seat 2 of 2
+         (4, "70000000003", 1, 1, 1, d5),   # site full that day
+         (5, "70000000003", 1, 2, 1, d1),   # new (cpf, lot, day), but site 1 is already full on 03-01
+         (6, "70000000001", 1, 1, 1, d1),   # same as appointment 1 in the table -> duplicate
+         (7, "70000000005", 1, 1, 1, d5)],  # not a citizen, but the seat rule is checked before fk
         "req_seq long, cpf string, id_campanha int, id_vacina int, id_local int, data_agendamento date")
     new, dec = ch.apply_agendamento_insert(t, req, strict=True)
     got = {r["req_seq"]: (r["reason"], r["new_id"]) for r in dec.collect()}

@@ -1,7 +1,5 @@
 """Sources, lookups and snapshots."""
 
-import os
-
 from imunis.sources import tables as tb
 
 from seed import tables
@@ -10,11 +8,13 @@ from seed import tables
 def test_param_lookup_binds_values(spark):
     t = tables(spark)
     df = spark.sql("SELECT id_vacina FROM {v} WHERE doenca_alvo = :d AND qtd_doses > :n",
-                   args={"d": "Gripe", "n": 1}, v=t["vacina"])
+                   args={"d": "Influenza B", "n": 1}, v=t["vacina"])
     assert [r[0] for r in df.collect()] == [1]
     tb.register_views(spark, {"vacina_seed": t["vacina"]})
     out = tb.param_lookup(spark, "SELECT count(*) FROM vacina_seed WHERE nome ILIKE :p", {"p": "%' OR 1=1 --%"})
     assert out.collect()[0][0] == 0
+    out = tb.param_lookup(spark, "SELECT id_vacina FROM {lots} WHERE qtd_doses > :n", {"n": 4}, lots=t["vacina"])
+    assert sorted(r[0] for r in out.collect()) == [1, 3]
 
 
 def test_table_exists_and_lower(spark):
@@ -27,15 +27,18 @@ def test_table_exists_and_lower(spark):
 
 
 def test_snapshot_versions(spark, scratch):
+    scratch = "file:" + scratch
     t = tables(spark)
+    assert tb.latest_snapshot(spark, scratch, "vacina") is None
     tb.write_snapshot(t["vacina"], scratch, "vacina", 0)
     tb.write_snapshot(t["vacina"].where("id_vacina > 2"), scratch, "vacina", 1)
-    os.makedirs(os.path.join(scratch, "vacina", "v=2"))  # incomplete write: no _SUCCESS
-    assert tb.snapshot_versions(scratch, "vacina") == [0, 1]
+    t["vacina"].write.parquet(f"{scratch}/vacina/v=2")  # written, but never committed
+    assert tb.snapshot_versions(spark, scratch, "vacina") == [0, 1]
     assert tb.latest_snapshot(spark, scratch, "vacina").count() == 2
 
 
 def test_commit_batch_versions(spark, scratch):
+    scratch = "file:" + scratch
     from imunis.operators import changes as ch
     t = tables(spark)
     for name in ("vacina", "vacinacao"):
@@ -44,9 +47,9 @@ def test_commit_batch_versions(spark, scratch):
     state = {**t, "vacina": tb.latest_snapshot(spark, scratch, "vacina"),
              "vacinacao": tb.latest_snapshot(spark, scratch, "vacinacao")}
     new, dec = ch.apply_vacinacao_delete(state, req)
-    tb.write_snapshot(t["vacinacao"].limit(1), scratch, "vacinacao", 2)  # a batch that died before its marker
+    t["vacinacao"].limit(1).write.parquet(f"{scratch}/vacinacao/v=2")  # a batch that died before its commit
     tb.commit_batch(scratch, 1, new, dec)
-    assert tb.snapshot_versions(scratch, "vacinacao") == [0, 1]
+    assert tb.snapshot_versions(spark, scratch, "vacinacao") == [0, 1]
     assert tb.latest_snapshot(spark, scratch, "vacinacao").count() == 2
     stock = {r["id_vacina"]: r["qtd_doses"] for r in tb.latest_snapshot(spark, scratch, "vacina").collect()}
     assert stock[1] == 6

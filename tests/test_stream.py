@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from imunis.operators.changes import apply_vacinacao_insert
@@ -34,15 +36,27 @@ def test_feed_equals_one_batch_and_replays_idempotently(spark, scratch):
         os.replace(next(os.path.join(incoming, f"f{i}", n) for n in os.listdir(os.path.join(incoming, f"f{i}"))
                         if n.endswith(".parquet")), os.path.join(incoming, f"{i:03d}.parquet"))
 
-    root = os.path.join(scratch, "state")
+    root = "file:" + os.path.join(scratch, "state")
     feed.init_state(root, state)
     q = feed.start_dose_feed(spark, incoming, root, os.path.join(scratch, "ckpt"), max_files_per_trigger=1)
     q.awaitTermination(300)
-    assert feed.last_commit(root) == k - 1
+    assert feed.last_commit(spark, root) == k - 1
     assert _dec(feed.read_decisions(spark, root)) == want
 
-    # replaying a committed batch changes nothing
-    assert feed.process_batch(spark, root, req.limit(5), 0) is False
+    # replaying a committed batch changes nothing; another query's batch of that number is refused
+    run = feed._commits(spark, root).where("version = 0").first()["run"]
+    assert feed.process_batch(spark, root, req.limit(5), 0, run) is False
+    with pytest.raises(feed.CheckpointMismatch):
+        feed.process_batch(spark, root, req.limit(5), 0, "another query")
+    # so a restart with a new checkpoint folder raises instead of dropping requests
+    with pytest.raises(StreamingQueryException):
+        feed.start_dose_feed(spark, incoming, root, os.path.join(scratch, "ckpt2"), max_files_per_trigger=1) \
+            .awaitTermination(300)
+    # requests sent again are not decided again; a number twice in a batch is refused
+    assert feed.process_batch(spark, root, req.limit(5), k, run) is True
+    with pytest.raises(ValueError):
+        feed.process_batch(spark, root, req.limit(5).union(req.limit(5)), k + 1, run)
+    assert _dec(feed.read_decisions(spark, root)) == want
     st = feed.read_state(spark, root)
     n_accepted = sum(1 for d in want if d[1] and d[2] is None)
     assert st["vacinacao"].count() == state["vacinacao"].count() + n_accepted
@@ -52,11 +66,11 @@ def test_batch_that_died_before_commit_is_invisible_and_replays(spark, scratch):
     t = fx.load(spark, SF_SMALL)
     state = {n: t[n] for n in ("vacinacao", "vacina", "cidadao", "local", "campanha")}
     req = t["vacinacao_request"]
-    root = os.path.join(scratch, "state")
+    root = "file:" + os.path.join(scratch, "state")
     feed.init_state(root, state)
     # a first attempt of batch 0 wrote rows but never committed
     req.limit(7).withColumn("id_vacinacao", F.col("req_seq")).select(
-        *[c for c in state["vacinacao"].columns]).write.parquet(os.path.join(root, "vacinacao", "batch=0"))
+        *[c for c in state["vacinacao"].columns]).write.parquet(f"{root}/vacinacao/batch=0")
     assert feed.read_state(spark, root)["vacinacao"].count() == state["vacinacao"].count()
     # the replay of batch 0 overwrites the partial folders and commits
     assert feed.process_batch(spark, root, req, 0) is True
