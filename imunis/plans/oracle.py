@@ -216,7 +216,7 @@ BINDINGS.update({
         SELECT cast(c_custkey AS bigint) AS req_seq, {_CAMP_FIELDS.format(prefix='Campanha ')}
         FROM customer WHERE c_custkey % 10 = 0""",
     "campanha_update_req": f"""
-        SELECT cast(c_custkey AS bigint) AS req_seq, cast(c_custkey % 30 + 1 AS integer) AS id_campanha,
+        SELECT cast(c_custkey AS bigint) AS req_seq, cast(c_custkey % 33 + 1 AS integer) AS id_campanha,
                {_CAMP_FIELDS.format(prefix='Campanha Nova ')}
         FROM customer WHERE c_custkey % 10 = 1""",
     "campanha_delete_req": """

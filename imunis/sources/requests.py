@@ -150,7 +150,7 @@ def campanha_insert_req(t: Fixtures) -> DataFrame:
 
 def campanha_update_req(t: Fixtures) -> DataFrame:
     c = t.raw("customer").where(_k() % 10 == 1)
-    return c.select(_k().cast("bigint").alias("req_seq"), (_k() % 30 + 1).cast("int").alias("id_campanha"),
+    return c.select(_k().cast("bigint").alias("req_seq"), (_k() % 33 + 1).cast("int").alias("id_campanha"),
                     *_campanha_fields("Campanha Nova "))
 
 

@@ -167,3 +167,30 @@ def test_agendamento_strict_duplicates_then_seats(spark):
     assert got == {1: (None, 5), 2: ("duplicate", None), 3: (None, 6), 4: ("full", None), 5: ("full", None),
                    6: ("duplicate", None), 7: ("full", None)}
     assert new["agendamento"].count() == 6
+
+
+def test_running_counts_do_not_depend_on_the_spacing(spark):
+    """Numbers 2**21 apart make a block of each request; every window partition stays within the block size."""
+    n, step = 3000, 1 << 21
+    df = spark.range(n).select((F.col("id") * step).alias("seq"), (F.col("id") % 2).alias("k"), (F.col("id") % 3 == 0).alias("f"))
+    got = {r["seq"] // step: r["n"] for r in serial.prefix_count(df, ["k"], "seq", "f", "n").collect()}
+    assert got == {i: sum(1 for j in range(i % 2, i, 2) if j % 3 == 0) for i in range(n)}
+    block = 64  # the same with small blocks: blocks of a superblock, superblocks of a key
+    got = {r["seq"] // step: r["n"] for r in serial.prefix_count(df, [], "seq", "f", "n", block).collect()}
+    assert got == {i: (i + 2) // 3 for i in range(n)}
+    blocks = df.select((F.col("seq") / block).cast("long").alias("b")).distinct().withColumn("s", (F.col("b") / block).cast("long"))
+    assert blocks.groupBy("s").count().agg(F.max("count")).first()[0] <= block
+
+
+def test_id_base_saves_the_scan(spark):
+    import datetime as dt
+    t = tables(spark)
+    day = dt.date(2031, 3, 5)
+    req = spark.createDataFrame([(1, "n", "d", "5", day, dt.date(2032, 1, 1), 3)], "req_seq long, nome string, doenca_alvo string, "
+                                "codigo_lote string, data_chegada date, data_validade date, qtd_doses int")
+    assert ch.apply_vacina_insert(t, req, id_base=500)[1].first()["new_id"] == 501
+    req = spark.createDataFrame([(1, "70000000006", 1, 1, 1, day)],
+                                "req_seq long, cpf string, id_campanha int, id_vacina int, id_local int, data_agendamento date")
+    assert ch.apply_agendamento_insert(t, req, id_base=500)[1].first()["new_id"] == 501
+    req = spark.createDataFrame([(1, "70000000006", "70000000002")], "req_seq long, cpf_responsavel string, cpf_parente string")
+    assert ch.apply_parente_insert(t, req, id_base=500)[1].first()["new_id"] == 501
