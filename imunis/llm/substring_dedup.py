@@ -196,8 +196,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(strings: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[tuple[int, int, int]]:
     """Stretches (doc, lo, hi) of the strings' passages that also start earlier in one of them, by a suffix array."""
     suffixes = Suffixes(strings, LENGTH)
-    order = suffixes.array()
-    order = order[suffixes.left[order] >= LENGTH]
+    order = suffixes.array(LENGTH)
     if len(order) < 2:
         return []
     group = np.cumsum(suffixes.common_prefixes(order) < LENGTH)

@@ -37,14 +37,6 @@ class Suffixes:
         self.symbol = np.where(self.left == 0, 0, self.data.astype(np.int16) + 1)
         self.eight = _eight(self.data)
 
-    def word(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Bytes 8k .. 8k+7 of the suffixes at ``at``, cut at the depth and at their strings' ends."""
-        room = np.minimum(self.left[at], self.depth) - 8 * k
-        where = np.minimum(at + 8 * k, len(self.data) - 1)
-        cut = np.clip(8 - room, 0, 8).astype(np.uint64) * np.uint64(8)
-        value = self.eight[where]
-        return np.where(room <= 0, np.uint64(0), (value >> (cut % np.uint64(64))) << (cut % np.uint64(64)))
-
     def smaller_than_next(self) -> np.ndarray:
         """Whether each suffix is smaller than its successor; separators count as such."""
         step = np.zeros(len(self.symbol), np.int16)
@@ -56,50 +48,54 @@ class Suffixes:
         return step[decided] > 0
 
     def sort_directly(self, at: np.ndarray) -> np.ndarray:
-        """Positions ordered by their suffixes, eight bytes at a time, ties only going on."""
-        at = at[np.argsort(self.word(at, 0), kind="stable")]
-        group = np.concatenate([[0], np.cumsum(np.diff(self.word(at, 0)) != 0)]) if len(at) else np.zeros(0, np.int64)
-        words = -(-self.depth // 8)
-        for k in range(1, words + 1):
-            tied = np.zeros(len(at), bool)
-            same = group[1:] == group[:-1]
-            tied[1:] |= same
-            tied[:-1] |= same
-            where = np.flatnonzero(tied)
-            if not len(where):
-                break
-            # At last, a suffix that ends before the depth comes before one that has zero bytes there.
-            key = self.word(at[where], k) if k < words else np.minimum(self.left[at[where]], self.depth).astype(np.uint64)
-            order = np.lexsort((key, group[where]))
-            at[where] = at[where][order]
-            key = key[order]
-            new = np.zeros(len(at), np.int64)
-            new[where[1:]] = (key[1:] != key[:-1]) & (group[where][1:] == group[where][:-1])
-            group = group + np.cumsum(new)
-        return at
+        """Positions ordered by the bytes of their suffixes up to the depth; one that ends there before one with zero bytes."""
+        if not len(at):
+            return at
+        left = np.minimum(self.left[at], self.depth)
+        short = np.flatnonzero(left < self.depth)
+        if len(short):  # later a stable sort keeps this order among equal bytes
+            order = np.argsort(left, kind="stable")
+            at, left = at[order], left[order]
+            short = np.flatnonzero(left < self.depth)
+        padded = np.concatenate([self.data, np.zeros(self.depth, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[at]
+        if len(short):
+            rows[short] = np.where(np.arange(self.depth) < left[short, None], rows[short], 0)
+        return at[np.argsort(rows.view(f"S{self.depth}").ravel(), kind="stable")]
+
+    def array(self, least: int = 1) -> np.ndarray:
+        """All positions with ``least`` bytes or more to their string's end, in order of their suffixes up to the depth.
 
-    def array(self) -> np.ndarray:
-        """All positions but separators, in order of their suffixes up to the depth."""
+        The suffixes that these are induced from are sorted along with them.
+        """
         symbol, small = self.symbol, self.smaller_than_next()
-        direct = np.flatnonzero(small & (symbol > 0))
+        asked = self.left >= max(least, 1)
+        needed = asked.copy()
+        edge = np.flatnonzero(asked & ~small)
+        while len(edge):  # a larger suffix is placed by its successor
+            edge = edge[~needed[edge + 1]] + 1
+            needed[edge] = True
+            edge = edge[~small[edge]]
+        direct = np.flatnonzero(small & needed & (symbol > 0))
         direct = self.sort_directly(direct)
         direct_by = np.split(direct, np.searchsorted(symbol[direct], np.arange(1, 257)))
+        induced = needed & ~small
         waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
         out = []
         for c in range(257):
             if c == 0:
-                bucket = np.flatnonzero(symbol == 0)
+                bucket = np.flatnonzero((symbol == 0) & needed)
             else:
                 parts = waiting[c]
                 run = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 while len(run):  # predecessors with the same first byte, one step of the run at a time
                     run = run[run > 0] - 1
-                    run = run[(symbol[run] == c) & ~small[run]]
+                    run = run[(symbol[run] == c) & induced[run]]
                     parts.append(run)
                 bucket = np.concatenate([*parts, direct_by[c]])
                 out.append(bucket)
             before = bucket[bucket > 0] - 1
-            before = before[(symbol[before] > c) & ~small[before]]
+            before = before[(symbol[before] > c) & induced[before]]
             if len(before):
                 to = symbol[before]
                 order = np.argsort(to, kind="stable")
@@ -107,7 +103,8 @@ class Suffixes:
                 edges = np.flatnonzero(np.diff(to)) + 1
                 for part in np.split(before, edges):
                     waiting[symbol[part[0]]].append(part)
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        order = np.concatenate(out) if out else np.zeros(0, np.int64)
+        return order[asked[order]]
 
     def common_prefixes(self, order: np.ndarray) -> np.ndarray:
         """Length of the prefix that each suffix of ``order`` shares with the one before it, up to the depth; first 0."""
