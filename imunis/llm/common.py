@@ -58,16 +58,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no more than the tasks it ran),
     fixes what later steps read, and gives later joins an input without a
     partitioning of its own, so that AQE may split skewed keys on both sides.
+    ``slim`` tables, of a few numbers a row, are written by an eighth of the
+    tasks that the session shuffles to.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    if slim:
+        written = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    else:
+        written = df
+    written.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,13 +16,19 @@ The global order comes from a sketch of all shingles with a fixed number of
 counters. A shingle that many documents share counts high, comes last and is no
 key. The sketch only orders; any order gives the same result.
 
+A key carries its place in the set's order. Two sets of sizes a and b that link
+share c(a, b) shingles, so their first common shingle stands among the first
+a - c(a, b) + 1 of the one and b - c(a, b) + 1 of the other: a key's entries that
+stand further back link with nobody of that size and go.
+
 Sets that are equal are one node. Keys with two nodes or more are candidates,
 but never all their pairs: in the first round each node is compared with the
-most central node of its key (the one that shares most keys with others). Nodes
-that are linked already need no comparison; what is left, pairs of a key in
-different components, is compared in further rounds, at last exhaustively. So a
-large group of near copies costs a few comparisons for each member, and yet no
-link between different components is missed. Comparisons count whole sets.
+one where the key stands foremost (the least edited copy has the fewest rare
+shingles of its own before it). Nodes that are linked already need no
+comparison; what is left, pairs of a key in different components, is compared
+in further rounds, at last exhaustively. So a large group of near copies costs
+a few comparisons for each member, and yet no link between different components
+is missed. Comparisons count whole sets.
 
 Defined results
   null or empty text, only white space: n_shingles 0, linked with nothing.
@@ -42,7 +48,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imunis.llm.common import materialize
@@ -55,7 +61,7 @@ CELLS_LOG2, CELL_ROW = 21, 4096
 MAX_LIGHT = 64
 #: Cost of a list entry, which is emitted and scanned, in terms of a subset, which is emitted.
 SCAN_COST = 2
-#: Candidates of one round, as a multiple of the keys' rows, above which one more round of central nodes comes first.
+#: Pairs left, as a multiple of the keys' rows, above which a round with one node of each component comes first.
 ROUND_COST = 8
 
 
@@ -151,7 +157,10 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
 
 
 def _postings(classes: bytes, light: int, width: int, percent: int):
-    """(key, doc): subsets of light sets, single shingles of heavy sets and of their light partners."""
+    """(key, doc, n, place): subsets of light sets, single shingles of heavy sets and of their light partners.
+
+    ``place`` is the shingle's in its set; of a subset, one less than its second shingle's.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(classes, np.uint8)
         upper, lower = np.triu_indices(MAX_LIGHT + 2, 1)
@@ -160,7 +169,7 @@ def _postings(classes: bytes, light: int, width: int, percent: int):
             ids = batch.column(0).to_pylist()
             # Equal sets of a batch: the least id speaks for them; so the least of all always does.
             least: dict[tuple[int, int], int] = {}
-            keys_of: dict[tuple[int, int], np.ndarray] = {}
+            keys_of: dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]] = {}
             for i, s in _sets(batch, width):
                 n = len(s)
                 c = _overlap(n, percent)
@@ -172,21 +181,37 @@ def _postings(classes: bytes, light: int, width: int, percent: int):
                     continue
                 least[f] = ids[i]
                 ordered = s[np.argsort(rank[_cell(s)], kind="stable")[:n - c + 2]]
-                keys = []
+                keys, places = [], []
                 if n > light or n >= partner:
                     keys.append(ordered[:n - c + 1])
+                    places.append(np.arange(n - c + 1))
                 if n <= light:
-                    m = len(ordered)
-                    pick = lower < m
+                    pick = lower < len(ordered)
                     keys.append(mix(mix(ordered[upper[pick]]) + ordered[lower[pick]]))
-                keys_of[f] = np.concatenate(keys)
-            size = [len(k) for k in keys_of.values()]
+                    places.append(lower[pick] - 1)
+                keys_of[f] = n, np.concatenate(keys), np.concatenate(places)
+            size = [len(k) for _, k, _ in keys_of.values()]
+            none = [np.zeros(0, np.uint64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*keys_of.values(), np.zeros(0, np.uint64)]).view(np.int64)),
-                 pa.array(np.repeat(np.array([least[f] for f in keys_of], np.int64), size))], names=["key", "doc"])
+                [pa.array(np.concatenate([k for _, k, _ in keys_of.values()] + none).view(np.int64)),
+                 pa.array(np.repeat(np.array([least[f] for f in keys_of], np.int64), size)),
+                 pa.array(np.repeat(np.array([n for n, _, _ in keys_of.values()], np.int32), size)),
+                 pa.array(np.concatenate([p for _, _, p in keys_of.values()] + none).astype(np.int32))],
+                names=["key", "doc", "n", "place"])
     return run
 
 
+def _need(a: str, b: str, percent: int) -> Column:
+    """Fewest shingles that linked sets of sizes a and b share."""
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")
+
+
+def _can_link(percent: int) -> Column:
+    """Of two entries of a key, (n, place) and (m, at): sizes and places allow a link."""
+    need = _need("n", "m", percent)
+    return (need <= F.least("n", "m")) & (F.col("place") + need <= F.col("n")) & (F.col("at") + need <= F.col("m"))
+
+
 def _verify(width: int, percent: int):
     """Of (a, b, text_a, text_b): the pairs whose whole sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,84 +246,76 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     signatures = materialize(
         source.mapInArrow(_signatures(width), "doc long, n long, f1 long, f2 long, cell_row long, counts binary"), "sets")
     own = signatures.filter("cell_row is null").select("doc", "n", "f1", "f2")
-    nodes = materialize(own.filter("doc is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("node")), "nodes")
+    nodes = materialize(own.filter("doc is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("node")), "nodes", slim=True)
 
     sizes = nodes.filter(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in sizes}, percent)
     postings = source.filter("doc is not null").mapInArrow(
-        _postings(_order(signatures), light, width, percent), "key long, doc long")
-    shared = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys")
-    # Several texts under one id could make a node twice: one row for each.
-    node_size = nodes.groupBy(F.col("node").alias("doc")).agg(F.max("n").alias("n"), F.min("n").alias("n_min"))
-    entries = materialize(postings.join(shared, "key").join(node_size, "doc"), "entries")
-    links = _links(entries, source, width, percent)
-    found = materialize(components(links), "components") if links is not None else None
+        _postings(_order(signatures), light, width, percent), "key long, doc long, n int, place int")
+    shared = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys", slim=True)
+    entries = materialize(postings.join(shared, "key"), "entries")
+    found = _components(entries, source, width, percent)
 
     rows = own.join(nodes, ["f1", "f2", "n"], "left")
-    if found is not None:
-        rows = rows.join(found.withColumnRenamed("component", "linked"), "node", "left")
-    else:
-        rows = rows.withColumn("linked", F.lit(None).cast("long"))
+    rows = rows.join(found.withColumnRenamed("component", "linked"), "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("linked", "node", "doc"))
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _links(entries: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Verified links (a, b) that connect all nodes that links of any kind connect."""
-    count = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    known = entries.join(count, "key")
-    weight = known.groupBy("doc").agg(F.sum("members").alias("weight"))
-    known = materialize(known.join(weight, "doc").select("key", "doc", "n", "n_min", "weight"), "lists")
-    if known.isEmpty():
-        return None
-    texts = materialize(source.join(known.select("doc").distinct(), "doc"), "texts")
-    fits = ((F.col("n") * 100 >= F.col("m_min") * percent) & (F.col("m") * 100 >= F.col("n_min") * percent))
+def _components(entries: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that have a link."""
+    # The entry where the key stands foremost leads; entries too far back for the smallest set of the key go.
+    lead = F.min(F.struct(F.col("place").alias("at"), F.col("doc").alias("b"), F.col("n").alias("m")))
+    leads = materialize(entries.groupBy("key").agg(lead.alias("lead"), F.min("n").alias("least")).select("key", "lead.*", "least"),
+                        "leads", slim=True)
+    smallest = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
+    known = materialize(
+        entries.join(leads, "key").withColumn("smallest", smallest).filter(F.col("place") + _need("n", "smallest", percent) <= F.col("n"))
+        .select("key", "doc", "n", "place", "b", "m", "at"), "lists")
+    pairs = materialize(known.filter("doc <> b").filter(_can_link(percent)).select(F.col("doc").alias("a"), "b").distinct(),
+                        "pairs", slim=True)
+    texts = materialize(source.join(known.filter("doc <> b or place <> at").select("doc").union(pairs.select("b")).distinct(), "doc"),
+                        "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")).join(pairs, "a")
         both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(
-            _verify(width, percent), "a long, b long"), "links")
-
-    def centre(*keys: str) -> DataFrame:
-        """The most central node of each key, ties to the least id."""
-        best = F.max(F.struct("weight", (-F.col("doc")).alias("by"), F.col("n").alias("m"), F.col("n_min").alias("m_min")))
-        return materialize(known_now.groupBy(*keys).agg(best.alias("best")).select(
-            *keys, (-F.col("best.by")).alias("b"), "best.m", "best.m_min"), "centres")
-
-    known_now = known
-    pairs = materialize(known.join(centre("key"), "key").filter(F.col("doc") != F.col("b")).filter(fits)
-                        .select(F.col("doc").alias("a"), "b").distinct(), "pairs")
-    links, tried, before = verified(pairs), pairs, None
-    while True:
-        found = components(links)
-        known_now = known.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+            _verify(width, percent), "a long, b long"), "links", slim=True)
+
+    known = known.select("key", "doc", "n", "place")
+    links, tried = verified(pairs), pairs
+    found, last = components(links), False
+    while not last:
+        parts = known.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc"))
-        by_part = known_now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        by_part = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         open_keys = materialize(by_part.groupBy("key").agg(
             F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"),
-            F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")).filter("parts > 1"), "open")
-        todo = open_keys.agg(F.sum("rows").alias("rows"),
-                             F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("cross")).first()
+            F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")).filter("parts > 1"), "open", slim=True)
+        todo = open_keys.selectExpr("sum(rows) AS rows", "sum(rows * double(parts)) AS star",
+                                    "sum((rows * double(rows) - squares) / 2) AS cross").first()
         if not todo["rows"]:
-            return links
-        known_now = materialize(known_now.join(open_keys.select("key"), "key"), "open-lists")
-        last = todo["cross"] <= ROUND_COST * todo["rows"] or (before is not None and todo["cross"] > before / 2)
+            break
+        now = materialize(parts.join(open_keys.select("key"), "key"), "open-lists")
+        last = todo["cross"] <= ROUND_COST * todo["rows"] or todo["star"] > todo["cross"] / 4
         if last:  # every pair of a key that is in two components
-            other = known_now
-        else:  # the most central node of each component of a key
-            other = known_now.join(
-                centre("key", "component").select("key", F.col("b").alias("doc")), ["key", "doc"])
-        other = other.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("n_min").alias("m_min"),
+            other = now
+        else:  # the foremost node of each component of a key
+            first = F.min(F.struct("place", "doc", "n")).alias("first")
+            other = now.groupBy("key", "component").agg(first).select("key", "component", "first.*")
+        other = other.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
                              F.col("component").alias("other"))
-        pairs = (known_now.join(other, "key").filter("component <> other").filter(fits)
+        fresh = (now.join(other, "key").filter("component < other" if last else "component <> other").filter(_can_link(percent))
                  .select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct())
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verified(pairs))
-        if last:
-            return links
-        tried, before = tried.union(pairs), todo["cross"]
+        fresh = materialize(fresh.join(done, ["a", "b"], "left_anti"), "pairs", slim=True)
+        new = verified(fresh)
+        tried = tried.union(fresh)
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
+    return found
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
