@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imunis.llm.common import lower_ascii, materialize, scratch
+from imunis.llm.common import NULL_ID, lower_ascii, materialize, scratch
 
 
 def digest(text: Column | str) -> Column:
@@ -92,14 +92,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 def keep_one(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one for each new text."""
     judged = deduplicate(docs, index, id_col, text_col).filter("kept")
-    stay = judged.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(F.col(text_col))})
-    joined = keyed.alias("d").join(
-        stay.alias("s"), (F.col("d.__digest") == F.col("s.__digest")) & F.col("d.__id").eqNullSafe(F.col("s.__id")),
-        "left_semi")
-    # Only rows equal in id and text are left together: keep the first of them.
-    return joined.dropDuplicates(["__digest", "__id"]).select(*cols)
+    stay = judged.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.unhex("text_sha256").alias("__digest"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__digest": digest(F.col(text_col))})
+    # Behind the join only rows equal in id and text are left together; the first of them stays, without another shuffle.
+    joined = keyed.join(stay, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest", "__id"])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """
