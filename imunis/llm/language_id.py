@@ -103,18 +103,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(counts: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 40, batch: int = 32, rate: float = 8.0,
-          seed: int = 7) -> Model:
-    """Stochastic gradient descent on the cross-entropy of embedding table and linear layer."""
+def train(x: np.ndarray, labels: np.ndarray, langs: list[str], use: np.ndarray, epochs: int = 40, batch: int = 32,
+          rate: float = 8.0, seed: int = 7) -> Model:
+    """Stochastic gradient descent on the cross-entropy of embedding table and linear layer.
+
+    ``x`` has a row of bucket frequencies for each example; the rows in ``use`` are learnt from.
+    """
     rng = np.random.default_rng(seed)
-    x = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
     embed = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     linear, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps = max(1, epochs * (len(x) // batch + 1))
+    steps = max(1, epochs * (len(use) // batch + 1))
     done = 0
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
+        order = rng.permutation(use)
+        for at in range(0, len(use), batch):
             rows = order[at:at + batch]
             step = rate * (1 - done / steps)
             done += 1
@@ -179,10 +181,11 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
     if not sizes:
         return None
     each = max(1, rows // len(sizes))
-    # A language's rows whose hash falls below its share of the range: about ``each`` of them.
-    below = docs.sparkSession.createDataFrame(
-        [(r["lang"], (2**63 - 1) * min(r["count"], 11 * each // 10 + 1) // r["count"]) for r in sizes], "lang string, below long")
-    sample = (labelled.join(below, "lang").filter(F.col("order") <= F.col("below")).select("lang", "order", "text")
+    # A language's rows whose hash falls below its share of the range: about ``each`` of them. A map of MAX_LANGS entries at
+    # most, so that no text moves.
+    below = F.create_map(*[F.lit(x) for r in sizes for x in
+                           (r["lang"], (2**63 - 1) * min(r["count"], 11 * each // 10 + 1) // r["count"])])
+    sample = (labelled.filter(F.col("order") <= F.try_element_at(below, F.col("lang"))).select("lang", "order", "text")
               .mapInArrow(_examples, "lang string, order long, part long, at binary, counts binary")
               .orderBy("order", "part", "lang", "at", "counts").limit(3 * rows).collect())
     if not sample:
@@ -193,7 +196,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
         counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.float32)
     labels = np.array([langs.index(r["lang"]) for r in sample])
     kept_out = np.array([r["order"] % 5 == 0 for r in sample])
-    model = train(counts[~kept_out], labels[~kept_out], langs) if (~kept_out).any() else train(counts, labels, langs)
+    del sample
+    counts /= np.maximum(counts.sum(1, keepdims=True), 1)
+    use = np.flatnonzero(~kept_out)
+    model = train(counts, labels, langs, use if len(use) else np.arange(len(labels)))
     calibrate(model, counts[kept_out], labels[kept_out])
     return model
 
