@@ -26,7 +26,8 @@ but never all their pairs: in the first round each node is compared with the
 one where the key stands foremost (the least edited copy has the fewest rare
 shingles of its own before it). Nodes that are linked already need no
 comparison; what is left, pairs of a key in different components, is compared
-in further rounds, at last exhaustively. So a large group of near copies costs
+in further rounds, at last exhaustively (when that is cheap, or when a round has
+added no link, as the next would only repeat it). So a large group of near copies costs
 a few comparisons for each member, and yet no link between different components
 is missed. Comparisons count whole sets.
 
@@ -285,7 +286,7 @@ def _components(entries: DataFrame, source: DataFrame, width: int, percent: int)
 
     known = known.select("key", "doc", "n", "place")
     links, tried = verified(pairs), pairs
-    found, last = components(links), False
+    found, last, stuck = components(links), False, False
     while not last:
         parts = known.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc"))
@@ -298,7 +299,7 @@ def _components(entries: DataFrame, source: DataFrame, width: int, percent: int)
         if not todo["rows"]:
             break
         now = materialize(parts.join(open_keys.select("key"), "key"), "open-lists")
-        last = todo["cross"] <= ROUND_COST * todo["rows"] or todo["star"] > todo["cross"] / 4
+        last = stuck or todo["cross"] <= ROUND_COST * todo["rows"] or todo["star"] > todo["cross"] / 4
         if last:  # every pair of a key that is in two components
             other = now
         else:  # the foremost node of each component of a key
@@ -312,7 +313,8 @@ def _components(entries: DataFrame, source: DataFrame, width: int, percent: int)
         fresh = materialize(fresh.join(done, ["a", "b"], "left_anti"), "pairs", slim=True)
         new = verified(fresh)
         tried = tried.union(fresh)
-        if not new.isEmpty():
+        stuck = new.isEmpty()
+        if not stuck:
             links = links.union(new)
             found = components(links)
     return found

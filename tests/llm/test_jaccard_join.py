@@ -60,6 +60,26 @@ def test_rounds_of_central_nodes_lose_nothing(spark, monkeypatch):
     assert run(spark, rows) == sorted(brute.near_groups(rows), key=str)
 
 
+def test_large_groups_that_share_a_key_but_do_not_link(spark, monkeypatch):
+    """Two groups of 30 with a few rare words in common: a round that adds no link must not be repeated for ever."""
+    common, a, b = ([f"{x}{i}" for i in range(n)] for x, n in (("s", 10), ("a", 60), ("b", 60)))
+    rows = [(100 * g + i, " ".join(common + own + [f"e{g}x{i}x{j}" for j in range(3)])) for g, own in ((1, a), (2, b)) for i in range(30)]
+    # Long texts that make the groups' own words more frequent than those they share, so that the shared ones are keys.
+    rows += [(1000 + i, " ".join(a + b + [f"u{i}x{j}" for j in range(300)])) for i in range(80)]
+    real, rounds = jj.materialize, []
+
+    def counted(df, label, slim=False):
+        rounds.append(label)
+        assert rounds.count("open-lists") < 9, "rounds without end"
+        return real(df, label, slim)
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    got = run(spark, rows, width=1, percent=60)
+    assert rounds.count("open-lists") == 2  # one with the foremost nodes, then all pairs
+    assert got == sorted(brute.near_groups(rows, 1, 60), key=str)
+    assert {c for d, _, c in got if d < 1000} == {100, 200}
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
