@@ -6,7 +6,8 @@
    document leaves the scan. Kept are the runs of words that possible seeds
    cover, and the seeds themselves.
 2. Join of shared seeds on their hash gives (document, item) pairs. A tile is
-   made of seeds, so the seeds shared bound the coverage from above; pairs
+   made of windows of the item, so the item's windows whose seed is shared, each
+   counted as often as the item repeats it, bound the coverage from above; pairs
    that cannot reach the threshold end here.
 3. Tiling. For each pair, matches are found from the longest down by running
    Karp-Rabin hashes, and marked so that no word counts twice, in any order of
@@ -79,7 +80,9 @@ def _matches(item, text, free_item, free_text, length) -> list[tuple[int, int, i
     sorted_text = hash_text[at_text][order]
     out = []
     lo, hi = np.searchsorted(sorted_text, hash_item[at_item], "left"), np.searchsorted(sorted_text, hash_item[at_item], "right")
-    for i, a, b in zip(at_item.tolist(), lo.tolist(), hi.tolist()):
+    taken = np.append(np.flatnonzero(~free_item), len(item))
+    most = taken[np.searchsorted(taken, at_item)] - at_item  # free words from each place on: no match is longer
+    for i, a, b, end in zip(at_item.tolist(), lo.tolist(), hi.tolist(), most.tolist()):
         best = (0, 0, 0)
         for t in at_text[order[a:b]].tolist():
             room = min(len(item) - i, len(text) - t)
@@ -89,6 +92,8 @@ def _matches(item, text, free_item, free_text, length) -> list[tuple[int, int, i
             size = room if same.all() else int(np.argmin(same))
             if size > best[0]:
                 best = (size, i, t)
+            if best[0] == end:
+                break
         if best[0] >= length:
             out.append(best)
     return sorted(out, key=lambda m: (-m[0], m[1], m[2]))
@@ -98,10 +103,12 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, first = words(*column_bytes(batch.column(1)), PUNCT, latin=True)
         rows = [hashes[s:e] for s, e in zip(first[:-1], first[1:])]
+        seeds = [np.unique(windows(r, MIN_MATCH), return_counts=True) for r in rows]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()),
-             pa.array([windows(r, MIN_MATCH).view(np.int64) for r in rows], pa.list_(pa.int64()))],
-            names=["item_id", "n_words", "words", "seeds"])
+             pa.array([s.view(np.int64) for s, _ in seeds], pa.list_(pa.int64())),
+             pa.array([n for _, n in seeds], pa.list_(pa.int64()))],
+            names=["item_id", "n_words", "words", "seeds", "times"])
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -169,11 +176,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     items = materialize(
         benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col))
-        .mapInArrow(_item_rows, "item_id long, n_words long, words binary, seeds array<long>")
+        .mapInArrow(_item_rows, "item_id long, n_words long, words binary, seeds array<long>, times array<long>")
         .filter(F.size("seeds") > 0), "benchmark-items")
     # One number for each item row, so that a null or repeated item_id is a key like any other.
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    seeds = items.select("item", "n_words", F.explode(F.array_distinct("seeds")).alias("seed")).dropDuplicates(["item", "seed"])
+    seeds = (items.select("item", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+             .select("item", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")).dropDuplicates(["item", "seed"]))
     bitmap = _bitmap(seeds)
     if not len(bitmap):
         bitmap = np.zeros(BITMAP_BITS, bool)
@@ -182,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         .mapInArrow(_scan(bitmap, MIN_MATCH), "doc_id long, runs binary, seeds array<long>"), "seed-runs")
     hits = hits.withColumn("doc", F.xxhash64("doc_id", "runs"))
     pairs = (hits.select("doc", F.explode("seeds").alias("seed")).join(seeds, "seed")
-             .groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("n_words").alias("n_words"))
+             .groupBy("doc", "item").agg(F.sum("times").alias("shared"), F.first("n_words").alias("n_words"))
              .filter(F.col("shared") * MIN_MATCH >= F.col("n_words") * F.lit(threshold)).select("doc", "item"))
     return (pairs.join(hits.select("doc", "doc_id", "runs"), "doc")
             .join(items.select("item", "item_id", "n_words", "words"), "item")

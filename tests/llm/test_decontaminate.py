@@ -62,6 +62,23 @@ def test_whole_table_against_brute_force(spark):
     assert set(got) == want and want
 
 
+def test_items_that_repeat_themselves(spark):
+    """60 words of period 7 have 7 different windows, which cover all of them."""
+    rng = random.Random(11)
+    refrain = " ".join(f"r{i % 7}" for i in range(60))
+    table = " ".join(["yes no"] * 20)
+    half = " ".join(f"r{i % 7}" for i in range(30))
+    docs = [(1, f"{sentence(rng, 40)} {refrain} {sentence(rng, 40)}"), (2, f"{sentence(rng, 9)} {table}"), (3, sentence(rng, 90)),
+            (4, f"{sentence(rng, 9)} {half} {sentence(rng, 9)}"), (5, "yes no " * 20_000)]
+    items = [(1, refrain), (1, refrain), (2, table)]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in got} == {(1, 1, 1.0), (2, 2, 1.0), (5, 2, 1.0)}
+    want = {(d, i) for d, text in docs[:4] for i, item in items
+            if brute.tiled(brute.tokens(item), brute.tokens(text), 5) >= 0.6 * len(brute.tokens(item))}
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] != 5} == want
+
+
 def test_odd_rows(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     docs = spark.createDataFrame(
