@@ -13,13 +13,16 @@ is written. Surrogates are of the same kind and format:
   iban     country stays, digits for digits
   ip       another address
   secret   hexadecimal digits for hexadecimal digits, same length and case
-  name     title stays; a given name of the same gender and script; a surname
-           of the same script (and grammatical gender), the same for each
-           mention of the surname
+  name     title stays; a given name of the same gender and script, the same
+           for each mention of it; a surname of the same script (and grammatical
+           gender), the same for each mention of the surname
 
 Distinct entities must stay distinct: surrogates of all entities of the corpus
 are compared, with each other and with the entities themselves, and all but one
-of those that clash are drawn again, until none do. The few drawn again are
+of those that clash are drawn again, until none do. Given names are entities of
+their own, compared with each other: with surnames distinct as well, two persons
+never become one. A given name drawn again has one more part (Alma, Alma-Berta),
+so there are as many as the corpus needs. The few drawn again are
 joined to their documents; all others are replaced in place, without a shuffle
 of the text.
 
@@ -73,6 +76,8 @@ _KINDS = [
 PATTERN = "|".join(f"(?:{k})" for k in _KINDS)
 #: Rounds of drawing again; more would mean that a format has fewer values than the corpus has entities.
 ROUNDS = 32
+#: The draw of a name is its surname's plus so many times its given name's.
+GIVEN_DRAW = 64
 
 
 def kind_of(m: Column) -> Column:
@@ -135,23 +140,63 @@ def _card(m: Column, h: Column) -> Column:
     return _fill(m, F.concat(body, check.cast("string")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _array(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _digit(h: Column, at: int) -> Column:
+    """The value, from 1 to 16, of a hexadecimal digit."""
+    return F.conv(F.substring(h, at, 1), 16, 10).cast("int") + 1
+
+
 def _pick(values: list[str], h: Column, at: int) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.conv(F.substring(h, at, 1), 16, 10).cast("int") + 1)
+    return F.element_at(_array(values), _digit(h, at))
 
 
-def _name(m: Column, h: Column, key: str) -> Column:
+def _parts(m: Column) -> tuple[Column, Column, Column]:
+    """Title with its space, given names, surname."""
     title = F.regexp_extract(m, rf"^(?:{_ALL_TITLES})\.? ", 0)
     rest = m.substr(F.length(title) + 1, F.length(m))
-    surname, given = F.regexp_extract(rest, r"\S+$", 0), F.regexp_extract(rest, r"^(.*) \S+$", 1)
-    cyrillic = rest.rlike(r"\p{IsCyrillic}")
-    is_of = lambda g: (title.rlike(rf"^(?:{'|'.join(TITLES[g])})\b") |
-                       given.rlike(rf"^(?:{'|'.join(GIVEN[g])})(?!\p{{L}})"))
-    gh = _hash(key, F.lit("given"), F.lower(given))
-    pick = lambda script, g: _pick(SURROGATE_GIVEN[script, g], gh, 1)
-    new_given = F.when(given == "", "").otherwise(F.concat(
-        F.when(cyrillic, F.when(is_of("f"), pick("cyrillic", "f")).otherwise(pick("cyrillic", "m")))
-        .otherwise(F.when(is_of("f"), pick("latin", "f")).when(is_of("m"), pick("latin", "m")).otherwise(pick("latin", "n"))),
-        F.lit(" ")))
+    return title, F.regexp_extract(rest, r"^(.*) \S+$", 1), F.regexp_extract(rest, r"\S+$", 0)
+
+
+def _is_of(g: str, title: Column, given: Column) -> Column:
+    return (title.rlike(rf"^(?:{'|'.join(TITLES[g])})\b") |
+            given.rlike(rf"^(?:{'|'.join(GIVEN[g])})(?!\p{{L}})"))
+
+
+def given_of(m: Column) -> Column:
+    """Normal form of a name's given names, led by the kind of surrogate they get; empty if there are none."""
+    title, given, _ = _parts(m)
+    gender = F.when(_is_of("f", title, given), "f").when(
+        _is_of("m", title, given) | given.rlike(r"\p{IsCyrillic}"), "m").otherwise("n")
+    return F.when(given == "", "").otherwise(F.concat(gender, F.lit(" "), F.lower(given)))
+
+
+def _given(m: Column, key: str, draw: Column) -> Column:
+    """Surrogate of a name's given names: one of 16 at the first draw, one more part at each further one."""
+    of = lambda script, g: _array(SURROGATE_GIVEN[script, g])
+
+    def made(norm: Column) -> Column:
+        gender, cyrillic = norm.substr(1, 1), norm.rlike(r"\p{IsCyrillic}")
+        values = (F.when(cyrillic, F.when(gender == "f", of("cyrillic", "f")).otherwise(of("cyrillic", "m")))
+                  .when(gender == "f", of("latin", "f")).when(gender == "m", of("latin", "m")).otherwise(of("latin", "n")))
+        digits = _hash(key, F.lit("given"), norm, draw).substr(F.lit(1), draw + 1)
+        return F.array_join(F.transform(F.split(digits, ""), lambda d: F.element_at(values, _digit(d, 1))), "-")
+
+    return _let(given_of(m), made)
+
+
+def _name(m: Column, h: Column, key: str, given_draw: Column) -> Column:
+    title, given, surname = _parts(m)
+    cyrillic = F.concat(given, surname).rlike(r"\p{IsCyrillic}")
+    is_of = lambda g: _is_of(g, title, given)
+    new_given = F.when(given == "", "").otherwise(F.concat(_given(m, key, given_draw), F.lit(" ")))
     made = F.initcap(F.concat(*[F.when(cyrillic, _pick(_SYLLABLES["cyrillic"], h, k)).otherwise(_pick(_SYLLABLES["latin"], h, k))
                                 for k in range(1, 6)]))
     made = F.concat(made, F.when(cyrillic, F.when(is_of("f"), "ва").otherwise("в")).otherwise("n"))
@@ -160,8 +205,9 @@ def _name(m: Column, h: Column, key: str) -> Column:
 
 
 def surrogate(m: Column, key: str, draw: Column) -> Column:
-    """The surrogate of a match, at the given draw (0 unless it clashed)."""
+    """The surrogate of a match, at the given draw (0 unless it clashed; see ``GIVEN_DRAW``)."""
     kind = kind_of(m)
+    draw, given_draw = F.pmod(draw, F.lit(GIVEN_DRAW)), F.floor(draw / GIVEN_DRAW).cast("int")
     h = _hash(key, kind, normal(m, kind), draw)
     local, domain = F.regexp_extract(m, r"^[^@]+", 0), F.regexp_extract(m, r"@(.*)$", 1)
     label, last = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
@@ -173,25 +219,31 @@ def surrogate(m: Column, key: str, draw: Column) -> Column:
             .when(kind == "secret", F.when(F.upper(m) == m, F.upper(hexadecimal)).otherwise(hexadecimal))
             .when(kind == "ip", F.concat_ws(".", *octet))
             .when(kind == "card", _card(m, h))
-            .when(kind == "name", _name(m, h, key))
+            .when(kind == "name", _name(m, h, key, given_draw))
             .when(kind == "phone", F.concat(country, _fill(m.substr(F.length(country) + 1, F.length(m)), _digits(h))))
             .otherwise(_fill(m, _digits(h))))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, norm, match): each different match of each row."""
+    """(doc_id, kind, norm, match): each different match of each row, and once more, of kind "given", names with given names."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.explode(
         F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))).alias("match"))
-    return found.withColumn("kind", kind_of(F.col("match"))).withColumn("norm", normal(F.col("match"), F.col("kind")))
+    found = found.withColumn("kind", kind_of(F.col("match"))).withColumn("norm", normal(F.col("match"), F.col("kind")))
+    given = F.when(F.col("kind") == "name", given_of(F.col("match"))).otherwise("")
+    own, more = F.struct("kind", "norm"), F.struct(F.lit("given").alias("kind"), given.alias("norm"))
+    return (found.select("doc_id", "match", F.explode(F.when(given == "", F.array(own)).otherwise(F.array(own, more))).alias("entity"))
+            .select("doc_id", "entity.kind", "entity.norm", "match"))
 
 
 def draws(mentions: DataFrame, key: str) -> DataFrame:
     """(kind, norm, draw): the entities whose surrogate had to be drawn again, and the draw that clashes with none."""
     known = materialize(mentions.groupBy("kind", "norm").agg(F.min("match").alias("match"))
                         .withColumn("draw", F.lit(0)), "entities")
+    is_given = F.col("kind") == "given"
     for _ in range(ROUNDS):
+        made = surrogate(F.col("match"), key, F.when(is_given, F.col("draw") * GIVEN_DRAW).otherwise(F.col("draw")))
         drawn = materialize(
-            known.withColumn("given", normal(surrogate(F.col("match"), key, F.col("draw")), F.col("kind"))), "surrogates")
+            known.withColumn("given", F.when(is_given, F.lower(_parts(made)[1])).otherwise(normal(made, F.col("kind")))), "surrogates")
         shared = drawn.groupBy("kind", "given").agg(F.min("norm").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         real = drawn.select("kind", F.col("norm").alias("given"), F.lit(True).alias("real"))
         judged = (drawn.join(shared.select("kind", "given", "keeper"), ["kind", "given"], "left")
@@ -220,9 +272,11 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
 
     def put(m: Column) -> Column:
         kind = kind_of(m)
-        draw = F.when(F.col("draws").isNull(), 0).otherwise(
-            F.coalesce(F.try_element_at("draws", F.concat_ws("\x1f", kind, normal(m, kind))), F.lit(0)))
-        return surrogate(m, key, draw)
+        drawn = lambda kind, norm: F.coalesce(
+            F.try_element_at("draws", F.concat_ws("\x1f", kind, norm)), F.lit(0))
+        given = F.when(kind == "name", drawn(F.lit("given"), given_of(m))).otherwise(0)
+        draw = F.when(F.col("draws").isNull(), 0).otherwise(drawn(kind, normal(m, kind)) + given * GIVEN_DRAW)
+        return _let(draw, lambda draw: surrogate(m, key, draw))
 
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     rows = rows.withColumn("found", found)

@@ -82,6 +82,20 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(new) == len(set(new)) == 30_000 and not set(new) & set(ips)
 
 
+def test_given_names_under_one_surname_stay_distinct(spark):
+    """More given names of a gender than there are surrogates of one part."""
+    men, women = ([n for n in pii.GIVEN[g] if n.isascii()] for g in "mf")
+    people = [f"{n} Smith" for n in men + women] + [f"Mr {n} Smith" for n in ("Xaver", "Yorick", "Zeno")] + ["Mr James Jones"]
+    texts = [f"{p} met {q}" for p, q in zip(people, people[1:] + people[:1])] + ["Mr James Smith"]
+    new, _ = put(spark, texts)
+    of = dict(zip(people, (t.split(" met ")[0] for t in new)))
+    assert len(set(of.values())) == len(people)
+    assert all(t.split(" met ")[1] == of[q] for t, q in zip(new, people[1:] + people[:1]))
+    assert new[-1] == f"Mr {of['James Smith']}" and of["James Smith"].split()[0] == of["Mr James Jones"].split()[1]
+    for g, names in (("m", men), ("f", women)):
+        assert all(set(of[f"{n} Smith"].split()[0].split("-")) <= set(pii.SURROGATE_GIVEN["latin", g]) for n in names)
+
+
 def test_clashes_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
 
