@@ -7,7 +7,8 @@ is written. Surrogates are of the same kind and format:
 
   email    letters for letters, digits for digits, same lengths and case; the
            domain has a surrogate of its own, its last label stays
-  phone    digits for digits, country code and punctuation stay
+  phone    digits for digits, country code and punctuation stay; the digits
+           are the same for each way to write the number
   card     digits for digits; valid by Luhn's formula if the original is
   ssn      digits for digits
   iban     country stays, digits for digits
@@ -58,6 +59,9 @@ SURROGATE_GIVEN = {
 _SYLLABLES = {"latin": "ba be bi bo da de di do ka ke ki ko la le li lo".split(),
               "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло".split()}
 
+#: Calling codes: no code begins another one.
+CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _ALL_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _CAPITALIZED = r"\p{Lu}[\p{L}\p{M}'’\-]{1,40}"
@@ -90,6 +94,7 @@ def kind_of(m: Column) -> Column:
 
 def normal(m: Column, kind: Column) -> Column:
     return (F.when(kind.isin("email", "secret", "ip"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", ""))
+            .when(kind == "phone", F.regexp_replace(m, r"(?!^\+)\D", ""))
             .when(kind == "name", F.lower(F.regexp_extract(m, r"\S+$", 0))).otherwise(F.regexp_replace(m, r"\D", "")))
 
 
@@ -194,12 +199,13 @@ def _given(m: Column, key: str, draw: Column) -> Column:
 
 def _name(m: Column, h: Column, key: str, given_draw: Column) -> Column:
     title, given, surname = _parts(m)
-    cyrillic = F.concat(given, surname).rlike(r"\p{IsCyrillic}")
-    is_of = lambda g: _is_of(g, title, given)
+    # Script and ending go by the surname alone, so that each mention gets the same.
+    cyrillic = surname.rlike(r"\p{IsCyrillic}")
+    ending = F.when(surname.rlike("[ая]$|[АЯ]$"), "ва").when(surname.rlike("[внй]$|[ВНЙ]$"), "в").otherwise("ко")
     new_given = F.when(given == "", "").otherwise(F.concat(_given(m, key, given_draw), F.lit(" ")))
     made = F.initcap(F.concat(*[F.when(cyrillic, _pick(_SYLLABLES["cyrillic"], h, k)).otherwise(_pick(_SYLLABLES["latin"], h, k))
                                 for k in range(1, 6)]))
-    made = F.concat(made, F.when(cyrillic, F.when(is_of("f"), "ва").otherwise("в")).otherwise("n"))
+    made = F.concat(made, F.when(cyrillic, ending).otherwise("n"))
     shout = (F.upper(surname) == surname) & (F.length(surname) > 1)
     return F.concat(title, new_given, F.when(shout, F.upper(made)).otherwise(made))
 
@@ -211,7 +217,8 @@ def surrogate(m: Column, key: str, draw: Column) -> Column:
     h = _hash(key, kind, normal(m, kind), draw)
     local, domain = F.regexp_extract(m, r"^[^@]+", 0), F.regexp_extract(m, r"@(.*)$", 1)
     label, last = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    country = F.regexp_extract(normal(m, F.lit("phone")), rf"^\+({CALLING})", 1)
+    number = F.concat(country, _digits(h).substr(F.length(country) + 1, F.lit(128)))
     octet = [F.conv(F.substring(h, 2 * k + 1, 2), 16, 10) for k in range(4)]
     hexadecimal = F.repeat(h, F.ceil(F.length(m) / 128).cast("int")).substr(F.lit(1), F.length(m))
     return (F.when(kind == "email", F.concat(_letters(local, h), F.lit("@"),
@@ -220,7 +227,7 @@ def surrogate(m: Column, key: str, draw: Column) -> Column:
             .when(kind == "ip", F.concat_ws(".", *octet))
             .when(kind == "card", _card(m, h))
             .when(kind == "name", _name(m, h, key, given_draw))
-            .when(kind == "phone", F.concat(country, _fill(m.substr(F.length(country) + 1, F.length(m)), _digits(h))))
+            .when(kind == "phone", _let(number, lambda number: _fill(m, number)))
             .otherwise(_fill(m, _digits(h))))
 
 

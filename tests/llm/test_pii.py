@@ -66,6 +66,18 @@ def test_coreference_over_spellings_and_documents(spark):
     assert c.split()[1] == c.split()[4].strip(".")
 
 
+def test_spellings_of_a_number_and_of_a_surname_share_a_surrogate(spark):
+    (a, b, c, d, e, f), _ = put(spark, ["+49 30 1234567", "+49301234567", "+49 (301) 234-567", "Dr Иванова, Госпожа Иванова",
+                                        "Анна Smith, Mr Smith", "493-012-3456 or +4930123456"])
+    digits = [re.sub(r"\D", "", x) for x in (a, b, c)]
+    assert len(set(digits)) == 1 and digits[0].startswith("49") and a.startswith("+49 ") and digits[0] != "49301234567"
+    assert [shape(x) for x in (a, b, c)] == ["+99 99 9999999", "+99999999999", "+99 (999) 999-999"]
+    assert d.split(", ")[0].split()[-1] == d.split()[-1] and d.endswith("ва")
+    assert e.split(", ")[0].split()[-1] == e.split()[-1]
+    national, international = f.split(" or ")  # two numbers, though of the same digits
+    assert international.startswith("+49") and re.sub(r"\D", "", national) != international[1:]
+
+
 def test_clean_texts_are_left_alone(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3.", "Chapter 12, 1998-06-01, 3.14 and 1.2.3",
              "1 234 567", "a@b", "@ home", "user@", "Erbeer. Dem Kurt", "12:30:45", "v1.2.3.4.5", "Mr", "0123456789ab", "", " "]
