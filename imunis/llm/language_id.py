@@ -185,9 +185,12 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
     # most, so that no text moves.
     below = F.create_map(*[F.lit(x) for r in sizes for x in
                            (r["lang"], (2**63 - 1) * min(r["count"], 11 * each // 10 + 1) // r["count"])])
+    # Hash times count is about a row's rank in its language, so that the limit cuts all languages at the same rank.
+    count_of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["count"]))])
+    rank = F.col("order") * F.try_element_at(count_of, F.col("lang"))
     sample = (labelled.filter(F.col("order") <= F.try_element_at(below, F.col("lang"))).select("lang", "order", "text")
               .mapInArrow(_examples, "lang string, order long, part long, at binary, counts binary")
-              .orderBy("order", "part", "lang", "at", "counts").limit(3 * rows).collect())
+              .orderBy(rank, "order", "part", "lang", "at", "counts").limit(3 * rows).collect())
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})

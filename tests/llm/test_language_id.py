@@ -64,6 +64,20 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in li.predict(one, li.fit(one)).collect()} == {"en"}
 
 
+def test_sample_keeps_rare_languages(spark, monkeypatch):
+    """Eleven languages of 600 rows and one of 60, all of them more than a language's share."""
+    langs = [f"l{k:02}" for k in range(11) for _ in range(600)] + ["rare"] * 60
+    df = spark.createDataFrame([(i, f"{x} word text", x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    seen = []
+    real = li.train
+    monkeypatch.setattr(li, "train", lambda x, labels, names, use: seen.append((labels, names)) or real(x, labels, names, use, epochs=1))
+    li.fit(df, rows=300)
+    (labels, names), = seen
+    counts = dict(zip(names, np.bincount(labels, minlength=len(names)).tolist()))
+    assert sum(counts.values()) == 900 and len(counts) == 12
+    assert counts["rare"] > 0.6 * 900 / 12
+
+
 def test_rejection_threshold_keeps_right_answers():
     rng = np.random.default_rng(1)
     m = li.Model(["a", "b"], rng.normal(0, 4, (li.BUCKETS, 2)), np.zeros(2))
