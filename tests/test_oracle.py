@@ -11,7 +11,7 @@ import __spark_entry__ as E  # noqa: E402
 from imunis.plans import catalog  # noqa: E402
 from oracle_check import canon, duck  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from paths import SF_SMALL  # noqa: E402
 
 SQL = E.oracle_sql()
 QUERIES = {n: q for n, q in E.queries().items() if n in catalog.QUERIES}

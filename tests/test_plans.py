@@ -7,7 +7,7 @@ from imunis.operators import rules, serial
 from imunis.plans import catalog
 from imunis.sources import fixtures as fx
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 Q = E.queries()
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 Q = E.queries()
 

@@ -10,7 +10,7 @@ from imunis.operators.changes import apply_vacinacao_insert
 from imunis.sources import fixtures as fx
 from imunis.streaming import feed
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _dec(df):
