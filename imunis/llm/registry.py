@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from imunis.llm import (bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, pii, substring_dedup,
-                        token_counts, url_filter)
+                        token_alignment, token_counts, url_filter)
 from imunis.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": shipped(token_counts.query),
     "op9_exact_dedup": shipped(exact_dedup.query),
     "op10_chat_format": shipped(chat_format.query),
+    "op11_token_alignment": shipped(token_alignment.query),
 }
 
 ORACLE: dict[str, str] = {
