@@ -62,3 +62,76 @@ def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """A binary column whose values are consecutive parts of ``data``, of ``sizes`` items each."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+#: What ends a piece of text, as one byte; no word holds it.
+_END = bytes([b if chr(b) not in ".,;:!?\n\x0b\x0c\r" else ord(".") for b in range(256)])
+
+
+class _Numbers(dict):
+    """Numbers for words in order of appearance, shared with the other lists of a chunk."""
+
+    def __init__(self, words: list):
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        self.words.append(word)
+        self[word] = len(self.words)
+        return len(self.words)
+
+
+def word_lists(docs: DataFrame, pieces: bool = False, size: int = 8 << 20) -> DataFrame:
+    """Documents (doc_id, text, lang, learnt) as numbers that point into the word list of their chunk.
+
+    A-Z are lower-cased; words are runs without white space. Rows of kind 0: a
+    word of the chunk (``lang``, ``word``, its number ``at`` and ``n``, its
+    occurrences in learnt documents). Rows of kind 1: a document (doc_id, lang,
+    learnt, n words and ``ids``, 32-bit numbers). With ``pieces``, words do not
+    span the end marks either, and a mark is number 0.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, batch in chunked(batches, 1, size):
+            words: list[bytes] = []
+            langs: list = []
+            lists: dict = {}
+            learnt = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            ids, lengths = [], []
+            data, bounds = column_bytes(batch.column(1))
+            data = data.tobytes().lower()
+            if pieces:
+                data = data.translate(_END)
+            for s, e, lang in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist()):
+                text = data[s:e]
+                if pieces:
+                    text = text.replace(b".", b" . ")
+                if lang not in lists:
+                    lists[lang] = _Numbers(words)
+                    if pieces:
+                        lists[lang][b"."] = 0
+                row = np.fromiter(map(lists[lang].__getitem__, text.split()), "<u4")
+                langs.extend([lang] * (len(words) - len(langs)))
+                ids.append(row)
+                lengths.append(len(row))
+            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+            counts = np.bincount(flat[np.repeat(learnt, lengths)], minlength=len(words) + 1)[1:]
+            n, m = batch.num_rows, len(words)
+            none = {f: pa.nulls(n, t) for f, t in (("word", pa.string()), ("at", pa.int32()))}
+            yield pa.RecordBatch.from_pydict({
+                "chunk": np.full(n, chunk), "kind": np.ones(n, np.int32), "lang": batch.column(2), "word": none["word"], "at": none["at"],
+                "n": pa.array(lengths, pa.int64()), "doc_id": batch.column(0), "learnt": pa.array(learnt),
+                "ids": binary(flat.astype("<u4"), np.array(lengths, np.int64))}, schema=WORD_LISTS)
+            for at in range(0, m, 1 << 16):
+                part = slice(at, min(at + (1 << 16), m))
+                k = part.stop - at
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": np.full(k, chunk), "kind": np.zeros(k, np.int32), "lang": pa.array(langs[part], pa.string()),
+                    "word": pa.array(words[part], pa.binary()).cast(pa.string()), "at": np.arange(at + 1, at + k + 1, dtype=np.int32),
+                    "n": counts[part], "doc_id": pa.nulls(k, pa.int64()), "learnt": pa.nulls(k, pa.bool_()),
+                    "ids": pa.nulls(k, pa.binary())}, schema=WORD_LISTS)
+
+    return docs.select("doc_id", "text", "lang", "learnt").mapInArrow(
+        run, "chunk long, kind int, lang string, word string, at int, n long, doc_id long, learnt boolean, ids binary")
+
+
+WORD_LISTS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("at", pa.int32()),
+                        ("n", pa.int64()), ("doc_id", pa.int64()), ("learnt", pa.bool_()), ("ids", pa.binary())])
