@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from imunis.llm import (bpe, chat_format, class_lm, decontaminate, exact_dedup, jaccard_join, language_id, pii, substring_dedup,
+from imunis.llm import (bpe, chat_format, class_lm, collocations, decontaminate, exact_dedup, jaccard_join, language_id, pii, substring_dedup,
                         token_alignment, token_counts, url_filter)
 from imunis.llm.common import ship
 
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat_format": shipped(chat_format.query),
     "op11_token_alignment": shipped(token_alignment.query),
     "op12_class_lm": shipped(class_lm.query),
+    "op13_collocations": shipped(collocations.query),
 }
 
 ORACLE: dict[str, str] = {
