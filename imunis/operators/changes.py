@@ -390,11 +390,43 @@ def _agendamento_flags(state: State, j: DataFrame, check_options: bool, as_of) -
     return j.withColumn("_fk", ~(F.col("_fk_cpf") & F.col("_fk_vac") & F.col("_fk_loc")))
 
 
+def _strict_order(j: DataFrame, valid: Column, materialize: bool) -> tuple[DataFrame, list[tuple[Column, str]]]:
+    """The duplicate and seat rules as if the requests came one by one.
+
+    A request is a duplicate of an earlier *accepted* one, and only requests
+    that are none ask for a seat; so the two rules depend on each other. Each
+    round takes the last round's accepted requests for true: the first of a
+    key makes the later ones duplicates, the rest ask for seats in their order.
+    What a request gets depends on earlier requests alone, so a round that
+    changes nothing has the one-by-one outcome, and each round settles at least
+    the next request of every chain. In the first round all valid requests
+    count as accepted; it is already the last unless a full site refused a
+    request whose key comes again.
+    """
+    key = ["cpf", "id_vacina", "data_agendamento"]
+    j = j.withColumn("_v0", valid).withColumn("_acc", F.col("_v0") & ~F.col("_dup_t"))
+    kept = j.columns
+    while True:
+        firsts = j.where("_acc").groupBy(*key).agg(F.min("req_seq").alias("_first"))
+        now = j.join(firsts, key, "left").withColumn("_dup", F.col("_dup_t") | F.coalesce(F.col("_first") < F.col("req_seq"), F.lit(False)))
+        now = serial.prefix_count(now, ["id_local", "data_agendamento"], "req_seq", F.col("_v0") & ~F.col("_dup"), "_seats_before")
+        full = (F.coalesce(F.col("_booked"), F.lit(0)) + F.col("_seats_before")) >= F.coalesce(F.col("_cap"), F.lit(0))
+        now = now.withColumn("_full", full).withColumn("_now", F.col("_v0") & ~F.col("_dup") & ~F.col("_full"))
+        now = _maybe_cut(now.select(*kept, "_first", "_dup", "_full", "_now"), materialize)
+        # Another round only if some key's first accepted request is another one now, and that matters to its others.
+        moved = now.where("_v0 and not _dup_t").groupBy(*key).agg(
+            F.max(F.expr("req_seq = _first and not _now")).alias("lost"), F.max(F.expr("req_seq > _first")).alias("more"),
+            F.max(F.expr("_now and (_first is null or req_seq < _first)")).alias("early"))
+        if moved.where("(lost and more) or early").isEmpty():
+            return now, [(F.col("_dup"), "duplicate"), (F.col("_full"), "full")]
+        j = now.withColumn("_acc", F.col("_now")).select(*kept)
+
+
 def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = False, check_options: bool = False,
                              as_of=None, materialize: bool = True, id_base: int | None = None):
     """C16. The campaign is asked for but not stored. ``strict`` adds the
-    duplicate rule (V6) and the seat rule (V3/V4): duplicates are judged among
-    requests valid in every other way except seats, seats among the rest."""
+    duplicate rule (V6) and the seat rule (V3/V4), with the outcome of requests
+    that come one by one (``_strict_order``)."""
     table = state["agendamento"]
     j = _agendamento_flags(state, requests, check_options, as_of)
     if strict:
@@ -411,13 +443,7 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
     fk = [(F.col("_fk"), "fk_violation")]
     own: list[tuple[Column, str]] = []
     if strict:
-        dk = ["cpf", "id_vacina", "data_agendamento"]
-        j = j.withColumn("_v0", first_reason(base + fk).isNull())
-        j = _maybe_cut(serial.first_in_group(j, dk, "req_seq", F.col("_v0") & ~F.col("_dup_t"), "_first"), materialize)
-        dup = F.col("_dup_t") | ~F.col("_first")
-        j = serial.prefix_count(j, ["id_local", "data_agendamento"], "req_seq", F.col("_v0") & ~dup, "_seats_before")
-        full = (F.coalesce(F.col("_booked"), F.lit(0)) + F.col("_seats_before")) >= F.coalesce(F.col("_cap"), F.lit(0))
-        own = [(dup, "duplicate"), (full, "full")]
+        j, own = _strict_order(j, first_reason(base + fk).isNull(), materialize)
     j = j.withColumn("reason", first_reason(base + own + fk))
     j = _with_new_id(_maybe_cut(j, materialize) if strict else j, table, "id_agendamento", materialize, id_base)
     rows = j.where(F.col("reason").isNull()).withColumn("id_agendamento", F.col("new_id"))
@@ -502,18 +528,49 @@ def apply_vacinacao_insert(state: State, requests: DataFrame, check_options: boo
 VACINACAO_COLS = ["contagem", "data_aplicacao", "id_vacina", "cpf", "id_local", "id_campanha"]
 
 
+def _lot_changes_in_order(j: DataFrame, materialize: bool, block: int) -> DataFrame:
+    """(req_seq, _short): whether a lot change finds no dose, as if the requests came one by one.
+
+    Lots are coupled: a change gives back to one and takes from another, and
+    what lot a dose gives back to depends on the changes accepted before. Each
+    round takes the last round's accepted requests for true, follows every dose
+    from lot to lot, and walks every lot through its takes and returns in order
+    (``serial.stock_before``), which settles all takes of a lot at once. What a
+    request gets depends on earlier ones alone, so a round that changes nothing
+    has the one-by-one outcome.
+    """
+    j = j.withColumn("_acc", F.col("_valid"))
+    kept = j.columns
+    several = not j.groupBy("id_vacinacao").count().where("count > 1").isEmpty()
+    while True:
+        now = serial.last_before(j, ["id_vacinacao"], "req_seq", "_acc", "id_vacina", "_lot", block) if several \
+            else j.withColumn("_lot", F.lit(None).cast("bigint"))
+        now = now.withColumn("_lot", F.coalesce("_lot", "_old_vac")).withColumn("_move", ~F.col("id_vacina").eqNullSafe(F.col("_lot")))
+        take = F.struct(F.col("id_vacina").alias("lot"), F.when(F.col("_valid"), -1).otherwise(0).alias("delta"), F.lit(True).alias("asks"))
+        back = F.struct(F.col("_lot").alias("lot"), F.lit(1).alias("delta"), F.lit(False).alias("asks"))
+        events = now.where("_move").select("req_seq", "_stock", F.explode(
+            F.when(F.col("_acc"), F.array(take, back)).otherwise(F.array(take))).alias("e")).select("req_seq", "_stock", "e.*")
+        # A return's own stock is not asked for, so its row needs no opening stock.
+        found = serial.stock_before(events, "lot", "req_seq", "delta", "_stock", "_left", block).where("asks").select("req_seq", "_left")
+        short = F.col("_move") & (F.col("_stock").isNull() | (F.col("_stock") < 0) | (F.col("_left") < 1))
+        now = now.join(found, "req_seq", "left").withColumn("_short", F.coalesce(short, F.lit(False)))
+        now = _maybe_cut(now.withColumn("_now", F.col("_valid") & ~F.col("_short")).select(*kept, "_short", "_now"), materialize)
+        if now.where("_now <> _acc").isEmpty():
+            return now.select("req_seq", "_short")
+        j = now.withColumn("_acc", F.col("_now")).select(*kept)
+
+
 def apply_vacinacao_update(state: State, requests: DataFrame, check_options: bool = False, as_of=None,
                            materialize: bool = True, block: int = serial.DEFAULT_BLOCK):
     """C20 with W2: cpf empty -> out of range -> not a citizen -> no row -> too
     long / not null -> a lot change needs a dose of the new lot -> fk -> six
     columns replaced.
 
-    Each lot change takes from the new lot, counted as in W1 against the
-    opening stock; doses returned to old lots are credited when the batch
-    closes, so the batch never oversells (it may refuse a change that a
-    strictly one-by-one order would allow). Requests are judged against the
-    opening rows; per dose the last accepted update wins and the ledger moves
-    one dose from the opening lot to the final lot.
+    The outcome is that of requests that come one by one: a lot change gives a
+    dose back to the lot that the dose has by then and takes one from the new
+    lot (``_lot_changes_in_order``). Per dose the last accepted update wins, so
+    the ledger moves one dose from the opening lot to the final lot. A lot
+    whose opening stock is below 0 gives nothing in the batch.
     """
     table = state["vacinacao"]
     old = table.select("id_vacinacao", F.col("id_vacina").alias("_old_vac"), F.lit(True).alias("_found"))
@@ -526,7 +583,6 @@ def apply_vacinacao_update(state: State, requests: DataFrame, check_options: boo
     if check_options:
         j = exists_in(j, offered_vacinas(state, as_of), [("id_vacina", "id_vacina")], "_op_vac")
         j = exists_in(j, offered_campanhas(state, as_of), [("id_campanha", "id_campanha")], "_op_camp")
-    move = F.coalesce(F.col("id_vacina") != F.col("_old_vac"), F.lit(True))
     req = [(missing("cpf", "text"), "missing_field")]
     if check_options:
         req.append((~(F.col("_op_vac") & F.col("_op_camp") & F.col("_fk_loc")), "not_offered"))
@@ -534,10 +590,13 @@ def apply_vacinacao_update(state: State, requests: DataFrame, check_options: boo
             (~F.col("_found"), "no_match"), (too_long("vacinacao"), "too_long"),
             (not_null("vacinacao", ["contagem", "data_aplicacao"]), "not_null")]
     fk = [(~(F.col("_fk_loc") & F.col("_fk_camp") & F.col("_stock").isNotNull()), "fk_violation")]
-    j = _maybe_cut(j.withColumn("_valid", first_reason(req + fk).isNull() & move), materialize)
-    j = serial.prefix_count(j, ["id_vacina"], "req_seq", F.col("_valid"), "_used_before", block)
-    no_stock = move & (F.col("_stock").isNull() | (F.col("_used_before") >= F.col("_stock")))
-    j = _maybe_cut(j.withColumn("reason", first_reason(req + [(no_stock, "no_stock")] + fk)), materialize)
+    j = _maybe_cut(j.withColumn("_pre", first_reason(req)).withColumn("_valid", first_reason(req + fk).isNull()), materialize)
+    order = _lot_changes_in_order(j.where("_pre is null").select("req_seq", "id_vacinacao", "id_vacina", "_old_vac", "_stock", "_valid"),
+                                  materialize, block)
+    j = j.join(order, "req_seq", "left")
+    # A request that another check refuses still meets the stock first.
+    no_stock = F.col("_short")
+    j = _maybe_cut(j.withColumn("reason", F.coalesce("_pre", first_reason([(no_stock, "no_stock")] + fk))), materialize)
     ok = j.where(F.col("reason").isNull())
     last = serial.last_per_key(ok.select("req_seq", "id_vacinacao", "_old_vac", *VACINACAO_COLS),
                                ["id_vacinacao"], "req_seq")
@@ -612,42 +671,87 @@ def apply_usuario_insert(state: State, requests: DataFrame, materialize: bool =
     return new, decisions(j)
 
 
+#: Bit of each role in a user's role state; the list shows the lowest (P2 precedence).
+ROLE_BITS = {ROLE_CIDADAO: 1, ROLE_ADMIN: 2, ROLE_AGENTE: 4}
+
+
+def _shown_bit(state: int) -> int:
+    return state & -state
+
+
+def _role_step(target: int, referenced: bool) -> list[int]:
+    """The role state after a valid update to ``target`` (0: no role of the three), for each state before it."""
+    out = []
+    for state in range(8):
+        shown = _shown_bit(state)
+        refused = shown != target and ((shown == 1 and referenced) or state & target)
+        out.append(state if refused or shown == target else state & ~shown | target)
+    return out
+
+
+def _role_steps(valid: Column) -> Column:
+    """The request's transition of role states, as an array."""
+    keep = F.array(*[F.lit(i) for i in range(8)])
+    out = F.when(~valid | F.col("tipo_usuario").isNull(), keep)
+    for role, bit in [*ROLE_BITS.items(), (None, 0)]:
+        for ref in (True, False):
+            hit = F.lit(True) if role is None else F.col("tipo_usuario") == role
+            out = out.when(hit & (F.col("_cit_ref") == ref), F.array(*[F.lit(x) for x in _role_step(bit, ref)]))
+    return out.otherwise(keep)
+
+
 def apply_usuario_update(state: State, requests: DataFrame, materialize: bool = True):
     """The typed cpf must equal the row's; name and phone replaced; same
     role -> its row updated; new role -> the shown role's row deleted (P2
     precedence) and the new one inserted. The old role row goes first, so a
     referenced citizen row (fk) is refused before a role row that already
     exists (duplicate). A typed cpf of NULL differs from the row's.
-    Requests are judged against the opening state; per user the last accepted
-    one is applied."""
+
+    Updates of one user see the roles that the accepted ones before them left
+    (``serial.scan_states`` over the eight states of the three role rows)."""
     j = exists_in(requests, state["usuario"], [("cpf", "cpf")], "_found")
     j = _role_key_flags(state, j)
-    # The role the list shows (P2 precedence), from the three presence flags.
-    shown = C.role(F.when(F.col("_has_cidadao"), F.lit(1)), F.when(F.col("_has_administrador"), F.lit(1)),
-                   F.when(F.col("_has_agente_saude"), F.lit(1)))
-    j = j.withColumn("_shown", F.when(F.col("_found"), shown))
     refs = state["vacinacao"].select("cpf").unionByName(state["agendamento"].select("cpf")) \
         .unionByName(state["parente"].select(F.col("cpf_responsavel").alias("cpf"))) \
         .unionByName(state["parente"].select(F.col("cpf_parente").alias("cpf")))
     j = key_flag(j, refs, ["cpf"], "_cit_ref")
-    change = F.col("tipo_usuario") != F.col("_shown")
+    opening = sum((F.when(F.col(f"_has_{ROLE_TABLES[r]}"), b).otherwise(0) for r, b in ROLE_BITS.items()), F.lit(0))
     tl, nn = _role_payload_checks()
     checks = [(~C.strip_ws("cpf_digitado").eqNullSafe(F.col("cpf")), "key_change"), (~F.col("_found"), "no_match"),
-              (too_long("usuario") | tl, "too_long"), (not_null("usuario", ["nome", "telefone"]) | nn, "not_null"),
-              (change & (F.col("_shown") == ROLE_CIDADAO) & F.col("_cit_ref"), "fk_violation"),
-              (change & _has_role("tipo_usuario"), "duplicate")]
-    j = _maybe_cut(j.withColumn("reason", first_reason(checks)), materialize)
+              (too_long("usuario") | tl, "too_long"), (not_null("usuario", ["nome", "telefone"]) | nn, "not_null")]
+    j = j.withColumn("_pre", first_reason(checks)).withColumn("_opening", opening)
+    j = _maybe_cut(j.withColumn("_step", _role_steps(F.col("_pre").isNull())), materialize)
+    if j.where("_pre is null").groupBy("cpf").count().where("count > 1").isEmpty():
+        j = j.withColumn("_roles", F.col("_opening"))
+    else:
+        slim = j.where("_pre is null").select("req_seq", "cpf", "_step", "_opening")
+        seen = serial.scan_states(slim, "cpf", "req_seq", "_step", "_opening", 8, "_roles").select("req_seq", "_roles")
+        j = _maybe_cut(j.join(seen, "req_seq", "left"), materialize)
+    has = F.lit(False)
+    for role, bit in ROLE_BITS.items():
+        has = has | ((F.col("tipo_usuario") == role) & (F.col("_roles").bitwiseAND(bit) > 0))
+    # The role the list shows at that moment.
+    shown = C.role(*[F.when(F.col("_roles").bitwiseAND(ROLE_BITS[r]) > 0, F.lit(1)) for r in ROLE_BITS])
+    change = F.col("tipo_usuario") != shown
+    reason = first_reason([(F.col("_pre").isNotNull(), ""), (change & (shown == ROLE_CIDADAO) & F.col("_cit_ref"), "fk_violation"),
+                           (change & has, "duplicate")])
+    j = j.withColumn("reason", F.coalesce("_pre", reason)) \
+        .withColumn("_after", F.element_at("_step", F.col("_roles") + 1))
     ok = j.where(F.col("reason").isNull())
     payload = [c for c in requests.columns if c not in ("req_seq", "cpf", "cpf_digitado")]
-    last = serial.last_per_key(ok.select("req_seq", "cpf", "_shown", *payload), ["cpf"], "req_seq")
+    last = serial.last_per_key(ok.select("req_seq", "cpf", "_opening", "_after", "nome", "telefone"), ["cpf"], "req_seq")
+    # A role's row is as the last accepted update to that role wrote it, if the user still has the role.
+    wrote = serial.last_per_key(ok.select("req_seq", "cpf", *payload), ["cpf", "tipo_usuario"], "req_seq").drop("req_seq", "nome", "telefone")
+    ends = last.select("cpf", "_opening", "_after")
     new = {"usuario": apply_updates(state["usuario"], ["cpf"], last, ["nome", "telefone"])}
     for role, table in ROLE_TABLES.items():
+        bit = ROLE_BITS[role]
         cols = [f.name for f in TABLES[table].schema.fields if f.name != "cpf"]
-        same = last.where((F.col("tipo_usuario") == role) & (F.col("_shown") == role))
-        leave = last.where((F.col("_shown") == role) & (F.col("tipo_usuario") != role)).select("cpf")
-        enter = last.where((F.col("tipo_usuario") == role) & (F.col("_shown") != role))
-        t = apply_updates(state[table], ["cpf"], same.select("cpf", *cols), cols)
-        new[table] = t.join(leave, "cpf", "left_anti").unionByName(_role_rows(enter, role))
+        before, after = F.col("_opening").bitwiseAND(bit) > 0, F.col("_after").bitwiseAND(bit) > 0
+        mine = wrote.where(F.col("tipo_usuario") == role).join(ends, "cpf")
+        t = apply_updates(state[table], ["cpf"], mine.where(before & after).select("cpf", *cols), cols)
+        leave = ends.where(before & ~after).select("cpf")
+        new[table] = t.join(leave, "cpf", "left_anti").unionByName(_role_rows(mine.where(~before & after), role))
     return new, decisions(j)
 
 

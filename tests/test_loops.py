@@ -238,7 +238,7 @@ def test_appointments(spark, options, strict):
         full = seats.get(slot, 0) >= room.get(r["id_local"], 0)
         want[r["req_seq"]] = form_of(r) or first((too_long("agendamento", w), "too_long"), (strict and dup, "duplicate"),
                                                  (strict and full, "full"), (keys(r), "fk_violation"))
-        if strict and valid and not dup:  # duplicates and seats count requests valid in every other way
+        if strict and valid and not dup and not full:  # only what is accepted books
             booked.add(dup_key)
             seats[slot] = seats.get(slot, 0) + 1
     new, dec = ch.apply_agendamento_insert(t, frame(spark, reqs, "agendamento", ["id_campanha int"]), strict=strict,
@@ -265,27 +265,24 @@ def test_dose_updates(spark, options):
         r.update(cpf="70000000001", contagem=1, id_local=1, id_campanha=1, data_aplicacao=DAYS[0])
     old = {r[0]: r[3] for r in ROWS["vacinacao"]}
     stock = {r[0]: r[6] for r in ROWS["vacina"]}
-    used, want, final = {}, {}, dict(old)
+    want, final = {}, dict(old)
     for r in sorted(reqs, key=lambda r: r["req_seq"]):
         cpf, lot = strip(r["cpf"]), r["id_vacina"]
         w = {**r, "cpf": cpf}
-        move = r["id_vacinacao"] not in old or old[r["id_vacinacao"]] != lot
         before = first((not cpf, "missing_field"), (options and not offered(r), "not_offered"),
                        (r["contagem"] is not None and r["contagem"] < 1, "out_of_range"), (not has("cidadao", cpf=cpf), "not_citizen"),
                        (r["id_vacinacao"] not in old, "no_match"), (too_long("vacinacao", w), "too_long"),
                        (r["contagem"] is None or r["data_aplicacao"] is None, "not_null"))
+        move = before is None and final[r["id_vacinacao"]] != lot
         keys = not (has("local", id_local=r["id_local"]) and has("campanha", id_campanha=r["id_campanha"]) and lot in stock)
-        short = move and (lot not in stock or used.get(lot, 0) >= stock[lot])
-        want[r["req_seq"]] = reason = before or first((short, "no_stock"), (keys, "fk_violation"))
-        if before is None and not keys and move:
-            used[lot] = used.get(lot, 0) + 1
-        if reason is None:
+        want[r["req_seq"]] = reason = before or first((move and stock.get(lot, 0) < 1, "no_stock"), (keys, "fk_violation"))
+        if reason is None and move:  # one by one: the dose of the lot it has by now goes back
+            stock[final[r["id_vacinacao"]]] += 1
+            stock[lot] -= 1
             final[r["id_vacinacao"]] = lot
     new, dec = ch.apply_vacinacao_update(t, frame(spark, reqs, "vacinacao"), check_options=options, as_of=AS_OF, block=8)
     assert reasons(dec) == want
-    assert {r["id_vacina"]: r["qtd_doses"] for r in new["vacina"].collect()} == \
-        {lot: n + sum(v == lot for k, v in old.items() if final[k] != v) - sum(v == lot for k, v in final.items() if old[k] != v)
-         for lot, n in stock.items()}
+    assert {r["id_vacina"]: r["qtd_doses"] for r in new["vacina"].collect()} == stock
     assert stored(new["vacinacao"], "vacinacao") == after_update(
         "vacinacao", "id_vacinacao", reqs, want, [c for c in COLS["vacinacao"] if c != "id_vacinacao"], lambda r: {**r, "cpf": strip(r["cpf"])})
 
@@ -319,28 +316,32 @@ def test_users_insert(spark):
     assert {r["cpf"] for r in new["usuario"].collect()} == taken
 
 
-def test_users_update(spark):
+@pytest.mark.parametrize("block", [2, 512])
+def test_users_update(spark, block, monkeypatch):
+    monkeypatch.setattr(ch.serial.scan_states, "__defaults__", (block,))
     t, rnd = tables(spark), random.Random(61)
-    reqs = batch(rnd, {"cpf": [r[0] for r in ROWS["usuario"]] + ["79999999999"], **PERSON}, 80)
+    reqs = batch(rnd, {"cpf": [r[0] for r in ROWS["usuario"]] + ["79999999999"], **PERSON}, 160)
     for r in reqs:
         r["cpf_digitado"] = rnd.choice([r["cpf"], f" {r['cpf']} ", r["cpf"], None, "other"])
-    shown = {u[0]: next((name for name, table in ROLE.items() if has(table, cpf=u[0])), "Usuário Genérico") for u in ROWS["usuario"]}
+    roles = {u[0]: {table: row for table in ROLE.values() for row in dicts(table) if row["cpf"] == u[0]} for u in ROWS["usuario"]}
     refs = {r[4] for r in ROWS["vacinacao"]} | {r[4] for r in ROWS["agendamento"]} | {c for r in ROWS["parente"] for c in r[1:]}
-    want, last = {}, {}
+    want, names = {}, {u[0]: u[1] for u in ROWS["usuario"]}
     for r in sorted(reqs, key=lambda r: r["req_seq"]):
         table, row, long, nul = role_row(r, r["cpf"])
-        now = shown.get(r["cpf"])
-        change = r["tipo_usuario"] != now
+        mine = roles.get(r["cpf"])
+        now = next((t for t in ROLE.values() if t in (mine or ())), None)
+        change = table != now
         want[r["req_seq"]] = reason = first(
-            (strip(r["cpf_digitado"]) != r["cpf"], "key_change"), (now is None, "no_match"),
+            (strip(r["cpf_digitado"]) != r["cpf"], "key_change"), (mine is None, "no_match"),
             (too_long("usuario", row) or long, "too_long"), (r["nome"] is None or r["telefone"] is None or nul, "not_null"),
-            (change and now == "Cidadão" and r["cpf"] in refs, "fk_violation"), (change and has(table, cpf=r["cpf"]), "duplicate"))
-        if reason is None:
-            last[r["cpf"]] = r
+            (change and now == "cidadao" and r["cpf"] in refs, "fk_violation"), (change and table in (mine or ()), "duplicate"))
+        if reason is None:  # one by one
+            names[r["cpf"]] = r["nome"]
+            if change and now:
+                del mine[now]
+            mine[table] = {c: row[c] for c in COLS[table]}
     new, dec = ch.apply_usuario_update(t, frame(spark, reqs, "usuario", EXTRA + ["cpf_digitado string"]))
     assert reasons(dec) == want
-    for name, table in ROLE.items():
-        keep = {r[0] for r in ROWS[table]} - {c for c, r in last.items() if shown[c] == name and r["tipo_usuario"] != name}
-        assert {r["cpf"] for r in new[table].collect()} == keep | {c for c, r in last.items() if r["tipo_usuario"] == name}
-    names = {r["cpf"]: r["nome"] for r in new["usuario"].collect()}
-    assert names == {u[0]: last[u[0]]["nome"] if u[0] in last else u[1] for u in ROWS["usuario"]}
+    for table in ROLE.values():
+        assert stored(new[table], table) == sorted((tuple(m[table][c] for c in COLS[table]) for m in roles.values() if table in m), key=str)
+    assert {r["cpf"]: r["nome"] for r in new["usuario"].collect()} == names
