@@ -9,6 +9,7 @@ row-at-a-time rules written as set SQL, independently of the DataFrame code.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from ..operators import changes as ch
@@ -133,12 +134,41 @@ def vacinacao_insert_stock(t):
     return new["vacina"]
 
 
+def _lot_order_sql(src: str) -> str:
+    """(req_seq, short) of the requests that reach the stock check: rounds of takes and returns until one changes nothing."""
+    rows = "SELECT req_seq, id_vacinacao, id_vacina, old_vac, stock, NOT c_fk AS valid"
+    return f"""
+        WITH RECURSIVE rounds AS (
+          {rows}, NOT c_fk AS acc, false AS short, true AS changed, 0 AS n FROM {src} WHERE pre IS NULL
+          UNION ALL
+          SELECT req_seq, id_vacinacao, id_vacina, old_vac, stock, valid, valid AND NOT now_short, now_short,
+                 bool_or((valid AND NOT now_short) <> acc) OVER (), n + 1
+          FROM (
+            SELECT req_seq, any_value(id_vacinacao) AS id_vacinacao, any_value(id_vacina) AS id_vacina, any_value(old_vac) AS old_vac,
+                   any_value(stock) AS stock, any_value(valid) AS valid, any_value(acc) AS acc, any_value(n) AS n,
+                   coalesce(bool_or(e.asks AND (stock IS NULL OR stock < 0 OR stock + run - e.d - least(0, coalesce(stock + low, 0)) < 1)), false)
+                   AS now_short
+            FROM (
+              SELECT *, min(run) OVER (PARTITION BY e.lot ORDER BY req_seq {PRECEDING}) AS low
+              FROM (
+                SELECT *, sum(e.d) OVER (PARTITION BY e.lot ORDER BY req_seq {RUNNING}) AS run
+                FROM (
+                  SELECT *, unnest(CASE WHEN id_vacina IS NOT DISTINCT FROM lot_now THEN [{{'lot': NULL, 'd': 0, 'asks': false}}]
+                                        WHEN acc THEN [{{'lot': id_vacina, 'd': -1, 'asks': true}}, {{'lot': lot_now, 'd': 1, 'asks': false}}]
+                                        ELSE [{{'lot': id_vacina, 'd': CASE WHEN valid THEN -1 ELSE 0 END, 'asks': true}}] END) AS e
+                  FROM (
+                    SELECT *, coalesce(last_value(CASE WHEN acc THEN id_vacina END IGNORE NULLS) OVER
+                                       (PARTITION BY id_vacinacao ORDER BY req_seq {PRECEDING}), old_vac) AS lot_now
+                    FROM rounds WHERE changed) a) b) c) d
+            GROUP BY req_seq) x)
+        SELECT req_seq, short FROM (SELECT *, max(n) OVER () AS last_n FROM rounds) z WHERE n = last_n"""
+
+
 _VU = {
     "vu_r": f"""SELECT req_seq, id_vacinacao, contagem, data_aplicacao, id_vacina, {STRIP.format(c='cpf')} AS cpf,
                      id_local, id_campanha FROM vacinacao_update_req""",
     "vu_j": f"""
         SELECT r.*, o.id_vacina AS old_vac, o.id_vacinacao IS NOT NULL AS found, v.qtd_doses AS stock,
-               coalesce(r.id_vacina <> o.id_vacina, true) AS move,
                ({_miss_text('r.cpf')}) AS c_miss, coalesce(r.contagem < 1, false) AS c_oor,
                {_long(**{'r.cpf': 20})} AS c_long, (r.contagem IS NULL OR r.data_aplicacao IS NULL) AS c_null,
                NOT EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf) AS c_cit,
@@ -147,17 +177,14 @@ _VU = {
                     AND v.id_vacina IS NOT NULL) AS c_fk
         FROM vu_r r LEFT JOIN vacinacao o ON r.id_vacinacao = o.id_vacinacao
         LEFT JOIN vacina v ON r.id_vacina = v.id_vacina""",
-    "vu_u": f"""
-        SELECT *, coalesce(sum(CASE WHEN move AND NOT (c_miss OR NOT found OR c_oor OR c_long OR c_null OR c_cit
-                                                        OR c_fk) THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
+    "vu_p": """
+        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_cit THEN 'not_citizen'
+                       WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null' END AS pre
         FROM vu_j""",
+    "vu_o": _lot_order_sql("vu_p"),
     "vu_d": """
-        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_cit THEN 'not_citizen'
-                       WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null'
-                       WHEN move AND (stock IS NULL OR used_before >= stock) THEN 'no_stock'
-                       WHEN c_fk THEN 'fk_violation' END AS reason
-        FROM vu_u""",
+        SELECT p.*, CASE WHEN pre IS NOT NULL THEN pre WHEN short THEN 'no_stock' WHEN c_fk THEN 'fk_violation' END AS reason
+        FROM vu_p p LEFT JOIN vu_o o ON p.req_seq = o.req_seq""",
 }
 _VU["vu_last"] = f"SELECT * FROM {_last_sql('vu_d', 'id_vacinacao')} l"
 
@@ -173,7 +200,7 @@ def vacinacao_update(t):
     "SELECT old_vac AS id_vacina, 1 AS d FROM vu_last WHERE id_vacina <> old_vac "
     "UNION ALL SELECT id_vacina, -1 FROM vu_last WHERE id_vacina <> old_vac")))
 def vacinacao_update_stock(t):
-    """C20 + W2: lot stock after the lot changes (credits at batch close)."""
+    """C20 + W2: lot stock after the lot changes."""
     new, _ = ch.apply_vacinacao_update(_state(t), t["vacinacao_update_req"])
     return new["vacina"]
 
@@ -483,26 +510,38 @@ def agendamento_not_offered(t):
     return dec
 
 
+def _strict_order_sql(src: str) -> str:
+    """(req_seq, dup, full): rounds of first-come keys and seats until one changes nothing."""
+    return f"""
+        WITH RECURSIVE rounds AS (
+          SELECT s.req_seq, s.cpf, s.id_vacina, s.data_agendamento, s.id_local, c_dup_t, NOT (c_miss OR c_long OR c_fk) AS v0,
+                 coalesce(b.booked, 0) AS booked, coalesce(l.capacidade, 0) AS cap,
+                 NOT (c_miss OR c_long OR c_fk OR c_dup_t) AS acc, false AS dup, false AS is_full, true AS changed, 0 AS n
+          FROM {src} s
+          LEFT JOIN (SELECT id_local, data_agendamento, count(*) AS booked FROM agendamento
+                     GROUP BY id_local, data_agendamento) b
+                 ON s.id_local = b.id_local AND s.data_agendamento = b.data_agendamento
+          LEFT JOIN local l ON s.id_local = l.id_local
+          UNION ALL
+          SELECT * EXCLUDE (now_dup, seats_before, acc, dup, is_full, changed, n), v0 AND NOT now_dup AND booked + seats_before < cap,
+                 now_dup, booked + seats_before >= cap,
+                 bool_or((v0 AND NOT now_dup AND booked + seats_before < cap) <> acc) OVER (), n + 1
+          FROM (
+            SELECT *, coalesce(sum(CASE WHEN v0 AND NOT now_dup THEN 1 ELSE 0 END)
+                               OVER (PARTITION BY id_local, data_agendamento ORDER BY req_seq {PRECEDING}), 0) AS seats_before
+            FROM (SELECT *, c_dup_t OR coalesce(bool_or(acc) OVER (PARTITION BY cpf, id_vacina, data_agendamento
+                                                                    ORDER BY req_seq {PRECEDING}), false) AS now_dup
+                  FROM rounds WHERE changed) a) b)
+        SELECT req_seq, dup, is_full FROM (SELECT *, max(n) OVER () AS last_n FROM rounds) z WHERE n = last_n"""
+
+
 _AG_S = {
     "ag_j": _AG_J,
-    "ag_s1": f"""
-        SELECT *, NOT (c_miss OR c_long OR c_fk) AS v0,
-               coalesce(sum(CASE WHEN NOT (c_miss OR c_long OR c_fk) AND NOT c_dup_t THEN 1 ELSE 0 END)
-                   OVER (PARTITION BY cpf, id_vacina, data_agendamento ORDER BY req_seq {PRECEDING}), 0) AS earlier
-        FROM ag_j""",
-    "ag_s2": f"""
-        SELECT s.*, c_dup_t OR earlier > 0 AS dup,
-               coalesce(b.booked, 0) AS booked, coalesce(l.capacidade, 0) AS cap,
-               coalesce(sum(CASE WHEN v0 AND NOT (c_dup_t OR earlier > 0) THEN 1 ELSE 0 END)
-                   OVER (PARTITION BY s.id_local, s.data_agendamento ORDER BY req_seq {PRECEDING}), 0) AS seats_before
-        FROM ag_s1 s
-        LEFT JOIN (SELECT id_local, data_agendamento, count(*) AS booked FROM agendamento
-                   GROUP BY id_local, data_agendamento) b
-               ON s.id_local = b.id_local AND s.data_agendamento = b.data_agendamento
-        LEFT JOIN local l ON s.id_local = l.id_local""",
-    "ag_sd": """SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_long THEN 'too_long'
-                               WHEN dup THEN 'duplicate' WHEN booked + seats_before >= cap THEN 'full'
-                               WHEN c_fk THEN 'fk_violation' END AS reason FROM ag_s2""",
+    "ag_so": _strict_order_sql("ag_j"),
+    "ag_sd": """SELECT j.*, CASE WHEN c_miss THEN 'missing_field' WHEN c_long THEN 'too_long'
+                                 WHEN dup THEN 'duplicate' WHEN is_full THEN 'full'
+                                 WHEN c_fk THEN 'fk_violation' END AS reason
+                FROM ag_j j JOIN ag_so o ON j.req_seq = o.req_seq""",
 }
 
 
@@ -989,17 +1028,15 @@ def vacinacao_insert_not_offered(t):
 
 _VU_N = {
     "vu_r": _VU["vu_r"], "vu_j": _VU["vu_j"],
-    "vu_nu": f"""
-        SELECT r.*, NOT {_OFFERED} AS c_noff,
-               coalesce(sum(CASE WHEN move AND found AND {_OFFERED} AND NOT (c_miss OR c_oor OR c_long OR c_null OR c_cit OR c_fk)
-                                 THEN 1 ELSE 0 END) OVER (PARTITION BY id_vacina ORDER BY req_seq {PRECEDING}), 0) AS used_before
+    "vu_np": f"""
+        SELECT r.*, CASE WHEN c_miss THEN 'missing_field' WHEN NOT {_OFFERED} THEN 'not_offered' WHEN c_oor THEN 'out_of_range'
+                         WHEN c_cit THEN 'not_citizen' WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long'
+                         WHEN c_null THEN 'not_null' END AS pre
         FROM vu_j r""",
+    "vu_no": _lot_order_sql("vu_np"),
     "vu_n": """
-        SELECT *, CASE WHEN c_miss THEN 'missing_field' WHEN c_noff THEN 'not_offered' WHEN c_oor THEN 'out_of_range'
-                       WHEN c_cit THEN 'not_citizen' WHEN NOT found THEN 'no_match' WHEN c_long THEN 'too_long'
-                       WHEN c_null THEN 'not_null' WHEN move AND (stock IS NULL OR used_before >= stock) THEN 'no_stock'
-                       WHEN c_fk THEN 'fk_violation' END AS reason
-        FROM vu_nu""",
+        SELECT p.*, CASE WHEN pre IS NOT NULL THEN pre WHEN short THEN 'no_stock' WHEN c_fk THEN 'fk_violation' END AS reason
+        FROM vu_np p LEFT JOIN vu_no o ON p.req_seq = o.req_seq""",
 }
 
 
@@ -1007,3 +1044,105 @@ _VU_N = {
 def vacinacao_update_not_offered(t):
     """K7 on C20."""
     return ch.apply_vacinacao_update(_state(t), t["vacinacao_update_req"], check_options=True, as_of=AS_OF)[1]
+
+
+# ---------------------------------------------------------------------- batches whose requests depend on one another
+
+def _over(ctes: dict, swap: dict) -> dict:
+    """The same judgement over other tables."""
+    out = {}
+    for name, sql in ctes.items():
+        for old, new in swap.items():
+            sql = re.sub(rf"\b{old}\b", new, sql)
+        out[name] = sql
+    return out
+
+
+_VU_O = _over(_VU, {"vacinacao_update_req": "vacinacao_chain_req", "vacina": "vacina_scarce"})
+
+
+@query("vacinacao_update_order", (_VU_O, _decisions_sql("vu_d")))
+def vacinacao_update_order(t):
+    """C20 + W2 one by one: doses that move several times between scarce lots."""
+    return ch.apply_vacinacao_update(_state(t, vacina="vacina_scarce"), t["vacinacao_chain_req"])[1]
+
+
+@query("vacinacao_update_order_stock", (_VU_O, _stock_sql(
+    "SELECT old_vac AS id_vacina, 1 AS d FROM vu_last WHERE id_vacina <> old_vac "
+    "UNION ALL SELECT id_vacina, -1 FROM vu_last WHERE id_vacina <> old_vac").replace("FROM vacina v", "FROM vacina_scarce v")))
+def vacinacao_update_order_stock(t):
+    """C20 + W2: the scarce lots' stock after those moves."""
+    return ch.apply_vacinacao_update(_state(t, vacina="vacina_scarce"), t["vacinacao_chain_req"])[0]["vacina"]
+
+
+_AG_O = _over(_AG_S, {"agendamento_insert_req": "agendamento_chain_req"})
+
+
+@query("agendamento_insert_order", (_AG_O, _decisions_sql("ag_sd", _AG_MAX)))
+def agendamento_insert_order(t):
+    """C16 strict + W4 one by one: a request that a full site refuses leaves its key free."""
+    return ch.apply_agendamento_insert(_state(t), t["agendamento_chain_req"], strict=True)[1]
+
+
+def _user_chain_sql(state: str = "bits") -> dict:
+    """Each user's updates in their order; the role rows as bits (1 citizen, 2 administrator, 4 agent)."""
+    shown = "CASE WHEN {b} % 2 = 1 THEN 1 WHEN {b} % 4 >= 2 THEN 2 WHEN {b} >= 4 THEN 4 ELSE 0 END"
+    step = f"""CASE WHEN n.pre IS NOT NULL OR n.target = {shown.format(b='c.after')} THEN c.after
+                    WHEN {shown.format(b='c.after')} = 1 AND n.cit_ref OR (c.after & n.target) > 0 THEN c.after
+                    ELSE c.after - {shown.format(b='c.after')} + n.target END"""
+    first = step.replace("c.after", "n.opening")
+    return {
+        "uc_j": f"""
+            SELECT r.*, (EXISTS (SELECT 1 FROM vacinacao d WHERE d.cpf = r.cpf) OR EXISTS (SELECT 1 FROM agendamento a WHERE a.cpf = r.cpf)
+                         OR EXISTS (SELECT 1 FROM parente p WHERE p.cpf_responsavel = r.cpf OR p.cpf_parente = r.cpf)) AS cit_ref,
+                   CASE WHEN EXISTS (SELECT 1 FROM cidadao x WHERE x.cpf = r.cpf) THEN 1 ELSE 0 END
+                   + CASE WHEN EXISTS (SELECT 1 FROM administrador x WHERE x.cpf = r.cpf) THEN 2 ELSE 0 END
+                   + CASE WHEN EXISTS (SELECT 1 FROM agente_saude x WHERE x.cpf = r.cpf) THEN 4 ELSE 0 END AS opening,
+                   CASE tipo_usuario WHEN 'Cidadão' THEN 1 WHEN 'Administrador' THEN 2 ELSE 4 END AS target,
+                   CASE WHEN {STRIP.format(c='cpf_digitado')} IS DISTINCT FROM cpf THEN 'key_change'
+                        WHEN NOT EXISTS (SELECT 1 FROM usuario u WHERE u.cpf = r.cpf) THEN 'no_match'
+                        WHEN {_long(cpf=20, nome=100, telefone=100)} OR {_role_long('tipo_usuario')} THEN 'too_long'
+                        WHEN nome IS NULL OR telefone IS NULL OR {_role_null('tipo_usuario')} THEN 'not_null' END AS pre,
+                   row_number() OVER (PARTITION BY cpf ORDER BY req_seq) AS k
+            FROM usuario_chain_req r""",
+        "uc_c": f"""
+            WITH RECURSIVE c AS (
+              SELECT n.cpf, n.k, n.req_seq, n.opening AS before, {first} AS after FROM uc_j n WHERE n.k = 1
+              UNION ALL
+              SELECT n.cpf, n.k, n.req_seq, c.after, {step} FROM c JOIN uc_j n ON n.cpf = c.cpf AND n.k = c.k + 1)
+            SELECT * FROM c""",
+        "uc_d": f"""
+            SELECT j.*, before, after,
+                   CASE WHEN pre IS NOT NULL THEN pre
+                        WHEN target <> {shown.format(b='before')} AND {shown.format(b='before')} = 1 AND cit_ref THEN 'fk_violation'
+                        WHEN target <> {shown.format(b='before')} AND (before & target) > 0 THEN 'duplicate' END AS reason
+            FROM uc_j j JOIN uc_c c ON j.req_seq = c.req_seq""",
+    }
+
+
+_UC = _user_chain_sql()
+
+
+@query("usuario_update_order", (_UC, _decisions_sql("uc_d")))
+def usuario_update_order(t):
+    """C2 one by one: users who change their role several times in a batch."""
+    return ch.apply_usuario_update(_state(t), t["usuario_chain_req"])[1]
+
+
+_UC_END = dict(_UC)
+_UC_END["uc_end"] = "SELECT cpf, arg_max(after, req_seq) AS bits FROM uc_d GROUP BY cpf"
+
+
+@query("usuario_update_order_roles", (_UC_END, """
+    SELECT u.cpf, coalesce(e.bits % 2 = 1, EXISTS (SELECT 1 FROM cidadao x WHERE x.cpf = u.cpf)) AS cidadao,
+           coalesce(e.bits % 4 >= 2, EXISTS (SELECT 1 FROM administrador x WHERE x.cpf = u.cpf)) AS administrador,
+           coalesce(e.bits >= 4, EXISTS (SELECT 1 FROM agente_saude x WHERE x.cpf = u.cpf)) AS agente_saude
+    FROM usuario u LEFT JOIN uc_end e ON u.cpf = e.cpf"""))
+def usuario_update_order_roles(t):
+    """The role rows that each user has after those updates."""
+    from pyspark.sql import functions as F
+    new, _ = ch.apply_usuario_update(_state(t), t["usuario_chain_req"])
+    out = new["usuario"].select("cpf")
+    for table in ("cidadao", "administrador", "agente_saude"):
+        out = out.join(new[table].select("cpf", F.lit(True).alias(table)), "cpf", "left")
+    return out.select("cpf", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("cidadao", "administrador", "agente_saude")])

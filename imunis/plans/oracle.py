@@ -292,6 +292,34 @@ BINDINGS.update({
         FROM dose_line WHERE l_linenumber <= 4 AND l_orderkey % 6 = 0""",
 })
 
+# Batches whose requests depend on one another.
+BINDINGS.update({
+    "vacina_scarce": "SELECT * REPLACE (cast(id_vacina % 5 AS integer) AS qtd_doses) FROM vacina",
+    "vacinacao_chain_req": f"""
+        SELECT cast((l_partkey % 11 * 2 + n) * 10000000000 + l_orderkey * 8 + l_linenumber AS bigint) AS req_seq,
+               cast(l_orderkey * 8 + l_linenumber AS bigint) AS id_vacinacao, cast(l_linenumber AS integer) AS contagem,
+               cast(l_shipdate AS date) AS data_aplicacao,
+               cast(CASE WHEN (l_orderkey + n) % 31 = 0 THEN l_partkey + {UNKNOWN} ELSE l_partkey * (n + 2) % 97 + 2 END AS bigint) AS id_vacina,
+               {CPF.format(k='o_custkey')} AS cpf,
+               cast(l_suppkey + CASE WHEN (l_orderkey + n) % 13 = 0 THEN {UNKNOWN} ELSE 1 END AS bigint) AS id_local,
+               cast(l_orderkey % 27 + 1 AS integer) AS id_campanha
+        FROM dose_line, (SELECT unnest([0, 1]) AS n) WHERE l_linenumber <= 4 AND l_orderkey % 13 = 0""",
+    "agendamento_chain_req": f"""
+        SELECT cast(l_orderkey * 8 + l_linenumber * 3 + n - 3 AS bigint) AS req_seq, {CPF.format(k='o_custkey')} AS cpf,
+               cast(l_orderkey % 27 + 1 AS integer) AS id_campanha, cast(l_partkey % 5 + 1 AS bigint) AS id_vacina,
+               cast((l_suppkey * 3 + n) % 4 + 2 AS bigint) AS id_local,
+               cast(DATE '2001-01-01' + cast(o_custkey % 97 AS integer) AS date) AS data_agendamento
+        FROM dose_line, (SELECT unnest([0, 1, 2]) AS n) WHERE l_linenumber <= 2""",
+    "usuario_chain_req": f"""
+        SELECT cast(n * 10000000000 + k AS bigint) AS req_seq, {CPF.format(k='k')} AS cpf,
+               CASE WHEN c_custkey % 29 = 0 THEN 'x' ELSE {CPF.format(k='k')} END AS cpf_digitado,
+               c_name || ' ' || cast(n AS varchar) AS nome,
+               CASE WHEN c_custkey % 17 <> 0 THEN lpad(cast(k AS varchar), 9, '0') END AS telefone,
+               {_ROLE3.format(e='(k // 3 + n * (k % 3)) % 3')} AS tipo_usuario, {_USER_PAYLOAD}
+        FROM (SELECT * REPLACE (c_custkey + n AS c_custkey), c_custkey AS k FROM customer, (SELECT unnest([0, 1, 2, 3]) AS n)
+              WHERE c_custkey % 3 <> 0) c""",
+})
+
 # Tables with faults, for the audits.
 BINDINGS.update({
     "usuario_bad": """

@@ -88,6 +88,10 @@ class Fixtures:
         names = names or tuple(TABLES)
         return {n: self[n] for n in names}
 
+    def _build_vacina_scarce(self) -> DataFrame:
+        """The lots with hardly any stock."""
+        return self["vacina"].withColumn("qtd_doses", (F.col("id_vacina") % 5).cast("int"))
+
     # -- dimensions -------------------------------------------------------
     def _build_usuario(self) -> DataFrame:
         c = self.raw("customer")

@@ -276,3 +276,44 @@ def vacinacao_delete_req(t: Fixtures) -> DataFrame:
     again = d.where(F.col("l_orderkey") % 6 == 0).select((vid * 2 + 1).cast("bigint").alias("req_seq"),
                                                          vid.cast("bigint").alias("id_vacinacao"))
     return main.unionByName(again)
+
+
+# ---- batches whose requests depend on one another
+
+def vacinacao_chain_req(t: Fixtures) -> DataFrame:
+    """Two lot changes of each dose, mixed with those of the other doses."""
+    d = t["dose_line"].where((F.col("l_linenumber") <= 4) & (F.col("l_orderkey") % 13 == 0))
+    k, n = F.col("l_orderkey"), F.col("step")
+    dose = k * 8 + F.col("l_linenumber")
+    d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
+    return d.select(
+        ((F.col("l_partkey") % 11 * 2 + n) * F.lit(10 ** 10) + dose).cast("bigint").alias("req_seq"), dose.cast("bigint").alias("id_vacinacao"),
+        F.col("l_linenumber").cast("int").alias("contagem"), F.col("l_shipdate").cast("date").alias("data_aplicacao"),
+        F.when((k + n) % 31 == 0, F.col("l_partkey") + UNKNOWN).otherwise((F.col("l_partkey") * (n + 2)) % 97 + 2).cast("bigint").alias("id_vacina"),
+        cpf("o_custkey").alias("cpf"), (F.col("l_suppkey") + F.when((k + n) % 13 == 0, UNKNOWN).otherwise(1)).cast("bigint").alias("id_local"),
+        (k % 27 + 1).cast("int").alias("id_campanha"))
+
+
+def agendamento_chain_req(t: Fixtures) -> DataFrame:
+    """The same appointment asked for at several sites, on few days."""
+    d = t["dose_line"].where((F.col("l_linenumber") <= 2))
+    k, n = F.col("l_orderkey"), F.col("step")
+    d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
+    return d.select(
+        (k * 8 + F.col("l_linenumber") * 3 + n - 3).cast("bigint").alias("req_seq"), cpf("o_custkey").alias("cpf"),
+        (k % 27 + 1).cast("int").alias("id_campanha"), (F.col("l_partkey") % 5 + 1).cast("bigint").alias("id_vacina"),
+        ((F.col("l_suppkey") * 3 + n) % 4 + 2).cast("bigint").alias("id_local"),
+        F.date_add(F.lit("2001-01-01").cast("date"), (F.col("o_custkey") % 97).cast("int")).alias("data_agendamento"))
+
+
+def usuario_chain_req(t: Fixtures) -> DataFrame:
+    """Four updates of each user, mostly to another role."""
+    k, n = _k(), F.col("step")
+    c = t.raw("customer").where(k % 3 != 0).select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("step"))
+    return c.select(
+        (n * F.lit(10 ** 10) + k).cast("bigint").alias("req_seq"), cpf(k).alias("cpf"),
+        F.when((k + n) % 29 == 0, F.lit("x")).otherwise(cpf(k)).alias("cpf_digitado"),
+        F.concat(F.col("c_name"), F.lit(" "), n.cast("string")).alias("nome"),
+        F.when((k + n) % 17 != 0, F.lpad(k.cast("string"), 9, "0")).alias("telefone"),
+        _role((_idiv(k, 3) + n * (k % 3)) % 3).alias("tipo_usuario"),
+        *_user_payload(k + n))
