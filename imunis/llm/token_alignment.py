@@ -51,11 +51,11 @@ from imunis.llm.common import materialize, ship
 from imunis.llm.text import column_bytes
 
 #: Bytes of text in a chunk.
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Texts between anchors that one worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters tokenised in one call, and pairs made at a time.
-CALL, SLICE = 1 << 18, 1 << 21
+CALL, SLICE = 1 << 17, 1 << 18
 #: Characters with Unicode's White_Space property (fixed values).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _AFTER_SPACE = re.compile(f"(?:^|[{_SPACE}]) ")
@@ -126,7 +126,7 @@ class Windows:
     def forget(self) -> None:
         #: Windows of each remembered piece of text; None where the bytes differ.
         self.of_text: dict[str, tuple[int, ...] | None] = {}
-        self.by_ids: dict[tuple[bytes, bytes], int] = {}
+        self.by_ids: dict[bytes, int] = {}
         #: For each window: its text and sizes, and where its entries of A lie.
         self.text: list[str] = []
         self.sizes = {k: array("q") for k in ("n_a", "n_b", "n_groups", "n_links", "first", "entries")}
@@ -215,10 +215,11 @@ class Windows:
         rows = np.stack([a_to - a_at, b_to - b_at, group_to - group_at, links[group_to] - links[group_at],
                          first[:-1] + base_entry, np.diff(first)], 1).tolist()
         ids_a, ids_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        between = b"\xff" * 4  # no id
         numbers = []
         columns = list(self.sizes.values())
         for row, s, e, t, u in zip(rows, a_at.tolist(), a_to.tolist(), b_at.tolist(), b_to.tolist()):
-            key = ids_a[4 * s:4 * e], ids_b[4 * t:4 * u]
+            key = ids_a[4 * s:4 * e] + between + ids_b[4 * t:4 * u]
             number = self.by_ids.get(key)
             if number is None:
                 number = self.by_ids[key] = len(self.text)
