@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from imunis.llm import exact_dedup as ed
 
 SCHEMA = "doc_id long, text string, digest string, keep_id int"  # the last two clash with the operator's names
@@ -38,6 +40,35 @@ def test_index_outlives_the_batch(spark, scratch):
     assert ed.DigestIndex(spark, path, 4).read().count() == 3
 
 
+def test_a_rerun_gives_the_same(spark, scratch):
+    """The driver dies behind the append: the batch runs again, from a new session's view of the folder."""
+    path = f"file:{scratch}/index"
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (3, "A"), (None, "c")], "doc_id long, text string")
+    kept = [sorted(map(str, ed.keep_one(rows, ed.DigestIndex(spark, path, 4)).collect())) for _ in range(3)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+    index = ed.DigestIndex(spark, path, 4)
+    assert index.read().count() == 3
+    half = index.read().filter("keep_id = 2").select("digest", "keep_id")
+    ed.DigestIndex(spark, f"file:{scratch}/torn", 4).append(half, "b")  # an append of which only a part is there
+    torn = ed.DigestIndex(spark, f"file:{scratch}/torn", 4)
+    out = ed.deduplicate(rows, torn, batch="b").collect()
+    assert sum(r.kept for r in out) == 3 and not any(r.seen_before for r in out) and torn.read().count() == 3
+    other = ed.deduplicate(rows, torn, batch="other").collect()
+    assert all(r.seen_before and not r.kept for r in other) and torn.read().count() == 3
+
+
+def test_other_buckets_are_refused(spark, scratch):
+    ed.DigestIndex(spark, f"file:{scratch}/index", 4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        ed.DigestIndex(spark, f"file:{scratch}/index", 8)
+
+
+def test_the_query_leaves_no_table(spark, sf_small):
+    before = {t.name for t in spark.catalog.listTables()}
+    ed.query(spark, sf_small).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark, scratch):
     index = ed.DigestIndex(spark, f"file:{scratch}/index", 8)
     ed.deduplicate(spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string"), index).collect()
