@@ -87,8 +87,56 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "alpha beta"), (None, item + " iota")],
                                   "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()), key=str)
-    assert got == sorted([(d, i) for d in (None, 4, 5) for i in (1, None)], key=str)
+    assert got == sorted([(d, i) for d in (None, 4, 5) for i in (1, None, 4)] + [(6, 4)], key=str)
     assert dc.contaminated(docs.limit(0), bench).count() == 0
     assert dc.contaminated(docs, bench.limit(0)).count() == 0
     kept = dc.clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_items_of_one_to_four_words(spark):
+    bench = [(1, "solo"), (2, "Two words"), (3, "three small words"), (4, "just four of them"), (5, "now there are five words")]
+    docs = [(i, f"padding here {t.upper()}, and padding there") for i, t in bench] + [(10, "two of the words"), (11, "four just of them"), (12, "them")]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in got.collect()} == {(i, i, 1.0, 1) for i in range(1, 6)}
+
+
+def test_a_document_that_reaches_the_threshold_has_a_key():
+    rng = random.Random(12)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        item = np.array([rng.randint(1, rng.choice([3, 50])) for _ in range(n)], np.uint64)
+        width = min(dc.MIN_MATCH, n)
+        seeds = dc._seeds(item, width).view(np.int64).tolist()
+        held = {s: rng.randint(1, 20_000) for s in seeds}
+        keys = set(dc.key_seeds(item, held, 0.6))
+        for _ in range(20):
+            some = {s for s in set(seeds) if rng.random() < rng.random()} - keys
+            covered = np.zeros(n, bool)
+            for at, s in enumerate(seeds):
+                if s in some:
+                    covered[at:at + width] = True
+            assert covered.sum() < 0.6 * n
+
+
+def test_a_phrase_of_very_many_documents_makes_no_pairs(spark):
+    """Half of an item is a phrase that 3,000 documents and all 40 items share."""
+    rng = random.Random(13)
+    phrase = sentence(rng, 10)
+    items = [(i, f"{phrase} {sentence(rng, 10)}") for i in range(40)]
+    docs = [(i, f"{sentence(rng, 5)} {phrase} {sentence(rng, 5)}") for i in range(3000)] + [(5000 + i, t) for i, t in items]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = dc.contaminated(*frames)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(5000 + i, i) for i, _ in items}
+    for i, text in items:
+        words = dc.words(*dc.column_bytes(dc.pa.array([text])), dc.PUNCT, latin=True)[0]
+        seeds = dc._seeds(words, 5).view(np.int64).tolist()
+        common = set(seeds[:6])  # those of the phrase
+        keys = dc.key_seeds(words, {s: 3040 if s in common else 1 for s in seeds}, 0.6)
+        assert keys and not common & set(keys)
+
+
+def test_a_long_repetitive_text_is_tiled_quickly():
+    item = np.array([1, 2] * 30, np.uint64)
+    text = np.array([1, 2] * 200_000 + [0] + [2, 1, 1] * 50_000, np.uint64)
+    assert dc.tile(item, text, 5) == (60, 1)
