@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample, and of the languages it may have.
-TRAIN_ROWS, MAX_LANGS = 3000, 256
+from imunis.llm.common import materialize, ship
+
+#: Bound of the training sample.
+TRAIN_ROWS = 3000
 BUCKETS_LOG2 = 11
 BUCKETS, DIM, GRAMS = 1 << BUCKETS_LOG2, 16, (2, 3, 4)
 #: Share of right predictions on the calibration rows that rejection may cost.
@@ -46,14 +48,11 @@ _KEEP = np.where(((_BYTES >= 97) & (_BYTES < 123)) | (_BYTES >= 128), _BYTES, 32
 _PAD = " " * max(GRAMS)
 
 
-def subword_counts(texts: list[str]) -> np.ndarray:
-    """Texts x BUCKETS counts of hashed byte n-grams of the lower-cased texts; all but letters are spaces."""
-    raw = [t.lower().encode() for t in texts]
-    data = _KEEP[np.frombuffer(b"".join(_PAD.encode() + r for r in raw) + _PAD.encode(), np.uint8)].astype(np.uint32)
-    size = np.array([len(r) + len(_PAD) for r in raw], np.int64)
-    row = np.repeat(np.arange(len(raw)), size) << BUCKETS_LOG2
-    out = np.zeros(len(raw) << BUCKETS_LOG2)
+def _count(data: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """rows x BUCKETS counts of the grams that start at the first len(row) bytes; ``data`` has at least three more."""
+    out = np.zeros(rows << BUCKETS_LOG2)
     n = len(row)
+    data = data.astype(np.uint32)
     letter = data != 32
     value = data[:n].copy()
     for k in range(1, max(GRAMS)):
@@ -61,8 +60,15 @@ def subword_counts(texts: list[str]) -> np.ndarray:
         if k + 1 in GRAMS:
             bucket = ((value + np.uint32(k * 0x01000193)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)
             use = letter[:n] | letter[1:n + 1]
-            out += np.bincount(row[use] + bucket[use], minlength=len(out))
-    return out.reshape(len(raw), BUCKETS)
+            out += np.bincount((row << BUCKETS_LOG2)[use] + bucket[use], minlength=len(out))
+    return out.reshape(rows, BUCKETS)
+
+
+def subword_counts(texts: list[str]) -> np.ndarray:
+    """Texts x BUCKETS counts of hashed byte n-grams of the lower-cased texts; all but letters are spaces."""
+    raw = [t.lower().encode() for t in texts]
+    data = _KEEP[np.frombuffer(b"".join(_PAD.encode() + r for r in raw) + _PAD.encode(), np.uint8)]
+    return _count(data, np.repeat(np.arange(len(raw)), [len(r) + len(_PAD) for r in raw]), len(raw))
 
 
 def groups(texts: list[str], chars: int = 500_000, rows: int = 256) -> Iterator[slice]:
@@ -77,12 +83,16 @@ def groups(texts: list[str], chars: int = 500_000, rows: int = 256) -> Iterator[
         yield slice(at, len(texts))
 
 
-def long_counts(texts: list[str], chars: int = 500_000) -> np.ndarray:
-    """Like ``subword_counts``; a single very long text is counted in parts that overlap by what a gram spans."""
-    if len(texts) != 1 or len(texts[0]) <= 2 * chars:
+def long_counts(texts: list[str], size: int = 1 << 20) -> np.ndarray:
+    """``subword_counts`` in bounded memory: a single long text is counted in parts that overlap by what a gram spans."""
+    if len(texts) != 1 or len(texts[0]) <= size:
         return subword_counts(texts)
-    cut = [texts[0][i:i + chars] for i in range(0, len(texts[0]), chars)]
-    return sum(subword_counts([c]) for c in cut)
+    data = _KEEP[np.frombuffer(_PAD.encode() + texts[0].lower().encode() + _PAD.encode(), np.uint8)]
+    n, out = len(data) - len(_PAD), np.zeros((1, BUCKETS))
+    for at in range(0, n, size):
+        to = min(at + size, n)
+        out += _count(data[at:to + len(_PAD)], np.zeros(to - at, np.int64), 1)
+    return out
 
 
 @dataclass
@@ -142,8 +152,7 @@ def calibrate(model: Model, counts: np.ndarray, labels: np.ndarray, rejected: fl
     model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
     p = model.scores(counts)
     right = p.max(1)[p.argmax(1) == labels]
-    # Never above one half: a language with most of the probability is never rejected.
-    model.threshold = float(min(0.5, np.quantile(right, rejected))) if len(right) else 0.0
+    model.threshold = float(np.quantile(right, rejected)) if len(right) else 0.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -174,23 +183,27 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model | None:
     """Train on a sample of ``rows`` labelled rows at most, none of them held out."""
+    ship(docs.sparkSession)
     labelled = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
                 .filter("id is not null and text is not null and lang is not null").filter(~held_out("id"))
                 .withColumn("order", F.shiftrightunsigned(F.xxhash64("id"), 1)))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "labels", slim=True)
+    n_langs = sizes.count()
+    if not n_langs:
         return None
-    each = max(1, rows // len(sizes))
-    # A language's rows whose hash falls below its share of the range: about ``each`` of them. A map of MAX_LANGS entries at
-    # most, so that no text moves.
-    below = F.create_map(*[F.lit(x) for r in sizes for x in
-                           (r["lang"], (2**63 - 1) * min(r["count"], 11 * each // 10 + 1) // r["count"])])
-    # Hash times count is about a row's rank in its language, so that the limit cuts all languages at the same rank.
-    count_of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["count"]))])
-    rank = F.col("order") * F.try_element_at(count_of, F.col("lang"))
-    sample = (labelled.filter(F.col("order") <= F.try_element_at(below, F.col("lang"))).select("lang", "order", "text")
+    each = max(1, rows // n_langs)
+    # A language's rows whose hash falls below its share of the range: about ``each`` of them. Hash times rows is about a
+    # row's rank in its language, so that the limit cuts all languages at the same rank. Only ids and labels move.
+    below = F.expr(f"order <= (9223372036854775807 div rows) * least(rows, {11 * each // 10 + 1})")
+    rank = (F.col("order").cast("double") * F.col("rows")).alias("rank")
+    drawn = (labelled.select("id", "lang", "order").join(sizes, "lang").filter(below).select("id", "lang", "order", rank)
+             .orderBy("rank", "order", "lang").limit(rows).collect())
+    ranks = {(r["order"], r["lang"]): r["rank"] for r in drawn}
+    sample = (labelled.filter(F.col("id").isin(sorted({r["id"] for r in drawn}))).select("lang", "order", "text")
               .mapInArrow(_examples, "lang string, order long, part long, at binary, counts binary")
-              .orderBy(rank, "order", "part", "lang", "at", "counts").limit(3 * rows).collect())
+              .orderBy("part", "order", "lang", "at", "counts").limit(6 * rows).collect())
+    sample = sorted((r for r in sample if (r["order"], r["lang"]) in ranks),
+                    key=lambda r: (ranks[r["order"], r["lang"]], r["order"], r["part"], r["lang"], r["at"], r["counts"]))[:3 * rows]
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})
@@ -209,6 +222,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted, one row for each input row."""
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -230,6 +245,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language the model accepts, with their columns; a filter in place, without a join."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
