@@ -64,6 +64,37 @@ def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
+def pack(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of rows of ``sizes`` numbers each, seven bits a byte, the last byte of a number below 128."""
+    values = values.astype(np.uint64)
+    width = np.ones(len(values), np.int64)
+    for k in range(1, 5):
+        width += values >= np.uint64(1 << (7 * k))
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(width > k)
+        if not len(some):
+            break
+        last = width[some] == k + 1
+        out[ends[some] - width[some] + k] = (values[some] >> np.uint64(7 * k)).astype(np.uint8) & 127 | np.where(last, 0, 128).astype(np.uint8)
+    at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+    return binary(out, np.diff(at))
+
+
+def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a packed column (uint32), and the index of each row's first (n + 1 values)."""
+    data, bounds = column_bytes(col)
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:len(ends)]
+    out = np.zeros(len(ends), np.uint32)
+    width = ends - starts + 1
+    for k in range(int(width.max()) if len(width) else 0):
+        some = slice(None) if k == 0 else np.flatnonzero(width > k)
+        out[some] |= (data[starts[some] + k] & 127).astype(np.uint32) << np.uint32(7 * k)
+    return out, np.searchsorted(starts, bounds)
+
+
 #: What ends a piece of text, as one byte; no word holds it.
 _END = bytes([b if chr(b) not in ".,;:!?\n\x0b\x0c\r" else ord(".") for b in range(256)])
 
@@ -80,13 +111,13 @@ class _Numbers(dict):
         return len(self.words)
 
 
-def word_lists(docs: DataFrame, pieces: bool = False, size: int = 8 << 20) -> DataFrame:
+def word_lists(docs: DataFrame, pieces: bool = False, size: int = 32 << 20) -> DataFrame:
     """Documents (doc_id, text, lang, learnt) as numbers that point into the word list of their chunk.
 
     A-Z are lower-cased; words are runs without white space. Rows of kind 0: a
     word of the chunk (``lang``, ``word``, its number ``at`` and ``n``, its
     occurrences in learnt documents). Rows of kind 1: a document (doc_id, lang,
-    learnt, n words and ``ids``, 32-bit numbers). With ``pieces``, words do not
+    learnt, n words and ``ids``, packed). With ``pieces``, words do not
     span the end marks either, and a mark is number 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +150,7 @@ def word_lists(docs: DataFrame, pieces: bool = False, size: int = 8 << 20) -> Da
             yield pa.RecordBatch.from_pydict({
                 "chunk": np.full(n, chunk), "kind": np.ones(n, np.int32), "lang": batch.column(2), "word": none["word"], "at": none["at"],
                 "n": pa.array(lengths, pa.int64()), "doc_id": batch.column(0), "learnt": pa.array(learnt),
-                "ids": binary(flat.astype("<u4"), np.array(lengths, np.int64))}, schema=WORD_LISTS)
+                "ids": pack(flat, np.array(lengths, np.int64))}, schema=WORD_LISTS)
             for at in range(0, m, 1 << 16):
                 part = slice(at, min(at + (1 << 16), m))
                 k = part.stop - at

@@ -44,10 +44,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from imunis.llm.chunks import binary, by_chunk, runs, word_lists
-from imunis.llm.common import materialize, ship
-from imunis.llm.text import column_bytes
+from imunis.llm.chunks import by_chunk, pack, runs, unpack, word_lists
+from imunis.llm.common import discard, materialize, ship
 
 #: Share of the training tokens, and occurrences, from which on a word is a unit of its own.
 SHARE, LEAST = 1e-5, 5
@@ -62,8 +62,9 @@ HELD = 1 << 22
 DISCOUNT, PSEUDO = 0.5, 0.5
 
 
-def _rare_unit(word: str) -> Column:
-    return (1 + F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(RARE))).cast("int")
+def rare_unit(word: str, n_frequent: int) -> Column:
+    """The unit of a rare word: those of the frequent words come before."""
+    return (1 + n_frequent + F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(RARE))).cast("int")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -136,8 +137,7 @@ def _bigrams(n_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            data, _ = column_bytes(batch.column(0))
-            seq = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+            seq = unpack(batch.column(0))[0].astype(np.int64)
             if not len(seq):
                 continue
             held.append(np.concatenate([[0], seq[:-1]]) * n_units + seq)  # every sequence ends in 0, the end
@@ -217,31 +217,42 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                        (~F.coalesce(held_out, F.lit(False))).alias("learnt"))
     lists = materialize(word_lists(rows), "words-by-chunk")
     listed, texts = lists.filter("kind = 0"), lists.filter("kind = 1")
-    words = materialize(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_ends = texts.filter("learnt").count()
-    n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train, n_distinct = n_words + n_ends, n_distinct + (n_ends > 0)
-
+    n_train = n_ends + (listed.agg(F.sum("n")).first()[0] or 0)
     least = max(LEAST, SHARE * n_train)
-    frequent = sorted((-r.n, r.word) for r in words.filter(F.col("n") >= least).collect())  # at most 1 / SHARE rows
-    n_units = 1 + RARE + len(frequent)
-    own_units = spark.createDataFrame(pd.DataFrame({"word": [w for _, w in frequent], "own": np.arange(1 + RARE, n_units)}),
-                                      "word string, own int") if frequent else spark.createDataFrame([], "word string, own int")
-    words = materialize(words.join(own_units, "word", "left").select("word", "n", F.coalesce("own", _rare_unit("word")).alias("unit")), "word-units")
+    # Each word's count comes to all its chunks in one shuffle. A word has one row in a chunk, so no word has many rows.
+    # The word itself goes on with its first row and, where it is frequent, with all.
+    of_word = Window.partitionBy("word")
+    first = F.row_number().over(of_word.orderBy("chunk", "at")) == 1
+    looked_up = materialize(
+        listed.select("chunk", "kind", "at", "word", F.sum("n").over(of_word).alias("n"), first.alias("first"))
+        .select("chunk", "kind", "at", "n", rare_unit("word", 0).alias("rare"), "first",
+                F.when(F.col("first") | (F.col("n") >= least), F.col("word")).alias("word")), "words-looked-up")
+    words = looked_up.filter("first and n > 0")
+    n_distinct = words.count() + (n_ends > 0)
+    frequent = sorted((-r.n, r.word) for r in words.filter(F.col("n") >= least).select("n", "word").collect())  # at most 1 / SHARE rows
+    n_frequent = len(frequent)
+    n_units = 1 + n_frequent + RARE
+    own_units = spark.createDataFrame([(w, i) for i, (_, w) in enumerate(frequent, 1)], "word string, own int")
+
+    def with_units(rows: DataFrame) -> DataFrame:
+        unit = F.coalesce("own", F.col("rare") + n_frequent).alias("unit")
+        return rows.join(F.broadcast(own_units), "word", "left").select(*[c for c in rows.columns if c != "rare"], unit)
+
+    words = with_units(words).select("word", "n", "unit")
     totals, distinct = np.zeros(n_units), np.zeros(n_units)
     once = twice = 0
     sums = words.groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.count_if(F.col("n") == 1).alias("once"),
                                      F.count_if(F.col("n") == 2).alias("twice"))
     for r in sums.collect():  # a row for each unit
         totals[r.unit], distinct[r.unit] = r.n, r.words
-        if r.unit <= RARE:
+        if r.unit > n_frequent:
             once, twice = once + r.once, twice + r.twice
     totals[0] = n_ends
     discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
 
     scale = n_train + BASE * (n_distinct + 1)
     end_base = math.log10((n_ends + BASE) / scale)
-    rare_totals, rare_words = totals[:RARE + 1].copy(), distinct[:RARE + 1].copy()
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, units, counts = None, None, None
@@ -258,14 +269,12 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 continue
             if not ready:
                 base = np.log10((counts + BASE) / scale)
-                rare = (units > 0) & (units <= RARE)
-                total, kinds = rare_totals[np.where(rare, units, 0)], rare_words[np.where(rare, units, 0)]
+                rare = units > n_frequent
+                total, kinds = totals[units], distinct[units]
                 share = np.where(counts > 0, counts - discount, discount * kinds) / np.maximum(total, 1)
                 within = np.log10(np.where(rare & (total > 0), share, 1.0))
                 ready = True
-            data, bounds = column_bytes(part.column("ids"))
-            ids = np.frombuffer(data.tobytes(), "<u4")
-            ends = bounds // 4
+            ids, ends = unpack(part.column("ids"))
             sizes = np.diff(ends)
             filled = np.flatnonzero(sizes)
             sums = {}
@@ -277,14 +286,14 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "held_out": pa.array(~part.column("learnt").to_numpy(zero_copy_only=False).astype(bool)),
                 "n_tokens": sizes + 1, "n_known": sums["known"].astype(np.int64) + (n_ends > 0), "base_score": sums["base"] + end_base,
-                "within": sums["within"], "units": binary(seq.astype("<u4"), sizes + 1)})
+                "within": sums["within"], "units": pack(seq, sizes + 1)})
 
-    looked_up = listed.select("chunk", "kind", "at", "word").join(words.select("word", "n", "unit"), "word", "left").select(
-        "chunk", "kind", "at", F.coalesce("unit", _rare_unit("word")).alias("unit"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    both = looked_up.unionByName(texts.select("chunk", "kind", "doc_id", "learnt", "ids"), allowMissingColumns=True)
+    both = with_units(looked_up).select("chunk", "kind", "at", "n", "unit").unionByName(
+        texts.select("chunk", "kind", "doc_id", "learnt", "ids"), allowMissingColumns=True)
     found = materialize(by_chunk(both).mapInArrow(
         sequences, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, units binary"), "unit-sequences")
 
+    discard(lists)
     pairs = found.filter("not held_out").select("units").mapInArrow(_bigrams(n_units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     v, w = F.expr(f"cast(pair div {n_units} as int)"), F.expr(f"cast(pair % {n_units} as int)")
     bigrams = materialize(pairs.select(v.alias("v"), w.alias("w"), "n", F.when(v == w, F.col("n")).otherwise(0).alias("own")), "unit-bigrams")
@@ -296,20 +305,19 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     before = n.sum(1, keepdims=True)
     smooth = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * (n > 0).sum(1, keepdims=True) * own) / np.maximum(before, 1)
     log_step = np.log10(np.where(before > 0, smooth, own))
-    weight = totals + PSEUDO * ((np.arange(n_units) <= RARE) & (np.arange(n_units) > 0))
+    weight = totals + PSEUDO * (np.arange(n_units) > n_frequent)
     class_weight = np.bincount(classes, weights=weight, minlength=CLASSES)
     log_unit = np.log10(np.maximum(weight, 1e-300) / np.maximum(class_weight[classes], 1e-300))
     log_unit[0] = 0.0
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = column_bytes(batch.column("units"))
-            seq = np.frombuffer(data.tobytes(), "<u4")
+            seq, starts = unpack(batch.column("units"))
             if not len(seq):
                 continue
             c = classes[seq]
             before = np.concatenate([[0], c[:-1]])
-            score = np.add.reduceat(log_step[before, c] + log_unit[seq], bounds[:-1] // 4) + batch.column("within").to_numpy()
+            score = np.add.reduceat(log_step[before, c] + log_unit[seq], starts[:-1]) + batch.column("within").to_numpy()
             tokens = batch.column("n_tokens").to_numpy()
             yield pa.RecordBatch.from_pydict({
                 **{x: batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")}, "train_tokens": np.full(len(tokens), n_train),

@@ -77,6 +77,13 @@ def materialize(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, folder)
+
+
 def lower_ascii(col: Column | str) -> Column:
     """A-Z to a-z, every other character as it is; null stays null."""
     return F.translate(F.col(col) if isinstance(col, str) else col, UPPER, UPPER.lower())

@@ -49,8 +49,9 @@ def test_counts_and_base_score_equal_plain_sums(scored, texts):
 def test_score_equals_the_model_written_out(spark, scored, texts):
     known = {r.word: r for r in scored.words.collect()}
     units = {w: r.unit for w, r in known.items()}
+    n_frequent = len(scored.units) - class_lm.RARE - 1
     unseen = sorted({w for t in texts.values() for w in words(t)} - set(known))
-    rare = spark.createDataFrame([(w,) for w in unseen], "word string").select("word", class_lm._rare_unit("word").alias("u"))
+    rare = spark.createDataFrame([(w,) for w in unseen], "word string").select("word", class_lm.rare_unit("word", n_frequent).alias("u"))
     units.update({r.word: r.u for r in rare.collect()})
     n, k = scored.transitions, class_lm.CLASSES
     class_of = scored.units
@@ -60,7 +61,7 @@ def test_score_equals_the_model_written_out(spark, scored, texts):
     for r in known.values():
         total[r.unit] += r.n
         seen[r.unit] += 1
-    once, twice = (sum(r.n == x and r.unit <= class_lm.RARE for r in known.values()) for x in (1, 2))
+    once, twice = (sum(r.n == x and r.unit > n_frequent for r in known.values()) for x in (1, 2))
     discount = min(max(once / (once + 2 * twice), .1), .9)
     # Bigrams of classes, counted anew.
     own = np.zeros((k, k))
@@ -73,7 +74,7 @@ def test_score_equals_the_model_written_out(spark, scored, texts):
     start = (n.sum(0) + .5) / (n.sum(0) + .5).sum()
     weight = Counter()
     for u, c in enumerate(class_of):
-        weight[c] += total[u] + (.5 if 0 < u <= class_lm.RARE else 0)
+        weight[c] += total[u] + (.5 if u > n_frequent else 0)
     for r in scored.documents.collect():
         line = [0, *[units[w] for w in words(texts[r.doc_id])], 0]
         log = 0.0
@@ -82,7 +83,7 @@ def test_score_equals_the_model_written_out(spark, scored, texts):
             row = n[c]
             step = (max(row[d] - .5, 0) + .5 * (row > 0).sum() * start[d]) / row.sum() if row.sum() else start[d]
             log += math.log10(step)
-            if b > class_lm.RARE:
+            if 0 < b <= n_frequent:
                 log += math.log10(total[b] / weight[d])
             elif b:
                 log += math.log10((total[b] + .5) / weight[d])
