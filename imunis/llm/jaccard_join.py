@@ -26,10 +26,12 @@ but never all their pairs: in the first round each node is compared with the
 one where the key stands foremost (the least edited copy has the fewest rare
 shingles of its own before it). Nodes that are linked already need no
 comparison; what is left, pairs of a key in different components, is compared
-in further rounds, at last exhaustively (when that is cheap, or when a round has
-added no link, as the next would only repeat it). So a large group of near copies costs
-a few comparisons for each member, and yet no link between different components
-is missed. Comparisons count whole sets.
+in further rounds with a few nodes of each key, chosen anew, as long as they
+bring components together, and at last exhaustively, by classes of size and
+place that can link at all (``_across``). So a large group of near copies costs
+a few comparisons for each member, documents that share a phrase below the
+threshold cost none, and yet no link between different components is missed.
+Comparisons count whole sets.
 
 Defined results
   null or empty text, only white space: n_shingles 0, linked with nothing.
@@ -52,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imunis.llm.common import materialize
+from imunis.llm.common import materialize, ship
 from imunis.llm.components import components
 from imunis.llm.text import column_bytes, mix, shingle_sets, words
 
@@ -62,8 +64,8 @@ CELLS_LOG2, CELL_ROW = 21, 4096
 MAX_LIGHT = 64
 #: Cost of a list entry, which is emitted and scanned, in terms of a subset, which is emitted.
 SCAN_COST = 2
-#: Pairs left, as a multiple of the keys' rows, above which a round with one node of each component comes first.
-ROUND_COST = 8
+#: Pairs left, as a multiple of the keys' rows, above which a round with ``PIVOTS`` nodes of each key and class of sizes comes first.
+ROUND_COST, PIVOTS = 8, 4
 
 
 def _overlap(size: int, percent: int) -> int:
@@ -213,6 +215,52 @@ def _can_link(percent: int) -> Column:
     return (need <= F.least("n", "m")) & (F.col("place") + need <= F.col("n")) & (F.col("at") + need <= F.col("m"))
 
 
+def _reach(n: str, place: str, percent: int) -> Column:
+    """The largest set that an entry of size ``n`` at ``place`` can link with."""
+    return F.expr(f"({100 + percent} * ({n} - {place})) div {percent} - {n}")
+
+
+def _grade(percent: int) -> Column:
+    """Class of set sizes: partners are in the same or a neighbouring one."""
+    return F.col("n").cast("int") if percent == 100 else F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+
+
+def _near_grades(grade: str) -> Column:
+    return F.explode(F.array(*[F.col(grade) + i for i in (-1, 0, 1)]))
+
+
+def _with_pivots(now: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each entry of a key with ``PIVOTS`` others of each class of sizes: the foremost, and some that a hash picks
+    anew in each turn. A large group of near copies is hit, and brought together, by few."""
+    live = now.filter(_reach("n", "place", percent) >= F.expr(f"({percent} * n + 99) div 100")).withColumn("grade", _grade(percent))
+    node = [F.col("doc").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other")]
+    picks = [F.min(F.struct(F.col("place").cast("long").alias("by"), *node))]
+    picks += [F.min(F.struct(F.xxhash64("doc", F.lit(turn * PIVOTS + i)).alias("by"), *node)) for i in range(1, PIVOTS)]
+    pivots = live.groupBy("key", "grade").agg(F.array(*picks).alias("picks")).select("key", F.explode("picks").alias("p"), "grade") \
+        .select("key", "p.b", "p.m", "p.at", "p.other", _near_grades("grade").alias("grade")).distinct()
+    return live.join(pivots, ["key", "grade"]).filter("component <> other").filter(_can_link(percent))
+
+
+def _across(now: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a key's entries in different components that sizes and places allow to link.
+
+    A key's entries are dealt out by size and place. Which of these classes
+    can link is settled among the classes, each one row; only entries of such
+    classes meet. So documents that share a phrase, but have too many rarer
+    shingles of their own before it, make no pairs, however many they are.
+    """
+    live = now.filter(_reach("n", "place", percent) >= F.expr(f"({percent} * n + 99) div 100"))
+    classes = live.groupBy("key", "n", "place").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
+        .withColumn("grade", _grade(percent))
+    other = classes.select("key", F.col("n").alias("m"), F.col("place").alias("at"), F.col("low").alias("low2"), F.col("high").alias("high2"),
+                           _near_grades("grade").alias("grade"))
+    able = (classes.join(other, ["key", "grade"]).filter(_can_link(percent))
+            .filter("n < m or (n = m and place <= at)").filter("low <> low2 or high <> high2 or low <> high"))
+    left = live.join(able.select("key", "n", "place", "m", "at"), ["key", "n", "place"])
+    right = live.select("key", F.col("n").alias("m"), F.col("place").alias("at"), F.col("doc").alias("b"), F.col("component").alias("other"))
+    return left.join(right, ["key", "m", "at"]).filter("component <> other and (n <> m or place <> at or component < other)")
+
+
 def _verify(width: int, percent: int):
     """Of (a, b, text_a, text_b): the pairs whose whole sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +291,7 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     """
     if not 50 < percent <= 100:
         raise ValueError("the threshold lies above 50 and up to 100 percent")
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signatures = materialize(
         source.mapInArrow(_signatures(width), "doc long, n long, f1 long, f2 long, cell_row long, counts binary"), "sets")
@@ -286,29 +335,23 @@ def _components(entries: DataFrame, source: DataFrame, width: int, percent: int)
 
     known = known.select("key", "doc", "n", "place")
     links, tried = verified(pairs), pairs
-    found, last, stuck = components(links), False, False
-    while not last:
+    found, stuck, before, turn = components(links), False, None, 0
+    while True:
         parts = known.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc"))
         by_part = parts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         open_keys = materialize(by_part.groupBy("key").agg(
             F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"),
             F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")).filter("parts > 1"), "open", slim=True)
-        todo = open_keys.selectExpr("sum(rows) AS rows", "sum(rows * double(parts)) AS star",
-                                    "sum((rows * double(rows) - squares) / 2) AS cross").first()
+        todo = open_keys.selectExpr("sum(rows) AS rows", "sum((rows * double(rows) - squares) / 2) AS cross").first()
         if not todo["rows"]:
             break
         now = materialize(parts.join(open_keys.select("key"), "key"), "open-lists")
-        last = stuck or todo["cross"] <= ROUND_COST * todo["rows"] or todo["star"] > todo["cross"] / 4
-        if last:  # every pair of a key that is in two components
-            other = now
-        else:  # the foremost node of each component of a key
-            first = F.min(F.struct("place", "doc", "n")).alias("first")
-            other = now.groupBy("key", "component").agg(first).select("key", "component", "first.*")
-        other = other.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
-                             F.col("component").alias("other"))
-        fresh = (now.join(other, "key").filter("component < other" if last else "component <> other").filter(_can_link(percent))
-                 .select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct())
+        # Rounds with a few nodes of each key go on as long as they bring components together.
+        last = stuck or todo["cross"] <= ROUND_COST * todo["rows"] or (before is not None and todo["cross"] > 0.9 * before)
+        before, turn = todo["cross"], turn + 1
+        met = _across(now, percent) if last else _with_pivots(now, percent, turn)
+        fresh = met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct()
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = materialize(fresh.join(done, ["a", "b"], "left_anti"), "pairs", slim=True)
         new = verified(fresh)
@@ -317,6 +360,8 @@ def _components(entries: DataFrame, source: DataFrame, width: int, percent: int)
         if not stuck:
             links = links.union(new)
             found = components(links)
+        if last:
+            break
     return found
 
 

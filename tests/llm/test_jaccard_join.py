@@ -75,11 +75,46 @@ def test_large_groups_that_share_a_key_but_do_not_link(spark, monkeypatch):
 
     monkeypatch.setattr(jj, "materialize", counted)
     got = run(spark, rows, width=1, percent=60)
-    assert rounds.count("open-lists") == 2  # one with the foremost nodes, then all pairs
+    assert rounds.count("open-lists") == 2  # one with some nodes, then all pairs
     assert got == sorted(brute.near_groups(rows, 1, 60), key=str)
     assert {c for d, _, c in got if d < 1000} == {100, 200}
 
 
+def test_boilerplate_with_own_words_makes_few_pairs(spark, monkeypatch):
+    """A thousand texts of one phrase and a name of 2 to 6 words: those of 2 link, the others do not; no pair of each two."""
+    phrase = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join(phrase + [f"n{i}x{j}" for j in range(2 + i % 5)])) for i in range(1000)]
+    rows += [(5000 + i, " ".join(phrase[: 20 + i])) for i in range(4)]
+    real, made = jj.materialize, []
+
+    def counted(df, label, slim=False):
+        out = real(df, label, slim)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    got = run(spark, rows, width=1, percent=85)
+    assert got == sorted(brute.near_groups(rows, 1, 85), key=str)
+    assert sum(made) < 10 * len(rows), made
+
+
+def test_classes_of_a_key_lose_no_pair(spark):
+    """All pairs of a key that can link, and no others, whatever their sizes and places."""
+    rng = random.Random(8)
+    rows = [(k, d, n := rng.randint(1, 60), rng.randrange(n), rng.choice([d, 7])) for d in range(150) for k in (1, 2)]
+    now = spark.createDataFrame(rows, "key long, doc long, n int, place int, component long")
+    for percent in (60, 85, 100):
+        got = {(min(r.doc, r.b), max(r.doc, r.b)) for r in jj._across(now, percent).collect()}
+        want = set()
+        for k, d, n, p, c in rows:
+            for l, e, m, q, o in rows:
+                need = -(-percent * (n + m) // (100 + percent))
+                if k == l and d < e and c != o and need <= min(n, m) and p + need <= n and q + need <= m:
+                    want.add((d, e))
+        assert got == want and (want or percent == 100)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
