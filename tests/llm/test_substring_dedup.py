@@ -1,6 +1,7 @@
 """Substring dedup against brute force: repeats, periodic texts, long texts, hot anchors, odd rows."""
 
 import random
+import string
 
 import numpy as np
 import pytest
@@ -43,13 +44,13 @@ def test_whole_table(spark):
     assert sorted(tuple(r) for r in sd.query(spark, sf).collect()) == sorted(brute.remove_repeats(rows))
 
 
-@pytest.mark.xfail(reason="open: failed in its first run, cause not looked into; neighbours equal by chance lengthen stretches", strict=False)
 def test_small_blocks_and_hot_anchors():
     """The same stretches, whether contexts are sorted in one block, in many, or dealt out as passages."""
     rng = random.Random(3)
     hot = "".join(rng.choice("abcdefgh ") for _ in range(120))
-    docs = ["".join(rng.choice("abcdefgh ") for _ in range(90)) + hot + "".join(rng.choice("abcdefgh ") for _ in range(90))
-            for _ in range(40)]
+    # The bytes next to the hot passage differ from text to text, so that it is all they share.
+    docs = ["".join(rng.choice("abcdefgh ") for _ in range(89)) + own + hot + own + "".join(rng.choice("abcdefgh ") for _ in range(89))
+            for own in string.ascii_letters[8:48]]
     want = {(i, 90, 210) for i in range(1, 40)}
     import pyarrow as pa
     rows = sorted((h, i, 0, d.encode()) for i, d in enumerate(docs) for h in [7])
@@ -86,9 +87,9 @@ def test_anchors_of_a_long_row_do_not_depend_on_the_piece():
     assert {(1, *c) for c in np.stack([x.astype(np.int64) for x in need[1:]]).T.tolist()} <= parts
 
 
-@pytest.mark.xfail(reason="open: failed in its first run, cause not looked into", strict=False)
 def test_odd_rows(spark):
-    long = "".join(random.Random(5).choice("abcdefgh ") for _ in range(1_500_000))
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
     rows = [(1, "x" * 99), (2, "x" * 99), (3, None), (4, ""), (5, long), (6, long[700_000:] + "!"), (None, "y" * 300), (7, "y" * 150)]
     got = {r[0]: r for r in run(spark, rows)}
     assert got[1][2] == got[2][2] == 0 and got[3][1:4] == got[4][1:4] == (0, 0, 0)
