@@ -35,13 +35,13 @@ def format_date(col) -> Column:
 
 
 def parse_date(col) -> Column:
-    """P4: 'dd/MM/yyyy' text -> DATE, else ISO 'yyyy-MM-dd', else NULL.
+    """P4: 'd/M/yyyy' text -> DATE, else 'yyyy-M-d', else NULL; zeros in front of day and month may be left out.
 
     ``try_to_date`` keeps bad text (``31/02/2025``) from failing the job under
     ANSI mode.
     """
     c = F.trim(_c(col))
-    return F.coalesce(F.try_to_date(c, DISPLAY_DATE), F.try_to_date(c, "yyyy-MM-dd"))
+    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-M-d"))
 
 
 def label_vacina_stock(nome, lote, doses) -> Column:

@@ -445,7 +445,7 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
     if strict:
         j, own = _strict_order(j, first_reason(base + fk).isNull(), materialize)
     j = j.withColumn("reason", first_reason(base + own + fk))
-    j = _with_new_id(_maybe_cut(j, materialize) if strict else j, table, "id_agendamento", materialize, id_base)
+    j = _with_new_id(j, table, "id_agendamento", materialize, id_base)
     rows = j.where(F.col("reason").isNull()).withColumn("id_agendamento", F.col("new_id"))
     return {"agendamento": table.unionByName(_with_ids(table, rows, "id_agendamento"))}, decisions(j, "new_id")
 

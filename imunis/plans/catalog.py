@@ -141,14 +141,17 @@ def cidadaos(t):
     return lists.cidadaos(t)
 
 
+# Names looked up dose by dose; a dose with a key that no table has is not listed.
 VACINACOES_SQL = """
-    SELECT d.id_vacinacao, d.contagem, d.data_aplicacao, u.nome AS nome_cidadao, v.nome AS nome_vacina,
-           l.nome AS nome_local, c.nome AS nome_campanha, d.cpf, d.id_vacina, d.id_local, d.id_campanha
-    FROM vacinacao d
-    JOIN usuario u ON d.cpf = u.cpf
-    JOIN vacina v ON d.id_vacina = v.id_vacina
-    JOIN local l ON d.id_local = l.id_local
-    JOIN campanha c ON d.id_campanha = c.id_campanha"""
+    SELECT * FROM (
+      SELECT cpf, id_campanha, id_local, id_vacina, id_vacinacao, data_aplicacao, contagem,
+             (SELECT nome FROM campanha k WHERE k.id_campanha = dose.id_campanha) AS nome_campanha,
+             (SELECT nome FROM local s WHERE s.id_local = dose.id_local) AS nome_local,
+             (SELECT nome FROM vacina w WHERE w.id_vacina = dose.id_vacina) AS nome_vacina,
+             (SELECT nome FROM usuario p WHERE p.cpf = dose.cpf) AS nome_cidadao
+      FROM vacinacao dose
+      WHERE cpf IN (SELECT cpf FROM usuario) AND id_vacina IN (SELECT id_vacina FROM vacina)
+        AND id_local IN (SELECT id_local FROM local) AND id_campanha IN (SELECT id_campanha FROM campanha)) named"""
 
 
 @query("vacinacoes", VACINACOES_SQL)
@@ -366,27 +369,33 @@ def format_dates(t):
 
 
 def _date_text_inputs(t):
-    """Text dates derived from each lot: dd/MM/yyyy, ISO, or an impossible
-    day (31/02) depending on the id."""
-    v = t["vacina"]
-    k = F.col("id_vacina") % 3
-    text = (F.when(k == 0, F.date_format("data_validade", "dd/MM/yyyy"))
-            .when(k == 1, F.date_format("data_validade", "yyyy-MM-dd"))
-            .otherwise(F.concat(F.lit("31/02/"), F.date_format("data_validade", "yyyy"))))
-    return v.select("id_vacina", text.alias("data_texto"))
+    """Text dates derived from each lot, by its id: day first or year first, with and without zeros in front,
+    an impossible day (31/02), or another separator."""
+    k = F.col("id_vacina") % 6
+    text = F.concat(F.lit("31/02/"), F.date_format("data_validade", "yyyy"))
+    for i, form in ((0, "dd/MM/yyyy"), (1, "yyyy-MM-dd"), (3, "d/M/yyyy"), (4, "yyyy-M-d"), (5, "dd.MM.yyyy")):
+        text = F.when(k == i, F.date_format("data_validade", form)).otherwise(text)
+    return t["vacina"].select("id_vacina", text.alias("data_texto"))
 
 
-@query("parse_dates", """
+@query("parse_dates", r"""
     SELECT id_vacina, data_texto,
-           coalesce(cast(try_strptime(data_texto, '%d/%m/%Y') AS date),
-                    cast(try_strptime(data_texto, '%Y-%m-%d') AS date)) AS data_validade
+           CASE WHEN regexp_full_match(data_texto, '\d{1,2}/\d{1,2}/\d{4}')
+                THEN try_cast(split_part(data_texto, '/', 3) || '-' || lpad(split_part(data_texto, '/', 2), 2, '0') || '-'
+                              || lpad(split_part(data_texto, '/', 1), 2, '0') AS date)
+                WHEN regexp_full_match(data_texto, '\d{4}-\d{1,2}-\d{1,2}')
+                THEN try_cast(split_part(data_texto, '-', 1) || '-' || lpad(split_part(data_texto, '-', 2), 2, '0') || '-'
+                              || lpad(split_part(data_texto, '-', 3), 2, '0') AS date) END AS data_validade
     FROM (SELECT id_vacina,
-                 CASE id_vacina % 3 WHEN 0 THEN strftime(data_validade, '%d/%m/%Y')
+                 CASE id_vacina % 6 WHEN 0 THEN strftime(data_validade, '%d/%m/%Y')
                                     WHEN 1 THEN strftime(data_validade, '%Y-%m-%d')
-                                    ELSE '31/02/' || strftime(data_validade, '%Y') END AS data_texto
+                                    WHEN 2 THEN '31/02/' || strftime(data_validade, '%Y')
+                                    WHEN 3 THEN strftime(data_validade, '%-d/%-m/%Y')
+                                    WHEN 4 THEN strftime(data_validade, '%Y-%-m-%-d')
+                                    ELSE strftime(data_validade, '%d.%m.%Y') END AS data_texto
           FROM vacina) x""")
 def parse_dates(t):
-    """dd/MM/yyyy, else ISO, else NULL."""
+    """d/M/yyyy, else yyyy-M-d, else NULL."""
     from ..functions import columns as C
     return _date_text_inputs(t).withColumn("data_validade", C.parse_date("data_texto"))
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import TABLES
@@ -77,13 +77,20 @@ def commit(spark: SparkSession, root: str, rows: list[tuple[str, int, str | None
     spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(_at(root, MANIFEST))
 
 
+def _refuse_committed(spark: SparkSession, root: str, names: list[str], version: int) -> None:
+    done = manifest(spark, root).where((F.col("version") == version) & F.col("name").isin(names)).first()
+    if done is not None:
+        raise ValueError(f"version {version} of {done['name']} under {root} is committed")
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, version: int, mode: str = "errorifexists") -> str:
     """Write a new version of ``table`` under ``root/table/v=<version>``
     and commit it.
 
-    A change batch never overwrites the version it read; readers pick the
+    A committed version is never overwritten (ValueError); readers pick the
     newest committed version with ``latest_snapshot``.
     """
+    _refuse_committed(df.sparkSession, root, [table], version)
     path = _at(root, table, f"v={version}")
     df.write.mode(mode).parquet(path)
     commit(df.sparkSession, root, [(table, version, None, None)])
@@ -107,13 +114,61 @@ def commit_batch(root: str, version: int, new_state: Mapping[str, DataFrame], de
     decisions as version ``version`` under ``root``, then one manifest file
     that names them all. Readers only see versions in the manifest, so a
     batch that dies half-way is invisible in every table at once; rerunning
-    it overwrites only its own uncommitted folders. The operator keeps its
-    judgement in a checkpoint, so writing several tables judges once."""
+    it overwrites only its own uncommitted folders, and a committed version is
+    refused (ValueError). The operator keeps its judgement in a checkpoint, so
+    writing several tables judges once."""
     if version == 0:
         raise ValueError("version 0 is the initial snapshot")
+    _refuse_committed(decisions.sparkSession, root, [*new_state, "decisions"], version)
     out = {}
     for name, df in {**new_state, "decisions": decisions}.items():
         out[name] = _at(root, name, f"v={version}")
         df.write.mode("overwrite").parquet(out[name])
     commit(decisions.sparkSession, root, [(name, version, None, None) for name in out])
     return out
+
+
+# ---- tables in parts: a small batch rewrites only the parts that it changes
+
+#: Parts of a table; a row's part is a hash of its key.
+PARTS = 64
+
+
+def part_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(PARTS)).cast("int")
+
+
+def parts_hit(rows: DataFrame, key: str) -> list[int]:
+    """The parts in which keys of ``rows`` lie; at most ``PARTS`` numbers."""
+    return sorted(r[0] for r in rows.where(F.col(key).isNotNull()).select(part_of(key)).distinct().collect())
+
+
+def write_parts(df: DataFrame, root: str, table: str, version: int, parts: list[int] | None = None) -> list[tuple]:
+    """Write the given (or all) parts of ``table`` under ``root/table/v=<version>/part=<n>``, one task each.
+
+    Returns the manifest rows that make them visible; the caller commits them
+    with the rest of its batch. Parts that are not written stay as they are,
+    so the version's cost follows the parts that changed.
+    """
+    key = TABLES[table].key[0]
+    parts = list(range(PARTS)) if parts is None else parts
+    if parts:
+        df.withColumn("part", part_of(key)).where(F.col("part").isin(parts)).repartition(len(parts), "part") \
+            .write.mode("overwrite").partitionBy("part").parquet(_at(root, table, f"v={version}"))
+    return [(f"{table}/part={p}", version, None, None) for p in parts]
+
+
+def read_parts(spark: SparkSession, root: str, table: str, parts: list[int] | None = None) -> DataFrame:
+    """The newest committed version of each (or each given) part, as one table."""
+    names = [f"{table}/part={p}" for p in (range(PARTS) if parts is None else parts)]
+    newest = manifest(spark, root).where(F.col("name").isin(names)).groupBy("name").agg(F.max("version").alias("v")).collect()
+    paths = [_at(root, table, f"v={r['v']}", r["name"].split("/")[1]) for r in newest]
+    schema = TABLES[table].schema
+    # A part without rows has no folder.
+    paths = [p for p in paths if _there(spark, p)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -78,3 +78,34 @@ def test_batch_that_died_before_commit_is_invisible_and_replays(spark, scratch):
     assert _dec(feed.read_decisions(spark, root)) == _dec(one)
     n_ok = one.where("accepted AND reason IS NULL").count()
     assert feed.read_state(spark, root)["vacinacao"].count() == state["vacinacao"].count() + n_ok
+
+
+def test_requests_sent_again_are_dropped_by_the_stream_s_own_state(spark, scratch, monkeypatch):
+    """Twelve files, each with the requests of the one before once more: no micro-batch reads the decisions."""
+    t = fx.load(spark, SF_SMALL)
+    state = {n: t[n] for n in ("vacinacao", "vacina", "cidadao", "local", "campanha")}
+    req = t["vacinacao_request"].orderBy("req_seq").limit(120).cache()
+    _, one = apply_vacinacao_insert(state, req)
+    want = _dec(one)
+    numbers = [d[0] for d in want]
+    incoming = os.path.join(scratch, "incoming")
+    os.makedirs(incoming)
+    for i in range(12):
+        part = req.where(F.col("req_seq").isin(numbers[max(0, i - 1) * 10:(i + 1) * 10]))
+        part.union(part.limit(2)).coalesce(1).write.parquet(os.path.join(scratch, f"f{i}"))
+        name = next(n for n in os.listdir(os.path.join(scratch, f"f{i}")) if n.endswith(".parquet"))
+        os.replace(os.path.join(scratch, f"f{i}", name), os.path.join(incoming, f"{i:03d}.parquet"))
+    root = "file:" + os.path.join(scratch, "state")
+    feed.init_state(root, state)
+    monkeypatch.setattr(feed, "_undecided", None)
+    feed.start_dose_feed(spark, incoming, root, os.path.join(scratch, "ckpt"), max_files_per_trigger=1).awaitTermination(600)
+    assert _dec(feed.read_decisions(spark, root)) == want
+    st = feed.read_state(spark, root)
+    ok = [d[0] for d in want if d[1] and d[2] is None]
+    assert st["vacinacao"].count() == state["vacinacao"].count() + len(ok)
+    # Each batch wrote at most a part of the lots for each of its ten requests; the stock is right.
+    from imunis.sources import tables as tb
+    parts = tb.manifest(spark, root).where("name like 'vacina/part=%' and version >= 0").groupBy("version").count().collect()
+    assert parts and max(r["count"] for r in parts) <= 10
+    taken = sum(r[0] for r in state["vacina"].select("qtd_doses").collect()) - sum(r[0] for r in st["vacina"].select("qtd_doses").collect())
+    assert taken == len(ok) and st["vacina"].count() == state["vacina"].count()
