@@ -111,7 +111,7 @@ class _Numbers(dict):
         return len(self.words)
 
 
-def word_lists(docs: DataFrame, pieces: bool = False, size: int = 32 << 20) -> DataFrame:
+def word_lists(docs: DataFrame, pieces: bool = False, size: int = 16 << 20) -> DataFrame:
     """Documents (doc_id, text, lang, learnt) as numbers that point into the word list of their chunk.
 
     A-Z are lower-cased; words are runs without white space. Rows of kind 0: a

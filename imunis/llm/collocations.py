@@ -9,7 +9,7 @@ first two words, so that all suffixes with the same beginning meet in one task;
 the number of routes follows the number of words. A pair that starts more than
 ``HEAVY`` of all suffixes would fill a route: the suffixes of such pairs are
 dealt out by all their words, the counts of their beginnings are added up over
-routes, and only then are infrequent ones left. Suffixes that a chunk repeats
+routes, and only then are infrequent ones left. Suffixes that a slice repeats
 travel once, with their number.
 
 Sorting. In a route a three-way multikey quicksort splits the pointers by one
@@ -38,25 +38,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from imunis.llm.chunks import binary, by_chunk, runs, word_lists
-from imunis.llm.common import materialize, ship
-from imunis.llm.text import column_bytes, mix
+from imunis.llm.chunks import by_chunk, pack, runs, unpack, word_lists
+from imunis.llm.common import discard, materialize, ship
+from imunis.llm.text import mix
 
 LONGEST = 4
 #: A suffix: its words' numbers (0 behind its end) and how often it occurs.
 SUFFIX = np.dtype([(f"w{i}", "<u4") for i in range(LONGEST)] + [("n", "<u4")])
 #: Words for each route, and routes at least.
 ROUTE_WORDS, ROUTES = 1 << 21, 64
-#: A pair of words that starts a larger share of a chunk's suffixes is looked at over the corpus, and one that starts
-#: a larger share of all is dealt out; so there are at most 1 / HEAVY of these.
+#: A pair of words that starts a larger share of a slice's suffixes is looked at over the corpus, and one that starts
+#: half of it of all is dealt out; so there are at most 2 / HEAVY of these.
 HEAVY = 1e-3
+#: Positions whose suffixes are taken together.
+SLICE = 1 << 16
 #: Parts of the sort that are small enough to be sorted at once.
 SMALL = 256
 
 
-def suffixes(seq: np.ndarray) -> np.ndarray:
-    """Distinct suffixes of two words or more of a sequence in which 0 ends a piece, sorted, with their numbers."""
-    n = len(seq)
+def suffixes(seq: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Distinct suffixes of two words or more at the first ``n`` places of a sequence in which 0 ends a piece, sorted, with their numbers."""
+    n = len(seq) if n is None else n
     padded = np.concatenate([seq.astype(np.uint64), np.zeros(LONGEST, np.uint64)])
     words = [padded[i:n + i] for i in range(LONGEST)]
     for i in range(1, LONGEST):
@@ -74,6 +76,17 @@ def suffixes(seq: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of ``sizes`` suffixes each."""
+    return pack(np.stack([rows[f] for f in SUFFIX.names], 1).ravel(), np.asarray(sizes) * len(SUFFIX.names))
+
+
+def _unpacked(col: pa.Array) -> np.ndarray:
+    """All suffixes of a packed column."""
+    values = unpack(col)[0].astype("<u4")
+    return np.frombuffer(values.tobytes(), SUFFIX)
+
+
 def pair_of(rows: np.ndarray) -> np.ndarray:
     return rows["w0"].astype(np.uint64) << np.uint64(32) | rows["w1"]
 
@@ -114,8 +127,8 @@ def multikey_quicksort(keys: list[np.ndarray], n: np.ndarray, least: int) -> Ite
 
 def _count_routes(least: int):
     """(kind, words, n): phrases of a route's suffixes; sorted input (route, heavy, packed)."""
-    def count(held: list[bytes], heavy: bool) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(held), SUFFIX)
+    def count(held: list[np.ndarray], heavy: bool) -> pa.RecordBatch:
+        rows = np.concatenate(held)
         keys = [pair_of(rows), *[rows[f"w{i}"] for i in range(2, LONGEST)]]
         # Heavy pairs' suffixes lie in several routes: their counts are parts, and none is left here.
         found = list(multikey_quicksort(keys, rows["n"].astype(np.int64), 1 if heavy else least))
@@ -133,15 +146,15 @@ def _count_routes(least: int):
                 if held:
                     yield count(held, current[1] == 1)
                 current, held = (route, heavy), []
-            held.extend(part.column(2).to_pylist())
+            held.append(_unpacked(part.column(2)))
         if held:
             yield count(held, current[1] == 1)
     return run
 
 
 def _number(words: DataFrame) -> DataFrame:
-    """``words`` with dense numbers from 1 in ``id``: each task's rows behind those of the tasks before it."""
-    placed = materialize(words.withColumn("place", F.monotonically_increasing_id()), "frequent-words", slim=True)
+    """``words`` with dense numbers from 1 in ``id``, common words first: each task's rows behind those of the tasks before it."""
+    placed = materialize(words.orderBy(F.desc("n"), "lang", "word").withColumn("place", F.monotonically_increasing_id()), "frequent-words")
     task = F.shiftright("place", 33)
     before = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("rows"))  # a row for each task
     before = before.select("task", (F.sum("rows").over(Window.orderBy("task")) - F.col("rows")).alias("before"))
@@ -161,7 +174,7 @@ def phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col:
     lists = materialize(word_lists(rows, pieces=True), "pieces-by-chunk")
     listed, texts = lists.filter("kind = 0"), lists.filter("kind = 1")
     # A row for each language and chunk: the sum over all its words.
-    totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(listed.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language", slim=True)
     words = _number(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     n_words = words.agg(F.sum("n")).first()[0] or 0
     n_routes = max(ROUTES, n_words // ROUTE_WORDS)
@@ -181,50 +194,52 @@ def phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col:
                         ids = np.append(ids, np.zeros(max(len(ids), int(at.max()) + 1 - len(ids)), np.uint32))
                     ids[at] = part.column("id").to_numpy()
                     continue
-                data, bounds = column_bytes(part.column("ids"))
-                own = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+                own, bounds = unpack(part.column("ids"))
                 if len(own) and own.max() >= len(ids):  # words that no list has are rare
                     ids = np.append(ids, np.zeros(int(own.max()) + 1 - len(ids), np.uint32))
-                held.append(np.insert(ids[own], bounds[1:] // 4, 0))
+                held.append(np.insert(ids[own], bounds[1:], 0))
             if held:
                 yield from emit(current, np.concatenate(held))
         return run
 
     def distinct(chunk: int, seq: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row for the chunk's suffixes (pair null), and one for each pair that starts many of them."""
-        rows = suffixes(seq)
-        pair = pair_of(rows)
-        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(rows["n"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        many = np.flatnonzero(sums > HEAVY * sums.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk] + [None] * len(many), pa.int64()), pa.array([None] + pair[first[many]].astype(np.int64).tolist(), pa.int64()),
-             pa.array([int(sums.sum())] + sums[many].tolist(), pa.int64()), pa.array([rows.tobytes()] + [None] * len(many), pa.binary())],
-            names=["chunk", "pair", "n", "packed"])
+        """A row for each slice's suffixes (pair null), and one for each pair that starts many of them."""
+        for s in range(0, len(seq), SLICE):
+            rows = suffixes(seq[s:s + SLICE + LONGEST], min(SLICE, len(seq) - s))
+            if not len(rows):
+                continue
+            pair = pair_of(rows)
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            sums = np.add.reduceat(rows["n"].astype(np.int64), first)
+            many = np.flatnonzero(sums > HEAVY * sums.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None] + pair[first[many]].astype(np.int64).tolist(), pa.int64()),
+                 pa.array([int(sums.sum())] + sums[many].tolist(), pa.int64()),
+                 pa.array(_packed(rows, [len(rows)]).to_pylist() + [None] * len(many), pa.binary())], names=["pair", "n", "packed"])
 
     known = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "kind", "at", "id")
     both = known.unionByName(texts.select("chunk", "kind", "ids"), allowMissingColumns=True)
-    found = materialize(by_chunk(both).mapInArrow(apply(distinct), "chunk long, pair long, n long, packed binary"), "suffixes")
+    found = materialize(by_chunk(both).mapInArrow(apply(distinct), "pair long, n long, packed binary"), "suffixes")
+    discard(lists)
     n_suffixes = found.filter("pair is null").agg(F.sum("n")).first()[0] or 0
-    # A pair that starts more than HEAVY of all suffixes does so in some chunk: at most 1 / HEAVY pairs.
+    # At most 2 / HEAVY pairs.
     sums = found.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
     heavy = np.array(sorted(r.pair for r in sums.filter(F.col("n") > HEAVY * n_suffixes / 2).collect()), np.int64).view(np.uint64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                rows = np.frombuffer(packed, SUFFIX)
+            for i in range(batch.num_rows):
+                rows = _unpacked(batch.column(0).slice(i, 1))
                 pair = pair_of(rows)
                 is_heavy = np.isin(pair, heavy)
                 rest = rows["w2"].astype(np.uint64) << np.uint64(32) | rows["w3"]
                 to = (mix(np.where(is_heavy, mix(pair) ^ rest, pair)) % np.uint64(n_routes)).astype(np.int64) * 2 + is_heavy
                 order = np.argsort(to, kind="stable")
                 to = to[order]
-                first = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(to[first] // 2, pa.int64()), pa.array((to[first] % 2).astype(np.int32)),
-                         binary(rows[order], np.diff(np.append(first, len(to))))], names=["route", "heavy", "packed"])
+                first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[first] // 2, pa.int64()), pa.array((to[first] % 2).astype(np.int32)),
+                     _packed(rows[order], np.diff(np.append(first, len(to))))], names=["route", "heavy", "packed"])
 
     routed = found.filter("pair is null").select("packed").mapInArrow(route, "route long, heavy int, packed binary")
     counted = routed.repartition("route").sortWithinPartitions("route", "heavy").mapInArrow(_count_routes(least), "words array<long>, n long")
