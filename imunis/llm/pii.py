@@ -211,24 +211,33 @@ def _name(m: Column, h: Column, key: str, given_draw: Column) -> Column:
 
 
 def surrogate(m: Column, key: str, draw: Column) -> Column:
-    """The surrogate of a match, at the given draw (0 unless it clashed; see ``GIVEN_DRAW``)."""
-    kind = kind_of(m)
-    draw, given_draw = F.pmod(draw, F.lit(GIVEN_DRAW)), F.floor(draw / GIVEN_DRAW).cast("int")
-    h = _hash(key, kind, normal(m, kind), draw)
-    local, domain = F.regexp_extract(m, r"^[^@]+", 0), F.regexp_extract(m, r"@(.*)$", 1)
-    label, last = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
-    country = F.regexp_extract(normal(m, F.lit("phone")), rf"^\+({CALLING})", 1)
-    number = F.concat(country, _digits(h).substr(F.length(country) + 1, F.lit(128)))
-    octet = [F.conv(F.substring(h, 2 * k + 1, 2), 16, 10) for k in range(4)]
-    hexadecimal = F.repeat(h, F.ceil(F.length(m) / 128).cast("int")).substr(F.lit(1), F.length(m))
-    return (F.when(kind == "email", F.concat(_letters(local, h), F.lit("@"),
-                                             _letters(label, _hash(key, F.lit("domain"), F.lower(label))), last))
-            .when(kind == "secret", F.when(F.upper(m) == m, F.upper(hexadecimal)).otherwise(hexadecimal))
-            .when(kind == "ip", F.concat_ws(".", *octet))
-            .when(kind == "card", _card(m, h))
-            .when(kind == "name", _name(m, h, key, given_draw))
-            .when(kind == "phone", _let(number, lambda number: _fill(m, number)))
-            .otherwise(_fill(m, _digits(h))))
+    """The surrogate of a match, at the given draw (0 unless it clashed; see ``GIVEN_DRAW``).
+
+    Kind, normal form and hash are bound once: written out at each use, the
+    expression would be too large to compile.
+    """
+    own_draw, given_draw = F.pmod(draw, F.lit(GIVEN_DRAW)), F.floor(draw / GIVEN_DRAW).cast("int")
+
+    def hashed(kind: Column) -> Column:
+        return _let(normal(m, kind), lambda norm: _let(_hash(key, kind, norm, own_draw), lambda h: made(kind, norm, h)))
+
+    def made(kind: Column, norm: Column, h: Column) -> Column:
+        local, domain = F.regexp_extract(m, r"^[^@]+", 0), F.regexp_extract(m, r"@(.*)$", 1)
+        label, last = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
+        country = F.regexp_extract(norm, rf"^\+({CALLING})", 1)
+        number = F.concat(country, _digits(h).substr(F.length(country) + 1, F.lit(128)))
+        octet = [F.conv(F.substring(h, 2 * k + 1, 2), 16, 10) for k in range(4)]
+        hexadecimal = F.repeat(h, F.ceil(F.length(m) / 128).cast("int")).substr(F.lit(1), F.length(m))
+        site = _let(_hash(key, F.lit("domain"), F.lower(label)), lambda of_site: _letters(label, of_site))
+        return (F.when(kind == "email", F.concat(_letters(local, h), F.lit("@"), site, last))
+                .when(kind == "secret", F.when(F.upper(m) == m, F.upper(hexadecimal)).otherwise(hexadecimal))
+                .when(kind == "ip", F.concat_ws(".", *octet))
+                .when(kind == "card", _card(m, h))
+                .when(kind == "name", _name(m, h, key, given_draw))
+                .when(kind == "phone", _let(number, lambda number: _fill(m, number)))
+                .otherwise(_fill(m, _digits(h))))
+
+    return _let(kind_of(m), hashed)
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +256,17 @@ def draws(mentions: DataFrame, key: str) -> DataFrame:
     known = materialize(mentions.groupBy("kind", "norm").agg(F.min("match").alias("match"))
                         .withColumn("draw", F.lit(0)), "entities")
     is_given = F.col("kind") == "given"
+    # The rows are few and short, making a surrogate is the work: deal them out by number, not by size.
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(ROUNDS):
+        known = known.repartition(tasks, "kind", "norm")
         made = surrogate(F.col("match"), key, F.when(is_given, F.col("draw") * GIVEN_DRAW).otherwise(F.col("draw")))
         drawn = materialize(
             known.withColumn("given", F.when(is_given, F.lower(_parts(made)[1])).otherwise(normal(made, F.col("kind")))), "surrogates")
         shared = drawn.groupBy("kind", "given").agg(F.min("norm").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        real = drawn.select("kind", F.col("norm").alias("given"), F.lit(True).alias("real"))
+        # A given name's normal form starts with the kind of its surrogate; one name may have several.
+        real = drawn.select("kind", F.when(is_given, F.expr("substring(norm, 3)")).otherwise(F.col("norm")).alias("given"),
+                            F.lit(True).alias("real")).distinct()
         judged = (drawn.join(shared.select("kind", "given", "keeper"), ["kind", "given"], "left")
                   .join(real, ["kind", "given"], "left")
                   .withColumn("clash", F.coalesce(F.col("keeper") != F.col("norm"), F.lit(False)) | F.col("real").isNotNull()))

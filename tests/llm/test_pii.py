@@ -108,6 +108,13 @@ def test_given_names_under_one_surname_stay_distinct(spark):
         assert all(set(of[f"{n} Smith"].split()[0].split("-")) <= set(pii.SURROGATE_GIVEN["latin", g]) for n in names)
 
 
+def test_a_surrogate_is_no_given_name_of_the_corpus(spark):
+    people = [f"Mr {n} Adler" for n in pii.SURROGATE_GIVEN["latin", "m"]]
+    new, _ = put(spark, people)
+    given = [t.split()[1].lower() for t in new]
+    assert len(set(given)) == len(people) and not {p.split()[1].lower() for p in people} & set(given)
+
+
 def test_clashes_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
 
