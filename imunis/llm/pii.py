@@ -1,6 +1,9 @@
 """Personal data replaced by surrogates. DataFrame functions only.
 
-Entities are found by one regular expression; each is replaced by a surrogate
+Entities are found by one regular expression. Names are found by what stands
+around them: a title, a known given name, or two capitalised words behind or
+before a word that goes with a person (``BEFORE``, ``AFTER``); titles and given
+names count in capitals as well. Each entity is replaced by a surrogate
 that a keyed hash (SHA-512) makes from its kind and its normal form, so that the
 same person, number or address gets the same surrogate everywhere, however it
 is written. Surrogates are of the same kind and format:
@@ -14,8 +17,8 @@ is written. Surrogates are of the same kind and format:
   iban     country stays, digits for digits
   ip       another address
   secret   hexadecimal digits for hexadecimal digits, same length and case
-  name     title stays; a given name of the same gender and script, the same
-           for each mention of it; a surname of the same script (and grammatical
+  name     title stays; a given name of the same gender (or one that fits any,
+           where the name does not tell) and script, the same for each mention; a surname of the same script (and grammatical
            gender), the same for each mention of the surname
 
 Distinct entities must stay distinct: surrogates of all entities of the corpus
@@ -62,9 +65,26 @@ _SYLLABLES = {"latin": "ba be bi bo da de di do ka ke ki ko la le li lo".split()
 #: Calling codes: no code begins another one.
 CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
-_ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-_ALL_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+#: Words before or behind two capitalised words that make them a person's name; fixed values, by language.
+BEFORE = ("by with from named called contact dear hello hi thanks regards sincerely signed author met asked told "
+          "von mit namens heiße heißt bin liebe lieber hallo grüße "
+          "con llamo llama soy nombre querido querida hola saludos "
+          "avec nommé nommée appelle suis cher chère bonjour").split()
+AFTER = "said says wrote writes told asked lives works sagt sagte schreibt wohnt arbeitet dijo dice escribe vive trabaja dit écrit habite travaille".split()
+
+_SP = r"[ \u00a0]{1,3}"
+
+
+def _any_case(words: list[str]) -> str:
+    """Words as written, or all in capitals."""
+    return "|".join(w for word in words for w in dict.fromkeys((word, word.upper())))
+
+
+_ALL_TITLES = _any_case([t for ts in TITLES.values() for t in ts])
+_ALL_GIVEN = _any_case([n for ns in GIVEN.values() for n in ns])
 _CAPITALIZED = r"\p{Lu}[\p{L}\p{M}'’\-]{1,40}"
+#: A capital and small letters, as names are written in running text.
+_PLAIN = r"\p{Lu}\p{Ll}{1,30}+"
 _KINDS = [
     r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,8}(?<=\.\p{L}{2,24})",
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
@@ -75,7 +95,10 @@ _KINDS = [
     r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)",
     r"(?<![\d)])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
     r"(?<![\d.\-])\d{3}([.\-])\d{3}[.\-]\d{4}(?![\d\-])",
-    rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_CAPITALIZED}(?: {_CAPITALIZED}){{0,2}}|(?:{_ALL_GIVEN}) {_CAPITALIZED})(?!\p{{L}})",
+    r"(?<![\d.,+\-/])0\d{2,4}[ /\-]\d{5,7}(?![\d\-])",
+    rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.?{_SP}{_CAPITALIZED}(?:{_SP}{_CAPITALIZED}){{0,2}}|(?:{_ALL_GIVEN}){_SP}{_CAPITALIZED})(?!\p{{L}})",
+    rf"(?<=[ ,]){_PLAIN} {_PLAIN}(?!\p{{L}}| \p{{Lu}})(?<=(?:^|[^\p{{L}}])(?:{'|'.join(BEFORE)}),? \p{{Lu}}\p{{Ll}}{{1,30}} \p{{Lu}}\p{{Ll}}{{1,30}})",
+    rf"(?<!\p{{L}}){_PLAIN} {_PLAIN}(?= (?:{'|'.join(AFTER)})(?!\p{{L}}))",
 ]
 PATTERN = "|".join(f"(?:{k})" for k in _KINDS)
 #: Rounds of drawing again; more would mean that a format has fewer values than the corpus has entities.
@@ -165,22 +188,28 @@ def _pick(values: list[str], h: Column, at: int) -> Column:
 
 def _parts(m: Column) -> tuple[Column, Column, Column]:
     """Title with its space, given names, surname."""
-    title = F.regexp_extract(m, rf"^(?:{_ALL_TITLES})\.? ", 0)
+    title = F.regexp_extract(m, rf"^(?:{_ALL_TITLES})\.?{_SP}", 0)
     rest = m.substr(F.length(title) + 1, F.length(m))
-    return title, F.regexp_extract(rest, r"^(.*) \S+$", 1), F.regexp_extract(rest, r"\S+$", 0)
+    return title, F.regexp_extract(rest, rf"^(.*\S){_SP}\S+$", 1), F.regexp_extract(rest, r"\S+$", 0)
 
 
-def _is_of(g: str, title: Column, given: Column) -> Column:
-    return (title.rlike(rf"^(?:{'|'.join(TITLES[g])})\b") |
-            given.rlike(rf"^(?:{'|'.join(GIVEN[g])})(?!\p{{L}})"))
+def _is_of(g: str, given: Column) -> Column:
+    return given.rlike(rf"^(?:{_any_case(GIVEN[g])})(?!\p{{L}})")
 
 
 def given_of(m: Column) -> Column:
-    """Normal form of a name's given names, led by the kind of surrogate they get; empty if there are none."""
-    title, given, _ = _parts(m)
-    gender = F.when(_is_of("f", title, given), "f").when(
-        _is_of("m", title, given) | given.rlike(r"\p{IsCyrillic}"), "m").otherwise("n")
-    return F.when(given == "", "").otherwise(F.concat(gender, F.lit(" "), F.lower(given)))
+    """Normal form of a name's given names, led by the kind of surrogate they get; empty if there are none.
+
+    The kind goes by the given names alone, so that each mention, with
+    whatever title, gets the same: the gender of a known name, of a Cyrillic
+    one by its ending, and for all others a name that fits any.
+    """
+    def led(given: Column) -> Column:
+        gender = (F.when(_is_of("f", given), "f").when(_is_of("m", given), "m")
+                  .when(given.rlike(r"\p{IsCyrillic}"), F.when(given.rlike("[аяАЯ]$"), "f").otherwise("m")).otherwise("n"))
+        return F.when(given == "", "").otherwise(F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(given, _SP, " "))))
+
+    return _let(_parts(m)[1], led)
 
 
 def _given(m: Column, key: str, draw: Column) -> Column:
@@ -198,16 +227,20 @@ def _given(m: Column, key: str, draw: Column) -> Column:
 
 
 def _name(m: Column, h: Column, key: str, given_draw: Column) -> Column:
+    def made(part: Column) -> Column:
+        title, given, surname, own = (part[x] for x in ("title", "given", "surname", "own"))
+        in_capitals = lambda word, new: F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(new)).otherwise(new)
+        # Script and ending go by the surname alone, so that each mention gets the same.
+        cyrillic = surname.rlike(r"\p{IsCyrillic}")
+        ending = F.when(surname.rlike("[ая]$|[АЯ]$"), "ва").when(surname.rlike("[внй]$|[ВНЙ]$"), "в").otherwise("ко")
+        new = F.initcap(F.concat(*[F.when(cyrillic, _pick(_SYLLABLES["cyrillic"], h, k)).otherwise(_pick(_SYLLABLES["latin"], h, k))
+                                   for k in range(1, 6)]))
+        new = F.concat(new, F.when(cyrillic, ending).otherwise("n"))
+        return F.concat(title, F.when(given == "", "").otherwise(F.concat(in_capitals(given, own), F.lit(" "))), in_capitals(surname, new))
+
     title, given, surname = _parts(m)
-    # Script and ending go by the surname alone, so that each mention gets the same.
-    cyrillic = surname.rlike(r"\p{IsCyrillic}")
-    ending = F.when(surname.rlike("[ая]$|[АЯ]$"), "ва").when(surname.rlike("[внй]$|[ВНЙ]$"), "в").otherwise("ко")
-    new_given = F.when(given == "", "").otherwise(F.concat(_given(m, key, given_draw), F.lit(" ")))
-    made = F.initcap(F.concat(*[F.when(cyrillic, _pick(_SYLLABLES["cyrillic"], h, k)).otherwise(_pick(_SYLLABLES["latin"], h, k))
-                                for k in range(1, 6)]))
-    made = F.concat(made, F.when(cyrillic, ending).otherwise("n"))
-    shout = (F.upper(surname) == surname) & (F.length(surname) > 1)
-    return F.concat(title, new_given, F.when(shout, F.upper(made)).otherwise(made))
+    return _let(F.struct(title.alias("title"), given.alias("given"), surname.alias("surname"),
+                         _given(m, key, given_draw).alias("own")), made)
 
 
 def surrogate(m: Column, key: str, draw: Column) -> Column:

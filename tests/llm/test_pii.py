@@ -78,9 +78,26 @@ def test_spellings_of_a_number_and_of_a_surname_share_a_surrogate(spark):
     assert international.startswith("+49") and re.sub(r"\D", "", national) != international[1:]
 
 
+def test_names_are_found_by_context_and_shape(spark):
+    texts = ["a letter from Max Weber to all", "we met Robin Smith and Mr Robin Smith", "JAMES COOK sailed", "call 030 1234567 now",
+             "then Mr. James  Cook came", "Uta Maier said so", "Ich bin Uwe Kranz, hallo", "Dr Robin Smith or Mr Robin Smith"]
+    new, rows = put(spark, texts)
+    left = [w for w, t in (("Weber", new[0]), ("Smith", new[1]), ("Robin", new[1]), ("COOK", new[2]), ("1234567", new[3]), ("Cook", new[4]),
+                           ("Maier", new[5]), ("Kranz", new[6]), ("Smith", new[7])) if w in t]
+    assert not left, new
+    assert [r["n_entities"] for r in rows] == [1, 2, 1, 1, 1, 1, 1, 2]
+    assert new[2].split()[0].isupper() and shape(new[3]) == shape(texts[3])
+    met = new[1].removeprefix("we met ").split(" and Mr ")
+    assert met[0] == met[1]
+    by_title = re.fullmatch("Dr (.*) or Mr (.*)", new[7]).groups()
+    assert by_title[0] == by_title[1] == met[0]
+
+
 def test_clean_texts_are_left_alone(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3.", "Chapter 12, 1998-06-01, 3.14 and 1.2.3",
-             "1 234 567", "a@b", "@ home", "user@", "Erbeer. Dem Kurt", "12:30:45", "v1.2.3.4.5", "Mr", "0123456789ab", "", " "]
+             "1 234 567", "a@b", "@ home", "user@", "Erbeer. Dem Kurt", "12:30:45", "v1.2.3.4.5", "Mr", "0123456789ab", "", " ",
+             "This work is licensed under the GNU General Public License, version 3.", "All Rights Reserved by the Author",
+             "Onthre | Inthe Ofre | Thand", "Er ist. Dem Kurt Haus ist alt", "from Monday to Friday", "Version 020 of 12-34567"]
     assert put(spark, texts)[0] == texts
 
 
