@@ -226,3 +226,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string")
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return digests(format_conversations(conv.unionByName(planted)))
+
+
+#: The instruction template written out: lengths of the markers, control strings inside texts, and who follows whom.
+SQL = r"""
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       cast(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       cast(sum(own_chars + length(text) + text_marks) AS bigint) AS formatted_chars, bool_and(fits) AS valid
+FROM (
+  SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) + role_marks END AS own_chars,
+         CASE coalesce(before, '<start>') WHEN '<start>' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+              WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS fits
+  FROM (
+    SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+           list_sum(list_transform(marks, lambda m: (length(text) - length(replace(text, m, ''))) // length(m))) AS text_marks,
+           list_sum(list_transform(marks, lambda m: (length(role) - length(replace(role, m, ''))) // length(m))) AS role_marks
+    FROM (
+      SELECT cast(conv_id AS bigint) AS conv_id, cast(turn AS bigint) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             ['\', '<<SYS>>', '[INST]', '<s>', '<</SYS>>', '[/INST]', '</s>', '[ROLE]', '[TEXT]', '[/ROLE]'] AS marks
+      FROM (SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) c) t) u) v
+GROUP BY conv_id
+"""

@@ -42,4 +42,5 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_chat_format": chat_format.SQL,
 }
