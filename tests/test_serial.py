@@ -194,3 +194,30 @@ def test_id_base_saves_the_scan(spark):
     assert ch.apply_agendamento_insert(t, req, id_base=500)[1].first()["new_id"] == 501
     req = spark.createDataFrame([(1, "70000000006", "70000000002")], "req_seq long, cpf_responsavel string, cpf_parente string")
     assert ch.apply_parente_insert(t, req, id_base=500)[1].first()["new_id"] == 501
+
+
+def test_scans_in_blocks_equal_loops(spark):
+    """Stock walks, the value before and states, over sequence numbers with gaps, in blocks of 4."""
+    rnd = random.Random(71)
+    seqs = sorted(rnd.sample(range(3000), 240))
+    rows = [(rnd.choice([1, 2, 2, 2, 3, None]), s, rnd.choice([-1, -1, 0, 1]), rnd.random() < .4, rnd.randrange(4)) for s in seqs]
+    start = {1: 0, 2: 3, 3: 1, None: 2}
+    # A transition of four states for each kind of row.
+    steps = [[1, 2, 3, 0], [0, 0, 2, 2], [3, 3, 3, 3], [0, 1, 2, 3]]
+    df = spark.createDataFrame([(k, s, d, f, start[k], steps[v], v) for k, s, d, f, v in rows],
+                               "k int, seq long, d int, f boolean, start int, step array<int>, v int").repartition(5)
+    stock, last, state = dict(start), {}, {k: n for k, n in start.items()}
+    want_stock, want_last, want_state = {}, {}, {}
+    for k, s, d, f, v in rows:
+        want_stock[s], want_last[s], want_state[s] = stock[k], last.get(k), state[k]
+        if d == 1 or (d == -1 and stock[k] > 0):
+            stock[k] += d
+        if f:
+            last[k] = v
+        state[k] = steps[v][state[k]]
+    got = serial.stock_before(df, "k", "seq", "d", "start", "out", block=4)
+    assert {r.seq: r.out for r in got.collect()} == want_stock
+    got = serial.last_before(df, ["k"], "seq", "f", "v", "out", block=4)
+    assert {r.seq: r.out for r in got.collect()} == want_last
+    got = serial.scan_states(df.where("k is not null"), "k", "seq", "step", "start", 4, "out", block=4)
+    assert {r.seq: r.out for r in got.collect()} == {s: want_state[s] for k, s, *_ in rows if k is not None}
