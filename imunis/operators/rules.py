@@ -32,8 +32,10 @@ MSG_NOT_TARGET = "Cidadão de %s não se encaixa no público alvo da campanha (%
 def key_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, unique: bool = False) -> DataFrame:
     """Add boolean ``flag``: does the row's ``on`` tuple occur in ``keys``?
 
-    Every input row comes out exactly once. ``unique=True`` says that ``keys``
-    repeats no tuple (a parent table's key). Otherwise it is made distinct,
+    Every input row comes out exactly once. ``unique=True`` is the caller's
+    word that ``keys`` repeats no tuple (a parent table's key, K1); where that
+    is broken a row comes out once for each repeat, so audit loaded tables with
+    ``integrity.audit_pk`` first. Otherwise ``keys`` is made distinct,
     and the join gets a hash of the key as one more join column: the output
     of the aggregate is then not partitioned the way the join asks for, so
     the join shuffles it, and AQE's skew split, which needs a shuffle right
