@@ -13,6 +13,7 @@ import re
 from collections.abc import Mapping
 
 from ..operators import changes as ch
+from ..operators.dose_changes import apply_vacinacao_changes
 from .catalog import AS_OF, AS_OF_SQL, query, role_counts_sql, role_sql, user_list_sql
 
 STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -1146,3 +1147,105 @@ def usuario_update_order_roles(t):
     for table in ("cidadao", "administrador", "agente_saude"):
         out = out.join(new[table].select("cpf", F.lit(True).alias(table)), "cpf", "left")
     return out.select("cpf", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("cidadao", "administrador", "agente_saude")])
+
+
+# ---------------------------------------------------------------------- C19, C20 and C21 in one order
+
+_DC = {
+    "dc_j": f"""
+        SELECT r.req_seq, r.kind, CASE WHEN r.kind <> 'insert' THEN r.id_vacinacao END AS id_vacinacao, r.contagem, r.data_aplicacao,
+               r.id_vacina, r.cpf, r.id_local, r.id_campanha, o.id_vacina AS old_vac, o.id_vacinacao IS NOT NULL AS found, v.qtd_doses AS stock,
+               coalesce(r.kind IN ('insert', 'update'), false) AS put,
+               ({_miss_text('r.cpf')} OR (r.kind = 'insert' AND ({_miss_int('r.id_vacina', 'r.id_local', 'r.id_campanha')}))) AS c_miss,
+               coalesce(r.contagem < 1, false) AS c_oor, {_long(**{'r.cpf': 20})} AS c_long,
+               (r.contagem IS NULL OR r.data_aplicacao IS NULL) AS c_null,
+               NOT EXISTS (SELECT 1 FROM cidadao c WHERE c.cpf = r.cpf) AS c_cit,
+               NOT (EXISTS (SELECT 1 FROM local l WHERE l.id_local = r.id_local)
+                    AND EXISTS (SELECT 1 FROM campanha k WHERE k.id_campanha = r.id_campanha)
+                    AND (r.kind = 'insert' OR v.id_vacina IS NOT NULL)) AS c_fk
+        FROM (SELECT * REPLACE ({STRIP.format(c='cpf')} AS cpf) FROM vacinacao_mixed_req) r
+        LEFT JOIN vacinacao o ON r.kind <> 'insert' AND r.id_vacinacao = o.id_vacinacao
+        LEFT JOIN vacina_scarce v ON r.id_vacina = v.id_vacina""",
+    "dc_p": """
+        SELECT *, CASE WHEN kind NOT IN ('insert', 'update', 'delete') THEN 'unknown_kind' WHEN NOT put THEN NULL
+                       WHEN c_miss THEN 'missing_field' WHEN c_oor THEN 'out_of_range' WHEN c_cit THEN 'not_citizen' END AS early,
+               CASE WHEN NOT put THEN NULL WHEN c_long THEN 'too_long' WHEN c_null THEN 'not_null' END AS late,
+               CASE WHEN put AND c_fk THEN 'fk_violation' END AS broken
+        FROM dc_j""",
+    "dc_o": f"""
+        WITH RECURSIVE rounds AS (
+          SELECT req_seq, kind, id_vacinacao, id_vacina, old_vac, found, stock, early IS NULL AND late IS NULL AS reach,
+                 early IS NULL AND late IS NULL AND broken IS NULL AS valid, early IS NULL AND late IS NULL AND broken IS NULL AS acc,
+                 false AS short, true AS there, cast(NULL AS bigint) AS dose, true AS changed, 0 AS n FROM dc_p
+          UNION ALL
+          SELECT req_seq, kind, id_vacinacao, id_vacina, old_vac, found, stock, reach, valid, valid AND now_there AND NOT now_short, now_short,
+                 now_there, now_dose, bool_or((valid AND now_there AND NOT now_short) <> acc) OVER (), n + 1
+          FROM (
+            SELECT req_seq, any_value(kind) AS kind, any_value(id_vacinacao) AS id_vacinacao, any_value(id_vacina) AS id_vacina,
+                   any_value(old_vac) AS old_vac, any_value(found) AS found, any_value(stock) AS stock, any_value(reach) AS reach,
+                   any_value(valid) AS valid, any_value(acc) AS acc, any_value(now_there) AS now_there, any_value(now_dose) AS now_dose,
+                   any_value(n) AS n,
+                   coalesce(bool_or(e.asks AND (stock IS NULL OR stock < 0 OR stock + run - e.d - least(0, coalesce(stock + low, 0)) < 1)), false)
+                   AS now_short
+            FROM (
+              SELECT *, min(run) OVER (PARTITION BY e.lot ORDER BY req_seq {PRECEDING}) AS low
+              FROM (
+                SELECT *, sum(e.d) OVER (PARTITION BY e.lot ORDER BY req_seq {RUNNING}) AS run
+                FROM (
+                  SELECT *, unnest([CASE WHEN reach AND (kind = 'insert' OR moves)
+                                         THEN {{'lot': id_vacina, 'd': CASE WHEN valid THEN -1 ELSE 0 END, 'asks': true}}
+                                         ELSE {{'lot': NULL, 'd': 0, 'asks': false}} END,
+                                    CASE WHEN acc AND (moves OR (kind = 'delete' AND now_there)) THEN {{'lot': lot_now, 'd': 1, 'asks': false}}
+                                         ELSE {{'lot': NULL, 'd': 0, 'asks': false}} END]) AS e
+                  FROM (
+                    SELECT *, kind = 'update' AND now_there AND id_vacina IS DISTINCT FROM lot_now AS moves
+                    FROM (
+                      SELECT *, kind = 'insert' OR coalesce(seen_there, found) AS now_there,
+                             CASE WHEN seen_there IS NULL THEN old_vac ELSE seen_lot END AS lot_now
+                      FROM (
+                        SELECT *, last_value(CASE WHEN acc THEN kind <> 'delete' END IGNORE NULLS) OVER w AS seen_there,
+                               last_value(CASE WHEN acc THEN CASE WHEN kind = 'delete' THEN -1 ELSE id_vacina END END IGNORE NULLS) OVER w AS seen_lot
+                        FROM (
+                          SELECT *, coalesce(CASE WHEN kind <> 'insert' THEN id_vacinacao WHEN acc THEN
+                                      (SELECT coalesce(max(id_vacinacao), 0) FROM vacinacao)
+                                      + cast(sum(CASE WHEN acc AND kind = 'insert' THEN 1 ELSE 0 END) OVER (ORDER BY req_seq {RUNNING}) AS bigint)
+                                    END, -1 - req_seq) AS now_dose
+                          FROM rounds WHERE changed) a
+                        WINDOW w AS (PARTITION BY now_dose ORDER BY req_seq {PRECEDING})) b) c) d) f) g) h
+            GROUP BY req_seq) x)
+        SELECT req_seq, short, there, dose FROM (SELECT *, max(n) OVER () AS last_n FROM rounds) z WHERE n = last_n""",
+    "dc_d": """
+        SELECT p.* EXCLUDE (id_vacinacao), o.dose AS id_vacinacao,
+               coalesce(early, CASE WHEN NOT there THEN 'no_match' END, late, CASE WHEN short THEN 'no_stock' END, broken) AS reason
+        FROM dc_p p JOIN dc_o o ON p.req_seq = o.req_seq""",
+}
+_DC["dc_last"] = f"SELECT * FROM {_last_sql('dc_d', 'id_vacinacao')} l"
+
+
+def _dose_changes(t):
+    return apply_vacinacao_changes(_state(t, vacina="vacina_scarce"), t["vacinacao_mixed_req"])
+
+
+@query("vacinacao_mixed", (_DC, """
+    SELECT cast(req_seq AS bigint) AS req_seq, reason IS NULL OR reason = 'no_match' AS accepted, reason,
+           CASE WHEN reason IS NULL AND kind = 'insert' THEN cast(id_vacinacao AS bigint) END AS new_id FROM dc_d"""))
+def vacinacao_mixed(t):
+    """C19, C20 and C21 in one ordered batch over scarce lots: the decisions."""
+    return _dose_changes(t)[1]
+
+
+@query("vacinacao_mixed_state", (_DC, """
+    SELECT * FROM vacinacao v WHERE NOT EXISTS (SELECT 1 FROM dc_last u WHERE u.id_vacinacao = v.id_vacinacao)
+    UNION ALL BY NAME
+    SELECT id_vacinacao, contagem, data_aplicacao, id_vacina, cpf, id_local, id_campanha FROM dc_last WHERE kind <> 'delete'"""))
+def vacinacao_mixed_state(t):
+    """The doses after that batch."""
+    return _dose_changes(t)[0]["vacinacao"]
+
+
+@query("vacinacao_mixed_stock", (_DC, _stock_sql(
+    "SELECT old_vac AS id_vacina, 1 AS d FROM dc_last WHERE found UNION ALL SELECT id_vacina, -1 FROM dc_last WHERE kind <> 'delete'")
+    .replace("FROM vacina v", "FROM vacina_scarce v")))
+def vacinacao_mixed_stock(t):
+    """The scarce lots' stock after that batch."""
+    return _dose_changes(t)[0]["vacina"]

@@ -304,6 +304,18 @@ BINDINGS.update({
                cast(l_suppkey + CASE WHEN (l_orderkey + n) % 13 = 0 THEN {UNKNOWN} ELSE 1 END AS bigint) AS id_local,
                cast(l_orderkey % 27 + 1 AS integer) AS id_campanha
         FROM dose_line, (SELECT unnest([0, 1]) AS n) WHERE l_linenumber <= 4 AND l_orderkey % 13 = 0""",
+    "vacinacao_mixed_req": f"""
+        SELECT cast((l_partkey % 11 * 3 + n) * 10000000000 + dose AS bigint) AS req_seq,
+               CASE WHEN (l_orderkey + n) % 41 = 0 THEN 'merge' WHEN turn = 0 THEN 'insert' WHEN turn = 1 THEN 'update' ELSE 'delete' END AS kind,
+               cast(CASE WHEN turn <> 0 THEN dose + CASE WHEN l_orderkey % 55 = 1 THEN {UNKNOWN} ELSE 0 END END AS bigint) AS id_vacinacao,
+               cast(CASE WHEN l_orderkey % 35 = 0 THEN 0 ELSE l_linenumber END AS integer) AS contagem,
+               CASE WHEN l_orderkey % 65 <> 1 THEN cast(l_shipdate AS date) END AS data_aplicacao,
+               cast(CASE WHEN (l_orderkey + n) % 31 = 0 THEN l_partkey + {UNKNOWN} ELSE l_partkey * (n + 2) % 97 + 2 END AS bigint) AS id_vacina,
+               CASE WHEN l_orderkey % 45 = 0 THEN ' ' WHEN l_orderkey % 37 = 0 THEN 'nobody' ELSE {CPF.format(k='o_custkey')} END AS cpf,
+               cast(l_suppkey + CASE WHEN (l_orderkey + n) % 13 = 2 THEN {UNKNOWN} ELSE 1 END AS bigint) AS id_local,
+               cast(l_orderkey % 27 + 1 AS integer) AS id_campanha
+        FROM (SELECT *, l_orderkey * 8 + l_linenumber AS dose, (l_orderkey + l_linenumber + n) % 3 AS turn
+              FROM dose_line, (SELECT unnest([0, 1, 2]) AS n) WHERE l_linenumber <= 4 AND l_orderkey % 13 = 1) x""",
     "agendamento_chain_req": f"""
         SELECT cast(l_orderkey * 8 + l_linenumber * 3 + n - 3 AS bigint) AS req_seq, {CPF.format(k='o_custkey')} AS cpf,
                cast(l_orderkey % 27 + 1 AS integer) AS id_campanha, cast(l_partkey % 5 + 1 AS bigint) AS id_vacina,

@@ -294,6 +294,24 @@ def vacinacao_chain_req(t: Fixtures) -> DataFrame:
         (k % 27 + 1).cast("int").alias("id_campanha"))
 
 
+def vacinacao_mixed_req(t: Fixtures) -> DataFrame:
+    """Three requests around each dose, inserts, updates and deletes in turn, mixed with those of the other doses."""
+    d = t["dose_line"].where((F.col("l_linenumber") <= 4) & (F.col("l_orderkey") % 13 == 1))
+    d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
+    k, n = F.col("l_orderkey"), F.col("step")
+    dose, turn = k * 8 + F.col("l_linenumber"), (k + F.col("l_linenumber") + n) % 3
+    return d.select(
+        ((F.col("l_partkey") % 11 * 3 + n) * F.lit(10 ** 10) + dose).cast("bigint").alias("req_seq"),
+        F.when((k + n) % 41 == 0, "merge").when(turn == 0, "insert").when(turn == 1, "update").otherwise("delete").alias("kind"),
+        F.when(turn != 0, dose + F.when(k % 55 == 1, UNKNOWN).otherwise(0)).cast("bigint").alias("id_vacinacao"),
+        F.when(k % 35 == 0, 0).otherwise(F.col("l_linenumber")).cast("int").alias("contagem"),
+        F.when(k % 65 != 1, F.col("l_shipdate").cast("date")).alias("data_aplicacao"),
+        F.when((k + n) % 31 == 0, F.col("l_partkey") + UNKNOWN).otherwise((F.col("l_partkey") * (n + 2)) % 97 + 2).cast("bigint").alias("id_vacina"),
+        F.when(k % 45 == 0, F.lit(" ")).when(k % 37 == 0, F.lit("nobody")).otherwise(cpf("o_custkey")).alias("cpf"),
+        (F.col("l_suppkey") + F.when((k + n) % 13 == 2, UNKNOWN).otherwise(1)).cast("bigint").alias("id_local"),
+        (k % 27 + 1).cast("int").alias("id_campanha"))
+
+
 def agendamento_chain_req(t: Fixtures) -> DataFrame:
     """The same appointment asked for at several sites, on few days."""
     d = t["dose_line"].where((F.col("l_linenumber") <= 2))
