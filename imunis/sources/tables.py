@@ -134,16 +134,24 @@ def commit_batch(root: str, version: int, new_state: Mapping[str, DataFrame], de
 PARTS = 64
 
 
-def part_of(key: str) -> Column:
+def part_of(key: str, span: int | None = None) -> Column:
+    """A row's part: a hash of its key, or, with ``span``, the range of ``span`` keys that holds it.
+
+    Ranges suit tables with serial keys: a part has at most ``span`` rows however
+    large the table gets, and new rows fall into the last parts alone.
+    """
+    if span is not None:
+        return F.expr(f"CAST(`{key}` AS BIGINT) DIV {int(span)}")
     return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(PARTS)).cast("int")
 
 
-def parts_hit(rows: DataFrame, key: str) -> list[int]:
-    """The parts in which keys of ``rows`` lie; at most ``PARTS`` numbers."""
-    return sorted(r[0] for r in rows.where(F.col(key).isNotNull()).select(part_of(key)).distinct().collect())
+def parts_hit(rows: DataFrame, key: str, span: int | None = None) -> list[int]:
+    """The parts in which keys of ``rows`` lie: at most ``PARTS`` numbers, or with ``span`` one for each range hit."""
+    return sorted(r[0] for r in rows.where(F.col(key).isNotNull()).select(part_of(key, span)).distinct().collect())
 
 
-def write_parts(df: DataFrame, root: str, table: str, version: int, parts: list[int] | None = None) -> list[tuple]:
+def write_parts(df: DataFrame, root: str, table: str, version: int, parts: list[int] | None = None,
+                span: int | None = None) -> list[tuple]:
     """Write the given (or all) parts of ``table`` under ``root/table/v=<version>/part=<n>``, one task each.
 
     Returns the manifest rows that make them visible; the caller commits them
@@ -151,17 +159,18 @@ def write_parts(df: DataFrame, root: str, table: str, version: int, parts: list[
     so the version's cost follows the parts that changed.
     """
     key = TABLES[table].key[0]
-    parts = list(range(PARTS)) if parts is None else parts
+    if parts is None:
+        parts = list(range(PARTS)) if span is None else parts_hit(df, key, span)
     if parts:
-        df.withColumn("part", part_of(key)).where(F.col("part").isin(parts)).repartition(len(parts), "part") \
+        df.withColumn("part", part_of(key, span)).where(F.col("part").isin(parts)).repartition(len(parts), "part") \
             .write.mode("overwrite").partitionBy("part").parquet(_at(root, table, f"v={version}"))
     return [(f"{table}/part={p}", version, None, None) for p in parts]
 
 
 def read_parts(spark: SparkSession, root: str, table: str, parts: list[int] | None = None) -> DataFrame:
     """The newest committed version of each (or each given) part, as one table."""
-    names = [f"{table}/part={p}" for p in (range(PARTS) if parts is None else parts)]
-    newest = manifest(spark, root).where(F.col("name").isin(names)).groupBy("name").agg(F.max("version").alias("v")).collect()
+    mine = F.col("name").startswith(f"{table}/part=") if parts is None else F.col("name").isin([f"{table}/part={p}" for p in parts])
+    newest = manifest(spark, root).where(mine).groupBy("name").agg(F.max("version").alias("v")).collect()
     paths = [_at(root, table, f"v={r['v']}", r["name"].split("/")[1]) for r in newest]
     schema = TABLES[table].schema
     # A part without rows has no folder.

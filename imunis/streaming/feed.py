@@ -93,6 +93,25 @@ def read_decisions(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/decisions").where(F.col("batch") <= last).drop("batch")
 
 
+def committed(spark: SparkSession, root: str, batch_id: int, run: str) -> bool:
+    """Whether the query ``run`` committed the batch; ``CheckpointMismatch`` when another did."""
+    done = _commits(spark, root).where(F.col("version") == batch_id).first()
+    if done is not None and done["run"] != run:
+        raise CheckpointMismatch(f"batch {batch_id} under {root} was committed by query {done['run']}, not {run}: "
+                                 "the streaming checkpoint was lost or exchanged")
+    return done is not None
+
+
+def last_id(spark: SparkSession, root: str) -> int:
+    """The last dose id handed out."""
+    return _commits(spark, root).orderBy(F.desc("version")).first()["last_id"]
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's id, which Spark keeps in its checkpoint: the same after a restart, another after a loss."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def _undecided(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     """The requests that no committed batch has decided (a file may be sent again)."""
     try:
@@ -109,17 +128,13 @@ def process_batch(spark: SparkSession, root: str, requests: DataFrame, batch_id:
     """Apply one micro-batch of the query ``run``; False when it was committed
     before by that query, ``CheckpointMismatch`` when by another. ``unseen``:
     the caller knows that no earlier batch has these requests, and none twice."""
-    done = _commits(spark, root).where(F.col("version") == batch_id).first()
-    if done is not None:
-        if done["run"] != run:
-            raise CheckpointMismatch(f"batch {batch_id} under {root} was committed by query {done['run']}, not {run}: "
-                                     "the streaming checkpoint was lost or exchanged")
+    if committed(spark, root, batch_id, run):
         return False
     if not unseen:
         require_unique_seq(requests)
         requests = _undecided(spark, root, requests)
     state = read_state(spark, root, tb.parts_hit(requests, "id_vacina"))
-    base = _commits(spark, root).orderBy(F.desc("version")).first()["last_id"]
+    base = last_id(spark, root)
     _, dec = apply_vacinacao_insert(state, requests, id_base=base)
     path = f"{root}/decisions/batch={batch_id}"
     dec.write.mode("overwrite").parquet(path)
@@ -148,9 +163,7 @@ def start_dose_feed(spark: SparkSession, request_dir: str, root: str, checkpoint
 
     def handle(batch_df: DataFrame, batch_id: int) -> None:
         session = batch_df.sparkSession
-        # Spark keeps the query's id in its checkpoint: the same after a restart, another after a loss.
-        run = session.read.json(f"{checkpoint}/metadata").first()["id"]
-        process_batch(session, root, batch_df.persist(), int(batch_id), run, unseen=True)
+        process_batch(session, root, batch_df.persist(), int(batch_id), query_id(session, checkpoint), unseen=True)
         batch_df.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
