@@ -7,13 +7,15 @@ independent DuckDB formulation used by the correctness check.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
-from ..operators import lists
+from ..operators import lists, paging
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import tables
 
@@ -287,6 +289,19 @@ def page_vacinacoes(t):
     return flt.page(lists.vacinacoes(t, ordered=False), lists.VACINACOES_ORDER, n=3, size=10)
 
 
+@query("page_jump_vacinacoes", """
+    SELECT * FROM (""" + VACINACOES_SQL + """) x
+    ORDER BY data_aplicacao DESC NULLS FIRST, nome_cidadao ASC NULLS LAST, nome_vacina ASC NULLS LAST,
+             id_vacinacao ASC
+    LIMIT 25 OFFSET 1500""")
+def page_jump_vacinacoes(t):
+    """O3: page 60 of 25 doses of the list laid out in ranges."""
+    df = lists.vacinacoes(t, ordered=False)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    paging.lay_out(df, lists.VACINACOES_ORDER, path)
+    return paging.jump(df.sparkSession, path, df.schema, lists.VACINACOES_ORDER, n=60, size=25)
+
+
 # The row that ends a page somewhere in the middle of the list.
 _PAGE_LAST = {"data_aplicacao": "1997-03-15", "nome_cidadao": "Customer#000000070", "nome_vacina": "n", "id_vacinacao": 4000}
 
