@@ -32,8 +32,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -390,36 +391,89 @@ def _agendamento_flags(state: State, j: DataFrame, check_options: bool, as_of) -
     return j.withColumn("_fk", ~(F.col("_fk_cpf") & F.col("_fk_vac") & F.col("_fk_loc")))
 
 
+#: Rows up to which a side of a join is sent to all tasks, once it has been counted.
+FEW = 1 << 16
+
+
+def _if_few(df: DataFrame) -> DataFrame:
+    """``df`` (materialized), to be broadcast if it has at most ``FEW`` rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+_BOOKING = ["cpf", "id_vacina", "data_agendamento"]
+_SLOT = ["id_local", "data_agendamento"]
+
+
+def _seat_candidates(j: DataFrame, materialize: bool) -> DataFrame:
+    """The requests that may get a seat, as (key, site, ``req_seq``, ``_room``), with their place ``_o`` at the site and day.
+
+    Of one key's requests for one site only the first can be accepted: the
+    others come after a duplicate, after the accepted one, or to a full site.
+    And a site is full after as many keys as the day has seats at all sites
+    together: each of them has got a seat by then, here or elsewhere.
+    """
+    key = [*_BOOKING, "id_local"]
+    open_ = j.where("_v0 and not _dup_t and _room > 0")
+    first = _maybe_cut(open_.groupBy(*key).agg(F.min("req_seq").alias("req_seq"), F.max("_room").alias("_room")), materialize)
+    rooms = first.groupBy(*_SLOT).agg(F.max("_room").alias("_r")).groupBy("data_agendamento").agg(F.sum("_r").alias("_seats"))
+    ranked = serial.prefix_count(first.select(*key, "req_seq"), _SLOT, "req_seq", F.lit(True), "_at")
+    near = _maybe_cut(ranked.join(rooms, "data_agendamento").where("_at < _seats").drop("_at", "_seats"), materialize)
+    # Rows with the same request (a parent table that repeats a key makes some) ask for a seat each.
+    rows = open_.select(*key, "req_seq", "_room").join(_if_few(near), [*key, "req_seq"])
+    return _maybe_cut(serial.prefix_count(rows, _SLOT, "req_seq", F.lit(True), "_o"), materialize)
+
+
 def _strict_order(j: DataFrame, valid: Column, materialize: bool) -> tuple[DataFrame, list[tuple[Column, str]]]:
     """The duplicate and seat rules as if the requests came one by one.
 
     A request is a duplicate of an earlier *accepted* one, and only requests
-    that are none ask for a seat; so the two rules depend on each other. Each
-    round takes the last round's accepted requests for true: the first of a
-    key makes the later ones duplicates, the rest ask for seats in their order.
-    What a request gets depends on earlier requests alone, so a round that
-    changes nothing has the one-by-one outcome, and each round settles at least
-    the next request of every chain. In the first round all valid requests
-    count as accepted; it is already the last unless a full site refused a
-    request whose key comes again.
+    that are none ask for a seat; so the two rules depend on each other. Rounds
+    settle who is accepted among the requests that may be (``_seat_candidates``):
+    a request is accepted if no undecided or accepted one of its key is earlier
+    and those before it at its site leave a seat; it is refused if an accepted
+    one of its key is earlier or the accepted ones before it fill the site.
+    Each round settles at least the next request of every chain, and settled
+    requests stay only where undecided ones ask for the same site and day. The
+    batch itself is read once more, to look up each request's key and site.
     """
-    key = ["cpf", "id_vacina", "data_agendamento"]
-    j = j.withColumn("_v0", valid).withColumn("_acc", F.col("_v0") & ~F.col("_dup_t"))
-    kept = j.columns
+    j = j.withColumn("_v0", valid).withColumn("_room", F.coalesce(F.col("_cap"), F.lit(0)) - F.coalesce(F.col("_booked"), F.lit(0)))
+    asked = _seat_candidates(j, materialize)
+    crowded = not asked.groupBy(*_SLOT).count().where(F.col("count") > serial.DEFAULT_BLOCK).isEmpty()
+    held, got = asked.withColumn("_acc", F.lit(False)), []
     while True:
-        firsts = j.where("_acc").groupBy(*key).agg(F.min("req_seq").alias("_first"))
-        now = j.join(firsts, key, "left").withColumn("_dup", F.col("_dup_t") | F.coalesce(F.col("_first") < F.col("req_seq"), F.lit(False)))
-        now = serial.prefix_count(now, ["id_local", "data_agendamento"], "req_seq", F.col("_v0") & ~F.col("_dup"), "_seats_before")
-        full = (F.coalesce(F.col("_booked"), F.lit(0)) + F.col("_seats_before")) >= F.coalesce(F.col("_cap"), F.lit(0))
-        now = now.withColumn("_full", full).withColumn("_now", F.col("_v0") & ~F.col("_dup") & ~F.col("_full"))
-        now = _maybe_cut(now.select(*kept, "_first", "_dup", "_full", "_now"), materialize)
-        # Another round only if some key's first accepted request is another one now, and that matters to its others.
-        moved = now.where("_v0 and not _dup_t").groupBy(*key).agg(
-            F.max(F.expr("req_seq = _first and not _now")).alias("lost"), F.max(F.expr("req_seq > _first")).alias("more"),
-            F.max(F.expr("_now and (_first is null or req_seq < _first)")).alias("early"))
-        if moved.where("(lost and more) or early").isEmpty():
-            return now, [(F.col("_dup"), "duplicate"), (F.col("_full"), "full")]
-        j = now.withColumn("_acc", F.col("_now")).select(*kept)
+        before = Window.partitionBy(*_BOOKING)
+        now = held.withColumn("_first", F.min("req_seq").over(before)).withColumn("_won", F.min(F.when(F.col("_acc"), F.col("req_seq"))).over(before))
+        if crowded:
+            now = serial.prefix_count(now, _SLOT, "_o", F.lit(True), "_most")
+            now = serial.prefix_count(now, _SLOT, "_o", "_acc", "_least")
+        else:
+            line = Window.partitionBy(*_SLOT).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+            now = now.withColumn("_most", F.count(F.lit(1)).over(line)).withColumn("_least", F.count_if("_acc").over(line))
+        sure = F.col("_first") >= F.col("req_seq")
+        lost = ~F.col("_acc") & (F.coalesce(F.col("_won") < F.col("req_seq"), F.lit(False)) | (F.col("_least") >= F.col("_room")))
+        now = _maybe_cut(now.select(*held.columns, (~F.col("_acc") & ~lost & sure & (F.col("_most") < F.col("_room"))).alias("_new"), lost.alias("_lost"))
+                         .where("not _lost").drop("_lost"), materialize)
+        got.append(now.where("_new").select(*asked.columns))
+        open_ = _maybe_cut(now.where("not _acc and not _new").select(*_SLOT).distinct(), materialize)
+        if open_.isEmpty():
+            break
+        # What was accepted just now still refuses later ones of its key elsewhere.
+        there = now.join(_if_few(open_.withColumn("_open", F.lit(True))), _SLOT, "left").where("_open or _new")
+        held = there.withColumn("_acc", F.col("_acc") | F.col("_new")).select(*asked.columns, "_acc")
+    seats = _maybe_cut(reduce(DataFrame.unionAll, got), materialize)
+    copies = asked.groupBy(*_BOOKING, "id_local", "req_seq").agg(F.count(F.lit(1)).alias("_copies"))
+    taken = _maybe_cut(seats.groupBy(*_BOOKING, "id_local", "req_seq").agg(F.count(F.lit(1)).alias("_got")).join(
+        copies, [*_BOOKING, "id_local", "req_seq"]).withColumnsRenamed({"req_seq": "_first", "id_local": "_site"}), materialize)
+    last = _maybe_cut(seats.groupBy(*_SLOT).agg(F.count(F.lit(1)).alias("_gone"), F.max("req_seq").alias("_last")), materialize)
+    # Of a request's equal rows some may get a seat and some not.
+    copy = F.lit(1) if taken.where("_got < _copies").isEmpty() \
+        else F.row_number().over(Window.partitionBy(*_BOOKING, "id_local", "req_seq").orderBy(F.col("_v0").desc()))
+    j = j.withColumn("_copy", copy).join(_if_few(taken), _BOOKING, "left").join(_if_few(last), _SLOT, "left")
+    j = j.withColumn("_dup", F.col("_dup_t") | F.coalesce(F.col("_first") < F.col("req_seq"), F.lit(False)))
+    mine = (F.col("_first") == F.col("req_seq")) & (F.col("_site") == F.col("id_local")) & (F.col("_copy") <= F.col("_got"))
+    late = (F.col("_room") <= 0) | F.coalesce((F.col("_gone") >= F.col("_room")) & (F.col("_last") < F.col("req_seq")), F.lit(False))
+    full = F.when(F.col("_v0") & ~F.col("_dup"), ~F.coalesce(mine, F.lit(False))).otherwise(late)
+    return j, [(F.col("_dup"), "duplicate"), (full, "full")]
 
 
 def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = False, check_options: bool = False,
@@ -445,6 +499,8 @@ def apply_agendamento_insert(state: State, requests: DataFrame, strict: bool = F
     if strict:
         j, own = _strict_order(j, first_reason(base + fk).isNull(), materialize)
     j = j.withColumn("reason", first_reason(base + own + fk))
+    if strict:
+        j = _maybe_cut(j.select(*requests.columns, "reason"), materialize)
     j = _with_new_id(j, table, "id_agendamento", materialize, id_base)
     rows = j.where(F.col("reason").isNull()).withColumn("id_agendamento", F.col("new_id"))
     return {"agendamento": table.unionByName(_with_ids(table, rows, "id_agendamento"))}, decisions(j, "new_id")

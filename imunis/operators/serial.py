@@ -96,11 +96,13 @@ def allocate_ids(df: DataFrame, accepted: Column | str, order_col: str, table: D
                  base: int | None = None) -> DataFrame:
     """K5: dense serial ids for accepted rows, in ``order_col`` order, after the
     table's largest id (or after ``base`` when the caller tracks the last id,
-    which saves a scan of the table); NULL for rejected rows."""
-    a = F.col(accepted) if isinstance(accepted, str) else accepted
-    ranked = prefix_count(df, [], order_col, a, "_ai_rank", block)
+    which saves a scan of the table); NULL for rejected rows. Only accepted
+    rows are moved to be counted; ``df`` is read twice."""
+    a = F.coalesce(F.col(accepted) if isinstance(accepted, str) else accepted, F.lit(False))
+    ranked = prefix_count(df.where(a), [], order_col, F.lit(True), "_ai_rank", block)
     start = F.lit(base).cast("bigint") if base is not None else max_id(table, id_col)
-    return ranked.withColumn(out_col, F.when(a, start + F.col("_ai_rank") + 1)).drop("_ai_rank")
+    return ranked.withColumn(out_col, start + F.col("_ai_rank") + 1).drop("_ai_rank") \
+        .unionAll(df.where(~a).withColumn(out_col, F.lit(None).cast("bigint")))
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:

@@ -345,3 +345,32 @@ def test_users_update(spark, block, monkeypatch):
     for table in ROLE.values():
         assert stored(new[table], table) == sorted((tuple(m[table][c] for c in COLS[table]) for m in roles.values() if table in m), key=str)
     assert {r["cpf"]: r["nome"] for r in new["usuario"].collect()} == names
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_appointment_rounds_move_few_rows(spark, monkeypatch, copies):
+    """Keys asked for at several full sites, as a loop decides; rounds keep only requests that may get a seat."""
+    t, rnd, sites = tables(spark), random.Random(71), range(1, 5)
+    t["local"] = spark.createDataFrame([(i, "n", "r", "b", 1, "c", "PC", "x", 1 + i % 3) for i in sites], TABLES["local"].schema)
+    citizens = [r[0] for r in ROWS["cidadao"]]
+    reqs = [{"req_seq": s, "cpf": rnd.choice(citizens), "id_campanha": 1, "id_vacina": rnd.choice([1, 2, 3, 4]), "id_local": rnd.choice(sites),
+             "data_agendamento": dt.date(2031, 5, rnd.randint(1, 3))} for s in rnd.sample(range(10 ** 6), 600)]
+    booked, seats, want = set(), {}, []
+    for r in sorted(reqs, key=lambda r: r["req_seq"]):
+        key, slot = (r["cpf"], r["id_vacina"], r["data_agendamento"]), (r["id_local"], r["data_agendamento"])
+        for reason in [None] * copies:  # equal rows are no duplicates of one another, but each takes a seat
+            if key in booked and r["req_seq"] not in booked:
+                reason = "duplicate"
+            elif seats.get(slot, 0) >= 1 + r["id_local"] % 3:
+                reason = "full"
+            else:
+                booked |= {key, r["req_seq"]}
+                seats[slot] = seats.get(slot, 0) + 1
+            want.append((r["req_seq"], str(reason)))
+    kept = []
+    monkeypatch.setattr(ch, "cut_lineage", lambda df, real=ch.cut_lineage: kept.append(real(df)) or kept[-1])
+    batch_ = frame(spark, reqs * copies, "agendamento", ["id_campanha int"]).repartition(4)
+    _, dec = ch.apply_agendamento_insert(t, batch_, strict=True)
+    assert sorted((r["req_seq"], str(r["reason"])) for r in dec.collect()) == sorted(want)
+    assert {reason for _, reason in want} == {"None", "duplicate", "full"}
+    assert sum(df.count() > len(reqs) * copies / 2 for df in kept) <= 3  # the judged batch, its reasons, its ids
