@@ -10,7 +10,7 @@ settled as a whole, in rounds, like the lot changes of C20.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -56,47 +56,102 @@ def _judge_alone(state: State, requests: DataFrame, check_options: bool, as_of)
                     first_reason(late).alias("_post"), first_reason(fk).alias("_fk"))
 
 
+def _round(ranked: DataFrame, block: int, doses_whole: bool, lots_whole: bool) -> DataFrame:
+    """``ranked`` with what the requests find when ``_acc`` is who was accepted: ``_there`` and ``_short``."""
+    ins, dele = F.col("kind") == INSERT, F.col("kind") == DELETE
+    put = F.struct(F.when(~dele, F.col("id_vacina")).alias("lot"), (~dele).alias("there"))
+    if doses_whole:
+        now = ranked.withColumn("_seen", F.last(F.when(F.col("_acc"), put), ignorenulls=True).over(
+            Window.partitionBy("_id").orderBy("req_seq").rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        now = serial.last_before(ranked, ["_id"], "req_seq", "_acc", put, "_seen", block)
+    seen = F.col("_seen").isNotNull()
+    now = now.withColumn("_there", ins | F.when(seen, F.col("_seen.there")).otherwise(F.col("_old"))) \
+        .withColumn("_lot", F.when(seen, F.col("_seen.lot")).otherwise(F.col("_old_vac")))
+    now = now.withColumn("_move", ~ins & ~dele & F.col("_there") & ~F.col("id_vacina").eqNullSafe(F.col("_lot")))
+    asks = F.col("_reach") & (ins | F.col("_move"))
+    gives = F.col("_acc") & ((dele & F.col("_there")) | F.col("_move"))
+    # Each request has one row that goes on; one that asks for nothing waits in a group of its own.
+    own = F.struct(F.when(asks, F.col("id_vacina")).alias("lot"), F.when(~asks, F.col("req_seq")).alias("alone"),
+                   F.when(asks & F.col("_valid"), -1).otherwise(0).alias("delta"), F.lit(True).alias("main"))
+    back = F.struct(F.col("_lot").alias("lot"), F.lit(None).cast("bigint").alias("alone"), F.lit(1).alias("delta"), F.lit(False).alias("main"))
+    kept = [*ranked.columns, "_there"]
+    now = now.withColumn("_asks", F.coalesce(asks, F.lit(False)))
+    events = now.select(*kept, "_asks", F.explode(F.array_compact(F.array(own, F.when(gives, back)))).alias("e")).select(*kept, "_asks", "e.*")
+    # A return's own stock is not asked for, so its row needs no opening stock.
+    if lots_whole:
+        line = Window.partitionBy("lot", "alone").orderBy("req_seq")
+        before = Window.unboundedPreceding, -1
+        walk = events.withColumn("_run", F.sum("delta").over(line.rowsBetween(Window.unboundedPreceding, 0))) \
+            .withColumn("_low", F.min("_run").over(line.rowsBetween(*before)))
+        left = F.col("_stock") + F.col("_run") - F.col("delta")
+        walk = walk.withColumn("_left", left - F.least(F.lit(0), F.col("_stock") + F.col("_low")))
+    else:
+        walk = serial.stock_before(events, ["lot", "alone"], "req_seq", "delta", "_stock", "_left", block)
+    short = F.col("_asks") & (F.col("_stock").isNull() | (F.col("_stock") < 0) | (F.col("_left") < 1))
+    return walk.where("main").select(*kept, F.coalesce(short, F.lit(False)).alias("_short"))
+
+
 def _in_order(j: DataFrame, base: int, materialize: bool, block: int) -> DataFrame:
     """(req_seq, _id, reason): the outcome of requests that come one by one; ``_id`` is the dose a request is about.
 
     Each round takes the last round's accepted requests for true. From them
     follow the ids of the inserted doses, for every dose whether it is there and
-    in which lot, and for every lot the walk through its takes and returns
-    (``serial.stock_before``). What a request gets depends on earlier ones
-    alone, so a round that changes nothing has the one-by-one outcome; the
-    rounds follow the longest chain from dose to lot to dose.
+    in which lot, and for every lot the walk through its takes and returns.
+    What a request gets depends on earlier ones alone, so a round that
+    changes nothing has the one-by-one outcome; the rounds follow the longest
+    chain from dose to lot to dose.
+
+    The rounds hold only requests that may be accepted: those that another check
+    refuses, that ask an unknown lot or name a dose that there cannot be neither
+    take nor give; what they find is looked up once, with the rounds' outcome.
+    The ids of inserted doses matter in the rounds only if a request names one.
+    Groups of at most ``block`` rows go through one window, others in blocks.
     """
-    ins, dele = F.col("kind") == INSERT, F.col("kind") == DELETE
+    ins = F.col("kind") == INSERT
     reach = F.col("_pre").isNull() & F.col("_post").isNull()
     j = j.select("req_seq", "kind", "_key", "id_vacina", "_old", "_old_vac", "_stock", "_pre", "_post", "_fk",
                  reach.alias("_reach"), (reach & F.col("_fk").isNull()).alias("_valid"))
-    kept = j.columns
-    j = j.withColumn("_acc", F.col("_valid"))
+    slim = ["req_seq", "kind", "_key", "id_vacina", "_old", "_old_vac", "_stock", "_reach", "_valid"]
+    inserts = j.where(F.col("_valid") & ins).count()
+    given = ~ins & F.col("_key").between(base + 1, base + inserts)
+    named = not j.where(given).isEmpty()
+    stocked = F.col("_stock").isNotNull() & (F.col("_stock") >= 0)
+    may = F.col("_valid") & F.when(ins, stocked).otherwise(F.col("_old") | given)
+    held = _maybe_cut(j.where(may).select(*slim, F.lit(True).alias("_acc")), materialize)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        if not named:
+            return rows.withColumn("_id", F.col("_key"))
+        rows = serial.prefix_count(rows, [], "req_seq", F.col("_acc") & ins, "_rank", block)
+        return rows.withColumn("_id", F.when(ins & F.col("_acc"), F.lit(base) + F.col("_rank") + 1).otherwise(F.col("_key"))).drop("_rank")
+
+    def sizes(rows: DataFrame) -> tuple[bool, bool]:
+        """Whether all requests of a dose, and all takes and returns of a lot, are at most ``block``."""
+        dose = rows.groupBy("_key").count().where(F.col("count") >= block)
+        # A lot gets back what it gave and the doses it had.
+        rows = rows.where("_reach")
+        lots = rows.where(F.col("kind") != DELETE).select("id_vacina", F.lit(2).alias("n")).unionAll(
+            rows.where("_old_vac is not null").select(F.col("_old_vac").alias("id_vacina"), F.lit(1).alias("n")))
+        lot = lots.groupBy("id_vacina").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+        return dose.isEmpty(), lot.isEmpty()
+
+    whole = sizes(held)
     while True:
-        now = serial.prefix_count(j, [], "req_seq", F.col("_acc") & ins, "_rank", block)
-        now = now.withColumn("_id", F.when(ins & F.col("_acc"), F.lit(base) + F.col("_rank") + 1).otherwise(F.col("_key")))
-        put = F.struct(F.when(~dele, F.col("id_vacina")).alias("lot"), (~dele).alias("there"))
-        now = serial.last_before(now, ["_id"], "req_seq", "_acc", put, "_seen", block)
-        seen = F.col("_seen").isNotNull()
-        now = now.withColumn("_there", ins | F.when(seen, F.col("_seen.there")).otherwise(F.col("_old"))) \
-            .withColumn("_lot", F.when(seen, F.col("_seen.lot")).otherwise(F.col("_old_vac")))
-        now = now.withColumn("_move", ~ins & ~dele & F.col("_there") & ~F.col("id_vacina").eqNullSafe(F.col("_lot")))
-        asks = F.col("_reach") & (ins | F.col("_move"))
-        gives = F.col("_acc") & ((dele & F.col("_there")) | F.col("_move"))
-        take = F.struct(F.col("id_vacina").alias("lot"), F.when(F.col("_valid"), -1).otherwise(0).alias("delta"), F.lit(True).alias("asks"))
-        back = F.struct(F.col("_lot").alias("lot"), F.lit(1).alias("delta"), F.lit(False).alias("asks"))
-        events = now.select("req_seq", "_stock", F.explode(F.array_compact(F.array(F.when(asks, take), F.when(gives, back)))).alias("e")) \
-            .select("req_seq", "_stock", "e.*")
-        # A return's own stock is not asked for, so its row needs no opening stock.
-        found = serial.stock_before(events, "lot", "req_seq", "delta", "_stock", "_left", block).where("asks").select("req_seq", "_left")
-        short = asks & (F.col("_stock").isNull() | (F.col("_stock") < 0) | (F.col("_left") < 1))
-        now = now.join(found, "req_seq", "left").withColumn("_short", F.coalesce(short, F.lit(False)))
-        now = now.withColumn("_now", F.col("_valid") & F.col("_there") & ~F.col("_short"))
-        reason = F.coalesce("_pre", F.when(~F.col("_there"), F.lit("no_match")), "_post", F.when(F.col("_short"), F.lit("no_stock")), "_fk")
-        now = _maybe_cut(now.select(*kept, "_acc", "_now", "_id", reason.alias("reason")), materialize)
+        now = _round(ranked(held), block, *whole)
+        now = _maybe_cut(now.select(*slim, "_acc", (F.col("_valid") & F.col("_there") & ~F.col("_short")).alias("_now")), materialize)
         if now.where("_now <> _acc").isEmpty():
-            return now.select("req_seq", "_id", "reason")
-        j = now.select(*kept, F.col("_now").alias("_acc"))
+            break
+        held = now.select(*slim, F.col("_now").alias("_acc"))
+    # The whole batch once, with the outcome: who was accepted, then the ids, doses and lots that all requests find.
+    accepted = now.where("_now").select("req_seq", F.lit(True).alias("_acc"))
+    every = _maybe_cut(j.join(accepted, "req_seq", "left").withColumn("_acc", F.coalesce("_acc", F.lit(False))), materialize)
+    every = serial.prefix_count(every.where(F.col("_acc") & ins), [], "req_seq", F.lit(True), "_rank", block) \
+        .withColumn("_id", F.lit(base) + F.col("_rank") + 1).drop("_rank") \
+        .unionAll(every.where(~(F.col("_acc") & F.coalesce(ins, F.lit(False)))).withColumn("_id", F.col("_key")))
+    found = _round(_maybe_cut(every, materialize), block, *sizes(every))
+    reason = F.coalesce("_pre", F.when(~F.col("_there"), F.lit("no_match")), "_post", F.when(F.col("_short"), F.lit("no_stock")), "_fk")
+    return found.select("req_seq", "_id", reason.alias("reason"))
 
 
 def apply_vacinacao_changes(state: State, requests: DataFrame, check_options: bool = False, as_of=None, materialize: bool = True,

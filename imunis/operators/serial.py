@@ -153,7 +153,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column
         *cols, F.coalesce("_in", "_early").alias(out_col))
 
 
-def stock_before(events: DataFrame, key: str, order_col: str, delta: str, start: str, out_col: str,
+def stock_before(events: DataFrame, key: str | Sequence[str], order_col: str, delta: str, start: str, out_col: str,
                  block: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out_col``: the stock that an event finds, when takes from an empty stock are refused.
 
@@ -164,7 +164,7 @@ def stock_before(events: DataFrame, key: str, order_col: str, delta: str, start:
     combine block by block: (s, m) and (s', m') make (s + s', min(m, s + m')).
     """
     cols = events.columns
-    d, nk = _blocked(events, [key], order_col, block)
+    d, nk = _blocked(events, [key] if isinstance(key, str) else key, order_col, block)
     w_in = Window.partitionBy(*nk, "_b").orderBy(order_col)
     d = d.withColumn("_run", F.sum(delta).over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
     before = (Window.unboundedPreceding, -1)

@@ -123,3 +123,23 @@ def test_empty_batch_empty_tables_and_other_columns(spark):
              "id_local": 1, "id_campanha": 1} for s, k, i in [(5, "delete", 1), (7, "insert", 1), (8, "update", 1), (9, "delete", 1), (10, "insert", 1)]]
     f = frame(spark, reqs).withColumn("_id", F.lit(3)).withColumn("reason", F.lit("x")).withColumn("_stock", F.lit(0))
     compare(bare, f, serial_outcome(reqs, rows=[]))
+
+
+def test_rounds_hold_only_requests_that_may_be_accepted(spark, monkeypatch):
+    """A batch that is mostly refused for other reasons, and a chain of moves and inserts that takes several rounds."""
+    t, rnd = tables(spark), random.Random(29)
+    t["vacina"] = t["vacina"].withColumn("qtd_doses", F.expr("cast(id_vacina % 2 as int)"))
+    reqs = batch(rnd, {**VALUES, "kind": ["insert", "update", "delete"], "id_vacinacao": [1, 2, 3, 50]}, 240)
+    for r in reqs[:180]:
+        r.update(kind=rnd.choice(["insert", "update"]), cpf=rnd.choice(["", "nobody"]))
+    want = serial_outcome(reqs, stock={r[0]: r[0] % 2 for r in ROWS["vacina"]})
+    kept = []
+
+    def cut(df, materialize, real=dc._maybe_cut):
+        kept.append(real(df, materialize))
+        return kept[-1]
+    monkeypatch.setattr(dc, "_maybe_cut", cut)
+    compare(t, frame(spark, reqs), want)
+    sizes = [df.count() for df in kept]
+    assert sum(n > len(reqs) / 2 for n in sizes) <= 4  # judged alone, two steps to look the outcome up, the outcome
+    assert len(sizes) > 6 and sizes[-1] == len(reqs)
