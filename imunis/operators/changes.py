@@ -794,20 +794,24 @@ def apply_usuario_update(state: State, requests: DataFrame, materialize: bool =
     j = j.withColumn("reason", F.coalesce("_pre", reason)) \
         .withColumn("_after", F.element_at("_step", F.col("_roles") + 1))
     ok = j.where(F.col("reason").isNull())
-    payload = [c for c in requests.columns if c not in ("req_seq", "cpf", "cpf_digitado")]
-    last = serial.last_per_key(ok.select("req_seq", "cpf", "_opening", "_after", "nome", "telefone"), ["cpf"], "req_seq")
-    # A role's row is as the last accepted update to that role wrote it, if the user still has the role.
-    wrote = serial.last_per_key(ok.select("req_seq", "cpf", *payload), ["cpf", "tipo_usuario"], "req_seq").drop("req_seq", "nome", "telefone")
-    ends = last.select("cpf", "_opening", "_after")
-    new = {"usuario": apply_updates(state["usuario"], ["cpf"], last, ["nome", "telefone"])}
+    # One row for each user with an accepted update: the last one, and what the last one to each role wrote. A role's row
+    # is as that update wrote it, if the user still has the role.
+    payload = [c for c in requests.columns if c not in ("req_seq", "cpf", "cpf_digitado", "nome", "telefone", "tipo_usuario")]
+    wrote = [F.max(F.when(F.col("tipo_usuario") == role, F.struct("req_seq", *payload))).alias(f"_{table}") for role, table in ROLE_TABLES.items()]
+    ends = _maybe_cut(ok.groupBy("cpf").agg(F.max(F.struct("req_seq", "_opening", "_after", "nome", "telefone")).alias("_last"), *wrote)
+                      .select("cpf", "_last.*", *[f"_{table}" for table in ROLE_TABLES.values()]).drop("req_seq"), materialize)
+    new = {"usuario": apply_updates(state["usuario"], ["cpf"], ends, ["nome", "telefone"])}
     for role, table in ROLE_TABLES.items():
         bit = ROLE_BITS[role]
-        cols = [f.name for f in TABLES[table].schema.fields if f.name != "cpf"]
+        fields = TABLES[table].schema.fields
         before, after = F.col("_opening").bitwiseAND(bit) > 0, F.col("_after").bitwiseAND(bit) > 0
-        mine = wrote.where(F.col("tipo_usuario") == role).join(ends, "cpf")
-        t = apply_updates(state[table], ["cpf"], mine.where(before & after).select("cpf", *cols), cols)
-        leave = ends.where(before & ~after).select("cpf")
-        new[table] = t.join(leave, "cpf", "left_anti").unionByName(_role_rows(mine.where(~before & after), role))
+        had = ends.where(before).select("cpf", after.alias("_stays"), F.col(f"_{table}").alias("_row"))
+        rewritten = F.col("_row").isNotNull()
+        kept = state[table].join(had, "cpf", "left").where(F.coalesce("_stays", F.lit(True))).select(
+            *[F.col(f.name) if f.name == "cpf" else F.when(rewritten, F.col(f"_row.{f.name}")).otherwise(F.col(f.name)).alias(f.name) for f in fields])
+        added = ends.where(~before & after & F.col(f"_{table}").isNotNull()).select(
+            *[F.col("cpf" if f.name == "cpf" else f"_{table}.{f.name}").cast(f.dataType).alias(f.name) for f in fields])
+        new[table] = kept.unionByName(added)
     return new, decisions(j)
 
 

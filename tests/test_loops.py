@@ -374,3 +374,15 @@ def test_appointment_rounds_move_few_rows(spark, monkeypatch, copies):
     assert sorted((r["req_seq"], str(r["reason"])) for r in dec.collect()) == sorted(want)
     assert {reason for _, reason in want} == {"None", "duplicate", "full"}
     assert sum(df.count() > len(reqs) * copies / 2 for df in kept) <= 3  # the judged batch, its reasons, its ids
+
+
+def test_role_tables_take_one_join_each(spark):
+    """The batch is gathered once to a row for each user; a task then sorts no more than that and the table."""
+    t, rnd = tables(spark), random.Random(73)
+    reqs = batch(rnd, {"cpf": [r[0] for r in ROWS["usuario"]], **PERSON}, 60)
+    for r in reqs:
+        r["cpf_digitado"] = r["cpf"]
+    new, _ = ch.apply_usuario_update(t, frame(spark, reqs, "usuario", EXTRA + ["cpf_digitado string"]))
+    for table in ("usuario", *ROLE.values()):
+        plan = new[table]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") <= 1 and "Aggregate" not in plan, plan
