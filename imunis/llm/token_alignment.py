@@ -5,8 +5,8 @@ space + text) and a sentence-piece model (B, which adds the space itself). A
 place where a token of A and a token of B both end and the next tokens of both
 start with a space is an anchor; anchors split a document into windows of token
 ids. A window's alignment (the groups between its common token ends, and the
-pairs of tokens that share a group) depends on its ids alone, so it is kept
-under its id tuples and worked out once.
+pairs of tokens that share a group) depends on its ids alone, so it is kept and
+worked out once.
 
 Scale. Tokens are not shuffled. A task takes documents in chunks and emits one
 row for each id pair of a chunk, with the chunk's documents that hold it as
@@ -15,11 +15,13 @@ counts return to the rows by a join on the pair, and the rows to their chunk,
 where the documents' sums are made. A pair that every document holds has one
 row in a chunk, and AQE splits its join.
 
-Long pieces of text are memoised as well: a text is cut before each space that
+Pieces of text are remembered: a text is cut before each space that
 follows no white space, which is where both tokenizers start a new token
 whatever stands around it (checked for the vocabulary when it is read, and for
 each text cut by the tokens' ends). Ids, alignments and texts are thus those of
-the whole text.
+the whole text. New pieces are tokenised and aligned many at once, in numpy. A
+piece that is one window needs no other key; the windows of a piece that has
+several are kept under their id tuples.
 
 Defined results
   null, empty    no tokens: zeros and '' for the groups.
@@ -38,7 +40,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +54,15 @@ from imunis.llm.text import column_bytes
 
 #: Bytes of text in a chunk.
 CHUNK = 3 << 20
-#: Texts between anchors that one worker remembers; beyond it the memory starts afresh.
+#: Pieces of text that one worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 200_000
 #: Characters tokenised in one call, and pairs made at a time.
 CALL, SLICE = 1 << 17, 1 << 18
 #: Characters with Unicode's White_Space property (fixed values).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_AFTER_SPACE = re.compile(f"(?:^|[{_SPACE}]) ")
-_ENDS_IN_SPACE = re.compile(f"[{_SPACE}]$|^$")
+_AFTER_SPACE = re.compile(f" (?<=[{_SPACE}] )")
+#: Ends of a piece that ends in white space or is empty.
+_SPACES = frozenset(["", *re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001))))])
 
 #: Documents of a chunk that hold a pair, with its links in each: nearly all have few links.
 _NARROW = np.dtype([("doc", "<u2"), ("links", "u1")])
@@ -105,27 +108,36 @@ class Tokenizers:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of the whole of ``text``, which starts with a space; None if either side's bytes differ from it."""
         data = text.encode()
-        a = self.a.encode(text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # the same ids, without their places in the text
         b = self.b.encode(text[1:])
-        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
+        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
 
+class _Numbers(dict):
+    """Numbers for pieces of text in order of appearance."""
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        return number
+
+
 class Windows:
-    """Alignments of windows, kept by the windows' id tuples."""
+    """Alignments of windows. Pieces of text point to their windows; windows inside a piece are shared by their id tuples."""
 
     def __init__(self, tokens: Tokenizers):
         self.tokens = tokens
-        #: Text of each token in a groups string: inside its group, and last of its side.
-        self.inner_a, self.last_a, self.inner_b, self.last_b = (
-            np.array([f"{i}{mark}" for i in range(n)], object)
-            for n, mark in ((len(tokens.bytes_a), ","), (len(tokens.bytes_a), "|"), (len(tokens.bytes_b), ","), (len(tokens.bytes_b), ";")))
+        n_a, n_b = len(tokens.bytes_a), len(tokens.bytes_b)
+        #: Text of each token in a groups string: of A inside its group, of A last of its side, and the same of B; their lengths.
+        self.marks = np.array([f"{i}{mark}" for n, mark in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")) for i in range(n)], object)
+        self.mark_lengths = np.array([len(m) for m in self.marks], np.int64)
         self.forget()
 
     def forget(self) -> None:
-        #: Windows of each remembered piece of text; None where the bytes differ.
-        self.of_text: dict[str, tuple[int, ...] | None] = {}
+        #: Number of each remembered piece of text; where its windows lie in ``windows``, and how many (-1: the bytes differ).
+        self.of_text = _Numbers()
+        self.piece_first, self.piece_size, self.windows = array("q"), array("q"), array("q")
         self.by_ids: dict[bytes, int] = {}
         #: For each window: its text and sizes, and where its entries of A lie.
         self.text: list[str] = []
@@ -140,109 +152,137 @@ class Windows:
             return [text]
         parts = text.split(" ")
         out = parts
-        if _AFTER_SPACE.search(text):
-            out = parts[:1]
+        if text[:1] == " " or _AFTER_SPACE.search(text):
+            out, held = [], parts[:1]
             for part in parts[1:]:
-                if _ENDS_IN_SPACE.search(out[-1]):
-                    out[-1] += " " + part
-                else:
-                    out.append(part)
+                if held[-1][-1:] not in _SPACES:
+                    out.append(" ".join(held))
+                    held = []
+                held.append(part)
+            out.append(" ".join(held))
         if len(out) > 1 and not out[-1]:  # a last space alone is no text to B
             out[-2:] = [out[-2] + " "]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Tokenise and align pieces not met before, many in one call."""
-        group: list[str] = []
+    def learn(self, pieces: list[str]) -> None:
+        """Tokenise and align pieces not met before, many in one call; their numbers follow the last."""
+        base = len(self.piece_size)
+        for column in (self.piece_first, self.piece_size):
+            column.frombytes(bytes(column.itemsize * len(pieces)))
+        group: list[int] = []
         size = 0
-        for piece in pieces:
-            if _ENDS_IN_SPACE.search(piece):
-                self._align([piece])  # the next piece's space would join its white space
+        for number, piece in enumerate(pieces):
+            if piece[-1:] in _SPACES:
+                self._align([piece], [base + number])  # the next piece's space would join its white space
                 continue
-            group.append(piece)
+            group.append(number)
             size += len(piece) + 1
             if size >= CALL:
-                self._align(group)
+                self._align([pieces[i] for i in group], [base + i for i in group])
                 group, size = [], 0
         if group:
-            self._align(group)
+            self._align([pieces[i] for i in group], [base + i for i in group])
+
+    def _place(self, numbers: list[int], first: np.ndarray | int, size: np.ndarray | int) -> None:
+        """Where the windows of pieces lie."""
+        for column, values in ((self.piece_first, first), (self.piece_size, size)):
+            np.frombuffer(column, np.int64)[numbers] = values
 
-    def _align(self, pieces: list[str]) -> None:
+    def _align(self, pieces: list[str], piece_numbers: list[int]) -> None:
         tokens = self.tokens
+        n_a, n_b = len(tokens.bytes_a), len(tokens.bytes_b)
         ids = tokens.encode(" " + " ".join(pieces))
-        starts = np.cumsum([0, *[len(p.encode()) + 1 for p in pieces]])
+        starts = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1, out=starts[1:])
+        n = int(starts[-1])
         if ids is not None:
             a, b = ids
             to_a, to_b = np.cumsum(tokens.length_a[a]), np.cumsum(tokens.length_b[b])
-            common = np.intersect1d(to_a, to_b, assume_unique=True)
-        if ids is None or not np.isin(starts[1:], common, assume_unique=True).all():
+            ends, others = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+            ends[to_a], others[to_b] = True, True
+            ends &= others  # where a token of A and one of B both end
+        if ids is None or not ends[starts[1:]].all():
             if len(pieces) == 1:
-                self.of_text[pieces[0]] = None
+                self._place(piece_numbers, 0, -1)
             else:
-                for piece in pieces:
-                    self._align([piece])
+                for piece, number in zip(pieces, piece_numbers):
+                    self._align([piece], [number])
             return
-        from_a, from_b = to_a - tokens.length_a[a], to_b - tokens.length_b[b]
-        anchors = np.intersect1d(from_a[tokens.spaced_a[a]], from_b[tokens.spaced_b[b]], assume_unique=True)
-        cuts = np.union1d(anchors, starts)
-        group_a, group_b = np.searchsorted(common, to_a), np.searchsorted(common, to_b)
-        n_groups = len(common)
+        groups = np.cumsum(ends)  # common ends up to each byte
+        n_groups = int(groups[-1])
+        group_a, group_b = groups[to_a - 1], groups[to_b - 1]
+        cuts, others = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        cuts[(to_a - tokens.length_a[a])[tokens.spaced_a[a]]] = True
+        others[(to_b - tokens.length_b[b])[tokens.spaced_b[b]]] = True
+        cuts &= others  # anchors
+        cuts[starts] = True
+        cuts = np.flatnonzero(cuts)
         per_a, per_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
         before_a, before_b = (np.concatenate([[0], np.cumsum(x)]) for x in (per_a, per_b))
         links = np.concatenate([[0], np.cumsum(per_a * per_b)])
         # Distinct ids of each group on either side.
-        entry, entry_times = np.unique(group_a * len(tokens.bytes_a) + a, return_counts=True)
-        entry_group = entry // len(tokens.bytes_a)
-        other, other_times = np.unique(group_b * len(tokens.bytes_b) + b, return_counts=True)
-        other_first = np.searchsorted(other // len(tokens.bytes_b), np.arange(n_groups + 1))
+        entry, entry_times = np.unique(group_a * n_a + a, return_counts=True)
+        entry_group, entry_id = np.divmod(entry, n_a)
+        other, other_times = np.unique(group_b * n_b + b, return_counts=True)
+        other_group, other_id = np.divmod(other, n_b)
+        other_first = np.searchsorted(other_group, np.arange(n_groups + 1))
         base_entry, base_other = len(self.a), len(self.b)
-        for column, values in ((self.a, entry % len(tokens.bytes_a)), (self.a_times, entry_times),
-                               (self.group_first, other_first[entry_group] + base_other),
-                               (self.group_size, np.diff(other_first)[entry_group]),
-                               (self.b, other % len(tokens.bytes_b)), (self.b_times, other_times)):
+        for column, values in ((self.a, entry_id), (self.a_times, entry_times), (self.group_first, other_first[entry_group] + base_other),
+                               (self.group_size, np.diff(other_first)[entry_group]), (self.b, other_id), (self.b_times, other_times)):
             column.frombytes(values.astype(np.int64).tobytes())
         # The groups' text: a group's tokens of A, then those of B.
-        texts = np.empty(len(a) + len(b), object)
+        marks = np.empty(len(a) + len(b), np.int64)
         last_a, last_b = (np.append(x[1:] != x[:-1], True) for x in (group_a, group_b))
-        texts[np.arange(len(a)) + before_b[group_a]] = np.where(last_a, self.last_a[a], self.inner_a[a])
-        texts[np.arange(len(b)) + before_a[group_b + 1]] = np.where(last_b, self.last_b[b], self.inner_b[b])
-        texts = texts.tolist()
+        marks[np.arange(len(a)) + before_b[group_a]] = a + n_a * last_a
+        marks[np.arange(len(b)) + before_a[group_b + 1]] = b + n_b * last_b + 2 * n_a
+        text = "".join(self.marks[marks].tolist())
+        text_at = np.concatenate([[0], np.cumsum(self.mark_lengths[marks])])
         # Windows, by groups and by tokens.
-        group_at = np.searchsorted(common, cuts[:-1], "right")
-        group_to = np.append(group_at[1:], n_groups)
-        a_at, a_to, b_at, b_to = before_a[group_at], before_a[group_to], before_b[group_at], before_b[group_to]
-        first = np.searchsorted(entry_group, np.append(group_at, n_groups))
-        rows = np.stack([a_to - a_at, b_to - b_at, group_to - group_at, links[group_to] - links[group_at],
-                         first[:-1] + base_entry, np.diff(first)], 1).tolist()
-        ids_a, ids_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        between = b"\xff" * 4  # no id
-        numbers = []
-        columns = list(self.sizes.values())
-        for row, s, e, t, u in zip(rows, a_at.tolist(), a_to.tolist(), b_at.tolist(), b_to.tolist()):
-            key = ids_a[4 * s:4 * e] + between + ids_b[4 * t:4 * u]
-            number = self.by_ids.get(key)
-            if number is None:
-                number = self.by_ids[key] = len(self.text)
-                self.text.append("".join(texts[s + t:e + u]))
-                for column, value in zip(columns, row):
-                    column.append(value)
-            numbers.append(number)
-        where = np.searchsorted(cuts[:-1], starts).tolist()
-        for piece, s, e in zip(pieces, where, where[1:]):
-            self.of_text[piece] = tuple(numbers[s:e])
-
-    def documents(self, texts: list[str]) -> list[list[int] | None]:
+        at = groups[cuts]
+        a_at, b_at = before_a[at], before_b[at]
+        first = np.searchsorted(entry_group, at)
+        where = np.searchsorted(cuts, starts)
+        size = np.diff(where)
+        # A piece of one window is met here only; other windows are looked up by their ids.
+        base = len(self.text)
+        kept = np.repeat(size == 1, size)
+        numbers = np.zeros(len(kept), np.int64)
+        inner = np.flatnonzero(~kept)
+        if len(inner):
+            ids_a, ids_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+            between = b"\xff" * 4  # no id
+            fresh = base
+            for w, alone, s, e, t, u in zip(inner.tolist(), np.cumsum(kept)[inner].tolist(), a_at[inner].tolist(), a_at[inner + 1].tolist(),
+                                            b_at[inner].tolist(), b_at[inner + 1].tolist()):
+                number = self.by_ids.setdefault(ids_a[4 * s:4 * e] + between + ids_b[4 * t:4 * u], fresh + alone)
+                if number == fresh + alone:
+                    kept[w] = True
+                    fresh += 1
+                numbers[w] = number
+        kept = np.flatnonzero(kept)
+        numbers[kept] = np.arange(base, base + len(kept))
+        rows = text_at[a_at + b_at]
+        self.text.extend([text[s:e] for s, e in zip(rows[kept].tolist(), rows[kept + 1].tolist())])
+        for column, values in zip(self.sizes.values(), (np.diff(a_at), np.diff(b_at), np.diff(at), np.diff(links[at]), first[:-1] + base_entry, np.diff(first))):
+            column.frombytes(values[kept].astype(np.int64).tobytes())
+        self._place(piece_numbers, where[:-1] + len(self.windows), size)
+        self.windows.frombytes(numbers.tobytes())
+
+    def documents(self, texts: list[str]) -> list[np.ndarray | None]:
         """The windows of each text; None for texts without tokens."""
         if len(self.of_text) > REMEMBERED:
             self.forget()
-        cut = [self.cut(t) if t else None for t in texts]
-        fresh = set().union(*[c for c in cut if c is not None]).difference(self.of_text)
-        self.learn(fresh)
-        out: list[list[int] | None] = []
-        for pieces in cut:
-            found = list(map(self.of_text.__getitem__, pieces)) if pieces is not None else [None]
-            out.append(None if None in found else list(chain.from_iterable(found)))
-        return out
+        cut = [self.cut(t) if t else [] for t in texts]
+        ends = np.cumsum([len(c) for c in cut])
+        known = len(self.of_text)
+        pieces = np.fromiter(map(self.of_text.__getitem__, chain.from_iterable(cut)), np.int64, int(ends[-1]) if len(ends) else 0)
+        self.learn(list(islice(self.of_text, known, None)))
+        first, size, windows = (np.array(x, np.int64) for x in (self.piece_first, self.piece_size, self.windows))
+        differ = size[pieces] < 0
+        size = np.maximum(size[pieces], 0)
+        flat = windows[spread(first[pieces], size)]
+        total, differ = (np.concatenate([[0], np.cumsum(x)]) for x in (size, differ))
+        return [flat[total[s]:total[e]] if s < e and differ[s] == differ[e] else None for s, e in zip([0, *ends.tolist()], ends.tolist())]
 
     def table(self) -> dict[str, np.ndarray]:
         columns = self.sizes | {"a": self.a, "a_times": self.a_times, "group_first": self.group_first,
@@ -250,11 +290,15 @@ class Windows:
         return {k: np.array(v, np.int64) for k, v in columns.items()}
 
 
-def _pairs(docs: list[list[int] | None], table: dict[str, np.ndarray], n_b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _flat(docs: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows each document has, and the windows of all."""
+    return np.array([0 if d is None else len(d) for d in docs], np.int64), np.concatenate([np.zeros(0, np.int64), *[d for d in docs if d is not None]])
+
+
+def _pairs(docs: list[np.ndarray | None], table: dict[str, np.ndarray], n_b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(pair, document, links), sorted and distinct, of a chunk; in slices that share no pair."""
     n_docs = len(docs)
-    sizes = np.array([len(d) if d else 0 for d in docs])
-    flat = np.fromiter(chain.from_iterable(d for d in docs if d), np.int64, int(sizes.sum()))
+    sizes, flat = _flat(docs)
     code, times = np.unique(np.repeat(np.arange(n_docs), sizes) * len(table["n_a"]) + flat, return_counts=True)
     if not len(code):
         return
@@ -328,11 +372,11 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
             found = windows.documents([t or "" for t in batch.column(1).to_pylist()])
             table, n = windows.table(), batch.num_rows
             sums = {}
-            flat = np.fromiter(chain.from_iterable(d for d in found if d), np.int64)
-            ends = np.cumsum([0, *[len(d) if d else 0 for d in found]])
+            sizes, flat = _flat(found)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             for name in ("n_a", "n_b", "n_groups", "n_links"):
                 sums[name] = np.diff(np.concatenate([[0], np.cumsum(table[name][flat])])[ends])
-            texts = ["".join([windows.text[w] for w in d])[:-1] if d else "" for d in found]
+            texts = ["" if d is None else "".join(map(windows.text.__getitem__, d.tolist()))[:-1] for d in found]
             hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
             extra = {"groups": texts} if with_groups else {}
             yield _record(_ARROW, n, chunk=np.full(n, chunk), kind=np.zeros(n, np.int32), doc_id=batch.column(0), groups_sha256=hashes,

@@ -1,6 +1,7 @@
 """op11 against the libraries' own tokens and a plain alignment of them."""
 
 import hashlib
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -100,6 +101,23 @@ def test_small_chunks_memory_and_slices_change_nothing(spark, sf_small, monkeypa
     assert pairs() == whole
 
 
+def test_only_windows_inside_a_piece_are_looked_up_by_their_ids():
+    windows = token_alignment.Windows(token_alignment.Tokenizers(token_alignment.default_vocabulary(), token_alignment.default_pieces()))
+    first, second = windows.documents([" ".join(f"word{i}" for i in range(500)), "word7 word7 word400"])
+    assert first[7] == second[0] == second[1] and first[400] == second[2] and len(windows.text) == 500
+    assert not windows.by_ids  # pieces of one window: nothing is done one by one
+    one, two = windows.documents(["f():\n    return 1\n    return", "g():\n    return 1\n    return"])
+    assert one[0] != two[0] and one[1:].tolist() == two[1:].tolist() and len(one) > 2
+    assert len(windows.text) == 500 + len(set(one.tolist() + two.tolist()))
+
+
+def test_long_white_space_is_cut_in_one_pass():
+    windows = token_alignment.Windows(token_alignment.Tokenizers(token_alignment.default_vocabulary(), token_alignment.default_pieces()))
+    began = time.process_time()
+    assert windows.cut("a b" + " " * 30_000 + "c d") == ["a", "b", " " * 29_999 + "c", "d"]
+    assert time.process_time() - began < 5  # 17 s when each space looks at all the white space before it
+
+
 def test_null_ids_repeats_extra_columns_and_no_rows(spark):
     docs = spark.createDataFrame([(None, "one two"), (1, "one two"), (1, "one two"), (2, None)], "doc_id long, text string")
     docs = docs.withColumn("chunk", F.lit("x")).withColumn("a", F.lit(1)).withColumn("n_docs", F.lit(None).cast("int"))
